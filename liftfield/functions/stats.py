@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Abramowitz & Stegun 26.2.17 coefficients (absolute error below 7.5e-8).
 CDF_STEP = 0.2316419
@@ -77,7 +78,7 @@ def student_t_p_values(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
     return np.where(ok, np.clip(p, 0.0, 1.0), np.nan)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_t_two_sided_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     if len(t) == 0:
         return pd.Series([], dtype=float)

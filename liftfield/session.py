@@ -53,3 +53,8 @@ def broadcast_if_small(df: DataFrame, limit: int = DIMENSION_ROW_LIMIT) -> DataF
     if df.limit(limit + 1).count() <= limit:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-spread a few rows that are about to be exploded; a stated count is never coalesced by AQE."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1), *cols)
