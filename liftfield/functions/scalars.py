@@ -83,12 +83,15 @@ def hill_share(x: Column, alpha: Column, gamma: Column) -> Column:
     return p / (p + F.pow(gamma, alpha))
 
 
-def central_marginal(revenue, spend: Column) -> Column:
-    """Central-difference slope of ``revenue(spend)`` with Δ = max(1 % of spend, 100)."""
-    step = F.greatest(spend * 0.01, F.lit(100.0))
-    low = F.greatest(spend - step, F.lit(0.0))
-    high = spend + step
-    return (revenue(high) - revenue(low)) / (high - low)
+def marginal_step(spend: Column) -> Column:
+    """1 % of the spend or 100, whichever is larger."""
+    return F.greatest(spend * 0.01, F.lit(100.0))
+
+
+def central_marginal(revenue, spend: Column, step: Column) -> Column:
+    """Slope of ``revenue(spend)`` over one step centred on ``spend``, the lower end clipped at 0."""
+    low = F.greatest(spend - step / 2, F.lit(0.0))
+    return (revenue(spend + step / 2) - revenue(low)) / step
 
 
 def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
