@@ -62,3 +62,9 @@ def broadcast_if_small(df: DataFrame, limit: int = DIMENSION_ROW_LIMIT) -> DataF
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-spread a few rows that are about to be exploded; a stated count is never coalesced by AQE."""
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1), *cols)
+
+
+def with_grand(df: DataFrame, **aggregates) -> DataFrame:
+    """Add whole-table aggregates to every row: a one-row broadcast, never a single-task window."""
+    one = df.agg(*[c.alias(n) for n, c in aggregates.items()]).withColumn("_k", F.lit(1))
+    return df.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k").drop("_k")
