@@ -198,3 +198,12 @@ def current_vs_optimal(results: DataFrame, optimal: DataFrame, budget: float, ou
     current = share.select("channel", (F.col("contribution_share") / total * budget).alias("current_spend"))
     return current.join(optimal.select("channel", F.col("spend").alias("optimal_spend")), "channel", "left").withColumn(
         "change", F.col("optimal_spend") - F.col("current_spend"))
+
+
+def take_increments(increments: DataFrame, budget: float) -> DataFrame:
+    """Best increments first until the running spend would pass the budget, per scenario.
+
+    ``increments`` has scenario, channel, j, step and gain; steps may differ between channels.
+    """
+    w = W.Window.partitionBy("scenario").orderBy(F.col("gain").desc(), "channel", "j").rowsBetween(W.Window.unboundedPreceding, 0)
+    return increments.withColumn("spent", F.sum("step").over(w)).filter(F.col("spent") <= budget)
