@@ -33,12 +33,9 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | str) ->
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines with a fixed schema, unreadable lines dropped."""
     full = T.StructType([*_schema(schema).fields, T.StructField("_corrupt", T.StringType())])
-    raw = _or_empty(
-        spark,
-        lambda: spark.read.schema(full).option("columnNameOfCorruptRecord", "_corrupt").json(path),
-        full,
-    )
-    return raw.filter("_corrupt IS NULL").drop("_corrupt")
+    lines = _or_empty(spark, lambda: spark.read.text(path), "value string")
+    rows = lines.select(F.from_json("value", full, {"columnNameOfCorruptRecord": "_corrupt"}).alias("row")).select("row.*")
+    return rows.filter("_corrupt IS NULL").drop("_corrupt")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
