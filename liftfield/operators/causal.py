@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 
 from liftfield.functions.hashing import hash32
 from liftfield.functions.stats import normal_cdf, normal_quantile, student_t_two_sided_p, two_sided_p
-from liftfield.session import spread
+from liftfield.session import cut_lineage, spread
 
 REPLICATES = 2000
 
@@ -81,7 +81,7 @@ def difference_in_differences(
     panel: DataFrame, keys: list[str] = ["test_id"], value: str = "revenue", alpha: float = 0.05, n_boot: int = REPLICATES
 ) -> DataFrame:
     """One result row per key: lift, interval, p-value, effect size and likelihood of a positive lift."""
-    changes = geo_changes(panel, keys, value)
+    changes = cut_lineage(geo_changes(panel, keys, value))
     return finish_did(did_effects(changes, keys), bootstrap_se(changes, keys, n_boot), keys, alpha)
 
 

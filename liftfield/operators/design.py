@@ -49,10 +49,12 @@ def market_history(revenue: dict[str, DataFrame], spend: dict[str, DataFrame]) -
     for name, df in revenue.items():
         part = df.select("geo", "date", F.lit(name).alias("src"), F.col("revenue").alias("amount"), F.col("orders").cast("double").alias("orders"))
         tagged = part if tagged is None else tagged.unionByName(part)
+    n_revenue = list(revenue)
     both = tagged
     for name, df in spend.items():
         both = both.unionByName(df.select(
             "geo", "date", F.lit(name).alias("src"), F.col("spend").alias("amount"), F.lit(0.0).alias("orders")))
+    both = cut_lineage(both)  # daily rows: the totals and the trend below both read them
     of = lambda n, c: F.sum(F.when(F.col("src") == n, F.col(c)).otherwise(0.0))
     aggs = [of(n, "amount").alias(f"{n}_revenue") for n in revenue]
     aggs += [of(n, "orders").cast("bigint").alias(f"{n}_orders") for n in revenue]
@@ -62,14 +64,14 @@ def market_history(revenue: dict[str, DataFrame], spend: dict[str, DataFrame]) -
     out = agg.withColumn("total_revenue", total(revenue, "revenue")).withColumn("total_orders", total(revenue, "orders"))
     out = out.withColumn("total_ad_spend", total(spend, "spend") if spend else F.lit(0.0))
     out = out.withColumn("aov", zero_if_undefined(F.col("total_revenue"), F.col("total_orders")))
-    trend = weekly_trend(tagged.select("geo", "date", F.col("amount").alias("revenue")))
+    trend = weekly_trend(both.filter(F.col("src").isin(n_revenue)).select("geo", "date", F.col("amount").alias("revenue")))
     return out.join(trend, "geo", "left").fillna(0.0, ["revenue_trend", "revenue_volatility"])
 
 
 def matching_table(history: DataFrame, population: DataFrame) -> DataFrame:
-    """History with population (1 when unknown) and revenue per head."""
+    """History with population (1 when unknown) and revenue per head; one row per market, written once."""
     rows = history.join(population, "geo", "left").withColumn("population", F.coalesce("population", F.lit(1)))
-    return rows.withColumn("revenue_per_capita", zero_if_undefined(F.col("total_revenue"), F.col("population")))
+    return cut_lineage(rows.withColumn("revenue_per_capita", zero_if_undefined(F.col("total_revenue"), F.col("population"))))
 
 
 # ---- balance --------------------------------------------------------------------------------

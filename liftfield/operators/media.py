@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from liftfield.functions.scalars import hill_share
-from liftfield.session import with_grand
+from liftfield.session import cut_lineage, with_grand
 
 # Discounts applied to attribution-based returns and their default.
 PRIOR_DISCOUNTS = {
@@ -38,17 +38,16 @@ def _zero_if_absent(value: Column, has_geo: Column) -> Column:
 
 def kpi_panel(outcomes: dict[str, DataFrame], markets: DataFrame) -> DataFrame:
     """One column per outcome on the dates all outcomes share, for every market."""
-    tagged, dates = None, None
+    tagged = None
     for name, df in outcomes.items():
-        part = df.groupBy("geo", "date").agg(F.sum("revenue").alias("v"))
-        mine = part.select("date").distinct()
-        dates = mine if dates is None else dates.intersect(mine)
-        part = part.select("geo", "date", F.lit(name).alias("o"), "v")
+        part = df.groupBy("geo", "date").agg(F.sum("revenue").alias("v")).select("geo", "date", F.lit(name).alias("o"), "v")
         tagged = part if tagged is None else tagged.unionByName(part)
+    tagged = cut_lineage(tagged)
+    dates = tagged.groupBy("date").agg(F.count_distinct("o").alias("n")).filter(F.col("n") == len(outcomes)).select("date")
     wide = tagged.groupBy("geo", "date").agg(*[F.max(F.when(F.col("o") == n, F.col("v"))).alias(n) for n in outcomes])
     seen = tagged.groupBy("geo").agg(*[F.max(F.when(F.col("o") == n, F.lit(1))).alias(f"_{n}") for n in outcomes])
     rows = spine(markets, dates).join(wide, ["geo", "date"], "left").join(seen, "geo", "left")
-    return rows.select("date", "geo", *[_zero_if_absent(F.col(n), F.col(f"_{n}")).alias(n) for n in outcomes])
+    return cut_lineage(rows.select("date", "geo", *[_zero_if_absent(F.col(n), F.col(f"_{n}")).alias(n) for n in outcomes]))
 
 
 def media_panel(spend: DataFrame, markets: DataFrame, channels: list[str], discounts: dict[str, float]) -> DataFrame:
@@ -57,6 +56,7 @@ def media_panel(spend: DataFrame, markets: DataFrame, channels: list[str], disco
     Dates or markets a channel lacks are 0; a gap inside a present market on a present date stays NULL.
     """
     day = spend.filter(F.col("channel").isin(channels)).groupBy("date", "geo", "channel").agg(F.sum("spend").alias("v"))
+    day = cut_lineage(day)
     reference = day.filter(F.col("channel") == channels[0]).select("date").distinct()
     names = F.array(*[F.lit(c) for c in channels])
     grid = spine(markets, reference).withColumn("channel", F.explode(names))
@@ -265,12 +265,12 @@ def channel_results(contribution: DataFrame, rhats: DataFrame | None = None) ->
     rows = rows.withColumn("roi_p10", F.col("roi_mean") * 0.7).withColumn("roi_p90", F.col("roi_mean") * 1.3).withColumn(
         "marginal_roi", F.col("roi_mean") * 0.8).drop("_s", "_t")
     if rhats is None:
-        return rows.withColumn("rhat", F.lit(1.0))
+        return cut_lineage(rows.withColumn("rhat", F.lit(1.0)))
     own = rhats.select(F.col("parameter").alias("_p1"), F.col("rhat").alias("_r1"))
     shared = rhats.select(F.col("parameter").alias("_p2"), F.col("rhat").alias("_r2"))
     key = F.concat(F.lit("beta_"), F.col("channel"))
     rows = rows.join(own, F.concat(key, F.lit("_"), F.col("outcome")) == F.col("_p1"), "left").join(shared, key == F.col("_p2"), "left")
-    return rows.withColumn("rhat", F.coalesce("_r1", "_r2", F.lit(1.0))).drop("_p1", "_r1", "_p2", "_r2")
+    return cut_lineage(rows.withColumn("rhat", F.coalesce("_r1", "_r2", F.lit(1.0))).drop("_p1", "_r1", "_p2", "_r2"))
 
 
 def channel_iroas(results: DataFrame, spend: DataFrame, measured: DataFrame, order_value: float = 75.0) -> DataFrame:

@@ -8,11 +8,15 @@ from pyspark.sql import window as W
 
 from liftfield.operators.assign import with_cell
 from liftfield.operators.staging import split_periods
+from liftfield.session import cut_lineage
 
 
 def test_panel(daily: DataFrame, tests: DataFrame, assignment: DataFrame) -> DataFrame:
-    """(test_id, geo, cell, date, period, measures…) for every assigned market and day with data."""
-    return with_cell(split_periods(daily, tests), assignment)
+    """(test_id, geo, cell, date, period, measures…) for every assigned market and day with data.
+
+    Written once: estimators read the panel many times and must never go back to the raw facts behind ``daily``.
+    """
+    return cut_lineage(with_cell(split_periods(daily, tests), assignment))
 
 
 def union_tagged(frames: dict[str, DataFrame], tag: str = "source") -> DataFrame:
@@ -71,12 +75,12 @@ TREATED_UNIT = "*treatment*"
 
 
 def aligned_series(panel: DataFrame, value: str = "revenue") -> DataFrame:
-    """Treatment mean per date and filled donor series, long: (test_id, period, date, unit, y)."""
+    """Treatment mean per date and filled donor series, long: (test_id, period, date, unit, y). Written once."""
     treated = panel.filter("cell = 'treatment'").groupBy("test_id", "period", "date").agg(F.avg(value).alias("y"))
     mean = treated.join(common_dates(panel), ["test_id", "period", "date"]).select(
         "test_id", "period", "date", F.lit(TREATED_UNIT).alias("unit"), "y"
     )
-    return mean.unionByName(fill_donor_grid(panel, value))
+    return cut_lineage(mean.unionByName(fill_donor_grid(panel, value)))
 
 
 def coverage_gaps(panel: DataFrame, assignment: DataFrame) -> DataFrame:

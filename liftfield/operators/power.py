@@ -10,6 +10,7 @@ from liftfield.functions.hashing import hash32
 from liftfield.functions.scalars import monday_week, clamp
 from liftfield.functions.stats import normal_cdf, normal_quantile, student_t_two_sided_p
 from liftfield.operators.causal import pooled_t
+from liftfield.session import cut_lineage
 
 EFFECTS = (0.05, 0.10, 0.15, 0.20)
 
@@ -33,7 +34,7 @@ def lag_correlations(weekly: DataFrame, keys: list[str]) -> DataFrame:
 
 def variance_components(daily: DataFrame, keys: list[str] = ["test_id"], value: str = "revenue") -> DataFrame:
     """Within- and between-market variance of weekly revenue, means, CV and mean autocorrelation per key."""
-    weekly = weekly_totals(daily, keys, value)
+    weekly = cut_lineage(weekly_totals(daily, keys, value))
     by_geo = weekly.groupBy(*keys, "geo").agg(F.var_samp("y").alias("v"), F.avg("y").alias("m"), F.count("*").alias("n"))
     agg = by_geo.groupBy(*keys).agg(
         F.avg("v").alias("within_var"), F.var_samp("m").alias("raw_between"), F.avg("n").alias("avg_n"),
@@ -44,9 +45,9 @@ def variance_components(daily: DataFrame, keys: list[str] = ["test_id"], value:
     between = F.greatest(F.lit(0.0), F.col("raw_between") - F.col("within_var") / F.greatest("avg_n", F.lit(1.0)))
     out = agg.withColumn("between_var", between).withColumn("total_var", F.col("between_var") + F.col("within_var"))
     cv = F.when(F.col("mean_weekly") > 0, F.sqrt("total_var") / F.col("mean_weekly")).otherwise(F.lit(float("inf")))
-    return out.withColumn("cv", cv).join(periods, keys).join(day_mean, keys).join(rho, keys, "left").select(
+    return cut_lineage(out.withColumn("cv", cv).join(periods, keys).join(day_mean, keys).join(rho, keys, "left").select(
         *keys, "between_var", "within_var", "total_var", "mean_daily", "mean_weekly", "cv", "n_geos", "n_periods",
-        F.coalesce("rho", F.lit(0.0)).alias("rho"))
+        F.coalesce("rho", F.lit(0.0)).alias("rho")))
 
 
 # ---- closed forms ---------------------------------------------------------------------------
@@ -186,7 +187,7 @@ def backtest_statistics(panel: DataFrame, post_days: int, effects=EFFECTS, value
     bounds = backtest_bounds(panel, post_days)
     splits = bounds.select("test_id", "n_dates", F.explode(F.sequence("low", "high")).alias("split")).withColumn(
         "last", F.least(F.col("split") + post_days, F.col("n_dates") - 1)).withColumn("before", F.col("split") - 1)
-    sums = prefix_sums(panel, value)
+    sums = cut_lineage(prefix_sums(panel, value))
     a = sums.select("test_id", "geo", "cell", F.col("idx").alias("before"), F.col("s").alias("s0"), F.col("n").alias("n0"))
     b = sums.select("test_id", "geo", F.col("idx").alias("last"), F.col("s").alias("s1"), F.col("n").alias("n1"))
     rows = splits.join(a, ["test_id", "before"]).join(b, ["test_id", "last", "geo"])

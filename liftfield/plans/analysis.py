@@ -62,11 +62,11 @@ def analyse_tests(
 ) -> DataFrame:
     """One report row per test.
 
-    The panel is cut once; every later stage is keyed by test, so the number of tests only scales the data.
+    The panel is written once; every later stage is keyed by test, so the number of tests only scales the data.
     """
     from liftfield.operators.panel import test_panel
 
-    panel = cut_lineage(test_panel(daily, tests, assignment))
+    panel = test_panel(daily, tests, assignment)
     fitted = synth.ascm_series(synth.unit_series(panel))
     results = estimator_results(panel, n_boot=n_boot, fitted=fitted)
     ensemble = causal.weighted_ensemble(results)

@@ -45,7 +45,7 @@ def auto_design(daily: DataFrame, markets: DataFrame, edges: DataFrame, today, s
     s = settings
     enough = markets.groupBy("test_id").agg(F.count("*").alias("n")).filter(F.col("n") >= 2 * s.min_cell).select("test_id")
     daily, markets = cut_lineage(daily.join(enough, "test_id", "left_semi")), cut_lineage(markets.join(enough, "test_id", "left_semi"))
-    variance = cut_lineage(power.variance_components(daily))
+    variance = power.variance_components(daily)
     sizes = design.best_holdout_size(
         variance, ["test_id"], target_mde=s.target_mde or 0.15, min_cell=s.min_cell, max_share=s.max_holdout_share,
         target_share=s.target_holdout_share, weeks=s.max_weeks)
