@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from liftfield.functions.hashing import hash32
+from liftfield.session import broadcast_if_small
 
 
 def _cell(is_holdout: Column) -> Column:
@@ -34,7 +35,7 @@ def stratified_assignment(markets: DataFrame, n_holdout: int, stratum: str = "re
 
 def with_cell(df: DataFrame, assignment: DataFrame) -> DataFrame:
     """Keep rows of assigned markets and add their cell."""
-    return df.join(assignment.select("test_id", "geo", "cell"), ["test_id", "geo"])
+    return df.join(broadcast_if_small(assignment.select("test_id", "geo", "cell")), ["test_id", "geo"])
 
 
 def cell_lists(assignment: DataFrame) -> DataFrame:

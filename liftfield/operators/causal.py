@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 
 from liftfield.functions.hashing import hash32
 from liftfield.functions.stats import normal_cdf, normal_quantile, student_t_two_sided_p, two_sided_p
-from liftfield.session import cut_lineage, spread
+from liftfield.session import cut_lineage, small_side, spread
 
 REPLICATES = 2000
 
@@ -59,7 +59,8 @@ def _draws(sizes: DataFrame, keys: list[str], n_boot: int) -> DataFrame:
 def bootstrap_effects(changes: DataFrame, keys: list[str] = ["test_id"], n_boot: int = REPLICATES) -> DataFrame:
     """τ of every replicate; each cell's markets are resampled with replacement to the cell's size.
 
-    Works on market-level differences, never on panel rows: replicates × markets small rows.
+    Works on market-level differences, never on panel rows. The plan is spread by replicate and the differences are
+    broadcast while they are small, so a replicate is drawn and averaged in one task.
     """
     used = changes.filter("diff IS NOT NULL").select(*keys, "cell", "geo", "diff")
     order = W.Window.partitionBy(*keys, "cell").orderBy("geo")
@@ -67,7 +68,7 @@ def bootstrap_effects(changes: DataFrame, keys: list[str] = ["test_id"], n_boot:
     sizes = used.groupBy(*keys, "cell").agg(F.count("*").alias("n"))
     pick = (hash32(F.col("rep"), F.col("cell"), F.col("slot")) % F.col("n")).cast("int")
     plan = _draws(sizes, keys, n_boot).withColumn("pick", pick)
-    sampled = plan.join(indexed, [*keys, "cell", "pick"])
+    sampled = plan.join(small_side(indexed), [*keys, "cell", "pick"])
     by_rep = sampled.groupBy(*keys, "rep").agg(
         F.avg(_by_cell("treatment", "diff")).alias("t"), F.avg(_by_cell("holdout", "diff")).alias("h"))
     return by_rep.select(*keys, "rep", (F.col("t") - F.col("h")).alias("tau"))
@@ -127,7 +128,7 @@ def bootstrap_p(gaps: DataFrame, keys: list[str] = ["test_id"], n_boot: int = RE
     observed = gaps.groupBy(*keys).agg(F.avg("gap").alias("observed"), F.count("*").alias("n"))
     pick = (hash32(F.col("rep"), F.col("slot")) % F.col("n")).cast("int")
     plan = _draws(observed.select(*keys, "n"), keys, n_boot).withColumn("pick", pick)
-    means = plan.join(centred, [*keys, "pick"]).groupBy(*keys, "rep").agg(F.avg("g").alias("m"))
+    means = plan.join(small_side(centred), [*keys, "pick"]).groupBy(*keys, "rep").agg(F.avg("g").alias("m"))
     hits = means.join(observed, keys).groupBy(*keys).agg(
         F.first("observed").alias("observed"), F.avg((F.abs("m") >= F.abs("observed")).cast("double")).alias("share"))
     return hits.select(*keys, "observed", F.greatest("share", F.lit(1.0 / (n_boot + 1))).alias("p_value"))

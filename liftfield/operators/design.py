@@ -296,14 +296,27 @@ def lifecycle(events: DataFrame) -> DataFrame:
     """State before each event and whether the event is allowed.
 
     Execute needs designed or completed, update needs running, revert needs running or completed; analysed is final.
+    A test's history is split into months: months are summed up first, their carry-over is a short running pass, and
+    the events of a month only need what came before it. No test's full history meets in one task.
     """
-    w = W.Window.partitionBy("test_id").orderBy("at", "seq").rowsBetween(W.Window.unboundedPreceding, -1)
     action = F.col("action")
-    moved = F.last(F.when(action.isin("execute", "revert"), action), ignorenulls=True).over(w)
-    started = F.coalesce(F.bool_or(action == "execute").over(w), F.lit(False))
-    analysed = F.coalesce(F.bool_or(action == "analyze").over(w), F.lit(False))
+    move = F.when(action.isin("execute", "revert"), action)
+    rows = events.withColumn("_m", F.trunc("at", "month"))
+    month = rows.groupBy("test_id", "_m").agg(
+        F.max_by(move, F.when(move.isNotNull(), F.struct("at", "seq"))).alias("_last"),
+        F.bool_or(action == "execute").alias("_run"), F.bool_or(action == "analyze").alias("_done"))
+    before = W.Window.partitionBy("test_id").orderBy("_m").rowsBetween(W.Window.unboundedPreceding, -1)
+    carry = month.select(
+        "test_id", "_m", F.last("_last", ignorenulls=True).over(before).alias("c_last"),
+        F.coalesce(F.bool_or("_run").over(before), F.lit(False)).alias("c_run"),
+        F.coalesce(F.bool_or("_done").over(before), F.lit(False)).alias("c_done"))
+    w = W.Window.partitionBy("test_id", "_m").orderBy("at", "seq").rowsBetween(W.Window.unboundedPreceding, -1)
+    rows = rows.join(carry, ["test_id", "_m"])
+    moved = F.coalesce(F.last(move, ignorenulls=True).over(w), F.col("c_last"))
+    started = F.coalesce(F.bool_or(action == "execute").over(w), F.lit(False)) | F.col("c_run")
+    analysed = F.coalesce(F.bool_or(action == "analyze").over(w), F.lit(False)) | F.col("c_done")
     state = F.when(analysed, "analyzed").when(~started, "designed").when(moved == "execute", "running").otherwise("completed")
-    rows = events.withColumn("state_before", state)
+    rows = rows.withColumn("state_before", state).select(*events.columns, "state_before")
     ok = (
         F.when(action == "execute", F.col("state_before").isin("designed", "completed"))
         .when(action == "update", F.col("state_before") == "running")

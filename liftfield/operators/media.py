@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from liftfield.functions.scalars import hill_share
-from liftfield.session import cut_lineage, with_grand
+from liftfield.session import cut_lineage, small_side, with_grand
 
 # Discounts applied to attribution-based returns and their default.
 PRIOR_DISCOUNTS = {
@@ -187,7 +187,7 @@ def contributions(features: DataFrame, draws: DataFrame) -> DataFrame:
     """
     effect = draws.groupBy("channel", "outcome").agg(
         F.avg("effect").alias("m"), F.percentile("effect", 0.1).alias("p10"), F.percentile("effect", 0.9).alias("p90"))
-    rows = features.join(effect, "channel")
+    rows = features.join(small_side(effect), "channel")
     return rows.select(
         "date", "geo", "channel", "outcome", *[(F.col(c) * F.col("feature")).alias(n) for c, n in (
             ("m", "contribution_mean"), ("p10", "contribution_p10"), ("p90", "contribution_p90"))])

@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 
 from liftfield.functions.scalars import banded
 from liftfield.operators.latest import first_per_key, latest_per_key
-from liftfield.session import with_grand
+from liftfield.session import small_side, with_grand
 
 ALERT_COLUMNS = ("rule", "severity", "subject", "at", "value", "threshold")
 
@@ -163,7 +163,7 @@ def metric_rows(wide: DataFrame, key: str, prefix: str = "") -> DataFrame:
 
 def saturation_table(spend: DataFrame, curves: DataFrame, keys: list[str] = ["channel"]) -> DataFrame:
     """Spend over the curve's half-saturation point, its class and the change that would close the gap."""
-    rows = spend.join(curves.select(*keys, F.col("gamma").alias("inflection")), keys)
+    rows = spend.join(small_side(curves.select(*keys, F.col("gamma").alias("inflection"))), keys)
     ratio = F.col("spend") / F.col("inflection")
     return rows.withColumn("ratio", ratio).withColumn(
         "status", banded(F.col("ratio"), [(0.6, "Under-Invested"), (1.3, "Optimal")], "Saturated")).withColumn(

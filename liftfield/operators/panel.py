@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 
 from liftfield.operators.assign import with_cell
 from liftfield.operators.staging import split_periods
-from liftfield.session import cut_lineage
+from liftfield.session import cut_lineage, small_side
 
 
 def test_panel(daily: DataFrame, tests: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -125,6 +125,6 @@ def median_split(panel: DataFrame, min_dates: int = 14) -> DataFrame:
 def relabel_periods(panel: DataFrame, splits: DataFrame) -> DataFrame:
     """Pre rows once per split with the period redrawn at the split date."""
     pre = panel.filter("period = 'pre'").drop("period")
-    rows = pre.join(splits.select("test_id", "split", "split_date"), "test_id")
+    rows = pre.join(small_side(splits.select("test_id", "split", "split_date")), "test_id")
     period = F.when(F.col("date") < F.col("split_date"), "pre").otherwise("post")
     return rows.withColumn("period", period).drop("split_date")

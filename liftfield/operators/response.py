@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 
 from liftfield.functions.hashing import hash32
 from liftfield.functions.scalars import hill_revenue, hill_slope
-from liftfield.session import cut_lineage, spread
+from liftfield.session import cut_lineage, small_side, spread
 
 ALPHA_LOW = 0.1
 GRID_POINTS = 10_000
@@ -160,7 +160,7 @@ def bootstrap_curves(points: DataFrame, causal: DataFrame | None = None, target:
     slots = reps.withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
     weights = slots.withColumn("pick", (hash32(F.col("rep"), F.col("slot")) % F.col("n")).cast("int")).groupBy(
         "test_id", "rep", "pick").agg(F.count("*").cast("double").alias("w"))
-    sampled = weights.join(base.select("test_id", "pick", "x", "y", "k0"), ["test_id", "pick"])
+    sampled = weights.join(small_side(base.select("test_id", "pick", "x", "y", "k0")), ["test_id", "pick"])
     zero = sampled.groupBy("test_id", "rep").agg(F.first("k0").alias("k0")).select(
         "test_id", "rep", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("w"), "k0")
     keys = ["test_id", "rep"]

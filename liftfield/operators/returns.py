@@ -43,7 +43,8 @@ def incremental_revenue(results: DataFrame, scale: DataFrame, keys: list[str] =
 def treatment_spend(spend: DataFrame, tests: DataFrame, assignment: DataFrame) -> DataFrame:
     """Spend of treatment markets inside the test period; tests without any keep a 0."""
     days = tests.select("test_id", F.explode(F.sequence("start_date", "end_date")).alias("date"))
-    rows = spend.join(days, "date").join(
+    daily = spend.groupBy("date", "geo").agg(F.sum("spend").alias("spend"))  # small before it meets the tests
+    rows = daily.join(days, "date").join(
         assignment.filter("cell = 'treatment'").select("test_id", "geo"), ["test_id", "geo"])
     got = rows.groupBy("test_id").agg(F.sum("spend").alias("spend"))
     return tests.select("test_id").join(got, "test_id", "left").fillna(0.0, ["spend"])

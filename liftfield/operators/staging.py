@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from liftfield.session import broadcast_if_small
+
 FIRST_DAY = "2022-01-01"
 SMALLEST_NET = -10000.0
 
@@ -79,7 +81,7 @@ def split_periods(df: DataFrame, tests: DataFrame) -> DataFrame:
 
     Windows become day rows, so this is a hash join on the date and does no more work than its output.
     """
-    return df.join(test_days(tests), "date").select("test_id", *df.columns, "period")
+    return df.join(broadcast_if_small(test_days(tests)), "date").select("test_id", *df.columns, "period")
 
 
 def scope_revenue(df: DataFrame, scope: str) -> DataFrame:

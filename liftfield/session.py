@@ -59,6 +59,14 @@ def broadcast_if_small(df: DataFrame, limit: int = DIMENSION_ROW_LIMIT) -> DataF
     return df
 
 
+def small_side(df: DataFrame, limit: int = DIMENSION_ROW_LIMIT) -> DataFrame:
+    """A derived join side: computed once, then broadcast if its size allows.
+
+    Keeps joins on few keys (channel, test) from shuffling the large side into as few tasks.
+    """
+    return broadcast_if_small(cut_lineage(df), limit)
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-spread a few rows that are about to be exploded; a stated count is never coalesced by AQE."""
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1), *cols)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from liftfield.functions.scalars import last_segment, zero_if_undefined
 from liftfield.operators.lookups import map_market_names, map_platform_ids
+from liftfield.session import broadcast_if_small
 from liftfield.sources.landed import number, whole
 
 MICROS = 1_000_000.0
@@ -60,7 +61,7 @@ def region_video_spend(raw: DataFrame) -> DataFrame:
 def region_spend_for_objective(raw: DataFrame, campaigns: DataFrame, objective: str) -> DataFrame:
     """Only campaigns of one objective (any case), summed per day and region."""
     wanted = campaigns.filter(F.upper("objective") == objective.upper()).select("campaign_id")
-    kept = raw.join(wanted, "campaign_id", "left_semi")
+    kept = raw.join(broadcast_if_small(wanted), "campaign_id", "left_semi")
     return region_video_spend(kept).groupBy("date", "region").agg(
         *[F.sum(c).alias(c) for c in ("spend", "impressions", "video_views", "video_completions")]
     )

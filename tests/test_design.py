@@ -164,9 +164,10 @@ def test_weekly_trend_counts_empty_weeks(spark):
 
 def test_lifecycle_guards(spark):
     steps = ["update", "execute", "execute", "update", "revert", "update", "execute", "revert", "analyze", "execute"]
-    e = spark.createDataFrame([("t", i, i, a) for i, a in enumerate(steps)], "test_id string, at int, seq int, action string")
-    got = [r["is_allowed"] for r in design.lifecycle(e).orderBy("seq").collect()]
-    assert got == [False, True, False, True, True, False, True, True, True, False]
+    for gap in (1, 12, 40):  # within one month, across a few, one event a month
+        e = spark.createDataFrame([("t", day(i * gap), i, a) for i, a in enumerate(steps)], "test_id string, at date, seq int, action string")
+        got = [r["is_allowed"] for r in design.lifecycle(e).orderBy("seq").collect()]
+        assert got == [False, True, False, True, True, False, True, True, True, False]
 
 
 def test_auto_design_is_complete(spark):
