@@ -11,7 +11,7 @@ from pyspark.sql import window as W
 from liftfield.functions.stats import normal_cdf, normal_quantile
 from liftfield.operators.panel import TREATED_UNIT
 from liftfield.operators.synth import fit_metrics
-from liftfield.session import cut_lineage
+from liftfield.session import cut_lineage, spread
 
 MIN_PRE = 14
 LEVEL_RATIOS = (0.0, 1e-3, 1e-2, 0.1, 1.0)
@@ -98,7 +98,7 @@ def structural_series(aligned: DataFrame) -> DataFrame:
     chosen = select_covariates(donor_correlations(aligned)).select("test_id", "unit")
     rows = aligned.join(chosen, ["test_id", "unit"], "left_semi").unionByName(aligned.filter(F.col("unit") == TREATED_UNIT))
     schema = "test_id string, period string, date date, y double, synthetic double, se double, is_burn_in boolean"
-    return cut_lineage(rows.groupBy("test_id").applyInPandas(_forecast_group, schema))
+    return cut_lineage(spread(rows, "test_id").groupBy("test_id").applyInPandas(_forecast_group, schema))
 
 
 def structural_results(fitted: DataFrame, alpha: float = 0.05) -> DataFrame:
