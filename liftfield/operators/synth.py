@@ -10,11 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from liftfield.functions.hashing import hash32
 from liftfield.functions.stats import normal_cdf
 from liftfield.operators.causal import conformal_inference
-from liftfield.operators.panel import TREATED_UNIT, common_donors
+from liftfield.operators.panel import TREATED_UNIT
 from liftfield.session import cut_lineage, spread
 
 MAX_PANEL_CELLS = 5_000_000
@@ -192,10 +193,8 @@ def placebo_p(effects: DataFrame, placebos: DataFrame, keys: list[str] = ["test_
     # how many placebos reach a given size: one ordered pass over both lists, no pairing of targets
     marks = effects.select(*keys, "target", F.abs("absolute_lift").alias("_e"), F.lit(0).alias("is_placebo")).unionByName(
         others.select(*keys, F.col("_t").alias("target"), "_e", F.lit(1).alias("is_placebo")))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(F.col("_e").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    reached = marks.withColumn("_k", F.sum("is_placebo").over(w)).withColumn("_n", F.sum("is_placebo").over(Window.partitionBy(*keys)))
+    w = W.Window.partitionBy(*keys).orderBy(F.col("_e").desc()).rangeBetween(W.Window.unboundedPreceding, 0)
+    reached = marks.withColumn("_k", F.sum("is_placebo").over(w)).withColumn("_n", F.sum("is_placebo").over(W.Window.partitionBy(*keys)))
     own = others.withColumnRenamed("_t", "target").withColumnRenamed("_e", "_own")
     rows = reached.filter("is_placebo = 0").join(own, [*keys, "target"], "left")
     mine = F.col("_own").isNotNull()
@@ -221,7 +220,3 @@ def ascm_results(fitted: DataFrame, keys: list[str] = ["test_id"], alpha: float
         over(F.col("ci_upper")).alias("lift_upper_ci"), "se", p.alias("p_value"), (p < alpha).alias("is_significant"),
         F.when(F.col("outcome_sd") > 0, tau / F.col("outcome_sd")).otherwise(0.0).alias("cohen_d"),
         F.when(se > 0, normal_cdf(tau / se)).otherwise(0.5).alias("lift_likelihood"), "l2_imbalance", "r_squared", "baseline", "n_placebos")
-
-
-def donors_of(panel: DataFrame) -> DataFrame:
-    return common_donors(panel)

@@ -32,10 +32,12 @@ def build_session(app: str = "liftfield", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a scratch folder of our own only where none is named."""
+    """The cluster's shared folder; a scratch folder of our own only in local mode without one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="liftfield-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own

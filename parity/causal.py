@@ -10,7 +10,7 @@ from liftfield.operators import quality as Q
 from liftfield.operators import returns as R
 from liftfield.operators import validation as V
 from parity.common import (
-    assignment, check, geos, h, panel, phi, r, rounded, spend_daily, tests_table, view,
+    assignment, check, h, panel, per_test, phi, r, rounded, spend_daily, tests_table, view,
 )
 
 Z975 = C.normal_quantile(0.975)
@@ -373,8 +373,7 @@ def c21(spark, sf):
     from parity.common import table
 
     bought = table(spark, sf, "events").filter("event_type = 'purchase'").agg(F.count("*").cast("double").alias("attributed"))
-    ids = F.array(*[F.lit(t["test_id"]) for t in [{"test_id": "t1"}, {"test_id": "t2"}, {"test_id": "t3"}]])
-    attributed = bought.select(F.explode(ids).alias("test_id"), "attributed")
+    attributed = per_test(spark, bought)
     return rounded(R.incrementality_factor(panel(spark, sf), scale(spark, sf), tspend(spark, sf), attributed), 6, incremental_orders=4)
 
 

@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from liftfield.functions.scalars import zero_if_undefined
-from liftfield.operators import marts, monitor, panel, staging
-from parity.common import (
-    check, daily, geos, market_daily, population, r, rounded, spend_daily, store_orders, table, view,
-)
+from liftfield.operators import marts, panel, staging
+from parity.common import check, daily, market_daily, rounded, spend_daily, view
 from parity.staging import (
     ROUTES, calibration_events, raw_market, raw_search, raw_social, raw_store, raw_video, stg_market, stg_search, stg_social,
     stg_store, stg_video, SPEND_FIRST,
@@ -105,15 +102,15 @@ def a07(spark, sf):
 
 
 @check("a08_model_inputs", f"""
-SELECT 'spend' AS part, count(*) AS n_rows, round(sum(spend), 2) AS total FROM x_spend_window
-UNION ALL SELECT 'revenue', count(*), round(sum(net_revenue), 2) FROM x_revenue_window
-UNION ALL SELECT 'calibration', count(*), round(sum(lift_abs), 2) FROM x_cal WHERE test_start_date <= DATE '{B}' AND test_end_date >= DATE '{A}'
+SELECT 'spend' AS part, count(*) AS n_rows, round(sum(spend), 3) AS total FROM x_spend_window
+UNION ALL SELECT 'revenue', count(*), round(sum(net_revenue), 3) FROM x_revenue_window
+UNION ALL SELECT 'calibration', count(*), round(sum(lift_abs), 3) FROM x_cal WHERE test_start_date <= DATE '{B}' AND test_end_date >= DATE '{A}'
 """)
 def a08(spark, sf):
     parts = marts.model_inputs(raw_platforms(spark, sf), raw_store(spark, sf), raw_market(spark, sf), calibration_events(spark, sf), A, B)
     out = None
     for name, amount in (("spend", "spend"), ("revenue", "net_revenue"), ("calibration", "lift_abs")):
-        row = parts[name].agg(F.lit(name).alias("part"), F.count("*").alias("n_rows"), F.round(F.sum(amount), 2).alias("total"))
+        row = parts[name].agg(F.lit(name).alias("part"), F.count("*").alias("n_rows"), F.round(F.sum(amount), 3).alias("total"))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 from liftfield.operators import budget as B
 from liftfield.operators import media as M
-from parity.common import (
-    check, daily, geos, market_daily, market_lines, population, r, rounded, spend_daily, spend_events, table, view,
-)
+from parity.common import check, daily, geos, market_daily, population, rounded, spend_daily, spend_events, table, view
 from parity.response import share
 
 CHANNELS = ["click", "view", "purchase", "signup", "error"]

@@ -10,10 +10,8 @@ from liftfield.operators import latest as L
 from liftfield.operators import media as MM
 from liftfield.operators import monitor as M
 from parity import media as PM
-from parity.common import (
-    assignment, check, geos, h, market_daily, market_lines, r, rounded, spend_daily, table, view,
-)
-from parity.staging import calibration_events, good_events
+from parity.common import assignment, check, h, market_daily, market_lines, rounded, table, view
+from parity.staging import good_events
 
 # ---- window measures ------------------------------------------------------------------------
 

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from liftfield.operators import panel as P
 from liftfield.operators import quality as Q
-from liftfield.functions import scalars as S
-from parity.common import assignment, check, daily, panel, r, rounded, tests_table, view
+from parity.common import assignment, check, panel, rounded, view
 
 # ---- sets and fills -------------------------------------------------------------------------
 

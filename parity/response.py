@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from liftfield.functions import scalars as S
 from liftfield.operators import response as H
-from parity.common import assignment, check, h, panel, r, rounded, spend_daily, table, tests_table, view
+from parity.common import check, h, panel, r, rounded, spend_daily, table, tests_table, view
 
 CAUSAL = 2.5
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from liftfield.operators import budget, causal, structural, synth
+from liftfield.operators import budget, structural, synth
 from liftfield.operators.panel import aligned_series
 from liftfield.plans import analysis, design
 from parity import design as PD
-from parity import media as PM
-from parity.common import assignment, check, daily, panel, per_test, r, rounded, spend_daily, tests_table, view, weekly
+from parity.common import assignment, check, panel, per_test, rounded, spend_daily, tests_table, view, weekly
 
 
 def series(spark, sf):

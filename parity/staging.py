@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 from liftfield.operators import marts, staging
 from liftfield.sources import landed, tables
-from parity.common import (
-    TESTS, check, daily, market_lines, r, rounded, spend_events, store_orders, table, tests_table, view,
-)
+from parity.common import check, daily, market_lines, r, spend_events, store_orders, table, tests_table, view
 
 FIRST = "1996-01-01"
 
