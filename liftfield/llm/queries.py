@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from liftfield.llm.quality import quality
+from liftfield.llm.simhash import simhash_components
+from liftfield.llm.substrings import deduplicated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +31,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op1_quality_rules")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op2_simhash_components")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash_components(table(spark, sf, "documents"))
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return deduplicated(table(spark, sf, "documents"))
