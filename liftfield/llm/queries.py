@@ -5,10 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from liftfield.llm.decontam import leaks
+from liftfield.llm.languages import fold, languages
+from liftfield.llm.licenses import licenses
+from liftfield.llm.likelihood import pseudo_likelihood
+from liftfield.llm.mixing import mixed
 from liftfield.llm.quality import quality
 from liftfield.llm.simhash import simhash_components
 from liftfield.llm.substrings import deduplicated
+from liftfield.llm.tokens import token_counts
+from liftfield.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +46,46 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_components(table(spark, sf, "documents"))
 
 
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_pseudo_likelihood")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf, "documents"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return languages(table(spark, sf, "documents"), fold(3, 1))
+
+
+@query("op6_toxic_spans")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"), fold(4, 2))
+
+
 @query("op7_substring_dedup")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return deduplicated(table(spark, sf, "documents"))
+
+
+@query("op8_source_mix")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return mixed(table(spark, sf, "documents"))
+
+
+@query("op9_license_scan")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files: the source is the repository, the language a directory in it, the id the file's name."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    found = licenses(table(spark, sf, "documents").select(path.alias("path"), "text"))
+    return found.select(F.regexp_extract("path", "[^/]*$", 0).cast("bigint").alias("doc_id"), *found.columns)
+
+
+@query("op10_benchmark_leaks")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
