@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from liftfield.llm.decontam import leaks
 from liftfield.llm.languages import fold, languages
 from liftfield.llm.licenses import licenses
@@ -89,3 +90,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_benchmark_leaks")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, MapType, StructField, StructType
 
 from liftfield.llm.common import pieces, tasks, texts
 from liftfield.session import cut_lineage
@@ -245,6 +246,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def component_tables(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of all rows, and (fp, root, component_id) of all distinct fingerprints."""
+    prints = cut_lineage(fingerprints(docs, size))
+    own = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = cut_lineage(components(fingerprint_links(own)))
+    linked = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())
+    named = linked.join(own, linked["v"] == own["fp"]).groupBy("root").agg(F.min("least").alias("component"))
+    linked = linked.join(named, "root").select(F.col("v").alias("fp"), "root", "component")
+    ids = own.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id"))
+    return prints, cut_lineage(ids)
+
+
 def simhash_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` (least id reachable) of each row.
 
@@ -252,12 +265,26 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     rows of one document. A null id never names a component: a component of such rows alone has a null id. An empty
     table gives no rows.
     """
-    prints = cut_lineage(fingerprints(docs, size))
-    own = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = cut_lineage(components(fingerprint_links(own)))
-    members = roots.join(own, roots["v"] == own["fp"]).select("root", "least")
-    tops = roots.select("root").distinct().join(own, F.col("root") == own["fp"]).select("root", "least")
-    named = members.unionByName(tops).groupBy("root").agg(F.min("least").alias("component"))
-    linked = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct()).join(named, "root").select(F.col("v").alias("fp"), "component")
-    ids = own.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    prints, ids = component_tables(docs, size)
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One row of ``docs`` for each component: that of the least id, all columns as they are.
+
+    Of rows that repeat this id within the component the one of least text stays. A component of null ids keeps one row.
+    """
+    columns = docs.columns
+    _, ids = component_tables(docs, size)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            fp = np.array([fingerprint(t, size) for t in batch["text"].cast(pa.string()).to_pylist()], np.uint64)
+            yield batch.append_column("__fp", pa.array(fp.view(np.int64)))
+
+    rows = docs.mapInArrow(add, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    ids = ids.withColumnsRenamed({"fp": "__fp", "root": "__root", "component_id": "__component"})
+    least = rows.join(ids, "__fp").where(F.col("doc_id").cast("bigint").eqNullSafe(F.col("__component")))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    chosen = least.groupBy("__root").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.struct("text", F.xxhash64(*plain))).alias("__row"))
+    return chosen.select("__row.*")
