@@ -15,7 +15,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAST_COSINE = 0.6
+LEAST_COSINE = 0.7
 SPANS = (1, 3, 12)
 LICENSE_FILE = r"(?i)^(un)?licen[cs]e([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
 
@@ -39,8 +39,13 @@ TEMPLATES = {
 }
 
 
+# Words too common to tell licences from prose; they have no weight.
+STOP_WORDS = ("a", "an", "and", "any", "are", "as", "at", "be", "by", "for", "from", "if", "in", "into", "is", "it", "its", "may", "not", "of", "on",
+              "or", "s", "so", "such", "that", "the", "their", "this", "to", "under", "use", "v", "was", "were", "will", "with", "you", "your")
+
+
 def terms(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text.lower())
+    return [t for t in re.findall("[a-z0-9]+", text.lower()) if t not in STOP_WORDS]
 
 
 def template_vectors(templates: dict[str, tuple[str, ...]]) -> tuple[list[tuple[str, int, str, float]], dict[str, float], float]:
@@ -56,12 +61,15 @@ def template_vectors(templates: dict[str, tuple[str, ...]]) -> tuple[list[tuple[
 
 
 def anchors(rows: list[tuple[str, int, str, float]], least: float) -> list[str]:
-    """Terms without which no notice can reach ``least``: of each notice the heaviest, until the rest is too light."""
+    """Terms without which no notice can reach ``least``: of each notice the heaviest, until the rest is too light.
+
+    Terms of up to three characters come last, as other languages have them as common words.
+    """
     chosen: set[str] = set()
     for key in dict.fromkeys((r[0], r[1]) for r in rows):
-        left = sorted((-w, t) for name, k, t, w in rows if (name, k) == key)
-        while sum(w * w for w, t in left if t not in chosen) >= least**2 * (1 - 1e-9):
-            chosen.add(next(t for w, t in left if t not in chosen))
+        left = sorted((len(t) <= 3, -w, t) for name, k, t, w in rows if (name, k) == key)
+        while sum(w * w for _, w, t in left if t not in chosen) >= least**2 * (1 - 1e-9):
+            chosen.add(next(t for _, _, t in left if t not in chosen))
     return sorted(chosen)
 
 
@@ -79,7 +87,8 @@ def own_licenses(files: DataFrame, least: float = LEAST_COSINE, templates: dict[
     some = (files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
             .where(F.col("text").rlike(seen)).withColumn("lines", lines).withColumn("at", at)
             .select("path", F.explode(F.array_union(units, whole)).alias("u")).select("path", "u.whole", "u.unit").distinct())
-    counted = some.select("path", "whole", "unit", F.explode(F.regexp_extract_all(F.lower("unit"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term")).groupBy(
+    words = F.filter(F.regexp_extract_all(F.lower("unit"), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: ~t.isin(*STOP_WORDS))
+    counted = some.select("path", "whole", "unit", F.explode(words).alias("term")).groupBy(
         "path", "whole", F.xxhash64("unit").alias("unit"), "term").agg(F.count("*").alias("tf"))
     known = spark.createDataFrame(list(idf.items()), "term string, idf double")
     weighed = counted.join(F.broadcast(known), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
