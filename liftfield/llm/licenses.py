@@ -3,7 +3,8 @@
 DataFrame functions only. A text's units are each line, and the three and twelve lines from it on (wrapped headers),
 and the whole text (licence files). Only units with a template's anchor term are compared; anchors are chosen so that
 a unit without any of them cannot reach the threshold, so the filter loses nothing. Templates and their terms are
-parameters of a fixed size and are broadcast; documents move only as their few matching units.
+parameters of a fixed size and are broadcast; a unit with too many terms of no notice is left out before its terms
+are taken apart (a bound on the cosine), so documents move only as their few likely units.
 """
 
 from __future__ import annotations
@@ -88,8 +89,11 @@ def own_licenses(files: DataFrame, least: float = LEAST_COSINE, templates: dict[
             .where(F.col("text").rlike(seen)).withColumn("lines", lines).withColumn("at", at)
             .select("path", F.explode(F.array_union(units, whole)).alias("u")).select("path", "u.whole", "u.unit").distinct())
     words = F.filter(F.regexp_extract_all(F.lower("unit"), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: ~t.isin(*STOP_WORDS))
-    counted = some.select("path", "whole", "unit", F.explode(words).alias("term")).groupBy(
-        "path", "whole", F.xxhash64("unit").alias("unit"), "term").agg(F.count("*").alias("tf"))
+    # a term of no notice weighs most: with k terms of notices and m others the cosine is at most k / sqrt(k * k + m)
+    k = F.size(F.filter("words", lambda t: t.isin(*idf))).cast("double")
+    likely = some.withColumn("words", words).where(k * k >= (k * k + F.size("words") - k) * (least * least * (1 - 1e-9)))
+    counted = likely.select("path", "whole", F.xxhash64("unit").alias("unit"), F.explode("words").alias("term")).groupBy(
+        "path", "whole", "unit", "term").agg(F.count("*").alias("tf"))
     known = spark.createDataFrame(list(idf.items()), "term string, idf double")
     weighed = counted.join(F.broadcast(known), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     shares = spark.createDataFrame(rows, "license string, notice int, term string, share double").groupBy("term").agg(
