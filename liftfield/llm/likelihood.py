@@ -145,7 +145,7 @@ def pseudo_likelihood(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for batch in pieces(batches):
             window, rows = tokens.windows(batch["text"])
             n = np.bincount(rows, minlength=batch.num_rows)
-            total = np.bincount(rows, table[window], batch.num_rows)
+            total = np.bincount(rows, table[window], batch.num_rows).astype(float)
             yield pa.record_batch({"doc_id": batch["doc_id"], "n_tokens": n, "log_likelihood": total,
                                    "mean_log_likelihood": pa.array(total / np.maximum(n, 1), mask=n == 0)})
 
