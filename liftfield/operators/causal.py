@@ -66,7 +66,7 @@ def bootstrap_effects(changes: DataFrame, keys: list[str] = ["test_id"], n_boot:
     order = W.Window.partitionBy(*keys, "cell").orderBy("geo")
     indexed = used.withColumn("pick", F.row_number().over(order) - 1).drop("geo")
     sizes = used.groupBy(*keys, "cell").agg(F.count("*").alias("n"))
-    pick = (hash32(F.col("rep"), F.col("cell"), F.col("slot")) % F.col("n")).cast("int")
+    pick = (hash32(*[F.col(k) for k in keys], F.col("rep"), F.col("cell"), F.col("slot")) % F.col("n")).cast("int")
     plan = _draws(sizes, keys, n_boot).withColumn("pick", pick)
     sampled = plan.join(small_side(indexed), [*keys, "cell", "pick"])
     by_rep = sampled.groupBy(*keys, "rep").agg(
@@ -126,7 +126,7 @@ def bootstrap_p(gaps: DataFrame, keys: list[str] = ["test_id"], n_boot: int = RE
     centred = gaps.select(
         *keys, (F.row_number().over(order) - 1).alias("pick"), (F.col("gap") - F.avg("gap").over(by_key)).alias("g"))
     observed = gaps.groupBy(*keys).agg(F.avg("gap").alias("observed"), F.count("*").alias("n"))
-    pick = (hash32(F.col("rep"), F.col("slot")) % F.col("n")).cast("int")
+    pick = (hash32(*[F.col(k) for k in keys], F.col("rep"), F.col("slot")) % F.col("n")).cast("int")
     plan = _draws(observed.select(*keys, "n"), keys, n_boot).withColumn("pick", pick)
     means = plan.join(small_side(centred), [*keys, "pick"]).groupBy(*keys, "rep").agg(F.avg("g").alias("m"))
     hits = means.join(observed, keys).groupBy(*keys).agg(
@@ -147,7 +147,7 @@ def permuted_means(gaps: DataFrame, keys: list[str], n_perm: int = REPLICATES) -
     ).filter("n_post > 0")
     reps = spread(packed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))), *keys, "rep")
     ranked = F.array_sort(F.transform("xs", lambda x: F.struct(
-        hash32(F.col("rep"), x["date"]).alias("h"), x["date"].alias("date"), x["gap"].alias("gap"))))
+        hash32(*[F.col(k) for k in keys], F.col("rep"), x["date"]).alias("h"), x["date"].alias("date"), x["gap"].alias("gap"))))
     head = F.slice(ranked, 1, F.col("n_post"))
     total = F.aggregate(head, F.lit(0.0), lambda acc, x: acc + x["gap"])
     return reps.select(*keys, "rep", "observed", (total / F.col("n_post")).alias("stat"))

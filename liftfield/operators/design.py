@@ -110,7 +110,7 @@ def cell_summary(matched: DataFrame, keys: list[str] = ["test_id"]) -> DataFrame
 
 
 def _ranked(markets: DataFrame) -> DataFrame:
-    order = W.Window.partitionBy("test_id", "candidate").orderBy(hash32(F.col("candidate"), F.col("geo")), "geo")
+    order = W.Window.partitionBy("test_id", "candidate").orderBy(hash32(F.col("test_id"), F.col("candidate"), F.col("geo")), "geo")
     cell = F.when(F.row_number().over(order) <= F.col("n_holdout"), "holdout").otherwise("treatment")
     return markets.withColumn("cell", cell)
 
@@ -203,9 +203,12 @@ def greedy_pairs(points: DataFrame, first_reach: float = 1.0, growth: float = 3.
 
     Mutually nearest edges belong to that matching, so each round takes all of them at once. Reach grows in
     stages: all pairs within one reach are settled before longer ones are looked at, which keeps the order and
-    never builds every pair of a large test.
+    never builds every pair of a large test. A market without a finite place (NULL or NaN covariates) has no distance
+    and stays unmatched; a repeated market counts once. So any two free markets meet at some reach, and the loop ends.
     """
-    free, taken, reach = cut_lineage(points), None, first_reach
+    dims = [c for c in points.columns if c.startswith("z")]
+    finite = reduce(lambda a, b: a & b, [F.abs(F.coalesce(F.col(d), F.lit(float("inf")))) < float("inf") for d in dims])
+    free, taken, reach = cut_lineage(points.filter(finite).dropDuplicates(["test_id", "geo"])), None, first_reach
     while True:
         edges = cut_lineage(close_pairs(free, reach))
         while not edges.isEmpty():

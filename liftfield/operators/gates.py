@@ -125,7 +125,7 @@ def placebo_halves(panel: DataFrame, n_boot: int = 500) -> DataFrame:
     sizes = items.groupBy("test_id", "half").agg(F.count("*").alias("n"))
     reps = spread(sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))), "test_id", "rep")
     slots = reps.withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    plan = slots.withColumn("pick", (hash32(F.col("rep"), F.col("half"), F.col("slot")) % F.col("n")).cast("int"))
+    plan = slots.withColumn("pick", (hash32(F.col("test_id"), F.col("rep"), F.col("half"), F.col("slot")) % F.col("n")).cast("int"))
     boot = plan.join(small_side(items), ["test_id", "half", "pick"]).groupBy("test_id", "rep").agg(
         F.avg(F.when(F.col("half") == 0, F.col("v"))).alias("a"), F.avg(F.when(F.col("half") == 1, F.col("v"))).alias("b"))
     e = F.when(F.abs("a") > 1e-9, (F.col("b") - F.col("a")) / F.abs("a"))

@@ -274,7 +274,7 @@ def channel_results(contribution: DataFrame, rhats: DataFrame | None = None) ->
 
 
 def channel_iroas(results: DataFrame, spend: DataFrame, measured: DataFrame, order_value: float = 75.0) -> DataFrame:
-    """Measured iROAS where a test has one, else the model's; incrementality factor in [0, 2] and cost per order."""
+    """Measured iROAS where a test has one, else the model's; incremental order ratio in [0, 2] and cost per order."""
     rows = results.join(spend.select("channel", "spend"), "channel", "left").join(
         measured.select("channel", F.col("iroas").alias("_m")), "channel", "left").fillna(0.0, ["spend"])
     iroas = F.coalesce("_m", "roi_mean")
@@ -284,5 +284,5 @@ def channel_iroas(results: DataFrame, spend: DataFrame, measured: DataFrame, ord
     return rows.select(
         "channel", "outcome", F.round(iroas, 4).alias("iroas"),
         F.when(F.col("_m").isNotNull(), "geo_holdout").otherwise("mmm").alias("iroas_source"),
-        F.round(F.greatest(F.least(factor, F.lit(2.0)), F.lit(0.0)), 4).alias("incrementality_factor"),
+        F.round(F.greatest(F.least(factor, F.lit(2.0)), F.lit(0.0)), 4).alias("incremental_order_ratio"),
         F.when(orders > 0, F.round(F.col("spend") / orders, 2)).otherwise(0.0).alias("cpia"))

@@ -26,7 +26,8 @@ def weekly_drops(weekly: DataFrame, keys: list[str], value: str, threshold_pct:
     rows = weekly.withColumn("previous", before)
     usable = F.col("previous") > 0 if positive_only else F.col("previous") != 0
     drop = F.when(usable, (F.col("previous") - F.col(value)) / F.abs("previous") * 100)
-    return rows.withColumn("drop_pct", drop).withColumn("is_alert", F.coalesce(F.col("drop_pct") > threshold_pct, F.lit(False)))
+    return rows.withColumn("drop_pct", drop).withColumn("is_alert", F.coalesce(F.col("drop_pct") > threshold_pct, F.lit(False))).withColumn(
+        "threshold", F.lit(float(threshold_pct)))
 
 
 def beta_decay(betas: DataFrame, threshold_pct: float = 25.0, points: int = 13, value: str = "beta_mean") -> DataFrame:
@@ -34,7 +35,8 @@ def beta_decay(betas: DataFrame, threshold_pct: float = 25.0, points: int = 13,
     w = W.Window.partitionBy("channel").orderBy("date").rowsBetween(-(points - 1), 0)
     rows = betas.withColumn("trailing_mean", F.avg(value).over(w))
     drop = F.when(F.col("trailing_mean") != 0, (F.col("trailing_mean") - F.col(value)) / F.abs("trailing_mean") * 100)
-    return rows.withColumn("drop_pct", drop).withColumn("is_alert", F.coalesce(F.col("drop_pct") > threshold_pct, F.lit(False)))
+    return rows.withColumn("drop_pct", drop).withColumn("is_alert", F.coalesce(F.col("drop_pct") > threshold_pct, F.lit(False))).withColumn(
+        "threshold", F.lit(float(threshold_pct)))
 
 
 def rolling_error(errors: DataFrame, threshold: float = 0.12, days: int = 7) -> DataFrame:
@@ -51,7 +53,7 @@ def rolling_error(errors: DataFrame, threshold: float = 0.12, days: int = 7) ->
     copies = day.withColumn("home", home).withColumn("block", F.explode(F.array_distinct(F.array(home, F.floor((F.col("d") + days - 1) / block)))))
     w = W.Window.partitionBy("block").orderBy("d").rangeBetween(-(days - 1), 0)
     rolled = copies.withColumn("mape", F.sum("s").over(w) / F.sum("n").over(w)).filter("home = block")
-    return rolled.select("date", "mape", (F.col("mape") > threshold).alias("needs_refit"))
+    return rolled.select("date", "mape", (F.col("mape") > threshold).alias("needs_refit"), F.lit(threshold * 100.0).alias("threshold"))
 
 
 def average_rank(df: DataFrame, value: str, keys: list[str] = []) -> DataFrame:
@@ -133,7 +135,7 @@ def attribution_gap(mta: DataFrame, mmm: DataFrame, threshold: float = 0.40) ->
     rows = a.join(b, "channel", "full").fillna(0.0, ["mta", "mmm"])
     base = F.greatest(F.abs("mta"), F.abs("mmm"), F.lit(1.0))
     return rows.select("channel", "mta", "mmm", ((F.col("mmm") - F.col("mta")) / base).alias("delta")).withColumn(
-        "is_large", F.abs("delta") > threshold)
+        "is_large", F.abs("delta") > threshold).withColumn("threshold", F.lit(threshold * 100.0))
 
 
 LOWER_IS_BETTER = ("mape", "rhat", "diverged")
@@ -240,30 +242,30 @@ def with_report_flag(designs: DataFrame, reports: DataFrame) -> DataFrame:
 # ---- alert table ----------------------------------------------------------------------------
 
 
-def alert(rows: DataFrame, rule: str, severity: str, subject: Column, at: Column | None, value: Column, threshold: float) -> DataFrame:
+def alert(rows: DataFrame, rule: str, severity: str, subject: Column, at: Column | None, value: Column, threshold: Column) -> DataFrame:
     return rows.select(
         F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"),
-        (F.lit(None) if at is None else at).cast("date").alias("at"), value.cast("double").alias("value"), F.lit(float(threshold)).alias("threshold"))
+        (F.lit(None) if at is None else at).cast("date").alias("at"), value.cast("double").alias("value"), threshold.cast("double").alias("threshold"))
 
 
 def alert_table(
     mroi: DataFrame, revenue: DataFrame, betas: DataFrame, errors: DataFrame, gaps: DataFrame, rhats: DataFrame,
     failures: DataFrame | None = None, new_events: DataFrame | None = None,
 ) -> DataFrame:
-    """All rules' findings as rows; inputs are the rule tables above."""
+    """All rules' findings as rows; inputs are the rule tables above, which carry the threshold that was applied."""
     hit = lambda df: df.filter("is_alert")
     parts = [
-        alert(hit(mroi), "mroi_drop", "high", F.col("channel"), F.col("week"), F.col("drop_pct"), 20.0),
-        alert(hit(revenue), "revenue_drop", "high", F.lit("marketplace"), F.col("week"), F.col("drop_pct"), 15.0),
-        alert(hit(betas), "beta_decay", "medium", F.col("channel"), F.col("date"), F.col("drop_pct"), 25.0),
-        alert(errors.filter("needs_refit"), "high_error", "high", F.lit("model"), F.col("date"), F.col("mape") * 100, 12.0),
-        alert(gaps.filter("is_large"), "attribution_gap", "high", F.col("channel"), None, F.abs("delta") * 100, 40.0),
-        alert(rhats.filter("is_high"), "no_convergence", "critical", F.col("parameter"), None, F.col("rhat"), 1.05),
+        alert(hit(mroi), "mroi_drop", "high", F.col("channel"), F.col("week"), F.col("drop_pct"), F.col("threshold")),
+        alert(hit(revenue), "revenue_drop", "high", F.lit("marketplace"), F.col("week"), F.col("drop_pct"), F.col("threshold")),
+        alert(hit(betas), "beta_decay", "medium", F.col("channel"), F.col("date"), F.col("drop_pct"), F.col("threshold")),
+        alert(errors.filter("needs_refit"), "high_error", "high", F.lit("model"), F.col("date"), F.col("mape") * 100, F.col("threshold")),
+        alert(gaps.filter("is_large"), "attribution_gap", "high", F.col("channel"), None, F.abs("delta") * 100, F.col("threshold")),
+        alert(rhats.filter("is_high"), "no_convergence", "critical", F.col("parameter"), None, F.col("rhat"), F.lit(1.05)),
     ]
     if failures is not None:
-        parts.append(alert(failures, "failed_load", "critical", F.col("task"), F.col("at"), F.lit(None), 0.0))
+        parts.append(alert(failures, "failed_load", "critical", F.col("task"), F.col("at"), F.lit(None), F.lit(0.0)))
     if new_events is not None:
-        parts.append(alert(new_events, "new_calibration", "info", F.col("channel"), F.col("test_end_date"), F.col("implied_roi"), 0.0))
+        parts.append(alert(new_events, "new_calibration", "info", F.col("channel"), F.col("test_end_date"), F.col("implied_roi"), F.lit(0.0)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -206,7 +206,7 @@ def backtest_plan(bounds: DataFrame, n_sims: int = 200, effects=EFFECTS) -> Data
                      for i, (e, n) in enumerate([(0.0, n_null), *[(e, n_sims) for e in effects]])])
     rows = bounds.withColumn("a", F.explode(arms)).select("test_id", "low", "high", "a.*").filter("n_rep > 0")
     rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.col("n_rep") - 1)))
-    split = F.col("low") + hash32(F.col("arm"), F.col("rep")) % (F.col("high") + 1 - F.col("low"))
+    split = F.col("low") + hash32(F.col("test_id"), F.col("arm"), F.col("rep")) % (F.col("high") + 1 - F.col("low"))
     return rows.select("test_id", "effect", "rep", split.cast("int").alias("split"))
 
 

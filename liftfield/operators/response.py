@@ -158,7 +158,7 @@ def bootstrap_curves(points: DataFrame, causal: DataFrame | None = None, target:
     size = points.groupBy("test_id").agg(F.count("*").alias("n"))
     reps = spread(size.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))), "test_id", "rep")
     slots = reps.withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    weights = slots.withColumn("pick", (hash32(F.col("rep"), F.col("slot")) % F.col("n")).cast("int")).groupBy(
+    weights = slots.withColumn("pick", (hash32(F.col("test_id"), F.col("rep"), F.col("slot")) % F.col("n")).cast("int")).groupBy(
         "test_id", "rep", "pick").agg(F.count("*").cast("double").alias("w"))
     sampled = weights.join(small_side(base.select("test_id", "pick", "x", "y", "k0")), ["test_id", "pick"])
     zero = sampled.groupBy("test_id", "rep").agg(F.first("k0").alias("k0")).select(

@@ -1,4 +1,4 @@
-"""Incremental revenue, iROAS, incrementality factor, cost per incremental order, recommendations."""
+"""Incremental revenue, iROAS, incremental order ratio, cost per incremental order, recommendations."""
 
 from __future__ import annotations
 
@@ -69,7 +69,7 @@ def pick_orders_column(columns: list[str]) -> str | None:
     return next((c for c in ORDER_COLUMNS if c in columns), None)
 
 
-def incrementality_factor(panel: DataFrame, scale: DataFrame, spend: DataFrame, attributed: DataFrame | None = None) -> DataFrame:
+def incremental_order_ratio(panel: DataFrame, scale: DataFrame, spend: DataFrame, attributed: DataFrame | None = None) -> DataFrame:
     """Incremental orders (mean of market means, floored at 0), orders per attributed conversion, cost per order."""
     column = pick_orders_column(panel.columns)
     if column is None:
@@ -85,7 +85,7 @@ def incrementality_factor(panel: DataFrame, scale: DataFrame, spend: DataFrame,
     some = F.col("incremental_orders") > 0
     return rows.select(
         "test_id", "incremental_orders",
-        F.when(some & (F.col("attributed") > 0), F.col("incremental_orders") / F.col("attributed")).otherwise(0.0).alias("incrementality_factor"),
+        F.when(some & (F.col("attributed") > 0), F.col("incremental_orders") / F.col("attributed")).otherwise(0.0).alias("incremental_order_ratio"),
         F.when(some, F.col("spend") / F.col("incremental_orders")).otherwise(0.0).alias("cpia"))
 
 

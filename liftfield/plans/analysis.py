@@ -82,7 +82,7 @@ def analyse_tests(
     scale = size.join(tests.select("test_id", (F.datediff("end_date", "start_date") + 1).alias("n_days")), "test_id")
     paid = returns.treatment_spend(spend, tests, assignment)
     money = returns.iroas(returns.incremental_revenue(adjusted, scale), paid)
-    orders = returns.incrementality_factor(panel, scale, paid, attributed)
+    orders = returns.incremental_order_ratio(panel, scale, paid, attributed)
     totals = returns.organic_baseline(returns.cell_totals(panel), tests, assignment).drop("n_treatment", "n_days")
     out = adjusted.select(
         "test_id", "absolute_lift", "relative_lift", "lift_lower_ci", "lift_upper_ci", "p_value", "is_significant", "l2_imbalance", "r_squared",

@@ -164,13 +164,14 @@ def edges_from_lists(lists: DataFrame) -> DataFrame:
     )
 
 
-def read_adjacency(spark: SparkSession, path: str, centroids: DataFrame, min_nodes: int = 50) -> DataFrame:
-    """Cached edges when the file names more than ``min_nodes`` markets, else centroid distance."""
+def read_adjacency(spark: SparkSession, path: str, centroids: DataFrame, source: str = "file") -> DataFrame:
+    """Edges of the file (``source`` "file") or of centroid distance ("centroids"); the caller decides, not the file's size."""
     from liftfield.operators.spillover import centroid_edges
 
-    edges = edges_from_lists(read_json(spark, path, ADJACENCY_JSON))
-    if edges.select("src").distinct().limit(min_nodes + 1).count() > min_nodes:
-        return edges
+    if source not in ("file", "centroids"):
+        raise ValueError("source is file or centroids")
+    if source == "file":
+        return edges_from_lists(read_json(spark, path, ADJACENCY_JSON))
     return centroid_edges(centroids).select("src", "dst")
 
 

@@ -14,35 +14,29 @@ def daily_totals(events: DataFrame) -> DataFrame:
         F.sum("spend").alias("spend"), F.count("*").alias("n_events"))
 
 
-def deduplicated(events: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Each event once; its id is remembered as long as copies may still arrive."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-
-
 def ingest_daily(
-    events: DataFrame, raw_path: str, totals_path: str, checkpoint: str, delay: str = "2 days", files_per_day: int = 8
+    events: DataFrame, raw_path: str, totals_path: str, checkpoint: str
 ) -> StreamingQuery:
     """Write new events once and refresh the totals of the days they touch.
 
     Both writes replace whole partitions (batch and day; day), so a batch that runs again after a failure leaves
-    the same tables. A late event refreshes only its own day. A day's rows go to at most ``files_per_day`` tasks and
-    files: enough to split a heavy day, few enough to keep files large.
+    the same tables. A late event, however late, refreshes only its own day, and copies of an event in later batches
+    count once, as they carry the same time. A heavy day is split into as many files as its size asks for.
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stamped = batch.withColumn("date", F.to_date("ts")).withColumn("batch", F.lit(batch_id))
-        stamped = stamped.repartition(F.col("date"), F.pmod(F.xxhash64("event_id"), F.lit(files_per_day)))
+        stamped = stamped.dropDuplicates(["event_id"]).hint("rebalance", "date")
         stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "date").parquet(raw_path)
         # partition values only: the days of this batch, read back from the table just written
         raw = spark.read.parquet(raw_path)
         days = raw.filter(F.col("batch") == batch_id).select("date").distinct()
         touched = raw.join(F.broadcast(days), "date", "left_semi")
-        daily_totals(touched).repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(totals_path)
+        daily_totals(touched.dropDuplicates(["date", "event_id"])).repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(totals_path)
 
     return (
-        deduplicated(events, delay)
-        .writeStream.foreachBatch(refresh)
+        events.writeStream.foreachBatch(refresh)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

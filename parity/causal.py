@@ -34,7 +34,7 @@ def did_views(tag: str, src: str, keys: str, value: str = "revenue", n_boot: int
     SELECT {keys}, cell, diff, row_number() OVER (PARTITION BY {keys}, cell ORDER BY geo) - 1 AS idx,
            count(*) OVER (PARTITION BY {keys}, cell) AS n FROM x_ch_{tag} WHERE diff IS NOT NULL""")
     view(f"x_draw_{tag}", f"""
-    SELECT {ik}, d.cell, b.rep, {h('b.rep', 'd.cell', 'd.idx')} % d.n AS pick FROM x_idx_{tag} d, range({n_boot}) b(rep)""")
+    SELECT {ik}, d.cell, b.rep, {h(*[f'd.{k.strip()}' for k in keys.split(',')], 'b.rep', 'd.cell', 'd.idx')} % d.n AS pick FROM x_idx_{tag} d, range({n_boot}) b(rep)""")
     view(f"x_boot_{tag}", f"""
     SELECT {ik}, d.rep, avg(i.diff) FILTER (i.cell = 'treatment') - avg(i.diff) FILTER (i.cell = 'holdout') AS tau
     FROM x_draw_{tag} d JOIN x_idx_{tag} i ON {on} AND i.cell = d.cell AND i.idx = d.pick GROUP BY {ik}, d.rep""")
@@ -50,6 +50,7 @@ def did_views(tag: str, src: str, keys: str, value: str = "revenue", n_boot: int
 
 
 did_views("w", "x_wpanel", "test_id")
+did_views("d", "x_panel", "test_id")
 did_views("win", "x_winsor", "test_id")
 ROUNDS = dict(absolute_lift=3, baseline=3, se=3)
 DID_SQL = """round(absolute_lift, 3) AS absolute_lift, round(baseline, 3) AS baseline, round(se, 3) AS se, round(relative_lift, 6) AS relative_lift,
@@ -95,7 +96,7 @@ SELECT test_id, gap - avg(gap) OVER (PARTITION BY test_id) AS g, row_number() OV
 @check("c03_bootstrap_p", f"""
 SELECT test_id, round(any_value(o.observed), 3) AS observed, round(greatest(avg(CASE WHEN abs(m.m) >= abs(o.observed) THEN 1.0 ELSE 0.0 END), 1.0 / 2001.0), 6) AS p_value
 FROM (SELECT d.test_id, d.rep, avg(i.g) AS m FROM (
-        SELECT i.test_id, b.rep, {h('b.rep', 'i.idx')} % i.n AS pick FROM x_gap_idx i, range(2000) b(rep)) d
+        SELECT i.test_id, b.rep, {h('i.test_id', 'b.rep', 'i.idx')} % i.n AS pick FROM x_gap_idx i, range(2000) b(rep)) d
       JOIN x_gap_idx i ON i.test_id = d.test_id AND i.idx = d.pick GROUP BY 1, 2) m
 JOIN (SELECT test_id, avg(gap) AS observed FROM x_gaps WHERE period = 'post' GROUP BY 1) o USING (test_id) GROUP BY test_id
 """)
@@ -121,7 +122,7 @@ def c04b(spark, sf):
 
 view("x_perm", f"""
 SELECT test_id, rep, observed, avg(gap) AS stat FROM (
-  SELECT g.test_id, b.rep, g.gap, row_number() OVER (PARTITION BY g.test_id, b.rep ORDER BY {h('b.rep', 'g.date')}, g.date) AS rk, n_post, observed
+  SELECT g.test_id, b.rep, g.gap, row_number() OVER (PARTITION BY g.test_id, b.rep ORDER BY {h('g.test_id', 'b.rep', 'g.date')}, g.date) AS rk, n_post, observed
   FROM x_gaps g, range(2000) b(rep), (SELECT test_id, count(*) AS n_post, avg(gap) AS observed FROM x_gaps WHERE period = 'post' GROUP BY 1) o
   WHERE o.test_id = g.test_id) WHERE rk <= n_post GROUP BY 1, 2, 3
 """)
@@ -319,12 +320,12 @@ view("x_increment", """
 SELECT test_id, total AS incremental_revenue, CASE WHEN base > 0 THEN lift_lower_ci * base ELSE total END AS incremental_lower,
        CASE WHEN base > 0 THEN lift_upper_ci * base ELSE total END AS incremental_upper
 FROM (SELECT d.*, absolute_lift * s.n_treatment * n_days AS total,
-        CASE WHEN abs(relative_lift) > 0.000001 THEN absolute_lift / relative_lift ELSE 0 END * s.n_treatment * n_days AS base FROM x_did_w d JOIN x_scale s USING (test_id))
+        CASE WHEN abs(relative_lift) > 0.000001 THEN absolute_lift / relative_lift ELSE 0 END * s.n_treatment * n_days AS base FROM x_did_d d JOIN x_scale s USING (test_id))
 """)
 
 
 def increment(spark, sf):
-    return R.incremental_revenue(C.difference_in_differences(panel(spark, sf, "weekly")), scale(spark, sf))
+    return R.incremental_revenue(C.difference_in_differences(panel(spark, sf)), scale(spark, sf))
 
 
 @check("c19_incremental_revenue", """
@@ -360,8 +361,8 @@ def c20(spark, sf):
     return rounded(R.iroas(increment(spark, sf), tspend(spark, sf)), 4, incremental_revenue=1, total_spend=2)
 
 
-@check("c21_incrementality_factor", """
-SELECT test_id, round(inc, 4) AS incremental_orders, round(CASE WHEN inc > 0 AND attributed > 0 THEN inc / attributed ELSE 0 END, 6) AS incrementality_factor,
+@check("c21_incremental_order_ratio", """
+SELECT test_id, round(inc, 4) AS incremental_orders, round(CASE WHEN inc > 0 AND attributed > 0 THEN inc / attributed ELSE 0 END, 6) AS incremental_order_ratio,
        round(CASE WHEN inc > 0 THEN spend / inc ELSE 0 END, 6) AS cpia
 FROM (SELECT test_id, spend, CASE WHEN spend > 0 THEN greatest((t - h) * n_treatment * n_days, 0) ELSE 0 END AS inc,
              (SELECT count(*) FROM events WHERE event_type = 'purchase') AS attributed
@@ -374,7 +375,7 @@ def c21(spark, sf):
 
     bought = table(spark, sf, "events").filter("event_type = 'purchase'").agg(F.count("*").cast("double").alias("attributed"))
     attributed = per_test(spark, bought)
-    return rounded(R.incrementality_factor(panel(spark, sf), scale(spark, sf), tspend(spark, sf), attributed), 6, incremental_orders=4)
+    return rounded(R.incremental_order_ratio(panel(spark, sf), scale(spark, sf), tspend(spark, sf), attributed), 6, incremental_orders=4)
 
 
 @check("c22_metric_breakdown", f"SELECT test_id, metric, {DID_SQL} FROM x_did_m")

@@ -251,7 +251,7 @@ def a14(spark, sf):
 
 N_CAND = 2000
 view("x_candidates", f"""
-SELECT candidate, {SMDS} FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY candidate ORDER BY {h('candidate', 'geo')}, geo) <= {N_HOLDOUT} THEN 'holdout' ELSE 'treatment' END AS cell
+SELECT candidate, {SMDS} FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY candidate ORDER BY {h("'all'", 'candidate', 'geo')}, geo) <= {N_HOLDOUT} THEN 'holdout' ELSE 'treatment' END AS cell
   FROM x_matching, range({N_CAND}) c(candidate)) GROUP BY 1
 """)
 _G = f"greatest({', '.join(COVS)})"
@@ -272,7 +272,7 @@ def d01(spark, sf):
 
 
 @check("d01_rerandomised", f"""
-SELECT 'all' AS test_id, geo, CASE WHEN row_number() OVER (ORDER BY {h('candidate', 'geo')}, geo) <= {N_HOLDOUT} THEN 'holdout' ELSE 'treatment' END AS cell
+SELECT 'all' AS test_id, geo, CASE WHEN row_number() OVER (ORDER BY {h("'all'", 'candidate', 'geo')}, geo) <= {N_HOLDOUT} THEN 'holdout' ELSE 'treatment' END AS cell
 FROM x_matching, x_best_cand
 """)
 def d01b(spark, sf):
@@ -356,7 +356,7 @@ def d07(spark, sf):
 
 
 @check("d07_backtest_plan", f"""
-SELECT test_id, effect, CAST(rep AS INTEGER) AS rep, CAST(lo + {h('arm', 'rep')} % (hi + 1 - lo) AS INTEGER) AS split
+SELECT test_id, effect, CAST(rep AS INTEGER) AS rep, CAST(lo + {h('test_id', 'arm', 'rep')} % (hi + 1 - lo) AS INTEGER) AS split
 FROM x_bt_bounds, (VALUES (0.0, 0, 50), (0.05, 1, 200), (0.10, 2, 200), (0.15, 3, 200), (0.20, 4, 200)) e(effect, arm, n_rep), range(200) b(rep) WHERE rep < n_rep
 """)
 def d07b(spark, sf):

@@ -462,7 +462,7 @@ def a19(spark, sf):
 
 @check("m13_channel_iroas", """
 SELECT channel, outcome, round(i, 4) AS iroas, CASE WHEN x IS NOT NULL THEN 'geo_holdout' ELSE 'mmm' END AS iroas_source,
-       round(greatest(least(CASE WHEN spend > 0 THEN i * spend ELSE b END / b, 2), 0), 4) AS incrementality_factor, CASE WHEN i * spend / 75 > 0 THEN round(spend / (i * spend / 75), 2) ELSE 0 END AS cpia
+       round(greatest(least(CASE WHEN spend > 0 THEN i * spend ELSE b END / b, 2), 0), 4) AS incremental_order_ratio, CASE WHEN i * spend / 75 > 0 THEN round(spend / (i * spend / 75), 2) ELSE 0 END AS cpia
 FROM (SELECT channel, outcome, coalesce(m.iroas, roi_mean) AS i, m.iroas AS x, c.spend, greatest(cm, 0.000001) AS b FROM x_chres JOIN x_cspend c USING (channel) LEFT JOIN x_measured m USING (channel))
 """)
 def m13(spark, sf):

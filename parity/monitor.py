@@ -35,7 +35,7 @@ def mroi(spark, sf):
 
 @check("w08_mroi_drop", _drops_sql("x_mroi", "channel, ", 3.0, "p <> 0"))
 def w08(spark, sf):
-    return rounded(mroi(spark, sf), 6, drop_pct=4)
+    return rounded(mroi(spark, sf).drop("threshold"), 6, drop_pct=4)
 
 
 view("x_wrev", """
@@ -50,7 +50,7 @@ def revenue_drops(spark, sf):
 
 @check("w08_revenue_drop", _drops_sql("x_wrev", "", 15.0, "p > 0").replace("round(v, 6)", "round(v, 4)").replace("round(p, 6)", "round(p, 4)"))
 def w08b(spark, sf):
-    return rounded(revenue_drops(spark, sf), 4)
+    return rounded(revenue_drops(spark, sf).drop("threshold"), 4)
 
 
 view("x_decay", """
@@ -67,7 +67,7 @@ SELECT channel, date, round(beta_mean, 5) AS beta_mean, round(m, 5) AS trailing_
        (m - beta_mean) / abs(m) * 100 > 5 AS is_alert FROM x_decay WHERE m <> 0
 """)
 def w09(spark, sf):
-    return rounded(decay(spark, sf).drop("beta_p10", "beta_p90"), 5, drop_pct=4)
+    return rounded(decay(spark, sf).drop("beta_p10", "beta_p90", "threshold"), 5, drop_pct=4)
 
 
 # predicted = the market's value on its previous day with data
@@ -92,7 +92,7 @@ WINDOW w AS (ORDER BY date RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT RO
 
 @check("w14_rolling_mape", "SELECT date, round(mape, 6) AS mape, mape > 1.5 AS needs_refit FROM x_roll")
 def w14(spark, sf):
-    return rounded(M.rolling_error(errors(spark, sf), 1.5))
+    return rounded(M.rolling_error(errors(spark, sf), 1.5).drop("threshold"))
 
 
 for _key, _cols in (("a20_mape_by_market", ["geo"]), ("a20_mape_national", ["scope"])):
@@ -221,9 +221,14 @@ def gaps(spark, sf):
     return M.attribution_gap(mta, mmm)
 
 
-for _k in ("j13_attribution_gap", "u04_channel_union"):
-    check(_k, "SELECT channel, round(mta, 2) AS mta, round(mmm, 4) AS mmm, round(delta, 6) AS delta, abs(delta) > 0.4 AS is_large FROM x_gap")(
-        lambda spark, sf: rounded(gaps(spark, sf), 6, mta=2, mmm=4))
+@check("j13_attribution_gap", "SELECT channel, round(mta, 2) AS mta, round(mmm, 4) AS mmm, round(delta, 6) AS delta, abs(delta) > 0.4 AS is_large FROM x_gap")
+def j13(spark, sf):
+    return rounded(gaps(spark, sf).drop("threshold"), 6, mta=2, mmm=4)
+
+
+@check("u04_channel_union", "SELECT channel, mta <> 0 AS in_attribution, mmm <> 0 AS in_model FROM x_gap")
+def u04(spark, sf):
+    return gaps(spark, sf).select("channel", (F.col("mta") != 0).alias("in_attribution"), (F.col("mmm") != 0).alias("in_model"))
 
 
 @check("j12_model_vs_test", """
@@ -489,7 +494,7 @@ def placebo_panel(spark, sf):
 view("x_ppi", "SELECT test_id, CAST(idx >= n // 2 AS INTEGER) AS half, idx - CASE WHEN idx >= n // 2 THEN n // 2 ELSE 0 END AS i, v FROM x_ppd")
 view("x_ppb", f"""
 SELECT test_id, rep, (avg(v) FILTER (half = 1) - avg(v) FILTER (half = 0)) / abs(avg(v) FILTER (half = 0)) AS e FROM (
-  SELECT d.test_id, d.rep, d.half, i.v FROM (SELECT p.test_id, p.half, b.rep, {h('b.rep', 'p.half', 'p.i')} % (count(*) OVER (PARTITION BY p.test_id, p.half, b.rep)) AS pick FROM x_ppi p, range(100) b(rep)) d
+  SELECT d.test_id, d.rep, d.half, i.v FROM (SELECT p.test_id, p.half, b.rep, {h('p.test_id', 'b.rep', 'p.half', 'p.i')} % (count(*) OVER (PARTITION BY p.test_id, p.half, b.rep)) AS pick FROM x_ppi p, range(100) b(rep)) d
   JOIN x_ppi i ON i.test_id = d.test_id AND i.half = d.half AND i.i = d.pick) GROUP BY 1, 2
 """)
 view("x_pph", """
@@ -542,10 +547,10 @@ def m18d(spark, sf):
 
 
 @check("m26_alert_table", """
-SELECT 'mroi_drop' AS rule, 'high' AS severity, channel AS subject, week AS at, round((p - v) / abs(p) * 100, 4) AS value, 20.0 AS threshold FROM x_mroi WHERE p <> 0 AND (p - v) / abs(p) * 100 > 3
+SELECT 'mroi_drop' AS rule, 'high' AS severity, channel AS subject, week AS at, round((p - v) / abs(p) * 100, 4) AS value, 3.0 AS threshold FROM x_mroi WHERE p <> 0 AND (p - v) / abs(p) * 100 > 3
 UNION ALL SELECT 'revenue_drop', 'high', 'marketplace', week, round((p - v) / abs(p) * 100, 4), 15.0 FROM x_wrev WHERE p > 0 AND (p - v) / p * 100 > 15
-UNION ALL SELECT 'beta_decay', 'medium', channel, date, round((m - beta_mean) / abs(m) * 100, 4), 25.0 FROM x_decay WHERE m <> 0 AND (m - beta_mean) / abs(m) * 100 > 5
-UNION ALL SELECT 'high_error', 'high', 'model', date, round(mape * 100, 4), 12.0 FROM x_roll WHERE mape > 1.5
+UNION ALL SELECT 'beta_decay', 'medium', channel, date, round((m - beta_mean) / abs(m) * 100, 4), 5.0 FROM x_decay WHERE m <> 0 AND (m - beta_mean) / abs(m) * 100 > 5
+UNION ALL SELECT 'high_error', 'high', 'model', date, round(mape * 100, 4), 150.0 FROM x_roll WHERE mape > 1.5
 UNION ALL SELECT 'attribution_gap', 'high', channel, NULL, round(abs(delta) * 100, 4), 40.0 FROM x_gap WHERE abs(delta) > 0.4
 UNION ALL SELECT 'no_convergence', 'critical', parameter, NULL, round(rhat, 4), 1.05 FROM x_rhat WHERE rhat > 1.05
 UNION ALL SELECT 'failed_load', 'critical', 'load_' || o_orderpriority, CAST(max(o_orderdate) AS DATE), NULL, 0.0 FROM orders GROUP BY o_orderpriority

@@ -95,30 +95,30 @@ def a15(spark, sf):
 view("x_missing", """
 SELECT test_id, a.geo, a.cell, coalesce(n_obs, 0) AS n_obs, 1.0 - coalesce(n_obs, 0) / n_dates AS missing_share,
        1.0 - coalesce(n_obs, 0) / n_dates > 0.10 AS is_missing
-FROM x_assign a JOIN (SELECT test_id, count(DISTINCT date) AS n_dates FROM x_wpanel GROUP BY 1) USING (test_id)
-LEFT JOIN (SELECT test_id, geo, count(*) AS n_obs FROM x_wpanel GROUP BY 1, 2) USING (test_id, geo)
+FROM x_assign a JOIN (SELECT test_id, count(DISTINCT date) AS n_dates FROM x_panel GROUP BY 1) USING (test_id)
+LEFT JOIN (SELECT test_id, geo, count(*) AS n_obs FROM x_panel GROUP BY 1, 2) USING (test_id, geo)
 """)
 
 
 @check("q05_missing_days", "SELECT test_id, geo, cell, n_obs, round(missing_share, 6) AS missing_share, is_missing FROM x_missing")
 def q05(spark, sf):
-    return rounded(Q.missing_days(panel(spark, sf, "weekly"), assignment(spark, sf)))
+    return rounded(Q.missing_days(panel(spark, sf), assignment(spark, sf)))
 
 
 view("x_outliers", """
 SELECT test_id, geo, date, (revenue - m) / sd AS z FROM (
-  SELECT *, avg(revenue) OVER w AS m, stddev_samp(revenue) OVER w AS sd, count(*) OVER w AS n FROM x_wpanel
+  SELECT *, avg(revenue) OVER w AS m, stddev_samp(revenue) OVER w AS sd, count(*) OVER w AS n FROM x_panel
   WINDOW w AS (PARTITION BY test_id, geo)) WHERE n >= 7 AND sd >= 0.00000001 AND abs((revenue - m) / sd) > {t}
 """.replace("{t}", "2.5"))
 
 
 @check("w02_zscore_outliers", "SELECT test_id, geo, date, round(z, 6) AS z FROM x_outliers")
 def w02(spark, sf):
-    return rounded(Q.zscore_outliers(panel(spark, sf, "weekly"), 2.5).select("test_id", "geo", "date", "z"))
+    return rounded(Q.zscore_outliers(panel(spark, sf), 2.5).select("test_id", "geo", "date", "z"))
 
 
 view("x_moves", """
-SELECT test_id, geo, abs(revenue - lag(revenue) OVER (PARTITION BY test_id, geo ORDER BY date)) AS move FROM x_wpanel
+SELECT test_id, geo, abs(revenue - lag(revenue) OVER (PARTITION BY test_id, geo ORDER BY date)) AS move FROM x_panel
 """)
 view("x_spikes", """
 SELECT test_id, geo, count(*) FILTER (move > 3.0 * base) AS n_spikes FROM x_moves JOIN (
@@ -129,17 +129,17 @@ SELECT test_id, geo, count(*) FILTER (move > 3.0 * base) AS n_spikes FROM x_move
 
 @check("w01_spikes", "SELECT test_id, geo, n_spikes FROM x_spikes")
 def w01(spark, sf):
-    return Q.spike_counts(panel(spark, sf, "weekly"))
+    return Q.spike_counts(panel(spark, sf))
 
 
-view("x_zeroed", "SELECT *, CASE WHEN orders <= 2 THEN 0 ELSE revenue END AS rev0 FROM x_wpanel")
+view("x_zeroed", "SELECT *, CASE WHEN orders <= 2 THEN 0 ELSE revenue END AS rev0 FROM x_panel")
 view("x_zero_days", """
 SELECT test_id, geo, avg(CASE WHEN rev0 <= 0 THEN 1.0 ELSE 0.0 END) AS zero_share FROM x_zeroed GROUP BY 1, 2
 """)
 
 
 def zeroed(spark, sf):
-    return panel(spark, sf, "weekly").withColumn("revenue", F.when(F.col("orders") <= 2, 0.0).otherwise(F.col("revenue")))
+    return panel(spark, sf).withColumn("revenue", F.when(F.col("orders") <= 2, 0.0).otherwise(F.col("revenue")))
 
 
 @check("q06_zero_days", "SELECT test_id, geo, round(zero_share, 6) AS zero_share, zero_share > 0.2 AS is_zero FROM x_zero_days")
@@ -151,19 +151,19 @@ def _alerts(df):
     return df.select("test_id", "severity", "category", F.array_join("affected_geos", ",").alias("geos"))
 
 
-view("x_post_holdout", "SELECT test_id, count(DISTINCT geo) AS n FROM x_wpanel WHERE cell = 'holdout' AND period = 'post' GROUP BY 1")
+view("x_post_holdout", "SELECT test_id, count(DISTINCT geo) AS n FROM x_panel WHERE cell = 'holdout' AND period = 'post' GROUP BY 1")
 
 
 @check("q07_coverage_alerts", """
 SELECT test_id, 'blocker' AS severity, 'coverage' AS category, string_agg(geo, ',' ORDER BY geo) AS geos FROM x_assign a
-WHERE cell = 'holdout' AND NOT EXISTS (SELECT 1 FROM x_wpanel p WHERE p.test_id = a.test_id AND p.geo = a.geo AND p.period = 'post'
+WHERE cell = 'holdout' AND NOT EXISTS (SELECT 1 FROM x_panel p WHERE p.test_id = a.test_id AND p.geo = a.geo AND p.period = 'post'
       AND p.cell = 'holdout' AND CAST(p.geo AS INTEGER) % 12 = 0) GROUP BY 1
 UNION ALL SELECT test_id, 'warning', 'coverage', '' FROM (
-  SELECT test_id, period, count(DISTINCT date) AS n FROM x_wpanel WHERE cell = 'treatment' OR CAST(geo AS INTEGER) % 12 = 0 GROUP BY 1, 2)
+  SELECT test_id, period, count(DISTINCT date) AS n FROM x_panel WHERE cell = 'treatment' OR CAST(geo AS INTEGER) % 12 = 0 GROUP BY 1, 2)
 WHERE (period = 'pre' AND n < 14) OR (period = 'post' AND n < 7)
 """)
 def q07(spark, sf):
-    p = panel(spark, sf, "weekly").filter("cell = 'treatment' OR cast(geo AS int) % 12 = 0")
+    p = panel(spark, sf).filter("cell = 'treatment' OR cast(geo AS int) % 12 = 0")
     return _alerts(Q.coverage_alerts(p, assignment(spark, sf)))
 
 
@@ -172,24 +172,24 @@ SELECT test_id, CASE WHEN count(*) FILTER (is_missing) > count(*) * 0.5 THEN 'bl
        coalesce(string_agg(geo, ',' ORDER BY geo) FILTER (is_missing), '') AS geos FROM x_missing GROUP BY 1 HAVING bool_or(is_missing)
 UNION ALL SELECT test_id, 'warning', 'outlier', string_agg(DISTINCT geo, ',' ORDER BY geo) FROM (
   SELECT test_id, geo, (revenue - m) / sd AS z, n, sd FROM (SELECT *, avg(revenue) OVER w AS m, stddev_samp(revenue) OVER w AS sd, count(*) OVER w AS n
-  FROM x_wpanel WINDOW w AS (PARTITION BY test_id, geo))) WHERE n >= 7 AND abs(z) > 3.5 GROUP BY 1
+  FROM x_panel WINDOW w AS (PARTITION BY test_id, geo))) WHERE n >= 7 AND abs(z) > 3.5 GROUP BY 1
 UNION ALL SELECT test_id, 'warning', 'spike', coalesce(string_agg(geo, ',' ORDER BY geo) FILTER (n_spikes > 0), '') FROM x_spikes
   GROUP BY 1 HAVING sum(n_spikes) > 2 * (SELECT count(DISTINCT geo) FROM x_geos)
 UNION ALL SELECT test_id, 'warning', 'zero_revenue', string_agg(geo, ',' ORDER BY geo) FROM (
-  SELECT test_id, geo FROM x_wpanel GROUP BY 1, 2 HAVING avg(CASE WHEN revenue <= 0 THEN 1.0 ELSE 0.0 END) > 0.2) GROUP BY 1
+  SELECT test_id, geo FROM x_panel GROUP BY 1, 2 HAVING avg(CASE WHEN revenue <= 0 THEN 1.0 ELSE 0.0 END) > 0.2) GROUP BY 1
 UNION ALL SELECT DISTINCT test_id, 'blocker', 'coverage', string_agg(geo, ',' ORDER BY geo) FROM x_assign a
-  WHERE cell = 'holdout' AND NOT EXISTS (SELECT 1 FROM x_wpanel p WHERE p.test_id = a.test_id AND p.geo = a.geo AND p.period = 'post')
+  WHERE cell = 'holdout' AND NOT EXISTS (SELECT 1 FROM x_panel p WHERE p.test_id = a.test_id AND p.geo = a.geo AND p.period = 'post')
   AND test_id IN (SELECT test_id FROM x_post_holdout WHERE n < 3) GROUP BY test_id
 UNION ALL SELECT test_id, 'warning', 'coverage', '' FROM x_post_holdout WHERE n >= 3 AND test_id IN (
   SELECT a.test_id FROM x_assign a, (VALUES ('pre'), ('post')) v(period)
-  WHERE NOT EXISTS (SELECT 1 FROM x_wpanel p WHERE p.test_id = a.test_id AND p.geo = a.geo AND p.period = v.period))
-UNION ALL SELECT test_id, 'warning', 'coverage', '' FROM (SELECT test_id, period, count(DISTINCT date) AS n FROM x_wpanel GROUP BY 1, 2)
+  WHERE NOT EXISTS (SELECT 1 FROM x_panel p WHERE p.test_id = a.test_id AND p.geo = a.geo AND p.period = v.period))
+UNION ALL SELECT test_id, 'warning', 'coverage', '' FROM (SELECT test_id, period, count(DISTINCT date) AS n FROM x_panel GROUP BY 1, 2)
   WHERE (period = 'pre' AND n < 14) OR (period = 'post' AND n < 7)
 UNION ALL SELECT 't0', 'blocker', 'coverage', '' FROM (SELECT count(*) FROM nation)
 """)
 def q08(spark, sf):
     extra = assignment(spark, sf).filter("test_id = 't1'").withColumn("test_id", F.lit("t0"))
-    return _alerts(Q.anomaly_report(panel(spark, sf, "weekly"), assignment(spark, sf).unionByName(extra)))
+    return _alerts(Q.anomaly_report(panel(spark, sf), assignment(spark, sf).unionByName(extra)))
 
 
 # ---- winsorising ----------------------------------------------------------------------------

@@ -25,7 +25,7 @@ SELECT t.test_id, s.geo, s.date, s.spend FROM x_tests t JOIN (SELECT date, geo,
 """)
 view("x_levels", """
 SELECT test_id, geo, cell, coalesce(pre_avg, 0) AS pre_avg, coalesce(post_avg, 0) AS post_avg, coalesce(spend_avg, 0) AS spend_avg
-FROM (SELECT test_id, geo, cell, avg(revenue) FILTER (period = 'pre') AS pre_avg, avg(revenue) FILTER (period = 'post') AS post_avg FROM x_wpanel GROUP BY 1, 2, 3)
+FROM (SELECT test_id, geo, cell, avg(revenue) FILTER (period = 'pre') AS pre_avg, avg(revenue) FILTER (period = 'post') AS post_avg FROM x_panel GROUP BY 1, 2, 3)
 FULL JOIN (SELECT test_id, geo, avg(spend) AS spend_avg FROM x_gspend GROUP BY 1, 2) USING (test_id, geo)
 """)
 view("x_points", """
@@ -47,7 +47,7 @@ def levels(spark, sf, s=None):
     if s is None:
         days = tests_table(spark).select("test_id", F.explode(F.sequence("start_date", "end_date")).alias("date"))
         s = spend_daily(spark, sf).groupBy("date", "geo").agg(F.sum("spend").alias("spend")).join(days, "date")
-    return H.market_levels(panel(spark, sf, "weekly"), s)
+    return H.market_levels(panel(spark, sf), s)
 
 
 @check("j11_market_levels", "SELECT test_id, geo, cell, round(pre_avg, 6) AS pre_avg, round(post_avg, 6) AS post_avg, round(spend_avg, 6) AS spend_avg FROM x_levels")
@@ -148,7 +148,7 @@ N_BOOT = 40
 view("x_pidx", "SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY geo) - 1 AS idx, count(*) OVER (PARTITION BY test_id) AS n, median(x) OVER (PARTITION BY test_id) AS k0 FROM x_points")
 view("x_bpts", f"""
 SELECT p.test_id, b.rep, p.x, p.y, b.w, p.k0 FROM (
-  SELECT test_id, rep, pick, CAST(count(*) AS DOUBLE) AS w FROM (SELECT i.test_id, r.rep, {h('r.rep', 'i.idx')} % i.n AS pick FROM x_pidx i, range({N_BOOT}) r(rep)) GROUP BY 1, 2, 3) b
+  SELECT test_id, rep, pick, CAST(count(*) AS DOUBLE) AS w FROM (SELECT i.test_id, r.rep, {h('i.test_id', 'r.rep', 'i.idx')} % i.n AS pick FROM x_pidx i, range({N_BOOT}) r(rep)) GROUP BY 1, 2, 3) b
 JOIN x_pidx p ON p.test_id = b.test_id AND p.idx = b.pick
 UNION ALL SELECT test_id, rep, 0.0, 0.0, 1.0, median(x) FROM x_points, range({N_BOOT}) r(rep) GROUP BY 1, 2
 """)

@@ -8,7 +8,7 @@ from liftfield.operators import budget, structural, synth
 from liftfield.operators.panel import aligned_series
 from liftfield.plans import analysis, design
 from parity import design as PD
-from parity.common import assignment, check, panel, per_test, rounded, spend_daily, tests_table, view, weekly
+from parity.common import assignment, check, daily, panel, per_test, rounded, spend_daily, tests_table, view
 
 
 def series(spark, sf):
@@ -37,9 +37,9 @@ FROM (SELECT test_id, date, y AS t FROM x_aligned WHERE period = 'pre' AND unit
 view("x_corr_ranked", "SELECT *, CAST(row_number() OVER (PARTITION BY test_id ORDER BY abs_corr DESC, unit) AS INTEGER) AS rank, count(*) FILTER (abs_corr > 0.3) OVER (PARTITION BY test_id) AS good FROM x_corr")
 
 
-@check("t02_top_donors", "SELECT test_id, unit, round(abs_corr, 6) AS abs_corr, rank FROM x_corr_ranked WHERE rank <= 5")
+@check("t02_top_donors", "SELECT test_id, unit, round(abs_corr, 6) AS abs_corr, rank FROM x_corr_ranked WHERE rank <= 10")
 def t02(spark, sf):
-    return rounded(structural.top_donors(structural.donor_correlations(aligned_series(panel(spark, sf, "weekly"))), 5))
+    return rounded(structural.top_donors(structural.donor_correlations(aligned_series(panel(spark, sf, "weekly"))), 10))
 
 
 @check("t02_selected_covariates", """
@@ -72,7 +72,7 @@ def c15(spark, sf):
 @check("c24_test_reports")
 def c24(spark, sf):
     return analysis.analyse_tests(
-        weekly(spark, sf), tests_table(spark), assignment(spark, sf), spend_daily(spark, sf), PD.edges(spark, sf), n_boot=500)
+        daily(spark, sf), tests_table(spark), assignment(spark, sf), spend_daily(spark, sf), PD.edges(spark, sf), n_boot=500)
 
 
 @check("d12_auto_design")
@@ -88,11 +88,11 @@ def d12(spark, sf):
 @check("w12_running_allocation", """
 SELECT channel, CAST(j AS INTEGER) AS j, round(spent, 4) AS spent FROM (
   SELECT channel, j, sum(step) OVER (ORDER BY gain DESC, channel, j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM (
-    SELECT channel, j, 100.0 AS step, scale * (pow((j + 1) * 100.0, 0.5) - pow(j * 100.0, 0.5)) AS gain FROM (SELECT channel, sum(spend) / 1000 AS scale FROM x_spend GROUP BY 1), range(60) g(j))) WHERE spent <= 9050
+    SELECT channel, j, 100.0 AS step, scale * (pow((j + 1) * 100.0, 0.5) - pow(j * 100.0, 0.5)) AS gain FROM (SELECT channel, sum(spend) / 1000 AS scale FROM x_spend GROUP BY 1), range(91) g(j))) WHERE spent <= 9050
 """)
 def w12(spark, sf):
     s = spend_daily(spark, sf).groupBy("channel").agg((F.sum("spend") / 1000).alias("scale"))
-    j = s.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(59))))
+    j = s.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(90))))
     gain = F.col("scale") * (F.pow((F.col("j") + 1) * 100.0, F.lit(0.5)) - F.pow(F.col("j") * 100.0, F.lit(0.5)))
     inc = j.select(F.lit("all").alias("scenario"), "channel", "j", F.lit(100.0).alias("step"), gain.alias("gain"))
     return rounded(budget.take_increments(inc, 9050.0).select("channel", "j", "spent"), 4)

@@ -146,11 +146,11 @@ def test_store_skips_corrupt_records(spark, tmp_path):
     assert tables.with_status(store, "running").count() == 1
 
 
-def test_adjacency_falls_back_to_centroids(spark, tmp_path):
+def test_adjacency_from_file_or_centroids(spark, tmp_path):
     (tmp_path / "adj.json").write_text('{"geo":"1","neighbours":["2","1"]}\n{"geo":"2","neighbours":["1"]}\n')
     points = spark.createDataFrame([("1", 40.0, -75.0), ("9", 40.5, -75.5), ("5", 10.0, 10.0)], "geo string, lat double, lon double")
-    read = tables.read_adjacency(spark, str(tmp_path), points, min_nodes=1)
+    read = tables.read_adjacency(spark, str(tmp_path), points)
     assert {(r["src"], r["dst"]) for r in read.collect()} == {("1", "2"), ("2", "1")}
-    far = tables.read_adjacency(spark, str(tmp_path), points)
+    far = tables.read_adjacency(spark, str(tmp_path), points, "centroids")
     assert {(r["src"], r["dst"]) for r in far.collect()} == {("1", "9"), ("9", "1")}
     assert [r["dst"] for r in tables.neighbours_of(far, "1").collect()] == ["9"]
