@@ -22,13 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftfield.llm.common import coded, hash_words, inside, mix, pieces, split_words, tasks
+from liftfield.llm.common import coded, hash_words, inside, mix, pieces, split_words, tasks, windows
 from liftfield.session import cut_lineage
 
 WINDOW = 50
 #: Stands for a null id: after all others.
 LAST = 2**63 - 1
 BLOCKS = "bucket int, kind int, ids binary, counts binary, hashes binary"
+HITS = "key bigint, hits binary"
 
 
 def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -39,17 +40,21 @@ def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 def rolling(h: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows that stay in one row, and their first word's place."""
-    from liftfield.llm.common import windows
-
     ok = np.flatnonzero(inside(rows, size))
     return windows(h, size)[ok], ok
 
 
-def packed(kind: int, hashes: np.ndarray, ids: np.ndarray, buckets: int, dtype: type) -> list[tuple]:
+def by_hash(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a window, by bits that its lower half does not hold."""
+    return (mix(hashes + np.uint64(7)) % np.uint64(buckets)).astype(np.uint32)
+
+
+def by_id(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64) + np.uint64(1)) % np.uint64(buckets)).astype(np.uint32)
+
+
+def packed(kind: int, hashes: np.ndarray, ids: np.ndarray, bucket: np.ndarray, buckets: int, dtype: type) -> list[tuple]:
     """One row for each bucket: run-length coded document ids and the hashes."""
-    bucket = ((hashes >> np.uint64(33)) % np.uint64(buckets)).astype(np.uint32)
-    if dtype is np.uint64:  # the second round's buckets come from other bits than its 64-bit values' order
-        bucket = (mix(hashes + np.uint64(7)) % np.uint64(buckets)).astype(np.uint32)
     order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint32))
     ids, values, out = ids[order], hashes[order].astype(dtype), []
@@ -74,89 +79,121 @@ def unpacked(batch: pa.RecordBatch, k: int, dtype: type) -> tuple[np.ndarray, np
     return np.frombuffer(batch["hashes"][k].as_py(), dtype), np.repeat(ids, counts)
 
 
-def by_document(hashes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    """Distinct hashes of each document as one binary value."""
+def distinct(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash of a document once, sorted by document."""
     order = np.lexsort((hashes, ids))
     hashes, ids = hashes[order], ids[order]
-    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1])]) if len(ids) else np.zeros(0, bool)
-    hashes, ids = hashes[new], ids[new]
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-    parts = [hashes[s:e].tobytes() for s, e in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True)]
-    return pa.record_batch({"key": pa.array(ids[first], pa.int64()), "hits": pa.array(parts, pa.binary())})
+    new = np.ones(len(ids), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1])
+    return hashes[new], ids[new]
+
+
+def returned(got: list[tuple[np.ndarray, np.ndarray]], buckets: int, dtype: type) -> Iterator[pa.RecordBatch]:
+    """What a bucket found, packed again by the documents' buckets: its rows do not grow with the documents."""
+    if got:
+        hashes, ids = distinct(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        if len(ids):
+            yield rows_batch(packed(0, hashes, ids, by_id(ids, buckets), buckets, dtype))
+
+
+def gather(dtype: type):
+    """One row for each document of a bucket: all its hashes, at most as many as it has windows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, got = None, []
 
-def match_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> Iterator[pa.RecordBatch]:
+            if got:
+                hashes, ids = distinct(*(np.concatenate(x) for x in zip(*got, strict=True)))
+                first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+                parts = [hashes[s:e].tobytes() for s, e in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True)]
+                yield pa.record_batch({"key": pa.array(ids[first], pa.int64()), "hits": pa.array(parts, pa.binary())})
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if batch["bucket"][k].as_py() != now:
+                    yield from close()
+                    now, got = batch["bucket"][k].as_py(), []
+                got.append(unpacked(batch, k, dtype))
+        yield from close()
+
+    return run
+
+
+def match_blocks(buckets: int):
     """Rows come by bucket, reference blocks first: hashes of hits, for the documents of both sides."""
-    now, refs, index, got = None, [], None, []
-
-    def close() -> Iterator[pa.RecordBatch]:
-        if index is not None and index[3].any():
-            value, own = index[4], index[5]
-            hit = index[3][np.searchsorted(index[0], value)]
-            got.append((value[hit], own[hit]))
-        if got:
-            yield by_document(*(np.concatenate(x) for x in zip(*got, strict=True)))
-
-    for batch in batches:
-        for k in range(batch.num_rows):
-            bucket, kind = batch["bucket"][k].as_py(), batch["kind"][k].as_py()
-            if bucket != now:
-                yield from close()
-                now, refs, index, got = bucket, [], None, []
-            value, own = unpacked(batch, k, np.uint32)
-            if kind == 0:
-                refs.append((value, own))
-                continue
-            if index is None:
-                if not refs:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, refs, index, got = None, [], None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if index is not None and index[3].any():
+                hit = index[3][np.searchsorted(index[0], index[4])]
+                got.append((index[4][hit], index[5][hit]))
+            yield from returned(got, buckets, np.uint32)
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                bucket, kind = batch["bucket"][k].as_py(), batch["kind"][k].as_py()
+                if bucket != now:
+                    yield from close()
+                    now, refs, index, got = bucket, [], None, []
+                value, own = unpacked(batch, k, np.uint32)
+                if kind == 0:
+                    refs.append((value, own))
                     continue
-                v, o = (np.concatenate(x) for x in zip(*refs, strict=True))
-                order = np.argsort(v)
-                v, o = v[order], o[order]
-                first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-                index = (v[first], np.minimum.reduceat(o, first), np.maximum.reduceat(o, first), np.zeros(len(first), bool), v, o)
-                refs = [()]
-            at = np.searchsorted(index[0], value)
-            at[at == len(index[0])] = 0
-            hit = (index[0][at] == value) & ((index[1][at] != own) | (index[2][at] != own))
-            index[3][at[hit]] = True
-            if hit.any():
-                got.append((value[hit], own[hit]))
-    yield from close()
-
-
-def match_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                if index is None:
+                    if not refs:
+                        continue
+                    v, o = (np.concatenate(x) for x in zip(*refs, strict=True))
+                    order = np.argsort(v)
+                    v, o = v[order], o[order]
+                    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+                    index = (v[first], np.minimum.reduceat(o, first), np.maximum.reduceat(o, first), np.zeros(len(first), bool), v, o)
+                at = np.searchsorted(index[0], value)
+                at[at == len(index[0])] = 0
+                hit = (index[0][at] == value) & ((index[1][at] != own) | (index[2][at] != own))
+                index[3][at[hit]] = True
+                if hit.any():
+                    got.append((value[hit], own[hit]))
+        yield from close()
+
+    return run
+
+
+def match_windows(buckets: int):
     """Windows of a bucket that also start in a document with a smaller id, by document."""
-    now, got = None, []
-
-    def close() -> Iterator[pa.RecordBatch]:
-        if got:
-            value, own = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.argsort(value)
-            value, own = value[order], own[order]
-            first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-            least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(value))))
-            later = own > least
-            if later.any():
-                yield by_document(value[later], own[later])
-
-    for batch in batches:
-        for k in range(batch.num_rows):
-            bucket = batch["bucket"][k].as_py()
-            if bucket != now:
-                yield from close()
-                now, got = bucket, []
-            got.append(unpacked(batch, k, np.uint64))
-    yield from close()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, got = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if got:
+                value, own = (np.concatenate(x) for x in zip(*got, strict=True))
+                order = np.argsort(value)
+                value, own = value[order], own[order]
+                first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+                least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(value))))
+                later = own > least
+                yield from returned([(value[later], own[later])], buckets, np.uint64)
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if batch["bucket"][k].as_py() != now:
+                    yield from close()
+                    now, got = batch["bucket"][k].as_py(), []
+                got.append(unpacked(batch, k, np.uint64))
+        yield from close()
+
+    return run
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("key"), F.col("text").cast("string").alias("text"), *more)
 
 
-def joined_hits(hits: DataFrame) -> DataFrame:
-    """One row per document; its hashes are bounded by its own length."""
-    return hits.groupBy("key").agg(F.array_join(F.transform(F.collect_list("hits"), F.hex), "").alias("hits")).select("key", F.unhex("hits").alias("hits"))
+def dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
 
 def marked(h: np.ndarray, rows: np.ndarray, hits: pa.Array, size: int, dtype: type) -> np.ndarray:
@@ -180,10 +217,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             ids = batch["key"].to_numpy()[rows[at]]
             starts = np.searchsorted(rows, np.arange(batch.num_rows))
             aligned = (at - starts[rows[at]]) % block == 0
-            yield rows_batch(packed(0, hashes[aligned], ids[aligned], buckets, np.uint32) + packed(1, hashes, ids, buckets, np.uint32))
+            bucket = by_hash(hashes, buckets)
+            yield rows_batch(packed(0, hashes[aligned], ids[aligned], bucket[aligned], buckets, np.uint32) + packed(1, hashes, ids, bucket, buckets, np.uint32))
 
-    blocks = keyed(docs).mapInArrow(anchors, BLOCKS).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    hits = cut_lineage(joined_hits(blocks.mapInArrow(match_blocks, "key bigint, hits binary")))
+    found = dealt(keyed(docs).mapInArrow(anchors, BLOCKS), buckets).mapInArrow(match_blocks(buckets), BLOCKS)
+    hits = cut_lineage(dealt(found, buckets).mapInArrow(gather(np.uint32), HITS))
 
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -193,10 +231,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             sums = np.concatenate([[0], np.cumsum(anchor)])
             hashes, at = rolling(h, rows, window)
             near = sums[at + window - block + 1] > sums[at]
-            yield rows_batch(packed(0, hashes[near], batch["key"].to_numpy()[rows[at[near]]], buckets, np.uint64))
+            yield rows_batch(packed(0, hashes[near], batch["key"].to_numpy()[rows[at[near]]], by_hash(hashes[near], buckets), buckets, np.uint64))
 
-    whole = keyed(docs).join(hits, "key").mapInArrow(extended, BLOCKS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return cut_lineage(joined_hits(whole.mapInArrow(match_windows, "key bigint, hits binary")))
+    later = dealt(keyed(docs).join(hits, "key").mapInArrow(extended, BLOCKS), buckets).mapInArrow(match_windows(buckets), BLOCKS)
+    return cut_lineage(dealt(later, buckets).mapInArrow(gather(np.uint64), HITS))
 
 
 def covered_words(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
