@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftfield.functions.scalars import first_segment, zip_prefix
-from liftfield.session import broadcast_if_small
 
 
 def map_zip_to_geo(orders: DataFrame, zip3: DataFrame, column: str = "shipping_zip") -> DataFrame:
     """Left join on the 3-character prefix; short or unknown codes keep a NULL market."""
-    return orders.withColumn("zip3", zip_prefix(F.col(column))).join(broadcast_if_small(zip3), "zip3", "left")
+    return orders.withColumn("zip3", zip_prefix(F.col(column))).join(zip3, "zip3", "left")
 
 
 def mapping_coverage(mapped: DataFrame, minimum: float = 0.5) -> DataFrame:
@@ -26,7 +25,6 @@ def map_market_names(df: DataFrame, names: DataFrame, column: str = "name") -> D
     """Exact name, lowered name, text before the first comma, that text lowered — first hit wins."""
     exact = names.groupBy("name").agg(F.min("geo").alias("geo"))
     lowered = names.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.min("geo").alias("geo"))
-    exact, lowered = broadcast_if_small(exact), broadcast_if_small(lowered)
     raw = F.col(column)
     steps = [
         (exact, raw),
@@ -44,7 +42,7 @@ def map_market_names(df: DataFrame, names: DataFrame, column: str = "name") -> D
 
 def map_platform_ids(df: DataFrame, id_map: DataFrame) -> DataFrame:
     """Inner join on the platform's own market id; unmapped rows drop."""
-    return df.join(broadcast_if_small(id_map), "platform_id")
+    return df.join(id_map, "platform_id")
 
 
 def split_states_to_geos(
@@ -59,7 +57,7 @@ def split_states_to_geos(
         name = F.when(F.col(state) == alias, target).otherwise(name)
     named = df.withColumn("_state", name)
     side = shares.select(F.col("state").alias("_state"), F.col("geo").alias("_geo"), "weight")
-    spread = named.join(broadcast_if_small(side), "_state", "left")
+    spread = named.join(side, "_state", "left")
     geo = F.coalesce("_geo", F.concat(F.lit("Unknown ("), F.col("_state"), F.lit(")")))
     weight = F.coalesce("weight", F.lit(1.0))
     return spread.groupBy("date", geo.alias("geo")).agg(*[F.sum(F.col(m) * weight).alias(m) for m in measures])
@@ -67,7 +65,7 @@ def split_states_to_geos(
 
 def targeting_spec(assignment: DataFrame, id_map: DataFrame, market_type: str = "geo_market") -> DataFrame:
     """Per test and cell: platform keys to include (treatment) or exclude (holdout), unmapped skipped."""
-    rows = assignment.join(broadcast_if_small(id_map), "geo")
+    rows = assignment.join(id_map, "geo")
     item = F.struct(F.col("platform_id").alias("key"), F.lit(market_type).alias("market_type"))
     return rows.groupBy("test_id", "cell").agg(
         F.sort_array(F.collect_list(item)).alias("markets"),

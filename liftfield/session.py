@@ -1,4 +1,4 @@
-"""Session defaults, lineage cuts and size-checked broadcasts."""
+"""Session defaults, lineage cuts and small join sides."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Dimension tables (markets, crosswalks) are broadcast only up to this many rows.
-DIMENSION_ROW_LIMIT = 200_000
-
 
 def build_session(app: str = "liftfield", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on and UTC dates; any setting can be overridden."""
@@ -54,19 +51,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = DIMENSION_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast after counting at most ``limit`` + 1 rows; else leave the choice to AQE."""
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
-
-
-def small_side(df: DataFrame, limit: int = DIMENSION_ROW_LIMIT) -> DataFrame:
-    """A derived join side: computed once, then broadcast if its size allows.
+def small_side(df: DataFrame) -> DataFrame:
+    """A derived join side, computed once: the written table's size tells the planner whether to broadcast it.
 
-    Keeps joins on few keys (channel, test) from shuffling the large side into as few tasks.
+    Keeps joins on few keys (channel, test) from shuffling the large side into as few tasks while that size is small;
+    beyond the planner's limit the join is shuffled and adaptive execution splits skewed keys.
     """
-    return broadcast_if_small(cut_lineage(df), limit)
+    return cut_lineage(df)
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:

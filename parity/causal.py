@@ -10,7 +10,7 @@ from liftfield.operators import quality as Q
 from liftfield.operators import returns as R
 from liftfield.operators import validation as V
 from parity.common import (
-    assignment, check, h, panel, per_test, phi, r, rounded, spend_daily, tests_table, view,
+    assignment, check, h, panel, per_test, phi, r, rounded, spend_daily, student_p, tests_table, view,
 )
 
 Z975 = C.normal_quantile(0.975)
@@ -115,9 +115,9 @@ def c04(spark, sf):
     return rounded(C.pooled_t(C.geo_changes(panel(spark, sf, "weekly"))))
 
 
-@check("c04_quick_p")
+@check("c04_quick_p", f"SELECT test_id, round(t_stat, 6) AS t_stat, dof, round(coalesce({student_p('t_stat', 'dof')}, 1), 6) AS p_value FROM x_tstat_w")
 def c04b(spark, sf):
-    return C.quick_did_p(C.geo_changes(panel(spark, sf, "weekly")))
+    return rounded(C.quick_did_p(C.geo_changes(panel(spark, sf, "weekly"))))
 
 
 view("x_perm", f"""
@@ -150,11 +150,11 @@ view("x_relabelled", """
 SELECT p.test_id, s.split, p.geo, p.cell, p.date, p.revenue, CASE WHEN p.date < s.split_date THEN 'pre' ELSE 'post' END AS period
 FROM x_wpanel p JOIN x_wsplits s ON s.test_id = p.test_id WHERE p.period = 'pre'
 """)
-did_views("pl", "x_relabelled", "test_id, split", n_boot=500)
+did_views("pl", "x_relabelled", "test_id, split")
 
 
 def placebos(spark, sf):
-    return V.placebo_in_time(panel(spark, sf, "weekly"), n_boot=500)
+    return V.placebo_in_time(panel(spark, sf, "weekly"))
 
 
 @check("c14_placebo_in_time", """
@@ -196,7 +196,7 @@ SELECT test_id, geo, cell, date, period, 'ascm' AS metric, revenue AS value FROM
 UNION ALL SELECT test_id, geo, cell, date, period, 'bsts', orders FROM x_wpanel
 UNION ALL SELECT test_id, geo, cell, date, period, 'did', revenue / orders FROM x_wpanel
 """)
-did_views("m", "x_wmetrics", "test_id, metric", "value", 500)
+did_views("m", "x_wmetrics", "test_id, metric", "value")
 view("x_results", """
 SELECT test_id, metric AS method, absolute_lift, relative_lift, lift_lower_ci, lift_upper_ci, p_value, p_value < 0.05 AS is_significant, cohen_d, lift_likelihood,
        least(abs(cohen_d) / 20, 0.2) AS l2_imbalance, 1 - abs(cohen_d) / 10 AS r_squared FROM x_did_m
@@ -216,7 +216,7 @@ def metric_panel(spark, sf):
 
 
 def results(spark, sf):
-    did = C.difference_in_differences(metric_panel(spark, sf), ["test_id", "metric"], "value", n_boot=500)
+    did = C.difference_in_differences(metric_panel(spark, sf), ["test_id", "metric"], "value")
     d = F.abs("cohen_d")
     return did.withColumn("method", F.col("metric")).withColumn("l2_imbalance", F.least(d / 20, F.lit(0.2))).withColumn("r_squared", 1 - d / 10)
 
@@ -380,7 +380,7 @@ def c21(spark, sf):
 
 @check("c22_metric_breakdown", f"SELECT test_id, metric, {DID_SQL} FROM x_did_m")
 def c22(spark, sf):
-    did = C.difference_in_differences(metric_panel(spark, sf), ["test_id", "metric"], "value", n_boot=500)
+    did = C.difference_in_differences(metric_panel(spark, sf), ["test_id", "metric"], "value")
     return rounded(did.drop("l2_imbalance", "r_squared", "method"), 6, **ROUNDS)
 
 

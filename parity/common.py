@@ -81,6 +81,15 @@ def phi(x: str) -> str:
     return f"(CASE WHEN ({x}) >= 0 THEN 1.0-{tail} ELSE {tail} END)"
 
 
+def student_p(t: str, n: str) -> str:
+    """SQL twin of ``student_t_two_sided_p``: the same series with its coefficients from the gamma function."""
+    x, c2 = f"(abs({t}) / sqrt({n}))", f"(1 / (1 + pow({t}, 2) / {n}))"
+    odd = f"list_sum([exp(0.5723649429247001 - 0.6931471805599453 + lgamma(k + 1) - lgamma(k + 1.5)) * pow({c2}, k) for k in range(CAST({n} // 2 AS BIGINT))])"
+    even = f"list_sum([exp(lgamma(k + 0.5) - 0.5723649429247001 - lgamma(k + 1)) * pow({c2}, k) for k in range(CAST({n} // 2 AS BIGINT))])"
+    return f"""(CASE WHEN {t} IS NULL OR {n} IS NULL THEN NULL WHEN {n} % 2 = 1 THEN greatest(1 - (atan({x}) + {x} * {c2} * coalesce({odd}, 0)) * 2 / pi(), 0)
+    ELSE greatest(1 - {x} * sqrt({c2}) * {even}, 0) END)"""
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

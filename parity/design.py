@@ -11,7 +11,7 @@ from liftfield.operators import design as D
 from liftfield.operators import power as P
 from liftfield.operators import spillover as X
 from parity.common import (
-    N_HOLDOUT, assignment, check, daily, geos, h, market_daily, panel, per_test, phi, population, r, rounded, spend_daily, table, view,
+    N_HOLDOUT, assignment, check, daily, geos, h, market_daily, panel, per_test, phi, population, r, rounded, spend_daily, student_p, table, view,
 )
 
 Z2 = normal_quantile(0.975)
@@ -34,15 +34,15 @@ FROM (SELECT geo, y, y / nullif(lag(y) OVER (PARTITION BY geo ORDER BY week), 0)
 """)
 view("x_history", """
 SELECT geo, coalesce(s.r, 0) AS store_revenue, CAST(coalesce(s.o, 0) AS BIGINT) AS store_orders, coalesce(m.r, 0) AS marketplace_revenue,
-       CAST(coalesce(m.o, 0) AS BIGINT) AS marketplace_orders, coalesce(e.c, 0) AS click_spend, coalesce(e.v, 0) AS view_spend,
+       CAST(coalesce(m.o, 0) AS BIGINT) AS marketplace_orders, coalesce(e.c, 0) AS click_spend, coalesce(e.v, 0) AS view_spend, coalesce(e.x, 0) AS other_spend,
        coalesce(revenue_trend, 0) AS revenue_trend, coalesce(revenue_volatility, 0) AS revenue_volatility
 FROM (SELECT geo, sum(revenue) AS r, sum(orders) AS o FROM x_daily GROUP BY 1) s
 FULL JOIN (SELECT geo, sum(revenue) AS r, sum(orders) AS o FROM x_market_daily GROUP BY 1) m USING (geo)
-FULL JOIN (SELECT geo, sum(spend) FILTER (channel = 'click') AS c, sum(spend) FILTER (channel = 'view') AS v FROM x_spend WHERE channel IN ('click', 'view') GROUP BY 1) e USING (geo)
+FULL JOIN (SELECT geo, sum(spend) FILTER (channel = 'click') AS c, sum(spend) FILTER (channel = 'view') AS v, sum(spend) FILTER (channel NOT IN ('click', 'view')) AS x FROM x_spend GROUP BY 1) e USING (geo)
 LEFT JOIN x_trend USING (geo)
 """)
 view("x_matching", """
-SELECT h.*, store_revenue + marketplace_revenue AS total_revenue, store_orders + marketplace_orders AS total_orders, click_spend + view_spend AS total_ad_spend,
+SELECT h.*, store_revenue + marketplace_revenue AS total_revenue, store_orders + marketplace_orders AS total_orders, click_spend + view_spend + other_spend AS total_ad_spend,
        coalesce(population, 1) AS population, (store_revenue + marketplace_revenue) / coalesce(population, 1) AS revenue_per_capita
 FROM x_history h LEFT JOIN x_population USING (geo)
 """)
@@ -52,7 +52,7 @@ def history(spark, sf):
     s = spend_daily(spark, sf)
     return D.market_history(
         {"store": daily(spark, sf), "marketplace": market_daily(spark, sf)},
-        {"click": s.filter("channel = 'click'"), "view": s.filter("channel = 'view'")})
+        {"click": s.filter("channel = 'click'"), "view": s.filter("channel = 'view'"), "other": s.filter("channel NOT IN ('click', 'view')")})
 
 
 def matching(spark, sf):
@@ -61,11 +61,11 @@ def matching(spark, sf):
 
 @check("a09_market_history", """
 SELECT geo, round(store_revenue, 2) AS store_revenue, store_orders, round(marketplace_revenue, 4) AS marketplace_revenue, marketplace_orders,
-       round(click_spend, 2) AS click_spend, round(view_spend, 2) AS view_spend, round(total_revenue, 4) AS total_revenue, total_orders,
+       round(click_spend, 2) AS click_spend, round(view_spend, 2) AS view_spend, round(other_spend, 2) AS other_spend, round(total_revenue, 4) AS total_revenue, total_orders,
        round(total_ad_spend, 2) AS total_ad_spend, round(CASE WHEN total_orders > 0 THEN total_revenue / total_orders ELSE 0 END, 4) AS aov FROM x_matching
 """)
 def a09(spark, sf):
-    return rounded(history(spark, sf).drop("revenue_trend", "revenue_volatility"), 4, store_revenue=2, click_spend=2, view_spend=2, total_ad_spend=2)
+    return rounded(history(spark, sf).drop("revenue_trend", "revenue_volatility"), 4, store_revenue=2, click_spend=2, view_spend=2, other_spend=2, total_ad_spend=2)
 
 
 @check("a10_weekly_trend", "SELECT geo, round(revenue_trend, 6) AS revenue_trend, round(revenue_volatility, 6) AS revenue_volatility FROM x_trend")
@@ -249,7 +249,7 @@ def a14(spark, sf):
     return rounded(D.cell_summary(matched(spark, sf)).withColumn("geos", F.array_join("geos", ",")), 4)
 
 
-N_CAND = 2000
+N_CAND = 10_000
 view("x_candidates", f"""
 SELECT candidate, {SMDS} FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY candidate ORDER BY {h("'all'", 'candidate', 'geo')}, geo) <= {N_HOLDOUT} THEN 'holdout' ELSE 'treatment' END AS cell
   FROM x_matching, range({N_CAND}) c(candidate)) GROUP BY 1
@@ -363,9 +363,14 @@ def d07b(spark, sf):
     return P.backtest_plan(P.backtest_bounds(pre_panel(spark, sf), POST_DAYS), 200)
 
 
-@check("d07_backtest_power")
+@check("d07_backtest_power", f"""
+SELECT b.test_id, b.effect, count(*) AS n_sims, round(avg(CASE WHEN {student_p('t_stat', 'dof')} < 0.05 THEN 1.0 ELSE 0.0 END), 6) AS detected FROM (
+  SELECT test_id, effect, lo + {h('test_id', 'arm', 'rep')} % (hi + 1 - lo) AS split
+  FROM x_bt_bounds, (VALUES (0.0, 0, 50), (0.05, 1, 200), (0.10, 2, 200), (0.15, 3, 200), (0.20, 4, 200)) e(effect, arm, n_rep), range(200) b(rep) WHERE rep < n_rep) b
+LEFT JOIN x_bt_stats s USING (test_id, effect, split) GROUP BY 1, 2
+""")
 def d07c(spark, sf):
-    return P.backtest_power(pre_panel(spark, sf), POST_DAYS, 200)
+    return rounded(P.backtest_power(pre_panel(spark, sf), POST_DAYS, 200))
 
 
 @check("d08_power_score", """

@@ -127,11 +127,11 @@ def w10(spark, sf):
 
 for _key, _bottom in (("t01_top_markets", False), ("t01_bottom_markets", True)):
     def _fn(spark, sf, bottom=_bottom):
-        ranked = M.average_rank(geo_roi(spark, sf).filter("channel = 'click'").drop("spend"), "marginal_roi", ["channel"])
+        ranked = M.average_rank(geo_roi(spark, sf).drop("spend"), "marginal_roi", ["channel"])
         return M.top_ranked(ranked, 20, bottom)
 
     _dir = "rank DESC, geo DESC" if _bottom else "rank, geo"
-    check(_key, f"SELECT channel, geo, marginal_roi, rank FROM x_georank WHERE channel = 'click' ORDER BY {_dir} LIMIT 20")(_fn)
+    check(_key, f"SELECT channel, geo, marginal_roi, rank FROM x_georank ORDER BY {_dir} LIMIT 20")(_fn)
 
 
 # ---- saturation by market -------------------------------------------------------------------
@@ -494,7 +494,7 @@ def placebo_panel(spark, sf):
 view("x_ppi", "SELECT test_id, CAST(idx >= n // 2 AS INTEGER) AS half, idx - CASE WHEN idx >= n // 2 THEN n // 2 ELSE 0 END AS i, v FROM x_ppd")
 view("x_ppb", f"""
 SELECT test_id, rep, (avg(v) FILTER (half = 1) - avg(v) FILTER (half = 0)) / abs(avg(v) FILTER (half = 0)) AS e FROM (
-  SELECT d.test_id, d.rep, d.half, i.v FROM (SELECT p.test_id, p.half, b.rep, {h('p.test_id', 'b.rep', 'p.half', 'p.i')} % (count(*) OVER (PARTITION BY p.test_id, p.half, b.rep)) AS pick FROM x_ppi p, range(100) b(rep)) d
+  SELECT d.test_id, d.rep, d.half, i.v FROM (SELECT p.test_id, p.half, b.rep, {h('p.test_id', 'b.rep', 'p.half', 'p.i')} % (count(*) OVER (PARTITION BY p.test_id, p.half, b.rep)) AS pick FROM x_ppi p, range(500) b(rep)) d
   JOIN x_ppi i ON i.test_id = d.test_id AND i.half = d.half AND i.i = d.pick) GROUP BY 1, 2
 """)
 view("x_pph", """
@@ -505,7 +505,7 @@ JOIN (SELECT test_id, quantile_cont(e, 0.05) AS ci_low, quantile_cont(e, 0.95) A
 
 @check("m18_placebo_halves", "SELECT test_id, round(effect, 6) AS effect, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p_value, 6) AS p_value, is_passed FROM x_pph")
 def m18(spark, sf):
-    return rounded(G.placebo_halves(placebo_panel(spark, sf), 100))
+    return rounded(G.placebo_halves(placebo_panel(spark, sf)))
 
 
 view("x_pps", """
@@ -540,7 +540,7 @@ JOIN (SELECT test_id, avg(CASE WHEN abs(effect) < 0.2 THEN 1.0 ELSE 0.0 END) AS
 """)
 def m18d(spark, sf):
     p = placebo_panel(spark, sf)
-    return rounded(G.placebo_report(G.placebo_halves(p, 100), G.placebo_splits(p), G.placebo_markets(p)))
+    return rounded(G.placebo_report(G.placebo_halves(p), G.placebo_splits(p), G.placebo_markets(p)))
 
 
 # ---- alerts ---------------------------------------------------------------------------------

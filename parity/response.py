@@ -144,7 +144,7 @@ def h04(spark, sf):
     return rounded(H.response_summary(c, p), 4, r_max=2, r_squared=6)
 
 
-N_BOOT = 40
+N_BOOT = 200
 view("x_pidx", "SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY geo) - 1 AS idx, count(*) OVER (PARTITION BY test_id) AS n, median(x) OVER (PARTITION BY test_id) AS k0 FROM x_points")
 view("x_bpts", f"""
 SELECT p.test_id, b.rep, p.x, p.y, b.w, p.k0 FROM (

@@ -22,7 +22,7 @@ def c05(spark, sf):
 
 @check("c06_ascm")
 def c06(spark, sf):
-    return synth.ascm_results(synth.ascm_series(series(spark, sf)), n_perm=500)
+    return synth.ascm_results(synth.ascm_series(series(spark, sf)))
 
 
 @check("c08_placebo_effects")
@@ -56,30 +56,30 @@ def c09(spark, sf):
 
 @check("c10_estimators")
 def c10(spark, sf):
-    return analysis.estimator_results(panel(spark, sf, "weekly"), n_boot=500)
+    return analysis.estimator_results(panel(spark, sf, "weekly"))
 
 
 @check("c13_halves_test")
 def c13(spark, sf):
-    return analysis.halves_test(panel(spark, sf, "weekly"), tests_table(spark), n_boot=500)
+    return analysis.halves_test(panel(spark, sf, "weekly"), tests_table(spark))
 
 
 @check("c15_placebo_in_space")
 def c15(spark, sf):
-    return analysis.placebo_in_space(synth.ascm_series(series(spark, sf)), n_perm=500)
+    return analysis.placebo_in_space(synth.ascm_series(series(spark, sf)))
 
 
 @check("c24_test_reports")
 def c24(spark, sf):
     return analysis.analyse_tests(
-        daily(spark, sf), tests_table(spark), assignment(spark, sf), spend_daily(spark, sf), PD.edges(spark, sf), n_boot=500)
+        daily(spark, sf), tests_table(spark), assignment(spark, sf), spend_daily(spark, sf), PD.edges(spark, sf))
 
 
 @check("d12_auto_design")
 def d12(spark, sf):
     return design.auto_design(
         PD.pre_panel(spark, sf).select("test_id", "geo", "date", "revenue"), per_test(spark, PD.matching(spark, sf)), PD.edges(spark, sf), "2001-08-01",
-        design.DesignSettings(n_candidates=1000, balance_tolerance=0.5))[0]
+        design.DesignSettings(balance_tolerance=0.5))[0]
 
 
 # ---- budget by running sum ------------------------------------------------------------------

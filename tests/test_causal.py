@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import PANEL_SCHEMA, by, day, one, panel_rows
-from liftfield.functions.stats import normal_cdf, student_t_p_values
+from liftfield.functions.stats import normal_cdf, student_t_two_sided_p
 from liftfield.operators import causal, panel as P, quality, returns, structural, synth, validation
 from liftfield.plans import analysis
 
@@ -39,8 +39,9 @@ def test_bootstrap_se_matches_its_limit(make_panel):
 
 
 def test_student_t_and_normal(spark):
-    got = student_t_p_values(np.array([0.0, 2.0, -2.228138852, 12.706204736, 1.0, np.nan]), np.array([5, 10, 10, 1, 30, 4]))
-    assert got[:5] == pytest.approx([1.0, 0.07338803, 0.05, 0.05, 0.32530862], abs=1e-6) and np.isnan(got[5])
+    cases = [(0.0, 5), (2.0, 10), (-2.228138852, 10), (12.706204736, 1), (1.0, 30), (3.182446305, 3), (float("nan"), 4), (None, 4), (1.0, None)]
+    rows = spark.createDataFrame(cases, "t double, n int").select(student_t_two_sided_p(F.col("t"), F.col("n")).alias("p")).collect()
+    assert [r.p for r in rows[:6]] == pytest.approx([1.0, 0.07338803, 0.05, 0.05, 0.32530862, 0.05], abs=1e-6) and {r.p for r in rows[6:]} == {None}
     row = spark.range(1).select(*[normal_cdf(F.lit(x)).alias(f"c{i}") for i, x in enumerate((-1.96, 0.0, 1.96))]).first()
     assert list(row) == pytest.approx([0.0249979, 0.5, 0.9750021], abs=1e-6)
 

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import PANEL_SCHEMA, by, day, noise, one, panel_rows
-from liftfield.functions.stats import student_t_p_values
 from liftfield.operators import assign, design, power, spillover
 from liftfield.plans.design import DesignSettings, auto_design
 
@@ -185,7 +184,3 @@ def test_auto_design_is_complete(spark):
     assert r["n_treatment_all"] + r["n_holdout_all"] == 24 and cells.count() == 24
     with pytest.raises(ValueError):
         DesignSettings(alpha=1.5)
-
-
-def test_p_values_used_by_the_backtest():
-    assert student_t_p_values(np.array([2.119905]), np.array([16.0]))[0] == pytest.approx(0.05, abs=1e-6)
