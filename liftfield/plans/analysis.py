@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftfield.operators import causal, quality, returns, spillover, structural, synth, validation
+from liftfield.operators import causal, quality, response, returns, spillover, structural, synth, validation
 from liftfield.operators.panel import aligned_series, median_split, relabel_periods
 from liftfield.session import cut_lineage
 
@@ -56,6 +56,16 @@ def validate(panel: DataFrame, tests: DataFrame, results: DataFrame, fitted: Dat
     return validation.trust_score(facts)
 
 
+def spend_response(panel: DataFrame, tests: DataFrame, spend: DataFrame, money: DataFrame) -> DataFrame:
+    """Curve of incremental revenue over daily spend of each test with enough markets, scaled to its measured return."""
+    days = tests.select("test_id", F.explode(F.sequence("start_date", "end_date")).alias("date"))
+    by_day = spend.groupBy("date", "geo").agg(F.sum("spend").alias("spend")).join(days, "date")
+    points = cut_lineage(response.response_points(response.market_levels(panel, by_day)))
+    fitted = response.calibrate(response.fit_response(points), points, money.select("test_id", "iroas"))
+    return response.response_summary(fitted, points).select(
+        "test_id", "optimal_spend", "spend_change_pct", F.col("direction").alias("spend_direction"), F.col("r_squared").alias("response_r_squared"))
+
+
 def analyse_tests(
     daily: DataFrame, tests: DataFrame, assignment: DataFrame, spend: DataFrame, edges: DataFrame, attributed: DataFrame | None = None,
     n_boot: int = 2000,
@@ -84,9 +94,13 @@ def analyse_tests(
     money = returns.iroas(returns.incremental_revenue(adjusted, scale), paid)
     orders = returns.incremental_order_ratio(panel, scale, paid, attributed)
     totals = returns.organic_baseline(returns.cell_totals(panel), tests, assignment).drop("n_treatment", "n_days")
+    curve = spend_response(panel, tests, spend, money)
+    no_halo = adjusted.select("test_id", "is_significant", F.lit(None).cast("double").alias("marketplace_lift"), F.lit(False).alias("marketplace_significant"))
+    advice = returns.recommendations(no_halo.join(money.select("test_id", "iroas"), "test_id")).groupBy("test_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "code"))), lambda x: x["code"]).alias("recommendations"))
     out = adjusted.select(
         "test_id", "absolute_lift", "relative_lift", "lift_lower_ci", "lift_upper_ci", "p_value", "is_significant", "l2_imbalance", "r_squared",
         "n_methods", "spillover_factor")
-    for part in (trust, robust, money, orders, totals):
+    for part in (trust, robust, money, orders, totals, curve, advice):
         out = out.join(part, "test_id", "left")
     return out.join(findings, "test_id", "left").fillna(0, ["n_data_blockers", "n_data_warnings"])

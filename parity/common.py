@@ -6,11 +6,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liftfield.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +92,11 @@ def student_p(t: str, n: str) -> str:
     ELSE greatest(1 - {x} * sqrt({c2}) * {even}, 0) END)"""
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one, for queries that write files and read them back."""
+    return f"{shared_folder(spark)}/liftfield/files-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -8,7 +8,7 @@ from liftfield.functions import scalars as S
 from liftfield.operators import lookups
 from liftfield.sources import ads, attribution, commerce, landed, messaging, tables
 from parity.common import (
-    check, geos, r, rounded, spend_daily, spend_events, table, view,
+    check, geos, own_folder, r, rounded, spend_daily, spend_events, table, view,
 )
 
 # ---- S01, S02, S07: commerce ----------------------------------------------------------------
@@ -377,7 +377,9 @@ SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS to
 """)
 def s18(spark, sf):
     cols = "o_orderkey bigint, o_orderstatus string, o_totalprice double"
-    got = landed.read_parquet(spark, f"{sf}/orders.parquet", cols)
+    folder = own_folder(spark)
+    landed.write_cache(landed.read_parquet(spark, f"{sf}/orders.parquet", cols), folder, "orders")
+    got = landed.read_cache(spark, folder, "orders", cols)
     none = landed.read_parquet(spark, f"{sf}/absent.parquet", cols)
     return rounded(got.unionByName(none).groupBy(F.col("o_orderstatus").alias("status")).agg(
         F.count("*").alias("n"), F.sum("o_totalprice").alias("total")), 2)
@@ -390,16 +392,20 @@ def s19(spark, sf):
     o = table(spark, sf, "orders").select(
         F.col("o_orderdate").cast("date").alias("date"), (F.col("o_custkey") % 25).cast("string").alias("geo"),
         F.col("o_totalprice").alias("revenue"))
-    line = F.to_csv(F.struct("date", "geo", "revenue"))
+    path = landed.daily_csv_path(own_folder(spark), "store")
+    tables.write_report(o, path)
     schema = "date date, geo string, revenue double"
-    return o.select(F.from_csv(line, schema, {"dateFormat": "yyyy-MM-dd"}).alias("v")).select("v.*")
+    return landed.read_csv(spark, path, schema).unionByName(landed.read_csv(spark, f"{path}.absent", schema))
 
 
 @check("s20_load_stamp", """
 SELECT date, count(*) AS n_rows, count(*) AS n_stamped, round(sum(spend), 2) AS spend FROM x_spend GROUP BY date
 """)
 def s20(spark, sf):
-    return rounded(tables.stamp_load(spend_daily(spark, sf)).groupBy("date").agg(
+    path, rows = own_folder(spark), spend_daily(spark, sf)
+    for part in ("channel = 'click'", "channel <> 'click'"):
+        tables.append_rows(rows.filter(part), path, "daily_spend")
+    return rounded(tables.read_table(spark, path, "daily_spend").groupBy("date").agg(
         F.count("*").alias("n_rows"), F.count("loaded_at").alias("n_stamped"), F.sum("spend").alias("spend")), 2)
 
 
@@ -419,9 +425,9 @@ def s22(spark, sf):
         F.concat(F.lit("test_"), (F.col("o_custkey") % 50).cast("string")).alias("test_id"), F.col("o_orderkey").alias("k"),
         F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")))
     text = F.when(F.col("o_orderkey") % 50 == 0, F.lit('{"test_id": ')).otherwise(body)
-    schema = "test_id string, k bigint, status string, day date, _corrupt string"
-    read = o.select(F.from_json(text, schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("v")).select("v.*")
-    store = read.filter("_corrupt IS NULL").drop("_corrupt")
+    folder = own_folder(spark)
+    o.select(text.alias("value")).write.text(folder)
+    store = tables.list_store(spark, folder, "test_id string, k bigint, status string, day date")
     newest = tables.latest_saved(store, ["test_id"], ["day", "k"])
     n = store.groupBy("test_id").agg(F.count("*").alias("n_rows"))
     return tables.with_status(newest, "F").join(n, "test_id").select("test_id", "status", "n_rows")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from liftfield.operators import marts, staging
 from liftfield.sources import landed, tables
-from parity.common import check, daily, market_lines, r, spend_events, store_orders, table, tests_table, view
+from parity.common import check, daily, market_lines, own_folder, r, spend_events, store_orders, table, tests_table, view
 
 FIRST = "1996-01-01"
 
@@ -269,4 +269,11 @@ def p16(spark, sf):
 SELECT channel, count(*) AS n_events, max(test_end_date) AS last_end FROM x_cal_ok GROUP BY channel
 """)
 def s26(spark, sf):
-    return good_events(spark, sf).groupBy("channel").agg(F.count("*").alias("n_events"), F.max("test_end_date").alias("last_end"))
+    """Filled, cleared, refilled with one half and appended with the other: each event is there once."""
+    path, events = own_folder(spark), good_events(spark, sf)
+    tables.add_events(events, path)
+    tables.clear_events(spark, path)
+    half = F.xxhash64("channel", "test_start_date", "test_end_date") % 2 == 0
+    tables.replace_events(events.filter(half), path)
+    tables.add_events(events.filter(~half), path)
+    return tables.read_table(spark, path, "calibration_events").groupBy("channel").agg(F.count("*").alias("n_events"), F.max("test_end_date").alias("last_end"))
