@@ -176,16 +176,18 @@ def whitened(markets: DataFrame, covariates=COVARIATES) -> DataFrame:
 def close_pairs(points: DataFrame, reach: float) -> DataFrame:
     """Pairs at most ``reach`` apart: (test_id, a, b, distance) with a < b.
 
-    Points are filed under cells of the first coordinate as wide as the reach and meet only points of the
+    Points are filed under cells of up to three coordinates, as wide as the reach, and meet only points of the
     same or a neighbouring cell.
     """
     dims = [c for c in points.columns if c.startswith("z")]
-    cell = F.floor(F.col("z0") / F.lit(reach))
-    left = points.select("test_id", F.col("geo").alias("a"), *[F.col(d).alias(f"a_{d}") for d in dims], cell.alias("g"))
-    left = left.withColumn("g", F.explode(F.array(F.col("g") - 1, F.col("g"), F.col("g") + 1)))
-    right = points.select("test_id", F.col("geo").alias("b"), *[F.col(d).alias(f"b_{d}") for d in dims], cell.alias("g"))
+    grid = dims[:3]
+    cells = [F.floor(F.col(d) / F.lit(reach)).alias(f"g_{d}") for d in grid]
+    left = points.select("test_id", F.col("geo").alias("a"), *[F.col(d).alias(f"a_{d}") for d in dims], *cells)
+    for d in grid:
+        left = left.withColumn(f"g_{d}", F.explode(F.array(F.col(f"g_{d}") - 1, F.col(f"g_{d}"), F.col(f"g_{d}") + 1)))
+    right = points.select("test_id", F.col("geo").alias("b"), *[F.col(d).alias(f"b_{d}") for d in dims], *cells)
     gap = reduce(lambda x, y: x + y, [F.pow(F.col(f"a_{d}") - F.col(f"b_{d}"), 2) for d in dims])
-    return left.join(right, ["test_id", "g"]).filter("a < b").withColumn("distance", F.sqrt(gap)).filter(
+    return left.join(right, ["test_id", *[f"g_{d}" for d in grid]]).filter("a < b").withColumn("distance", F.sqrt(gap)).filter(
         F.col("distance") <= reach).select("test_id", "a", "b", "distance")
 
 
@@ -198,9 +200,10 @@ def _mutual(edges: DataFrame) -> DataFrame:
     return twice.select("test_id", "key.*")
 
 
-def greedy_pairs(points: DataFrame, first_reach: float = 1.0, growth: float = 3.0) -> DataFrame:
+def greedy_pairs(points: DataFrame, first_reach: float | None = None, growth: float = 2.0) -> DataFrame:
     """The matching that takes pairs in order of (distance, a, b) and skips used markets.
 
+    Unless given, the first reach is about the distance of neighbours when the largest test's markets fill a unit cube.
     Mutually nearest edges belong to that matching, so each round takes all of them at once. Reach grows in
     stages: all pairs within one reach are settled before longer ones are looked at, which keeps the order and
     never builds every pair of a large test. A market without a finite place (NULL or NaN covariates) has no distance
@@ -208,7 +211,9 @@ def greedy_pairs(points: DataFrame, first_reach: float = 1.0, growth: float = 3.
     """
     dims = [c for c in points.columns if c.startswith("z")]
     finite = reduce(lambda a, b: a & b, [F.abs(F.coalesce(F.col(d), F.lit(float("inf")))) < float("inf") for d in dims])
-    free, taken, reach = cut_lineage(points.filter(finite).dropDuplicates(["test_id", "geo"])), None, first_reach
+    free, taken = cut_lineage(points.filter(finite).dropDuplicates(["test_id", "geo"])), None
+    largest = free.groupBy("test_id").count().agg(F.max("count")).first()[0] or 1
+    reach = first_reach or largest ** (-1.0 / len(dims))
     while True:
         edges = cut_lineage(close_pairs(free, reach))
         while not edges.isEmpty():

@@ -184,3 +184,32 @@ def test_auto_design_is_complete(spark):
     assert r["n_treatment_all"] + r["n_holdout_all"] == 24 and cells.count() == 24
     with pytest.raises(ValueError):
         DesignSettings(alpha=1.5)
+
+
+def test_greedy_pairs_end_on_unusable_markets(spark):
+    rows = [("t", "a", None, 0.0), ("t", "b", float("nan"), 1.0), ("t", "c", 0.0, 0.0), ("t", "d", 0.2, 0.0), ("t", "d", 0.2, 0.0), ("t", "e", 900.0, 0.0),
+            ("t", "f", float("inf"), 0.0), ("u", "a", None, None), ("u", "b", None, None)]
+    got = design.greedy_pairs(spark.createDataFrame(rows, "test_id string, geo string, z0 double, z1 double")).collect()
+    assert [(r["test_id"], r["a"], r["b"]) for r in got] == [("t", "c", "d")]
+
+
+def test_draws_differ_between_tests(spark):
+    rows = [(t, f"g{k:02d}", "treatment" if k < 6 else "holdout", float(k * k)) for t in ("x", "y") for k in range(12)]
+    from liftfield.operators.causal import bootstrap_effects
+
+    got = bootstrap_effects(spark.createDataFrame(rows, "test_id string, geo string, cell string, diff double"), n_boot=20).collect()
+    by_test = {t: [r["tau"] for r in sorted(got, key=lambda r: r["rep"]) if r["test_id"] == t] for t in ("x", "y")}
+    assert len(by_test["x"]) == 20 and by_test["x"] != by_test["y"]
+
+
+def test_incremental_and_organic_revenue_stay_within_the_cell(spark, make_panel):
+    from liftfield.operators import causal, returns
+
+    panel = make_panel(lift=0.1)
+    cells = panel.select("test_id", "geo", "cell").distinct()
+    scale = cells.groupBy("test_id").agg(F.count_if(F.col("cell") == "treatment").alias("n_treatment")).withColumn("n_days", F.lit(21))
+    money = one(returns.incremental_revenue(causal.difference_in_differences(panel, n_boot=300), scale))
+    sold = panel.filter("cell = 'treatment' AND period = 'post'").agg(F.sum("revenue")).first()[0]
+    assert money["incremental_lower"] <= money["incremental_revenue"] <= money["incremental_upper"]
+    # a lift of a tenth leaves ten elevenths of what the cell sold
+    assert sold / 11 * 0.8 < money["incremental_revenue"] < sold / 11 * 1.2
