@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from liftfield.functions.hashing import hash32
 from liftfield.llm.common import WORD
 from liftfield.session import cut_lineage
 
@@ -19,7 +20,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 STEPS = 60
-TOLERANCE = 1e-9
+TOLERANCE = 1e-12
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -76,7 +77,7 @@ def solve_tilts(sizes: DataFrame, targets: DataFrame, most: float = MOST, steps:
         low, high = F.when(F.col("got") < t, F.col("tilt")).otherwise(F.col("low")), F.when(F.col("got") > t, F.col("tilt")).otherwise(F.col("high"))
         newton = F.col("tilt") - F.log(F.col("got") / t) * F.col("got") / F.col("slope")
         step = F.when((F.col("slope") > 0) & (newton > F.col("new_low")) & (newton < F.col("new_high")), newton).otherwise((F.col("new_low") + F.col("new_high")) / 2)
-        good = F.abs(F.col("got") - t) <= tolerance * t + 1e-6
+        good = F.abs(F.col("got") - t) <= tolerance * t
         moved = (state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("new_low", low).withColumn("new_high", high)
                  .withColumn("finished", F.col("done") | F.coalesce(good, F.lit(False)))
                  .select("source", "target", "fixed", F.when(F.col("finished"), F.col("low")).otherwise(F.col("new_low")).alias("low"),
@@ -103,7 +104,7 @@ def mixed(docs: DataFrame, *more: str, weights: tuple[float, ...] = WEIGHTS, sha
         F.col("source").alias("s"), "source_size", "target", "tilt")
     plan = cut_lineage(plan)
     r = F.when(F.col("size") > 0, rate(F.col("tilt"), F.col("size"), most)).otherwise(0.0)
-    draw = F.pmod(F.xxhash64("doc_id", "size"), F.lit(1 << 30)) / float(1 << 30)
+    draw = hash32(F.col("doc_id"), F.col("size")) / float(1 << 32)
     taken = F.least(F.floor(F.col("rate") * F.col("size") + draw), F.floor(F.lit(most) * F.col("size"))).cast("bigint")
     return (sizes.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", r).withColumn("taken", taken)
             .withColumn("copies", F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int"))
@@ -119,7 +120,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     sizes = cut_lineage(docs.select(F.col("source").cast("string").alias("source"), size.alias("size")))
     targets = cut_lineage(source_targets(sizes, weights, share, most))
     tilts = cut_lineage(solve_tilts(sizes, targets, most).select(F.col("source").alias("__s"), F.col("tilt").alias("__tilt")))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), "__size"), F.lit(1 << 30)) / float(1 << 30)
+    draw = hash32(F.col("doc_id").cast("bigint"), F.col("__size")) / float(1 << 32)
     taken = F.least(F.floor(rate(F.col("__tilt"), F.col("__size"), most) * F.col("__size") + draw), F.floor(F.lit(most) * F.col("__size")))
     rows = (docs.withColumn("__size", size).where("__size > 0").join(tilts, F.col("source").cast("string").eqNullSafe(F.col("__s")))
             .withColumn("__taken", taken.cast("bigint")).where("__taken > 0"))

@@ -74,9 +74,39 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return deduplicated(table(spark, sf, "documents"))
 
 
-@query("op8_source_mix")
+#: The dual solved by bisection, one variable for each source, instead of Newton steps.
+MIX_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2e0 * sum(size) AS stop,
+         [3e0, 1e0, 2e0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS BIGINT) + 1] AS weight FROM d GROUP BY source),
+marked AS (
+  SELECT *, stop * (all_weight - coalesce(w0, 0)) <= weight * (all_words - coalesce(s0, 0)) AS stopped FROM (
+    SELECT *, sum(source_size) OVER () * 1.5e0 AS all_words, sum(weight) OVER () AS all_weight, sum(stop) OVER e AS s0, sum(weight) OVER e AS w0
+    FROM per WINDOW e AS (ORDER BY stop / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
+targets AS (
+  SELECT source, source_size, CASE WHEN stopped THEN stop ELSE least(stop, weight * level) END AS target FROM (
+    SELECT *, (all_words - coalesce(sum(stop) FILTER (stopped) OVER (), 0)) / (all_weight - coalesce(sum(weight) FILTER (stopped) OVER (), 0)) AS level FROM marked)),
+hist AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL),
+steps AS (
+  SELECT 0 AS k, t.source, target, least(0e0, ln(target / source_size)) / min(size) AS low, CASE WHEN target > source_size THEN ln(2e0) / min(size) ELSE 0e0 END AS high
+  FROM targets t JOIN hist h ON t.source IS NOT DISTINCT FROM h.source WHERE target > 0 AND target < 2e0 * source_size * (1 - 1e-12) GROUP BY t.source, target, source_size
+  UNION ALL
+  SELECT k + 1, s.source, target, CASE WHEN sum(n * size * exp(least((low + high) / 2 * size, ln(2e0)))) < target THEN (low + high) / 2 ELSE low END,
+         CASE WHEN sum(n * size * exp(least((low + high) / 2 * size, ln(2e0)))) < target THEN high ELSE (low + high) / 2 END
+  FROM steps s JOIN hist h ON s.source IS NOT DISTINCT FROM h.source WHERE k < 120 GROUP BY k, s.source, target, low, high),
+taken AS (
+  SELECT doc_id, size, source_size, t.target, CAST(least(floor(size * CASE WHEN size = 0 OR t.target <= 0 THEN 0e0 WHEN s.low IS NULL THEN 2e0
+           ELSE exp(least((s.low + s.high) / 2 * size, ln(2e0))) END + CAST('0x' || substr(md5(concat_ws('|', doc_id, size)), 1, 8) AS BIGINT) / 4294967296e0), 2 * size) AS BIGINT) AS taken
+  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN steps s ON s.k = 120 AND s.source IS NOT DISTINCT FROM d.source)
+SELECT *, CAST(CASE WHEN size > 0 THEN ceil(taken / size) ELSE 0 END AS INTEGER) AS copies FROM taken
+"""
+
+
+@query("op8_source_mix", MIX_SQL)
 def op8(spark: SparkSession, sf: str) -> DataFrame:
-    return mixed(table(spark, sf, "documents"))
+    return mixed(table(spark, sf, "documents")).drop("rate")
 
 
 @query("op9_license_scan")

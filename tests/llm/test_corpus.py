@@ -263,3 +263,17 @@ def test_packed_rows_round_trip():
     back = [R.unpacked(batch, k, np.uint64) for k in range(batch.num_rows)]
     assert sorted(zip(*(np.concatenate(x).tolist() for x in zip(*back, strict=True)), strict=True)) == sorted(zip(hashes.tolist(), ids.tolist(), strict=True))
     assert R.rows_batch([]).num_rows == 0 and isinstance(batch, pa.RecordBatch)
+
+
+def test_mix_equals_its_sql(spark):
+    import duckdb
+
+    from liftfield.llm.queries import MIX_SQL, op8
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    rel = con.execute(MIX_SQL)
+    names = [d[0] for d in rel.description]
+    got = op8(spark, SMALL)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(rel.fetchall())
