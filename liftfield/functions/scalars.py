@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_MILES = 3959.0
 
 # Market region of each state code.
-REGION_STATES = {
-    "Northeast": "CT DC DE MA MD ME NH NJ NY PA RI VT",
-    "Southeast": "AL AR FL GA KY LA MS NC SC TN VA WV",
-    "Midwest": "IA IL IN KS MI MN MO ND NE OH SD WI",
-    "Southwest": "OK TX",
-    "West": "AK AZ CA CO HI ID MT NM NV OR UT WA WY",
+REGION_STATES: dict[str, tuple[str, ...]] = {
+    "Northeast": ("CT", "DC", "DE", "MA", "MD", "ME", "NH", "NJ", "NY", "PA", "RI", "VT"),
+    "Southeast": ("AL", "AR", "FL", "GA", "KY", "LA", "MS", "NC", "SC", "TN", "VA", "WV"),
+    "Midwest": ("IA", "IL", "IN", "KS", "MI", "MN", "MO", "ND", "NE", "OH", "SD", "WI"),
+    "Southwest": ("OK", "TX"),
+    "West": ("AK", "AZ", "CA", "CO", "HI", "ID", "MT", "NM", "NV", "OR", "UT", "WA", "WY"),
 }
 
 
@@ -103,7 +103,7 @@ def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 def region_of_state(state: Column) -> Column:
     out = None
     for region, states in REGION_STATES.items():
-        hit = state.isin(states.split())
+        hit = state.isin(*states)
         out = F.when(hit, region) if out is None else out.when(hit, region)
     return out.otherwise("Other")
 

@@ -10,30 +10,79 @@ from liftfield.functions.scalars import zip_prefix
 from liftfield.operators.latest import latest_per_key
 from liftfield.sources.landed import read_json, read_parquet
 
-# Column, type, required.
-RAW_SCHEMAS = {
-    "daily_spend": "loaded_at timestamp!, date date!, channel string!, geo string!, geo_name string, spend double!, "
-    "impressions bigint, reach bigint, frequency double, cpm double",
-    "store_revenue": "loaded_at timestamp!, date date!, order_id string!, geo string, geo_name string, "
-    "gross_revenue double!, discounts double, returns double, net_revenue double!, units bigint, "
-    "new_customer boolean, product_category string",
-    "marketplace_revenue": "loaded_at timestamp!, date date!, item string, product_name string, "
-    "gross_revenue double!, returns double, net_revenue double!, units bigint, marketplace string",
-    "attribution": "loaded_at timestamp!, date date!, channel string!, model string!, attributed_revenue double, "
-    "attributed_orders double, attributed_new_customers double, spend double, iroas double",
-    "calibration_events": "loaded_at timestamp!, channel string!, test_type string!, test_start_date date!, "
-    "test_end_date date!, lift_abs double!, lift_lower_90 double, lift_upper_90 double, spend_in_period double!, "
-    "implied_roi double, outcome string!, geo_scope string, notes string, ingested_at timestamp",
+# Column, type, whether it is required.
+RAW_SCHEMAS: dict[str, list[tuple[str, str, bool]]] = {
+    "daily_spend": [
+        ("loaded_at", "timestamp", True),
+        ("date", "date", True),
+        ("channel", "string", True),
+        ("geo", "string", True),
+        ("geo_name", "string", False),
+        ("spend", "double", True),
+        ("impressions", "bigint", False),
+        ("reach", "bigint", False),
+        ("frequency", "double", False),
+        ("cpm", "double", False),
+    ],
+    "store_revenue": [
+        ("loaded_at", "timestamp", True),
+        ("date", "date", True),
+        ("order_id", "string", True),
+        ("geo", "string", False),
+        ("geo_name", "string", False),
+        ("gross_revenue", "double", True),
+        ("discounts", "double", False),
+        ("returns", "double", False),
+        ("net_revenue", "double", True),
+        ("units", "bigint", False),
+        ("new_customer", "boolean", False),
+        ("product_category", "string", False),
+    ],
+    "marketplace_revenue": [
+        ("loaded_at", "timestamp", True),
+        ("date", "date", True),
+        ("item", "string", False),
+        ("product_name", "string", False),
+        ("gross_revenue", "double", True),
+        ("returns", "double", False),
+        ("net_revenue", "double", True),
+        ("units", "bigint", False),
+        ("marketplace", "string", False),
+    ],
+    "attribution": [
+        ("loaded_at", "timestamp", True),
+        ("date", "date", True),
+        ("channel", "string", True),
+        ("model", "string", True),
+        ("attributed_revenue", "double", False),
+        ("attributed_orders", "double", False),
+        ("attributed_new_customers", "double", False),
+        ("spend", "double", False),
+        ("iroas", "double", False),
+    ],
+    "calibration_events": [
+        ("loaded_at", "timestamp", True),
+        ("channel", "string", True),
+        ("test_type", "string", True),
+        ("test_start_date", "date", True),
+        ("test_end_date", "date", True),
+        ("lift_abs", "double", True),
+        ("lift_lower_90", "double", False),
+        ("lift_upper_90", "double", False),
+        ("spend_in_period", "double", True),
+        ("implied_roi", "double", False),
+        ("outcome", "string", True),
+        ("geo_scope", "string", False),
+        ("notes", "string", False),
+        ("ingested_at", "timestamp", False),
+    ],
 }
 
 
 def table_schema(name: str) -> T.StructType:
-    fields = []
-    for part in RAW_SCHEMAS[name].split(", "):
-        column, kind = part.split(" ")
-        parsed = T.StructType.fromDDL(f"{column} {kind.rstrip('!')}").fields[0]
-        fields.append(T.StructField(column, parsed.dataType, not kind.endswith("!")))
-    return T.StructType(fields)
+    return T.StructType([
+        T.StructField(column, T.StructType.fromDDL(f"{column} {kind}").fields[0].dataType, not required)
+        for column, kind, required in RAW_SCHEMAS[name]])
 
 
 def required_columns(name: str) -> list[str]:
