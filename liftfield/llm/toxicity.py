@@ -4,8 +4,8 @@ Labels are given for documents, so tokens are labelled first: in a bounded sampl
 word, or its first four to eight characters) is a sign of toxicity if it is far more frequent in toxic documents
 than in others by the likelihood ratio; a token with such a sign is toxic in a toxic document. The field has two tags, hashed features
 of the token and of its neighbours, and tag-to-tag weights; it is fitted by maximum likelihood with forward-backward.
-Squared marginals of all tokens of the whole text add up to a toxic mass (many unlikely tokens make none), which a
-logistic curve fitted on the sample turns into the document's score. Near copies in the sample count once as evidence. Runs of likely toxic tokens are the offending spans.
+Squared marginals of the whole text's tokens, those of at least a fifth, add up to a toxic mass (unlikely tokens make
+none, however long the text), which a logistic curve fitted on the sample turns into the document's score. Near copies in the sample count once as evidence. Runs of likely toxic tokens are the offending spans.
 
 The recursions run over a whole batch at once: texts are one long chain whose transition at a text's first token
 forgets what came before, cut into blocks of equal length that are scanned side by side.
@@ -32,6 +32,7 @@ SAMPLE_BYTES = 20_000
 LEAST_EVIDENCE = 20.0
 THRESHOLD = 0.3
 SPAN_MARGINAL = 0.5
+MASS_MARGINAL = 0.2
 BLOCK = 128
 
 
@@ -121,6 +122,11 @@ def factors(weights: np.ndarray, bias: float, ids: np.ndarray, features: np.ndar
     return np.exp(np.clip(weights[features].sum(1) + bias, -30, 30))[ids]
 
 
+def mass(rows: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
+    """Sum of squared marginals of each row's tokens that are at least ``MASS_MARGINAL``."""
+    return np.bincount(rows, np.where(p >= MASS_MARGINAL, p * p, 0.0), n).astype(float)
+
+
 def labelled_tokens(ids: np.ndarray, rows: np.ndarray, features: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which tokens of toxic rows carry a sign of toxicity."""
     hits = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
@@ -204,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: tuple[in
     from liftfield.llm.quality import platt
 
     ids, rows, features = tokens_of(got["text"].combine_chunks())
-    expected = np.bincount(rows, marginals(rows, factors(model.weights, model.bias, ids, features), model.moves)[0] ** 2, len(y))
+    expected = mass(rows, marginals(rows, factors(model.weights, model.bias, ids, features), model.moves)[0], len(y))
     model.slope, model.offset = platt(np.log(expected + 1e-4), y.astype(float))
     return model
 
@@ -216,7 +222,7 @@ def judged(model: TaggerModel | None, text: pa.Array) -> tuple[np.ndarray, np.nd
         return np.zeros(n), np.zeros(0, np.int64), np.zeros(0)
     ids, rows, features = tokens_of(text)
     p = marginals(rows, factors(model.weights, model.bias, ids, features), model.moves)[0]
-    return model.scores(np.bincount(rows, p * p, n)), rows, p
+    return model.scores(mass(rows, p, n)), rows, p
 
 
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, spans array<struct<first_word:bigint,last_word:bigint>>"
