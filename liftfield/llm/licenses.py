@@ -16,6 +16,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liftfield.session import cut_lineage
+
 LEAST_COSINE = 0.7
 SPANS = (1, 3, 12)
 LICENSE_FILE = r"(?i)^(un)?licen[cs]e([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
@@ -125,10 +127,10 @@ def licenses(files: DataFrame, least: float = LEAST_COSINE, templates: dict[str,
     with neither has null. Null or empty texts have no notice; a null path is a file without directory; rows that
     repeat a path are one file with the best notice of all.
     """
-    own = own_licenses(files, least, templates)
+    own = cut_lineage(own_licenses(files, least, templates))  # texts are read for it once; all below is about paths
     paths = files.select(F.col("path").cast("string").alias("path")).distinct()
-    all_files = paths.join(own, paths["path"].eqNullSafe(own["path"]), "left").select(
-        paths["path"], F.col("license").alias("own_license"), "cosine", "whole").withColumn("dir", directory(F.col("path")))
+    all_files = cut_lineage(paths.join(own, paths["path"].eqNullSafe(own["path"]), "left").select(
+        paths["path"], F.col("license").alias("own_license"), "cosine", "whole").withColumn("dir", directory(F.col("path"))))
     name = F.regexp_extract("path", "[^/]*$", 0)
     givers = all_files.where(F.col("own_license").isNotNull() & F.col("path").isNotNull() & (name.rlike(LICENSE_FILE) | F.col("whole"))).groupBy(
         F.col("dir").alias("giver")).agg(F.max_by("own_license", F.struct("cosine", "own_license")).alias("given"))
