@@ -1,10 +1,13 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-Each token is predicted from the token on either side: h = tanh(left[l] + right[r] + c), then a softmax over the
-vocabulary. The vocabulary is the most frequent words of the corpus, classes of all other words by their ending, and
-the edge of a text. The counts of all (left, token, right) windows of all documents are sufficient for the loss, and
-their number is bounded by the vocabulary, so numpy trains on the whole corpus from one aggregated table. As contexts
-are as few, the trained network becomes a table of conditional log-probabilities, and scoring is a look-up per token.
+Each token's class is predicted from the two tokens on either side, and the word from its class by the counts of all
+words of the corpus, which stay a Spark table that scoring joins. Classes are the most frequent words, one each, the
+endings of all other words, and the edge of a text; their numbers grow with the square root of the distinct words that
+occur at least ``COUNTED`` times. The network learns where the documents are: each task from all its windows, and the
+tasks' weights are averaged after each round, so the driver holds one set of weights and the vocabulary.
+
+With a given number of words, a fixed network of one token on either side scores classes only: the counts of all
+(left, token, right) windows are sufficient for its loss, and it becomes a table of conditional log-probabilities.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftfield.llm.common import coded, hash_words, pieces, split_words, texts
+from liftfield.session import cut_lineage
 
 WORDS = 127
 ENDINGS = 32
@@ -36,12 +40,7 @@ def cleaned(distinct: pa.Array) -> pa.Array:
 def frequent_words(docs: DataFrame, words: int = WORDS) -> list[str]:
     """The most frequent cleaned words of all documents; ties by code point."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            ids, distinct = coded(split_words(batch["text"])[0])
-            yield pa.record_batch({"word": cleaned(distinct).cast(pa.string()), "n": np.bincount(ids, minlength=len(distinct))})
-
-    counts = texts(docs).mapInArrow(run, "word string, n bigint").where("word != ''").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = word_counts(docs).where("word != ''")
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
 
 
@@ -132,12 +131,220 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def pseudo_likelihood(docs: DataFrame, words: int = WORDS) -> DataFrame:
+#: Distinct words of the corpus that occur so often let the vocabulary and the classes of all other words grow.
+COUNTED = 5
+OFFSETS = (-2, -1, 1, 2)
+BATCH = 8192
+#: Tokens that training sees at least, by repeated passes over a small corpus; each pass over a corpus is in two rounds.
+LEAST_TOKENS = 4_000_000
+ADDED = 0.5
+CHUNK = 4096
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word`` (cleaned, also the empty one) and ``n`` of the whole corpus, one row for each distinct word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            ids, distinct = coded(split_words(batch["text"])[0])
+            yield pa.record_batch({"word": cleaned(distinct).cast(pa.string()), "n": np.bincount(ids, minlength=len(distinct))})
+
+    return texts(docs).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Classes(Tokens):
+    """Ids of words as in Tokens, with a number of endings; and windows of two words on either side."""
+
+    def __init__(self, words: list[str], endings: int):
+        super().__init__(words)
+        self.endings = endings
+        self.edge = len(words) + endings
+        self.size = self.edge + 1
+
+    def of(self, clean: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and class of cleaned words."""
+        h = hash_words(clean)
+        out = (hash_words(pc.utf8_slice_codeunits(clean, -2, None)) % np.uint64(self.endings)).astype(np.int64) + len(self.ids)
+        if len(self.hashes) and len(h):
+            at = np.searchsorted(self.hashes, h)
+            at[at == len(self.hashes)] = 0
+            out = np.where(self.hashes[at] == h, self.ids[at], out)
+        return h, out
+
+    def wide(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, class, classes of the four words around, and row of each token."""
+        words, rows = split_words(text)
+        code, distinct = coded(words)
+        h, t = self.of(cleaned(distinct))
+        if not len(code):
+            return np.zeros(0, np.uint64), code, np.zeros((len(OFFSETS), 0), np.int64), rows
+        h, t = h[code], t[code]
+        around = np.full((len(OFFSETS), len(t)), self.edge)
+        for k, d in enumerate(OFFSETS):
+            a, b = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
+            around[k, a] = np.where(rows[a] == rows[b], t[b], self.edge)
+        return h, t, around, rows
+
+
+class Network:
+    """h = tanh(sum of the four words' vectors + c); a softmax over groups of classes, then over a group's classes."""
+
+    def __init__(self, size: int, hidden: int = HIDDEN):
+        self.size, self.hidden = size, hidden
+        self.span = int(np.ceil(np.sqrt(size)))
+        self.groups = -(-size // self.span)
+        self.shapes = {"e": (len(OFFSETS), size, hidden), "c": (hidden,), "u": (hidden, self.groups), "b": (self.groups,),
+                       "v": (self.groups, hidden, self.span), "d": (self.groups, self.span)}
+
+    def start(self, counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
+        """Random vectors, and the classes' shares of all tokens as biases."""
+        rng = np.random.default_rng(seed)
+        w = {k: rng.normal(0, 0.2, s).astype(np.float32) if len(s) > 1 and k != "d" else np.zeros(s, np.float32) for k, s in self.shapes.items()}
+        full = np.zeros(self.groups * self.span)
+        full[: self.size] = counts + 1
+        full = full.reshape(self.groups, self.span)
+        w["b"] = np.log(full.sum(1) / full.sum()).astype(np.float32)
+        w["d"] = np.where(full > 0, np.log(np.maximum(full, 1) / full.sum(1, keepdims=True)), -50).astype(np.float32)
+        return w
+
+    def flat(self, w: dict[str, np.ndarray]) -> np.ndarray:
+        return np.concatenate([w[k].ravel() for k in self.shapes])
+
+    def parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        ends = np.cumsum([0, *(int(np.prod(s)) for s in self.shapes.values())])
+        return {k: flat[a:b].reshape(s).copy() for (k, s), a, b in zip(self.shapes.items(), ends[:-1], ends[1:], strict=True)}
+
+    def run(self, w: dict[str, np.ndarray], t: np.ndarray, around: np.ndarray, learn: bool = False):
+        """Log-probability of each token; or the gradient of the mean loss."""
+        h = np.tanh(sum(w["e"][k][around[k]] for k in range(len(OFFSETS))) + w["c"])
+        group, place = t // self.span, t % self.span
+        p = softmax(h @ w["u"] + w["b"])
+        every = np.arange(len(t))
+        out = np.log(p[every, group])
+        order = np.argsort(group, kind="stable")
+        ends = np.searchsorted(group[order], np.arange(self.groups + 1))
+        if learn:
+            g = {k: np.zeros(s, np.float32) for k, s in self.shapes.items()}
+            p[every, group] -= 1
+            p /= len(t)
+            g["u"], g["b"], dh = h.T @ p, p.sum(0), p @ w["u"].T
+        for k in np.flatnonzero(np.diff(ends)):
+            rows = order[ends[k] : ends[k + 1]]
+            q = softmax(h[rows] @ w["v"][k] + w["d"][k])
+            if not learn:
+                out[rows] += np.log(q[np.arange(len(rows)), place[rows]])
+                continue
+            q[np.arange(len(rows)), place[rows]] -= 1
+            q /= len(t)
+            g["v"][k], g["d"][k] = h[rows].T @ q, q.sum(0)
+            dh[rows] += q @ w["v"][k].T
+        if not learn:
+            return out
+        dh *= 1 - h * h
+        g["c"] = dh.sum(0)
+        for k in range(len(OFFSETS)):
+            order = np.argsort(around[k], kind="stable")
+            ids, first = np.unique(around[k][order], return_index=True)
+            g["e"][k][ids] = np.add.reduceat(dh[order], first)
+        return g
+
+    def score(self, w: dict[str, np.ndarray], t: np.ndarray, around: np.ndarray) -> np.ndarray:
+        parts = [self.run(w, t[a : a + BATCH], around[:, a : a + BATCH]) for a in range(0, len(t), BATCH)]
+        p = np.exp(np.concatenate(parts)) if parts else np.zeros(0)
+        return np.log((1 - SMOOTHING) * p + SMOOTHING / self.size)
+
+
+def fit(docs: DataFrame, classes: Classes, net: Network, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights after passes over all documents: tasks learn from their own windows, and rounds average what they learned."""
+    w, total = net.start(counts), max(int(counts.sum()), 1)
+    batch = max(BATCH, 4 * net.size) if total > LEAST_TOKENS else 1024
+    for k in range(2 * min(8, -(-LEAST_TOKENS // total))):
+
+        def run(batches: Iterator[pa.RecordBatch], w=w, rate=0.1 / (1 + k / 2)) -> Iterator[pa.RecordBatch]:
+            own, seen = {x: v.copy() for x, v in w.items()}, 0
+            squares = {x: np.full_like(v, 1e-8) for x, v in w.items()}
+            for piece in pieces(batches):
+                _, t, around, _ = classes.wide(piece["text"])
+                for a in range(0, len(t), batch):
+                    g = net.run(own, t[a : a + batch], around[:, a : a + batch], learn=True)
+                    for x in own:
+                        squares[x] += g[x] ** 2
+                        own[x] -= rate * g[x] / np.sqrt(squares[x])
+                seen += len(t)
+            if seen:
+                flat = net.flat(own)
+                cuts = range(0, len(flat), CHUNK)
+                yield pa.record_batch({"k": pa.array(range(len(cuts)), pa.int32()), "n": np.full(len(cuts), seen),
+                                       "w": pa.array([flat[a : a + CHUNK].tobytes() for a in cuts], pa.binary())})
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, list] = {}
+            for b in batches:
+                for c, n, x in zip(b["k"].to_pylist(), b["n"].to_pylist(), b["w"].to_pylist(), strict=True):
+                    s = sums.setdefault(c, [0, 0.0])
+                    s[0], s[1] = s[0] + n, s[1] + n * np.frombuffer(x, np.float32).astype(float)
+            if sums:
+                yield pa.record_batch({"k": pa.array(list(sums), pa.int32()), "w": pa.array([(x / n).astype(np.float32).tobytes() for n, x in sums.values()], pa.binary())})
+
+        half = texts(docs).where(F.pmod(F.xxhash64("text"), F.lit(2)) == k % 2)
+        got = half.mapInArrow(run, "k int, n bigint, w binary").repartition("k").mapInArrow(add, "k int, w binary").toArrow().sort_by("k")
+        if got.num_rows:
+            w = net.parts(np.frombuffer(b"".join(got["w"].to_pylist()), np.float32))
+    return w
+
+
+def corpus_likelihood(docs: DataFrame) -> DataFrame:
+    counts = cut_lineage(word_counts(docs))
+    often = int(np.sqrt(counts.where(F.col("n") >= COUNTED).count()))
+    most = max(WORDS, 8 * often)
+    words = [r["word"] for r in counts.where("word != ''").orderBy(F.desc("n"), "word").limit(most).collect()]
+    classes = Classes(words, max(ENDINGS, often // 2))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, t = classes.of(b["word"].cast(pa.large_string()))
+            yield pa.record_batch({"h": h.view(np.int64), "class": t, "n": b["n"]})
+
+    known = cut_lineage(counts.mapInArrow(placed, "h bigint, class bigint, n bigint"))
+    sums = known.groupBy("class").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    by_class = np.zeros(classes.size, np.int64)
+    for r in sums.collect():
+        by_class[r["class"]] = r["total"]
+    net = Network(classes.size)
+    w = fit(docs, classes, net, by_class)
+    own = len(words)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            h, t, around, rows = classes.wide(batch["text"])
+            n = np.bincount(rows, minlength=batch.num_rows)
+            total = np.bincount(rows, net.score(w, t, around), batch.num_rows).astype(float)
+            rare = t >= own
+            ends = np.concatenate([[0], np.cumsum(np.bincount(rows[rare], minlength=batch.num_rows))]).astype(np.int32)
+            yield pa.record_batch({"row": batch["row"], "doc_id": batch["doc_id"], "n_tokens": n, "total": total,
+                                   "rare": pa.ListArray.from_arrays(ends, pa.array(h[rare].view(np.int64)))})
+
+    scored = cut_lineage(texts(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+        score, "row bigint, doc_id bigint, n_tokens bigint, total double, rare array<bigint>"))
+    # the share of a word within its class; half a count is added to each word and to all unseen ones together
+    share = F.log((F.col("n") + ADDED) / (F.col("total") + ADDED * (F.col("kinds") + 1)))
+    factors = known.where(F.col("class") >= own).join(F.broadcast(sums), "class").select("h", share.alias("share"))
+    unseen = float(np.log(ADDED / (max(by_class.sum(), 1) + ADDED)))
+    rare = scored.select("row", F.explode("rare").alias("h")).join(factors, "h", "left").groupBy("row").agg(
+        F.sum(F.coalesce("share", F.lit(unseen))).alias("shares"))
+    out = scored.drop("rare").join(rare, "row", "left").withColumn("log_likelihood", F.col("total") + F.coalesce("shares", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))
+
+
+def pseudo_likelihood(docs: DataFrame, words: int | None = None) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``log_likelihood`` (sum over tokens) and ``mean_log_likelihood`` of each row.
 
     A null or blank text has no tokens, sum 0 and a null mean; ids are passed through. The network is trained on all
-    rows of ``docs``, repeated ones as often as they occur.
+    rows of ``docs``, repeated ones as often as they occur. With ``words``, the vocabulary is that many words, and all
+    others are scored by their class alone.
     """
+    if words is None:
+        return corpus_likelihood(docs)
     tokens = Tokens(frequent_words(docs, words))
     table = train(window_counts(docs, tokens)).ravel()
 

@@ -190,3 +190,36 @@ def test_toxicity_spans_and_odd_rows(spark, odd):
     assert got[0].score == got[1].score and got[0].predicted == 0 and got[8].predicted == 0
     none = X.toxicity(odd, labels.limit(0), L.fold(4, 2)).collect()
     assert len(none) == len(ODD) + 3 and {r.score for r in none} == {0.0}
+
+
+def test_likelihood_knows_each_word_and_two_on_either_side(spark):
+    rows = [f"alpha beta gamma delta w{k}xy epsilon zeta eta" for k in range(300) for _ in range(3)]
+    rows += [f"one two{k % 2} three four{k % 2} five" for k in range(400)]
+    probe = ["alpha beta gamma delta w7xy epsilon zeta eta", "alpha beta gamma delta q999xy epsilon zeta eta", "one two0 three four0 five", "one two0 three four1 five", None, " "]
+    rows += probe
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(rows)] + [(None, "one"), (0, "one")], "doc_id bigint, text string")
+    got = M.pseudo_likelihood(table).collect()
+    assert len(got) == len(rows) + 2
+    by_id = {r.doc_id: r for r in got if r.doc_id}
+    seen, junk, fits, swapped, none, blank = (by_id[len(rows) - 6 + k] for k in range(6))
+    # an ending alone does not make a word likely
+    assert seen.log_likelihood > junk.log_likelihood + 0.3
+    # two0 and four0 agree across the word between them
+    assert fits.log_likelihood > swapped.log_likelihood + 1
+    assert none.n_tokens == blank.n_tokens == 0 and none.mean_log_likelihood is None and blank.log_likelihood == 0
+    assert M.pseudo_likelihood(table.limit(0)).count() == 0
+
+
+def test_likelihood_gradient():
+    rng = np.random.default_rng(3)
+    net = M.Network(11, 4)
+    w = {k: v.astype(float) for k, v in net.start(np.arange(11)).items()}
+    t, around = rng.integers(0, 11, 40), rng.integers(0, 11, (4, 40))
+    g = net.run(w, t, around, learn=True)
+    for k, at in (("e", (2, around[2][0], 1)), ("c", (2,)), ("u", (1, 2)), ("b", (0,)), ("v", (t[0] // net.span, 3, 1)), ("d", (1, 1))):
+        loss = []
+        for step in (1e-5, -1e-5):
+            x = {n: v.copy() for n, v in w.items()}
+            x[k][at] += step
+            loss.append(-net.run(x, t, around).mean())
+        assert g[k][at] == pytest.approx((loss[0] - loss[1]) / 2e-5, abs=1e-5)
