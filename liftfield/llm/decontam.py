@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-Words are lower-cased and freed of punctuation at their ends. For each place of a test item the shortest n-gram is
-taken whose words are so rare in the corpus that chance would hardly make it (its information exceeds that of a place
-in the corpus); word counts come from all documents. A document passage that holds a seed of an item is aligned with
-the item, so copies with replaced, added or dropped words are scored too. Items are handled in blocks of a bounded
-number of words, and only a block's words, counts and seeds are sent to the tasks.
+"""Benchmark decontamination: seeds of word pairs, then Smith-Waterman alignment of words.
+
+Words are lower-cased and freed of punctuation at their ends. Seeds are pairs of neighbouring words of an item, found
+in a document next to each other or with one word between. A passage that reaches the least score must hold a certain
+number of them within a certain length, whatever the corpus is (``least_pairs``), so passages with fewer are left out
+without loss and no others: recall depends neither on the size of the corpus nor on how often an item was copied. The
+rest are aligned with the item, so copies with replaced, added or dropped words are scored too. Items are handled in
+blocks of a bounded number of words, and only a block's words and seeds are sent to the tasks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,15 +20,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftfield.llm.common import coded, hash_words, inside, pieces, split_words, texts, windows
+from liftfield.llm.common import BASE, coded, hash_words, mix, pieces, split_words, texts
 
-LENGTHS = (2, 3, 5, 8)
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score, as a share of a perfect alignment of the whole item.
 LEAST_SCORE = 0.5
 #: Words of test items that are sent to the tasks at once.
 BLOCK_WORDS = 500_000
 TABLE_BITS = 20
+#: Hits of seeds that are held at once, but whole rows.
+MOST_HITS = 2_000_000
 LINK = "doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint"
 
 
@@ -47,76 +50,92 @@ def plain_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Seeds:
-    """Sorted seed hashes by length with the item and place of each, and the items' words."""
+    """Sorted hashes of word pairs with the item and place of each, and of each item its words, the least hits and the longest passage."""
 
-    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    value: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    table: np.ndarray
     items: list[np.ndarray]
     ids: list[int]
+    hits: np.ndarray
+    span: np.ndarray
 
 
-def count_words(docs: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, int]:
-    """Occurrences in all documents of the words whose hashes are given, sorted; and of all words."""
+def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(BASE) + second)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(len(wanted), np.int64), 0
-        for batch in pieces(batches):
-            h, _, _ = plain_words(batch["text"])
-            total += len(h)
-            at = np.searchsorted(wanted, h)
-            at[at == len(wanted)] = 0
-            counts += np.bincount(at[wanted[at] == h], minlength=len(wanted))
-        some = np.flatnonzero(counts)
-        yield pa.record_batch({"at": np.append(some, -1), "n": np.append(counts[some], total)})
-
-    got = texts(docs).mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    at, n = got["at"].to_numpy(), got["n"].to_numpy()
-    counts = np.zeros(len(wanted), np.int64)
-    counts[at[at >= 0]] = n[at >= 0]
-    return counts, int(n[at < 0].sum())
-
-
-def choose_seeds(ids: list[int], items: list[np.ndarray], wanted: np.ndarray, counts: np.ndarray, total: int) -> Seeds:
-    """For each place the shortest n-gram with more information than a place of the corpus has; the longest if none has."""
-    need = np.log2(max(total, 2))
-    found: dict[int, list[tuple[int, int, int]]] = {n: [] for n in range(1, max(LENGTHS) + 1)}
-    for k, h in enumerate(items):
-        bits = -np.log2((counts[np.searchsorted(wanted, h)] + 1) / (total + len(wanted) + 1))
-        sums = np.concatenate([[0.0], np.cumsum(bits)])
-        for start in range(len(h)):
-            fits = [n for n in LENGTHS if start + n <= len(h)]
-            rare = [n for n in fits if sums[start + n] - sums[start] >= need]
-            if rare or start + max(LENGTHS) <= len(h):
-                n = rare[0] if rare else fits[-1]
-                found[n].append((int(windows(h[start : start + n], n)[0]), k, start))
-        if len(h) and not any(x[1] == k for v in found.values() for x in v[-1:]):
-            n = min(len(h), max(LENGTHS))
-            found[n] += [(int(x), k, s) for s, x in enumerate(windows(h, n))]
-    by_length = {}
-    for n, rows in found.items():
-        if rows:
-            value = np.array([r[0] for r in rows], np.uint64)
-            order = np.argsort(value, kind="stable")
-            item, place = (np.array([r[c] for r in rows], np.int64)[order] for c in (1, 2))
-            table = np.zeros(1 << TABLE_BITS, bool)
-            table[(value >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-            by_length[n] = (value[order], item, place, table)
-    return Seeds(by_length, items, ids)
-
-
-def seed_hits(seeds: Seeds, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place in the batch, item, and place in the item of every seed found."""
-    out = []
-    for n, (value, item, place, table) in seeds.by_length.items():
-        ok = inside(rows, n)
-        if not len(ok):
+
+def least_pairs(length: int, least: float) -> int:
+    """Neighbouring words of an item that any passage of a score of ``least`` has at a distance of one or two.
+
+    Of m matched words, a pairs of neighbours lie further apart in the passage (at least two gaps each), b steps leave
+    out words of the item (at least one error each); the score is at most 2m - 2a - b, and all other steps are such pairs.
+    """
+    score, found = math.ceil(MATCH * length * least - 1e-9), length
+    for m in range(1, length + 1):
+        left = 2 * m - score
+        if left >= 0:
+            b = min(length - m, left)
+            found = min(found, m - 1 - b - (left - b) // 2)
+    return found
+
+
+def choose_seeds(ids: list[int], items: list[np.ndarray], least: float) -> Seeds:
+    """Pairs of neighbours of each item, without those most common in the benchmark as far as enough must still be found."""
+    pairs = [pair(h[:-1], h[1:]) for h in items]
+    distinct, common = np.unique(np.concatenate([np.unique(x) for x in pairs]), return_counts=True)
+    values, owners, places = [], [], []
+    hits, span = np.ones(len(items), np.int64), np.ones(len(items), np.int64)
+    for k, (h, own) in enumerate(zip(items, pairs, strict=True)):
+        place = np.arange(len(own))
+        need = least_pairs(len(h), least)
+        if len(h) == 1:
+            own, place = h, np.zeros(1, np.int64)  # a word by itself
+        elif need < 1:
+            # too short for a pair of neighbours to be sure: all pairs of its words
+            i, j = np.triu_indices(len(h), 1)
+            own, place = pair(h[i], h[j]), i
+        elif need > 1:
+            order = np.argsort(common[np.searchsorted(distinct, own)], kind="stable")
+            place = np.sort(order[: len(own) - need // 2])
+            own = own[place]
+            hits[k] = need - need // 2
+        span[k] = max(len(h), math.floor(3 * len(h) - MATCH * len(h) * least + 1e-9))
+        values.append(own)
+        owners.append(np.full(len(own), k))
+        places.append(place)
+    value = np.concatenate(values)
+    order = np.argsort(value, kind="stable")
+    table = np.zeros(1 << TABLE_BITS, bool)
+    table[(value >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+    return Seeds(value[order], np.concatenate(owners)[order], np.concatenate(places)[order], table, items, ids, hits, span)
+
+
+def seed_hits(seeds: Seeds, h: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Place in the batch and item of every seed found; whole rows at a time, about ``MOST_HITS`` hits each."""
+    found = []
+    for d in (0, 1, 2):
+        if len(h) <= d or d == 0 and not any(len(x) == 1 for x in seeds.items):
             continue
-        hashes = windows(h, n)
-        at = np.flatnonzero(ok & table[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-        low, high = np.searchsorted(value, hashes[at], "left"), np.searchsorted(value, hashes[at], "right")
-        reps = high - low
-        which = np.repeat(low, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        out.append((np.repeat(at, reps), item[which], place[which]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        hashes = pair(h[:-d], h[d:]) if d else h
+        at = np.flatnonzero(seeds.table[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] & (rows[: len(hashes)] == rows[d:]))
+        low, high = np.searchsorted(seeds.value, hashes[at], "left"), np.searchsorted(seeds.value, hashes[at], "right")
+        some = high > low
+        found.append((at[some], low[some], (high - low)[some]))
+    if not found:
+        return
+    at, low, reps = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(at, kind="stable")
+    at, low, reps = at[order], low[order], reps[order]
+    total, begin = np.cumsum(reps), 0
+    while begin < len(at):
+        end = int(np.searchsorted(total, total[begin] - reps[begin] + MOST_HITS, "right"))
+        end = int(np.searchsorted(rows[at], rows[at[max(end, begin + 1) - 1]], "right"))
+        n, first = reps[begin:end], low[begin:end]
+        which = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(at[begin:end], n), seeds.item[which]
+        begin = end
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -136,34 +155,40 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 def aligned(seeds: Seeds, h: np.ndarray, rows: np.ndarray, place: np.ndarray, least: float) -> list[tuple[int, int, float, int, int]]:
     """(row, item id, score, first word, last word): the best alignment of each row and item above ``least``."""
-    at, item, own = seed_hits(seeds, h, rows)
-    if not len(at):
+    if not len(rows):
         return []
     starts = np.searchsorted(rows, np.arange(rows[-1] + 2))
-    order = np.lexsort((at, item, rows[at]))
-    at, item, own = at[order], item[order], own[order]
-    sizes = np.array([len(x) for x in seeds.items])
-    new = np.concatenate([[True], (rows[at][1:] != rows[at][:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > sizes[item[1:]])])
-    first = np.flatnonzero(new)
-    low, high = np.minimum.reduceat(at - own, first), np.maximum.reduceat(at - own, first)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for k, f in enumerate(first):
-        words, row = seeds.items[item[f]], int(rows[at[f]])
-        pad = len(words) // 4 + 2
-        a, b = max(starts[row], low[k] - pad), min(starts[row + 1], high[k] + len(words) + pad)
-        passage = h[a:b]
-        if MATCH * np.isin(words, passage).sum() < least * MATCH * len(words):
+    for at, item in seed_hits(seeds, h, rows):
+        # hits of an item in a row, each place once; close ones, as many as its score needs, make a passage
+        key = np.unique(item * np.int64(len(h)) + at)
+        item, at = key // len(h), key % len(h)
+        last = np.arange(len(at)) + seeds.hits[item] - 1
+        ok = last < len(at)
+        last[~ok] = 0
+        ok &= (item[last] == item) & (rows[at[last]] == rows[at]) & (at[last] - at < seeds.span[item])
+        first = np.flatnonzero(ok)
+        if not len(first):
             continue
-        score, end = align(words, passage)
-        share = score / (MATCH * len(words))
-        key = (row, int(item[f]))
-        if share >= least and share > best.get(key, (0.0,))[0]:
-            back = align(words[::-1], passage[end::-1])[1]
-            best[key] = (share, int(place[a + end - back]), int(place[a + end]))
+        item, low, high = item[first], at[first], at[last[first]]
+        reach = 2 * seeds.span[item]
+        new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (rows[low[1:]] != rows[low[:-1]]) | (low[1:] - high[:-1] > reach[1:])]))
+        for f, e in zip(new, np.append(new[1:], len(first)), strict=True):
+            words, row = seeds.items[item[f]], int(rows[low[f]])
+            a, b = max(starts[row], low[f] - seeds.span[item[f]]), min(starts[row + 1], high[f:e].max() + seeds.span[item[f]] + 1)
+            passage = h[a:b]
+            if MATCH * np.isin(words, passage).sum() < least * MATCH * len(words):
+                continue
+            score, end = align(words, passage)
+            share = score / (MATCH * len(words))
+            own = (row, int(item[f]))
+            if share >= least and share > best.get(own, (0.0,))[0]:
+                back = align(words[::-1], passage[end::-1])[1]
+                best[own] = (share, int(place[a + end - back]), int(place[a + end]))
     return [(row, seeds.ids[i], *v) for (row, i), v in best.items()]
 
 
-def item_blocks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[Seeds]:
+def item_blocks(benchmark: DataFrame, least: float, block_words: int = BLOCK_WORDS) -> list[Seeds]:
     """Seeds of all items, in blocks of about ``block_words`` words; items are read block by block."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
@@ -174,9 +199,10 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_
         h, rows, _ = plain_words(got["text"].combine_chunks())
         ends = np.searchsorted(rows, np.arange(got.num_rows + 1))
         split = [h[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
-        wanted = np.unique(h)
-        if len(wanted):
-            out.append(choose_seeds(got["item_id"].to_pylist(), split, wanted, *count_words(docs, wanted)))
+        full = [k for k, x in enumerate(split) if len(x)]
+        if full:
+            ids = got["item_id"].to_pylist()
+            out.append(choose_seeds([ids[k] for k in full], [split[k] for k in full], least))
     return out
 
 
@@ -187,7 +213,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, blo
     Without items there are no rows.
     """
     out = docs.sparkSession.createDataFrame([], LINK)
-    for k, seeds in enumerate(item_blocks(docs, benchmark, block_words)):
+    for k, seeds in enumerate(item_blocks(benchmark, least, block_words)):
         part = texts(docs).mapInArrow(find(seeds, least), LINK)
         out = part if k == 0 else out.unionByName(part)
     return out
@@ -217,6 +243,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_
         return run
 
     out = docs
-    for seeds in item_blocks(docs, benchmark, block_words):
+    for seeds in item_blocks(benchmark, least, block_words):
         out = out.mapInArrow(without(seeds), docs.schema)
     return out

@@ -277,3 +277,31 @@ def test_mix_equals_its_sql(spark):
     got = op8(spark, SMALL)
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(rel.fetchall())
+
+
+def test_leaks_do_not_depend_on_corpus_size_or_copies():
+    rng = np.random.default_rng(9)
+    for n in (5, 9, 14, 30, 50):
+        items = [rng.integers(1, 1 << 60, n).astype(np.uint64) for _ in range(4)]
+        for least in (0.5, 0.7):
+            seeds = D.choose_seeds(list(range(4)), items, least)
+            # any edits: replaced, dropped and added words; every passage of that score is found, however common its words
+            texts = []
+            for _ in range(60):
+                copy, p = [], rng.dirichlet((6, 1.5, 1, 2))
+                for w in items[0][: rng.integers(n // 2, n + 1)]:
+                    what = rng.choice(4, p=p)
+                    copy += [[w], [rng.integers(1, 1 << 60)], [], [w, rng.integers(1, 1 << 60)]][what]
+                texts.append(np.array([*rng.integers(1, 1 << 60, 3), *copy, *rng.integers(1, 1 << 60, 3)], np.uint64))
+            h, rows = np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            got = {(r[0], r[2]) for r in D.aligned(seeds, h, rows, np.arange(len(h)), least)}
+            want = {(k, s / (2 * n)) for k, t in enumerate(texts) if (s := D.align(items[0], t)[0]) >= least * 2 * n}
+            assert got == want and want
+
+
+def test_leaks_of_an_item_that_fills_the_corpus(spark):
+    item = [f"w{k}" for k in range(30)]
+    edited = [x if k % 4 else "other" for k, x in enumerate(item)]
+    rows = [(k, " ".join(edited)) for k in range(300)] + [(1000 + k, " ".join(f"x{k}y{j}" for j in range(60))) for k in range(300)]
+    got = D.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(300))
