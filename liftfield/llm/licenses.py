@@ -1,7 +1,7 @@
 """Licence scans: sparse TF-IDF cosine to templates, and inheritance from the nearest ancestor directory.
 
 DataFrame functions only. A text's units are each line, and the three and twelve lines from it on (wrapped headers),
-and the whole text (licence files). Only units with a template's anchor term are compared; anchors are chosen so that
+the whole text (licence files), each sentence, and windows of a notice's number of terms, placed by an anchor term. Only units with a template's anchor term are compared; anchors are chosen so that
 a unit without any of them cannot reach the threshold, so the filter loses nothing. Templates and their terms are
 parameters of a fixed size and are broadcast; a unit with too many terms of no notice is left out before its terms
 are taken apart (a bound on the cosine), so documents move only as their few likely units.
@@ -76,6 +76,16 @@ def anchors(rows: list[tuple[str, int, str, float]], least: float) -> list[str]:
     return sorted(chosen)
 
 
+def cuts(rows: list[tuple[str, int, str, float]], templates: dict[str, tuple[str, ...]], least: float) -> dict[str, list[tuple[int, int]]]:
+    """Of each anchor term its places in the notices, as (terms before it, terms of the notice)."""
+    out: dict[str, set[tuple[int, int]]] = {t: set() for t in anchors(rows, least)}
+    for notice in (terms(t) for ts in templates.values() for t in ts):
+        for k, t in enumerate(notice):
+            if t in out:
+                out[t].add((k, len(notice)))
+    return {t: sorted(v) for t, v in out.items()}
+
+
 def own_licenses(files: DataFrame, least: float = LEAST_COSINE, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """Best licence of each row that has one: ``path``, ``license``, ``cosine``, ``whole`` (the whole text is the notice)."""
     spark: SparkSession = files.sparkSession
@@ -87,9 +97,18 @@ def own_licenses(files: DataFrame, least: float = LEAST_COSINE, templates: dict[
         F.struct(F.lit(False).alias("whole"), F.array_join(F.slice("lines", F.greatest(F.lit(1), i - k), F.lit(n)), " ").alias("unit"))
         for n in SPANS for k in ((0,) if n == 1 else (0, n // 2))])))
     whole = F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit")))
+    # within lines: sentences, and as many terms as a notice has, placed by an anchor term as in the notice
+    sentences = F.transform(F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda x: x.rlike(seen)), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit")))
+    places = F.create_map(*[x for t, v in cuts(rows, templates, least).items()
+                            for x in (F.lit(t), F.array(*[F.struct(F.lit(a).alias("before"), F.lit(n).alias("n")) for a, n in v]))])
+    met = F.filter(F.transform("terms", lambda t, i: F.struct(i.alias("i"), places[t].alias("cuts"))), lambda x: x["cuts"].isNotNull())
+    spans = F.flatten(F.transform("met", lambda x: F.transform(x["cuts"], lambda c: F.struct(F.lit(False).alias("whole"), F.array_join(
+        F.slice("terms", F.greatest(F.lit(1), x["i"] - c["before"] + 1), c["n"]), " ").alias("unit")))))
+    plain = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: ~t.isin(*STOP_WORDS))
     some = (files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
             .where(F.col("text").rlike(seen)).withColumn("lines", lines).withColumn("at", at)
-            .select("path", F.explode(F.array_union(units, whole)).alias("u")).select("path", "u.whole", "u.unit").distinct())
+            .withColumn("terms", plain).withColumn("met", met)
+            .select("path", F.explode(F.array_distinct(F.concat(units, whole, sentences, spans))).alias("u")).select("path", "u.whole", "u.unit").distinct())
     words = F.filter(F.regexp_extract_all(F.lower("unit"), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: ~t.isin(*STOP_WORDS))
     # a term of no notice weighs most: with k terms of notices and m others the cosine is at most k / sqrt(k * k + m)
     k = F.size(F.filter("words", lambda t: t.isin(*idf))).cast("double")

@@ -305,3 +305,12 @@ def test_leaks_of_an_item_that_fills_the_corpus(spark):
     rows = [(k, " ".join(edited)) for k in range(300)] + [(1000 + k, " ".join(f"x{k}y{j}" for j in range(60))) for k in range(300)]
     got = D.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
     assert {r.doc_id for r in got} == set(range(300))
+
+
+def test_licences_within_lines(spark):
+    prose = " ".join(f"plain{k} word{k}" for k in range(12)) + "."
+    rows = [("a", "Acme toolkit parses records quickly and safely. Released under the MIT License. See docs folder for installation guidance."),
+            ("b", f"{prose} Licensed under the Apache License, Version 2.0. {prose}"), ("c", f"{prose} this software, which is {C.TEMPLATES['BSD-3-Clause'][1].lower()} {prose} {prose}"),
+            ("d", f"{prose} {prose} license plain version public {prose}"), ("e", f"{prose} {C.TEMPLATES['GPL-3.0'][1]} {prose}")]
+    got = {r.path: r.own_license for r in C.licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a": "MIT", "b": "Apache-2.0", "c": "BSD-3-Clause", "d": None, "e": "GPL-3.0"}
