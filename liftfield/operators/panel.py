@@ -58,17 +58,40 @@ def common_dates(panel: DataFrame) -> DataFrame:
     )
 
 
+def on_calendar(series: DataFrame, calendar: DataFrame, keys: list[str], unit: str) -> DataFrame:
+    """Every unit on its calendar: (keys, unit, the calendar's columns, y, z).
+
+    ``calendar`` has one row for each value of ``keys``, its ``days`` a sorted array of structs that start with ``date``. A
+    unit's own rows are folded along it in one pass over two sorted lists, one array for each unit: ``y`` is the value of
+    that date if there is one, ``z`` the last value up to it, else the unit's first value on the calendar, else 0. Values
+    on other dates are not used.
+    """
+    own = series.where("y IS NOT NULL").groupBy(*keys, unit).agg(F.collect_list(F.struct("date", F.lit(0).alias("mark"), "y")).alias("own"))
+    marks = F.transform("days", lambda d: F.struct(d["date"].alias("date"), F.lit(1).alias("mark"), F.lit(None).cast("double").alias("y")))
+    merged = F.array_sort(F.concat("own", marks))
+    number = F.lit(None).cast("double")
+    start = F.struct(F.lit(None).cast("date").alias("at"), number.alias("y"), number.alias("z"), F.array().cast("array<struct<y: double, z: double>>").alias("out"))
+
+    def step(acc, e):
+        here = acc["at"] == e["date"]
+        y = F.when(here, acc["y"])
+        z = F.coalesce(y, acc["z"])
+        return F.when(e["mark"] == 0, F.struct(e["date"].alias("at"), e["y"].alias("y"), acc["z"].alias("z"), acc["out"].alias("out"))).otherwise(
+            F.struct(acc["at"].alias("at"), acc["y"].alias("y"), z.alias("z"), F.array_append(acc["out"], F.struct(y.alias("y"), z.alias("z"))).alias("out")))
+
+    filled = F.aggregate(merged, start, step, lambda acc: acc["out"])
+    rows = own.join(calendar, keys).select(*keys, unit, "days", filled.alias("cells"))
+    first = F.try_element_at(F.filter("cells", lambda c: c["y"].isNotNull()), F.lit(1))["y"]
+    cells = rows.select(*keys, unit, first.alias("first"), F.explode(F.arrays_zip("days", "cells")).alias("c"))
+    return cells.select(*keys, unit, "c.days.*", "c.cells.y", F.coalesce("c.cells.z", "first", F.lit(0.0)).alias("z"))
+
+
 def fill_donor_grid(panel: DataFrame, value: str = "revenue") -> DataFrame:
     """Donor series on the grid of common dates: last value forward, then first value back, then 0, per period."""
-    grid = common_dates(panel).join(common_donors(panel), "test_id")
-    cells = panel.filter("cell = 'holdout'").groupBy("test_id", "period", "date", "geo").agg(F.avg(value).alias("v"))
-    sparse = grid.join(cells, ["test_id", "period", "date", "geo"], "left")
-    w = W.Window.partitionBy("test_id", "geo", "period").orderBy("date")
-    before = F.last("v", ignorenulls=True).over(w.rowsBetween(W.Window.unboundedPreceding, 0))
-    after = F.first("v", ignorenulls=True).over(w.rowsBetween(0, W.Window.unboundedFollowing))
-    return sparse.select(
-        "test_id", "period", "date", F.col("geo").alias("unit"), F.coalesce(before, after, F.lit(0.0)).alias("y")
-    )
+    keys = ["test_id", "period"]
+    calendar = common_dates(panel).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date"))).alias("days"))
+    cells = panel.filter("cell = 'holdout'").join(common_donors(panel), ["test_id", "geo"], "left_semi").groupBy(*keys, "geo", "date").agg(F.avg(value).alias("y"))
+    return on_calendar(cells, calendar, keys, "geo").select("test_id", "period", "date", F.col("geo").alias("unit"), F.col("z").alias("y"))
 
 
 TREATED_UNIT = "*treatment*"

@@ -17,6 +17,7 @@ from liftfield.session import shared_folder
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SQL_VIEWS: dict[str, str] = {}
+STORED: set[str] = set()
 
 # Events carry 2024 dates; this shift puts them next to the order history (Monday to Monday).
 EVENT_SHIFT_DAYS = 8218
@@ -35,9 +36,12 @@ def check(key: str, oracle: str | None = None):
     return wrap
 
 
-def view(name: str, body: str) -> None:
+def view(name: str, body: str, stored: bool = False) -> None:
+    """A CTE; ``stored`` keeps one that is dear and used several times from being computed again."""
     assert name not in SQL_VIEWS, name
     SQL_VIEWS[name] = body.strip()
+    if stored:
+        STORED.add(name)
 
 
 def _double_literals(text: str) -> str:
@@ -53,20 +57,22 @@ def sql(body: str) -> str:
 
 
 def _with_views(body: str) -> str:
-    """Prefix ``body`` with every CTE it uses, directly or through another CTE."""
+    """Prefix ``body`` with every CTE it uses, directly or through another CTE; one that names itself is recursive."""
     order: list[str] = []
+    open_: set[str] = set()
 
     def visit(text: str) -> None:
         for name in re.findall(r"\bx_\w+", text):
-            if name in SQL_VIEWS and name not in order:
+            if name in SQL_VIEWS and name not in order and name not in open_:
+                open_.add(name)
                 visit(SQL_VIEWS[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     visit(body)
     if not order:
         return body.strip()
-    return "WITH " + ",\n".join(f"{n} AS ({SQL_VIEWS[n]})" for n in order) + "\n" + body.strip()
+    start = "WITH RECURSIVE " if any(re.search(rf"\b{n}\b", SQL_VIEWS[n]) for n in order) else "WITH "
+    return start + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in STORED else ''}({SQL_VIEWS[n]})" for n in order) + "\n" + body.strip()
 
 
 def h(*parts: str) -> str:

@@ -8,6 +8,7 @@ from liftfield.operators import budget, structural, synth
 from liftfield.operators.panel import aligned_series
 from liftfield.plans import analysis, design
 from parity import design as PD
+from parity import synthetic  # noqa: F401  (registers the twins' CTEs)
 from parity.common import assignment, check, daily, panel, per_test, rounded, spend_daily, tests_table, view
 
 
@@ -15,19 +16,37 @@ def series(spark, sf):
     return synth.unit_series(panel(spark, sf, "weekly"))
 
 
-@check("c05_scm_weights")
+@check("c05_scm_weights", """
+SELECT test_id, target, donor, round(weight, 4) AS weight FROM (SELECT test_id, target, unnest(donors) AS donor, unnest(w) AS weight FROM x_scw_w WHERE target = '*treatment*') WHERE weight > 0.0005
+""")
 def c05(spark, sf):
-    return synth.scm_weights(series(spark, sf))
+    return rounded(synth.scm_weights(series(spark, sf)).where("weight > 0.0005").drop("loss", "gap"), 4)
+
+
+@check("c05_scm_optimality", """
+SELECT test_id, target, round(list_sum(w), 9) AS weight_sum, list_min(w) >= 0 AS is_feasible, round(loss / 1e6, 3) AS loss, true AS is_least FROM x_scw_w
+""")
+def c05b(spark, sf):
+    """All targets: weights are a simplex point, the loss equals the twin's and the duality gap proves it least."""
+    w = synth.scm_weights(series(spark, sf), placebos=True)
+    return rounded(w.groupBy("test_id", "target").agg(
+        F.sum("weight").alias("weight_sum"), (F.min("weight") >= 0).alias("is_feasible"), (F.first("loss") / 1e6).alias("loss"),
+        (F.first("gap") <= 1e-6 * F.first("loss")).alias("is_least")), 3, weight_sum=9)
 
 
-@check("c06_ascm")
+ASCM_SQL = """round(absolute_lift, 2) AS absolute_lift, round(relative_lift, 6) AS relative_lift, round(lift_lower_ci, 6) AS lift_lower_ci,
+ round(lift_upper_ci, 6) AS lift_upper_ci, round(se, 2) AS se, round(p_value, 6) AS p_value, is_significant, round(cohen_d, 6) AS cohen_d,
+ round(lift_likelihood, 6) AS lift_likelihood, round(l2_imbalance, 6) AS l2_imbalance, round(r_squared, 6) AS r_squared, round(baseline, 2) AS baseline"""
+
+
+@check("c06_ascm", f"SELECT test_id, target, method, {ASCM_SQL}, n_placebos FROM x_scr_w WHERE target = '*treatment*'")
 def c06(spark, sf):
-    return synth.ascm_results(synth.ascm_series(series(spark, sf)))
+    return rounded(synth.ascm_results(synth.ascm_series(series(spark, sf))), 6, absolute_lift=2, se=2, baseline=2)
 
 
-@check("c08_placebo_effects")
+@check("c08_placebo_effects", "SELECT test_id, target, round(effect, 2) AS effect FROM x_scp_w")
 def c08(spark, sf):
-    return synth.placebo_effects(synth.ascm_series(series(spark, sf)))
+    return rounded(synth.placebo_effects(synth.ascm_series(series(spark, sf))), 2)
 
 
 view("x_corr", """
@@ -64,9 +83,12 @@ def c13(spark, sf):
     return analysis.halves_test(panel(spark, sf, "weekly"), tests_table(spark))
 
 
-@check("c15_placebo_in_space")
+@check("c15_placebo_in_space", """
+SELECT test_id, 'in_space' AS placebo_type, target, round(relative_lift, 6) AS estimated_effect, round(p_value, 6) AS p_value, is_significant AS is_false_positive
+FROM x_scr_w WHERE target <> '*treatment*'
+""")
 def c15(spark, sf):
-    return analysis.placebo_in_space(synth.ascm_series(series(spark, sf)))
+    return rounded(analysis.placebo_in_space(synth.ascm_series(series(spark, sf))))
 
 
 @check("c24_test_reports")

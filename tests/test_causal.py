@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -108,6 +109,73 @@ def test_scm_weights_table(make_panel):
     assert sums[P.TREATED_UNIT]["n"] == 6 and sums["g10"]["n"] == 5
 
 
+def exact_simplex(y, x):
+    """The best of the optima of all sets of donors."""
+    best = None
+    for size in range(1, x.shape[1] + 1):
+        for chosen in itertools.combinations(range(x.shape[1]), size):
+            g = x[:, chosen] - y[:, None]
+            w = np.linalg.solve(g.T @ g, np.ones(size))
+            w = w / w.sum()
+            loss = np.sum((g @ w) ** 2)
+            if w.min() >= 0 and (best is None or loss < best[0]):
+                best = loss, chosen, w
+    out = np.zeros(x.shape[1])
+    out[list(best[1])] = best[2]
+    return out
+
+
+def plain_ascm(series, target):
+    """Filled matrices of one target and the textbook formulas on them."""
+    donors = sorted({u for u, *_ in series if u not in (P.TREATED_UNIT, target)})
+    value = {(u, d): y for u, _, d, y in series if y is not None}
+    everyone = [u for u in {u for u, *_ in series} if u != P.TREATED_UNIT]
+    sides = {}
+    for period in ("pre", "post"):
+        days = sorted({d for u, p, d, y in series if p == period and u in everyone and y is not None})
+        filled = []
+        for u in donors:
+            own, last = [value.get((u, d)) for d in days], None
+            first = next((v for v in own if v is not None), 0.0)
+            row = []
+            for v in own:
+                last = v if v is not None else last
+                row.append(first if last is None else last)
+            filled.append(row)
+        used = [k for k, d in enumerate(days) if (target, d) in value and any((u, d) in value for u in donors)]
+        sides[period] = np.array([value[target, days[k]] for k in used]), np.array(filled).T[used]
+    (y0, x0), (y1, x1) = sides["pre"], sides["post"]
+    w = exact_simplex(y0, x0)
+    c = x0 - x0.mean(0)
+    inverse = lambda a: np.linalg.inv(c.T @ c + a * np.eye(len(donors)))
+    errors = []
+    for a in synth.RIDGE_GRID:
+        hat = c @ inverse(a) @ c.T + 1 / len(y0)
+        errors.append(np.mean(((y0 - hat @ y0) / (1 - np.diag(hat))) ** 2))
+    a, r = synth.RIDGE_GRID[int(np.argmin(errors))], y0 - x0 @ w
+    fit = lambda x: x @ w + r.mean() + (x - x0.mean(0)) @ inverse(a) @ c.T @ (r - r.mean())
+    return dict(zip(donors, w, strict=True)), np.concatenate([fit(x0), fit(x1)]), np.concatenate([y0, y1])
+
+
+def test_ascm_from_products_equals_the_matrices_with_gaps(spark):
+    rng = np.random.default_rng(7)
+    units = [P.TREATED_UNIT, *(f"d{k}" for k in range(5))]
+    base = rng.normal(0, 1, 44).cumsum() + 40
+    series = [(u, "pre" if d < 30 else "post", day(d), float(base[d] * (1 + 0.1 * k) + rng.normal(0, 1))) for k, u in enumerate(units) for d in range(44)]
+    # gaps of every kind: at an edge, inside, of the treated mean, a null value, a date with one donor only
+    drop = {("d1", day(0)), ("d1", day(1)), ("d2", day(10)), ("d2", day(11)), (P.TREATED_UNIT, day(5)), ("d3", day(40))} | {(u, day(20)) for u in units if u != "d4"}
+    series = [(u, p, d, None if (u, d) == ("d0", day(15)) else y) for u, p, d, y in series if (u, d) not in drop]
+    df = spark.createDataFrame([("t", p, d, u, y) for u, p, d, y in series], "test_id string, period string, date date, unit string, y double").repartition(5)
+    weights = by(synth.scm_weights(df, placebos=True), "target", "donor")
+    fitted = synth.ascm_series(df).where("penalty = 'cv'").orderBy("target", "date").toPandas()
+    for target in units:
+        w, synthetic, y = plain_ascm(series, target)
+        got = fitted[fitted.target == target]
+        assert got["y"].to_numpy() == pytest.approx(y)
+        assert got["synthetic"].to_numpy() == pytest.approx(synthetic, abs=1e-6)
+        assert {d: weights[target, d]["weight"] if (target, d) in weights else 0.0 for d in w} == pytest.approx(w, abs=1e-6)
+
+
 def test_placebo_p_counts_other_targets(spark):
     e = [1.0, 3.0, 5.0, 5.0, 8.0]
     pl = spark.createDataFrame([("t", f"d{i}", v) for i, v in enumerate(e)], "test_id string, target string, effect double")
