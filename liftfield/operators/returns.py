@@ -96,6 +96,12 @@ def unpivot_metrics(panel: DataFrame, metrics: list[str]) -> DataFrame:
     return typed.unpivot(ids, metrics, "metric", "value")
 
 
+def halo(platforms: DataFrame, metric: str = "marketplace") -> DataFrame:
+    """(test_id, marketplace_lift, marketplace_significant) out of the result rows of each platform."""
+    return platforms.filter(F.col("metric") == metric).select(
+        "test_id", F.col("relative_lift").alias("marketplace_lift"), F.col("is_significant").alias("marketplace_significant"))
+
+
 def spillover_adjusted(results: DataFrame, risk: DataFrame, minimum: float = 0.1) -> DataFrame:
     """Lift and interval × 1/(1 − 0.2·(1 − clean)) where the risk exceeds ``minimum``."""
     rows = results.join(risk.select("test_id", "risk_score", "clean_holdout_share"), "test_id", "left")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from liftfield.functions.stats import normal_cdf, normal_quantile
 from liftfield.operators.panel import TREATED_UNIT
-from liftfield.operators.synth import fit_metrics
+from liftfield.operators.synth import fit_metrics, packed_rows
 from liftfield.session import cut_lineage, spread
 
 MIN_PRE = 14
@@ -45,60 +47,72 @@ def top_donors(correlations: DataFrame, n: int = 10) -> DataFrame:
     return correlations.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def _filter(y: np.ndarray, x: np.ndarray, n_pre: int, q_level: float, q_trend: float):
-    """Kalman filter of level, slope and constant coefficients in units of the irregular variance.
+def filter_all(y: np.ndarray, x: np.ndarray, n_pre: int, q_level: np.ndarray, q_trend: np.ndarray):
+    """Kalman filter of level, slope and constant coefficients, in units of the irregular variance, for all variance ratios
+    at once: one pass over the dates with a state and a covariance for each ratio.
 
-    Returns one-step means and variances for all rows (post rows are forecast, never updated), the concentrated
-    log-likelihood and the irregular variance.
+    Returns one-step means and variances (ratios × dates; post dates are forecast, never updated), the concentrated
+    log-likelihoods and the irregular variances.
     """
-    k = x.shape[1]
-    step = np.eye(2 + k)
-    step[0, 1] = 1.0
-    noise = np.zeros((2 + k, 2 + k))
-    noise[0, 0], noise[1, 1] = q_level, q_trend
-    state, cov = np.zeros(2 + k), np.eye(2 + k) * DIFFUSE
-    means, variances, logs, squares, used = [], [], 0.0, 0.0, 0
+    m, k = len(q_level), 2 + x.shape[1]
+    state, cov = np.zeros((m, k)), np.tile(np.eye(k) * DIFFUSE, (m, 1, 1))
+    means, variances = np.empty((m, len(y))), np.empty((m, len(y)))
+    logs, squares, used = np.zeros(m), np.zeros(m), max(n_pre - k, 0)
     for i in range(len(y)):
         load = np.concatenate([[1.0, 0.0], x[i]])
-        mean, var = load @ state, load @ cov @ load + 1.0
-        means.append(mean)
-        variances.append(var)
+        along = cov @ load
+        mean, var = state @ load, along @ load + 1.0
+        means[:, i], variances[:, i] = mean, var
         if i < n_pre:
             error = y[i] - mean
-            if i >= 2 + k:
-                logs, squares, used = logs + np.log(var), squares + error * error / var, used + 1
-            gain = cov @ load / var
-            state, cov = state + gain * error, cov - np.outer(gain, load @ cov)
-        state, cov = step @ state, step @ cov @ step.T + noise
+            if i >= k:
+                logs, squares = logs + np.log(var), squares + error * error / var
+            gain = along / var[:, None]
+            state = state + gain * error[:, None]
+            cov = cov - gain[:, :, None] * along[:, None, :]
+        state[:, 0] += state[:, 1]
+        cov[:, 0, :] += cov[:, 1, :]
+        cov[:, :, 0] += cov[:, :, 1]
+        cov[:, 0, 0] += q_level
+        cov[:, 1, 1] += q_trend
     sigma2 = squares / max(used, 1)
-    return np.array(means), np.array(variances), -0.5 * (used * np.log(max(sigma2, 1e-300)) + logs), sigma2
-
-
-def _forecast_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    wide = pdf.pivot_table(index=["period", "date"], columns="unit", values="y", aggfunc="mean")
-    wide = pd.concat([wide.loc[[p]] for p in ("pre", "post") if p in wide.index.get_level_values(0)])
-    period = wide.index.get_level_values(0)
-    n_pre = int((period == "pre").sum())
-    donors = [c for c in wide.columns if c != TREATED_UNIT]
-    if n_pre < max(MIN_PRE, len(donors) + 4) or n_pre == len(wide) or TREATED_UNIT not in wide:
-        return pd.DataFrame({c: pd.Series(dtype=object) for c in ("test_id", "period", "date", "y", "synthetic", "se", "is_burn_in")})
-    y, x = wide[TREATED_UNIT].to_numpy(), wide[donors].to_numpy()
+    return means, variances, -0.5 * (used * np.log(np.maximum(sigma2, 1e-300)) + logs), sigma2
+
+
+def forecast(y: np.ndarray, x: np.ndarray, n_pre: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counterfactual and its standard error on every date, at the likeliest variance ratios."""
     scale, centre, width = max(np.std(y[:n_pre]), 1e-9), x[:n_pre].mean(axis=0), np.maximum(x[:n_pre].std(axis=0), 1e-9)
-    ys, xs = (y - y[:n_pre].mean()) / scale, (x - centre) / width
-    fits = [_filter(ys, xs, n_pre, a, b) for a in LEVEL_RATIOS for b in TREND_RATIOS]
-    means, variances, _, sigma2 = max(fits, key=lambda f: f[2])
-    return pd.DataFrame({
-        "test_id": pdf["test_id"].iloc[0], "period": period, "date": wide.index.get_level_values(1), "y": y,
-        "synthetic": means * scale + y[:n_pre].mean(), "se": np.sqrt(variances * sigma2) * scale,
-        "is_burn_in": np.arange(len(y)) < 2 + len(donors)})
+    level, trend = (v.ravel() for v in np.meshgrid(LEVEL_RATIOS, TREND_RATIOS, indexing="ij"))
+    means, variances, likelihood, sigma2 = filter_all((y - y[:n_pre].mean()) / scale, (x - centre) / width, n_pre, level, trend)
+    best = int(np.argmax(likelihood))
+    return means[best] * scale + y[:n_pre].mean(), np.sqrt(variances[best] * sigma2[best]) * scale
 
 
 def structural_series(aligned: DataFrame) -> DataFrame:
-    """One-step fit and forecast of every test; a group is one series and at most ten covariates."""
+    """One-step fit and forecast of every test; a row holds one series and at most ten covariates as arrays."""
     chosen = select_covariates(donor_correlations(aligned)).select("test_id", "unit")
     rows = aligned.join(chosen, ["test_id", "unit"], "left_semi").unionByName(aligned.filter(F.col("unit") == TREATED_UNIT))
-    schema = "test_id string, period string, date date, y double, synthetic double, se double, is_burn_in boolean"
-    return cut_lineage(spread(rows, "test_id").groupBy("test_id").applyInPandas(_forecast_group, schema))
+    cell = F.struct((F.col("period") == "post").alias("post"), "date", "y")
+    lines = rows.groupBy("test_id", "unit").agg(F.array_sort(F.collect_list(cell)).alias("line"))
+    packed = lines.groupBy("test_id").agg(
+        F.first(F.when(F.col("unit") == TREATED_UNIT, F.col("line")), ignorenulls=True).alias("line"),
+        F.array_sort(F.collect_list(F.when(F.col("unit") != TREATED_UNIT, F.struct("unit", F.transform("line", lambda c: c["y"]).alias("x"))))).alias("donors"))
+
+    def solve(r: dict) -> Iterator[dict]:
+        line, n_x = r["line"] or [], len(r["donors"])
+        n_pre = sum(not c["post"] for c in line)
+        if n_pre < max(MIN_PRE, n_x + 4) or n_pre == len(line):
+            return
+        y = np.array([c["y"] for c in line], float)
+        x = np.array([d["x"] for d in r["donors"]], float).reshape(n_x, len(y)).T
+        synthetic, se = forecast(y, x, n_pre)
+        for i, c in enumerate(line):
+            yield {"test_id": r["test_id"], "period": "post" if c["post"] else "pre", "date": c["date"], "y": c["y"],
+                   "synthetic": synthetic[i], "se": se[i], "is_burn_in": i < 2 + n_x}
+
+    fields = [("period", pa.string()), ("date", pa.date32()), ("y", pa.float64()), ("synthetic", pa.float64()), ("se", pa.float64()), ("is_burn_in", pa.bool_())]
+    schema = "period string, date date, y double, synthetic double, se double, is_burn_in boolean"
+    return cut_lineage(packed_rows(spread(packed, "test_id"), ["test_id"], solve, schema, fields))
 
 
 def structural_results(fitted: DataFrame, alpha: float = 0.05) -> DataFrame:

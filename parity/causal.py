@@ -9,8 +9,9 @@ from liftfield.operators import panel as P
 from liftfield.operators import quality as Q
 from liftfield.operators import returns as R
 from liftfield.operators import validation as V
+from parity import synthetic  # noqa: F401  (registers the CTEs of the other two estimators)
 from parity.common import (
-    assignment, check, h, panel, per_test, phi, r, rounded, spend_daily, student_p, tests_table, view,
+    assignment, check, h, market_daily, panel, per_test, phi, r, rounded, spend_daily, student_p, tests_table, view,
 )
 
 Z975 = C.normal_quantile(0.975)
@@ -189,41 +190,36 @@ def q10(spark, sf):
         C.difference_in_differences(p), C.difference_in_differences(Q.winsorise(p, low=0.1, high=0.9))))
 
 
-# ---- ensemble: three result rows per test out of three metrics of the panel -----------------
+# ---- ensemble of the three estimators ---------------------------------------------------------
 
 view("x_wmetrics", """
-SELECT test_id, geo, cell, date, period, 'ascm' AS metric, revenue AS value FROM x_wpanel
-UNION ALL SELECT test_id, geo, cell, date, period, 'bsts', orders FROM x_wpanel
-UNION ALL SELECT test_id, geo, cell, date, period, 'did', revenue / orders FROM x_wpanel
+SELECT test_id, geo, cell, date, period, 'revenue' AS metric, revenue AS value FROM x_wpanel
+UNION ALL SELECT test_id, geo, cell, date, period, 'orders', orders FROM x_wpanel
+UNION ALL SELECT test_id, geo, cell, date, period, 'revenue_per_order', revenue / orders FROM x_wpanel
 """)
 did_views("m", "x_wmetrics", "test_id, metric", "value")
-view("x_results", """
-SELECT test_id, metric AS method, absolute_lift, relative_lift, lift_lower_ci, lift_upper_ci, p_value, p_value < 0.05 AS is_significant, cohen_d, lift_likelihood,
-       least(abs(cohen_d) / 20, 0.2) AS l2_imbalance, 1 - abs(cohen_d) / 10 AS r_squared FROM x_did_m
-""")
 view("x_weighted", """
 SELECT *, raw / sum(raw) OVER (PARTITION BY test_id) AS weight FROM (
   SELECT *, CASE method WHEN 'ascm' THEN 2.0 WHEN 'bsts' THEN 1.5 ELSE 0.5 END * (0.5 * greatest(0, 1 - l2_imbalance * 10) + 0.5 * greatest(0, r_squared) + 0.1) AS raw
-  FROM x_results)
+  FROM x_estimates)
 """)
 
 
 def metric_panel(spark, sf):
     p = panel(spark, sf, "weekly").select(
-        "test_id", "geo", "cell", "date", "period", F.col("revenue").alias("ascm"), F.col("orders").alias("bsts"),
-        (F.col("revenue") / F.col("orders")).alias("did"))
-    return R.unpivot_metrics(p, ["ascm", "bsts", "did"])
+        "test_id", "geo", "cell", "date", "period", "revenue", "orders", (F.col("revenue") / F.col("orders")).alias("revenue_per_order"))
+    return R.unpivot_metrics(p, ["revenue", "orders", "revenue_per_order"])
 
 
 def results(spark, sf):
-    did = C.difference_in_differences(metric_panel(spark, sf), ["test_id", "metric"], "value")
-    d = F.abs("cohen_d")
-    return did.withColumn("method", F.col("metric")).withColumn("l2_imbalance", F.least(d / 20, F.lit(0.2))).withColumn("r_squared", 1 - d / 10)
+    from liftfield.plans.analysis import estimator_results
 
+    return estimator_results(panel(spark, sf, "weekly"))
 
-@check("c11_ensemble_weights", "SELECT test_id, method, round(weight, 6) AS weight FROM x_weighted")
+
+@check("c11_ensemble_weights", "SELECT test_id, method, round(weight, 5) AS weight FROM x_weighted")
 def c11(spark, sf):
-    return rounded(C.ensemble_weights(results(spark, sf)).select("test_id", "method", "weight"))
+    return rounded(C.ensemble_weights(results(spark, sf)).select("test_id", "method", "weight"), 5)
 
 
 view("x_ensemble", """
@@ -235,12 +231,12 @@ SELECT test_id, sum(absolute_lift * weight) AS absolute_lift, sum(relative_lift
 
 
 @check("c12_ensemble", """
-SELECT test_id, 'ensemble' AS method, round(absolute_lift, 3) AS absolute_lift, round(relative_lift, 6) AS relative_lift, round(lift_lower_ci, 6) AS lift_lower_ci,
-       round(lift_upper_ci, 6) AS lift_upper_ci, round(p_value, 6) AS p_value, is_significant, round(cohen_d, 6) AS cohen_d,
-       round(lift_likelihood, 6) AS lift_likelihood, round(l2_imbalance, 6) AS l2_imbalance, round(r_squared, 6) AS r_squared, n_methods FROM x_ensemble
+SELECT test_id, 'ensemble' AS method, round(absolute_lift, 1) AS absolute_lift, round(relative_lift, 5) AS relative_lift, round(lift_lower_ci, 5) AS lift_lower_ci,
+       round(lift_upper_ci, 5) AS lift_upper_ci, round(p_value, 5) AS p_value, is_significant, round(cohen_d, 5) AS cohen_d,
+       round(lift_likelihood, 5) AS lift_likelihood, round(l2_imbalance, 5) AS l2_imbalance, round(r_squared, 5) AS r_squared, n_methods FROM x_ensemble
 """)
 def c12(spark, sf):
-    return rounded(C.weighted_ensemble(results(spark, sf)), 6, absolute_lift=3)
+    return rounded(C.weighted_ensemble(results(spark, sf)), 5, absolute_lift=1)
 
 
 view("x_agreement", """
@@ -248,13 +244,13 @@ SELECT test_id, 0.4 * CASE WHEN up + down > 0 THEN greatest(up, down) / n ELSE 1
   + 0.3 * CASE WHEN abs(m) > 0.001 THEN greatest(0, 1 - s / abs(m)) WHEN s < 0.01 THEN 1 ELSE 0.5 END
   + 0.3 * CASE WHEN kinds = 1 THEN 1 ELSE 0.5 END AS agreement
 FROM (SELECT test_id, count(*) AS n, count(*) FILTER (relative_lift > 0.000001) AS up, count(*) FILTER (relative_lift < -0.000001) AS down,
-             avg(relative_lift) AS m, stddev_pop(relative_lift) AS s, count(DISTINCT is_significant) AS kinds FROM x_results GROUP BY 1)
+             avg(relative_lift) AS m, stddev_pop(relative_lift) AS s, count(DISTINCT is_significant) AS kinds FROM x_estimates GROUP BY 1)
 """)
 
 
-@check("c17_agreement", "SELECT test_id, round(agreement, 6) AS agreement FROM x_agreement")
+@check("c17_agreement", "SELECT test_id, round(agreement, 5) AS agreement FROM x_agreement")
 def c17(spark, sf):
-    return rounded(V.estimator_agreement(results(spark, sf)))
+    return rounded(V.estimator_agreement(results(spark, sf)), 5)
 
 
 view("x_facts", """
@@ -384,16 +380,39 @@ def c22(spark, sf):
     return rounded(did.drop("l2_imbalance", "r_squared", "method"), 6, **ROUNDS)
 
 
+view("x_platforms", """
+SELECT test_id, geo, cell, date, period, 'store' AS metric, revenue AS value FROM x_wpanel
+UNION ALL SELECT w.test_id, w.geo, w.cell, w.date, w.period, 'marketplace', coalesce(m.revenue, 0) FROM x_wpanel w LEFT JOIN (
+  SELECT CAST(date_trunc('week', date) AS DATE) AS date, geo, sum(revenue) AS revenue FROM x_market_daily GROUP BY 1, 2) m USING (date, geo)
+""")
+did_views("pf", "x_platforms", "test_id, metric", "value")
+
+
+def platform_panel(spark, sf):
+    """Weekly store panel with the marketplace's revenue of the same market and week beside it."""
+    m = market_daily(spark, sf).groupBy(F.date_trunc("week", "date").cast("date").alias("date"), "geo").agg(F.sum("revenue").alias("marketplace"))
+    p = panel(spark, sf, "weekly").join(m, ["date", "geo"], "left")
+    return p.select("test_id", "geo", "cell", "date", "period", F.col("revenue").alias("store"), F.coalesce("marketplace", F.lit(0.0)).alias("marketplace"))
+
+
+def platforms(spark, sf):
+    return C.difference_in_differences(R.unpivot_metrics(platform_panel(spark, sf), ["store", "marketplace"]), ["test_id", "metric"], "value")
+
+
+@check("c22_platform_breakdown", f"SELECT test_id, metric, {DID_SQL} FROM x_did_pf")
+def c22b(spark, sf):
+    return rounded(platforms(spark, sf).drop("l2_imbalance", "r_squared", "method"), 6, **ROUNDS)
+
+
 @check("c25_recommendations", """
 SELECT test_id, CAST(pos - 1 AS INTEGER) AS position, code FROM (
   SELECT test_id, row_number() OVER (PARTITION BY test_id ORDER BY ord) AS pos, code FROM (
-    SELECT test_id, 1 AS ord, CASE WHEN is_significant THEN 'significant_lift' ELSE 'not_significant' END AS code FROM x_results WHERE method = 'ascm'
+    SELECT test_id, 1 AS ord, CASE WHEN is_significant THEN 'significant_lift' ELSE 'not_significant' END AS code FROM x_ensemble
     UNION ALL SELECT test_id, 2, CASE WHEN iroas >= 3 THEN 'iroas_excellent' WHEN iroas >= 1 THEN 'iroas_profitable' WHEN iroas > 0 THEN 'iroas_below_breakeven' ELSE 'iroas_negative' END FROM x_iroas
-    UNION ALL SELECT test_id, 3, CASE WHEN relative_lift > 0 AND is_significant THEN 'halo_significant' ELSE 'halo_possible' END FROM x_results WHERE method = 'bsts' AND relative_lift > 0))
+    UNION ALL SELECT test_id, 3, CASE WHEN p_value < 0.05 THEN 'halo_significant' ELSE 'halo_possible' END FROM x_did_pf WHERE metric = 'marketplace' AND relative_lift > 0))
 """)
 def c25(spark, sf):
-    res = results(spark, sf)
-    main = res.filter("method = 'ascm'").select("test_id", "is_significant")
-    halo = res.filter("method = 'bsts'").select("test_id", F.col("relative_lift").alias("marketplace_lift"), F.col("is_significant").alias("marketplace_significant"))
+    """The ensemble's verdict, the return and the lift of the marketplace in the same markets."""
+    main = C.weighted_ensemble(results(spark, sf)).select("test_id", "is_significant")
     money = R.iroas(increment(spark, sf), tspend(spark, sf)).select("test_id", "iroas")
-    return R.recommendations(main.join(halo, "test_id").join(money, "test_id"))
+    return R.recommendations(main.join(R.halo(platforms(spark, sf)), "test_id").join(money, "test_id"))

@@ -8,10 +8,13 @@ from liftfield.operators import budget, structural, synth
 from liftfield.operators.panel import aligned_series
 from liftfield.plans import analysis, design
 from parity import design as PD
-from parity import synthetic  # noqa: F401  (registers the twins' CTEs)
+from parity.causal import did_views
 from parity.common import assignment, check, daily, panel, per_test, rounded, spend_daily, tests_table, view
 
 
+did_views("h", "x_halves", "test_id")
+
+
 def series(spark, sf):
     return synth.unit_series(panel(spark, sf, "weekly"))
 
@@ -49,13 +52,6 @@ def c08(spark, sf):
     return rounded(synth.placebo_effects(synth.ascm_series(series(spark, sf))), 2)
 
 
-view("x_corr", """
-SELECT test_id, unit, CASE WHEN stddev_pop(t) > 0 AND stddev_pop(y) > 0 THEN abs(covar_pop(t, y) / (stddev_pop(t) * stddev_pop(y))) ELSE 0 END AS abs_corr
-FROM (SELECT test_id, date, y AS t FROM x_aligned WHERE period = 'pre' AND unit = '*treatment*') JOIN (SELECT test_id, date, unit, y FROM x_aligned WHERE period = 'pre' AND unit <> '*treatment*') USING (test_id, date) GROUP BY 1, 2
-""")
-view("x_corr_ranked", "SELECT *, CAST(row_number() OVER (PARTITION BY test_id ORDER BY abs_corr DESC, unit) AS INTEGER) AS rank, count(*) FILTER (abs_corr > 0.3) OVER (PARTITION BY test_id) AS good FROM x_corr")
-
-
 @check("t02_top_donors", "SELECT test_id, unit, round(abs_corr, 6) AS abs_corr, rank FROM x_corr_ranked WHERE rank <= 10")
 def t02(spark, sf):
     return rounded(structural.top_donors(structural.donor_correlations(aligned_series(panel(spark, sf, "weekly"))), 10))
@@ -68,19 +64,28 @@ def t02b(spark, sf):
     return rounded(structural.select_covariates(structural.donor_correlations(aligned_series(panel(spark, sf, "weekly")))))
 
 
-@check("c09_structural")
+RESULT_SQL = """test_id, method, round(absolute_lift, 1) AS absolute_lift, round(relative_lift, 5) AS relative_lift, round(lift_lower_ci, 5) AS lift_lower_ci,
+ round(lift_upper_ci, 5) AS lift_upper_ci, round(se, 1) AS se, round(p_value, 5) AS p_value, is_significant, round(cohen_d, 5) AS cohen_d,
+ round(lift_likelihood, 5) AS lift_likelihood, round(l2_imbalance, 5) AS l2_imbalance, round(r_squared, 5) AS r_squared"""
+
+
+@check("c09_structural", f"SELECT {RESULT_SQL} FROM x_bsr")
 def c09(spark, sf):
-    return structural.structural_results(structural.structural_series(aligned_series(panel(spark, sf, "weekly"))))
+    return rounded(structural.structural_results(structural.structural_series(aligned_series(panel(spark, sf, "weekly")))), 5, absolute_lift=1, se=1)
 
 
-@check("c10_estimators")
+@check("c10_estimators", f"SELECT {RESULT_SQL} FROM x_estimates")
 def c10(spark, sf):
-    return analysis.estimator_results(panel(spark, sf, "weekly"))
+    return rounded(analysis.estimator_results(panel(spark, sf, "weekly")), 5, absolute_lift=1, se=1)
 
 
-@check("c13_halves_test")
+@check("c13_halves_test", """
+SELECT test_id, CASE WHEN a.test_id IS NOT NULL THEN 'ascm' WHEN d.test_id IS NOT NULL THEN 'did' ELSE 'skipped' END AS method,
+       round(coalesce(a.p_value, d.p_value, 1), 6) AS p_value, coalesce(a.p_value, d.p_value, 1) > 0.05 AS is_passed
+FROM x_tests LEFT JOIN (SELECT * FROM x_scr_h WHERE target = '*treatment*') a USING (test_id) LEFT JOIN x_did_h d USING (test_id)
+""")
 def c13(spark, sf):
-    return analysis.halves_test(panel(spark, sf, "weekly"), tests_table(spark))
+    return rounded(analysis.halves_test(panel(spark, sf, "weekly"), tests_table(spark)))
 
 
 @check("c15_placebo_in_space", """

@@ -104,3 +104,74 @@ def fit_views(tag: str, rows: str) -> None:
 
 
 sc_views("w", "x_wpanel")
+
+
+# ---- structural series -----------------------------------------------------------------------
+
+view("x_corr", """
+SELECT test_id, unit, CASE WHEN stddev_pop(t) > 0 AND stddev_pop(y) > 0 THEN abs(covar_pop(t, y) / (stddev_pop(t) * stddev_pop(y))) ELSE 0 END AS abs_corr
+FROM (SELECT test_id, date, y AS t FROM x_aligned WHERE period = 'pre' AND unit = '*treatment*') JOIN (SELECT test_id, date, unit, y FROM x_aligned WHERE period = 'pre' AND unit <> '*treatment*') USING (test_id, date) GROUP BY 1, 2
+""")
+view("x_corr_ranked", "SELECT *, CAST(row_number() OVER (PARTITION BY test_id ORDER BY abs_corr DESC, unit) AS INTEGER) AS rank, count(*) FILTER (abs_corr > 0.3) OVER (PARTITION BY test_id) AS good FROM x_corr")
+
+# the filter of all variance ratios by recursion over the dates
+
+view("x_bsx", """
+SELECT test_id, unit, y, row_number() OVER (PARTITION BY test_id, unit ORDER BY period DESC, date) AS i, period, date,
+       avg(y) FILTER (period = 'pre') OVER (PARTITION BY test_id, unit) AS m, greatest(stddev_pop(y) FILTER (period = 'pre') OVER (PARTITION BY test_id, unit), 1e-9) AS s
+FROM x_aligned a WHERE unit = '*treatment*' OR EXISTS (
+  SELECT 1 FROM x_corr_ranked c WHERE c.test_id = a.test_id AND c.unit = a.unit AND CASE WHEN good > 0 THEN abs_corr > 0.3 AND rank <= 10 ELSE rank <= 3 END)
+""")
+view("x_bsl", """
+SELECT * FROM (
+  SELECT t.test_id, t.i, t.period, t.date, t.y AS own, t.m, t.s, (t.y - t.m) / t.s AS y, list_concat([1.0, 0.0], coalesce(x, [])) AS load, len(coalesce(x, [])) AS n_x,
+         count(*) FILTER (t.period = 'pre') OVER (PARTITION BY t.test_id) AS n_pre, count(*) OVER (PARTITION BY t.test_id) AS n
+  FROM x_bsx t LEFT JOIN (SELECT test_id, i, list((y - m) / s ORDER BY unit) AS x FROM x_bsx WHERE unit <> '*treatment*' GROUP BY 1, 2) USING (test_id, i) WHERE t.unit = '*treatment*')
+WHERE n_pre >= greatest(14, n_x + 4) AND n > n_pre
+""", stored=True)
+view("x_bsk", """
+SELECT test_id, q, r, 0 AS i, list_transform(load, lambda x: 0.0) AS s, list_transform(load, lambda x, a: list_transform(load, lambda z, b: CASE WHEN a = b THEN 1e7 ELSE 0.0 END)) AS p,
+       0.0 AS mean, 0.0 AS var, 0.0 AS logs, 0.0 AS squares
+FROM x_bsl, (SELECT unnest([0.0, 0.001, 0.01, 0.1, 1.0]) AS q), (SELECT unnest([0.0, 0.00001, 0.0001, 0.001, 0.01]) AS r) WHERE i = 1
+UNION ALL
+SELECT test_id, q, r, i, list_transform(s, lambda x, a: x + CASE WHEN a = 1 THEN s[2] ELSE 0.0 END),
+       list_transform(p, lambda v, a: list_transform(v, lambda x, b: x + CASE WHEN a = 1 THEN p[2][b] ELSE 0.0 END + CASE WHEN b = 1 THEN v[2] ELSE 0.0 END
+         + CASE WHEN a = 1 AND b = 1 THEN p[2][2] + q WHEN a = 2 AND b = 2 THEN r ELSE 0.0 END)), mean, var, logs, squares
+FROM (
+  SELECT test_id, q, r, i, mean, var, logs + CASE WHEN i <= n_pre AND i > 2 + n_x THEN ln(var) ELSE 0.0 END AS logs, squares + CASE WHEN i <= n_pre AND i > 2 + n_x THEN pow(y - mean, 2) / var ELSE 0.0 END AS squares,
+         list_transform(s, lambda x, a: x + CASE WHEN i <= n_pre THEN g[a] / var * (y - mean) ELSE 0.0 END) AS s,
+         list_transform(p, lambda v, a: list_transform(v, lambda x, b: x - CASE WHEN i <= n_pre THEN g[a] / var * g[b] ELSE 0.0 END)) AS p
+  FROM (SELECT *, list_dot_product(load, s) AS mean, list_dot_product(load, g) + 1 AS var FROM (
+    SELECT k.test_id, k.q, k.r, l.i, l.n_pre, l.n_x, l.load, l.y, k.s, k.p, k.logs, k.squares, list_transform(k.p, lambda v: list_dot_product(v, l.load)) AS g
+    FROM x_bsk k JOIN x_bsl l ON l.test_id = k.test_id AND l.i = k.i + 1)))
+""", stored=True)
+view("x_bsf", """
+SELECT l.test_id, '*treatment*' AS target, l.period, l.date, l.own AS y, k.mean * l.s + l.m AS synthetic, l.own - (k.mean * l.s + l.m) AS gap, sqrt(k.var * f.sigma2) * l.s AS se
+FROM x_bsl l JOIN x_bsk k USING (test_id, i) JOIN (
+  SELECT test_id, arg_max({'q': q, 'r': r, 'v': sigma2}, like_) AS best FROM (
+    SELECT test_id, q, r, squares / greatest(n_pre - 2 - n_x, 1) AS sigma2, -0.5 * ((n_pre - 2 - n_x) * ln(greatest(squares / greatest(n_pre - 2 - n_x, 1), 1e-300)) + logs) AS like_
+    FROM x_bsk JOIN x_bsl USING (test_id, i) WHERE i = n) GROUP BY 1) b USING (test_id), LATERAL (SELECT b.best.v AS sigma2) f
+WHERE k.q = b.best.q AND k.r = b.best.r AND NOT (l.period = 'pre' AND l.i <= 2 + l.n_x)
+""", stored=True)
+fit_views("bs", "x_bsf")
+view("x_bsr", f"""
+SELECT test_id, 'bsts' AS method, tau AS absolute_lift, {over('tau')} AS relative_lift, {over('(tau - 1.959963984540054 * se)')} AS lift_lower_ci, {over('(tau + 1.959963984540054 * se)')} AS lift_upper_ci,
+       se, 2 * least(up, 1 - up) AS p_value, 2 * least(up, 1 - up) < 0.05 AS is_significant, CASE WHEN sd > 0 THEN tau / sd ELSE 0 END AS cohen_d, up AS lift_likelihood, l2_imbalance, r_squared
+FROM (SELECT *, CASE WHEN se > 0 THEN {phi('tau / se')} ELSE 0.5 END AS up FROM x_fit_bs JOIN (
+  SELECT test_id, sqrt(sum(se * se)) / count(*) AS se FROM x_bsf WHERE period = 'post' GROUP BY 1) USING (test_id))
+""", stored=True)
+view("x_estimates", """
+SELECT test_id, method, absolute_lift, relative_lift, lift_lower_ci, lift_upper_ci, se, p_value, is_significant, cohen_d, lift_likelihood, l2_imbalance, r_squared FROM x_scr_w WHERE target = '*treatment*'
+UNION ALL SELECT test_id, method, absolute_lift, relative_lift, lift_lower_ci, lift_upper_ci, se, p_value, is_significant, cohen_d, lift_likelihood, l2_imbalance, r_squared FROM x_bsr
+UNION ALL SELECT test_id, method, absolute_lift, relative_lift, lift_lower_ci, lift_upper_ci, se, p_value, p_value < 0.05, cohen_d, lift_likelihood, 0, 0 FROM x_did_w
+""", stored=True)
+
+# ---- halves of the pre period ----------------------------------------------------------------
+
+view("x_halves", """
+SELECT p.test_id, geo, cell, p.date, revenue, CASE WHEN p.date < split_date THEN 'pre' ELSE 'post' END AS period FROM x_wpanel p JOIN (
+  SELECT test_id, date AS split_date FROM (
+    SELECT test_id, date, row_number() OVER (PARTITION BY test_id ORDER BY date) - 1 AS idx, count(*) OVER (PARTITION BY test_id) AS n
+    FROM (SELECT DISTINCT test_id, date FROM x_wpanel WHERE period = 'pre')) WHERE n >= 14 AND idx = n // 2) USING (test_id) WHERE period = 'pre'
+""", stored=True)
+sc_views("h", "x_halves")
