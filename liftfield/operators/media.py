@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from liftfield.functions.hashing import hash32
 from liftfield.functions.scalars import hill_share
-from liftfield.session import cut_lineage, small_side, with_grand
+from liftfield.session import cut_lineage, small_side, spread, with_grand
 
 # Discounts applied to attribution-based returns and their default.
 PRIOR_DISCOUNTS = {
@@ -146,37 +148,110 @@ def media_features(media: DataFrame, decay: float, max_lag: int, alpha: float, g
 # ---- effects --------------------------------------------------------------------------------
 
 
-def fit_channel_effects(
-    features: DataFrame, kpi: DataFrame, outcome: str, channels: list[str], weights: DataFrame | None = None, ridge: float = 0.1
-) -> DataFrame:
-    """Ridge effects of saturated media on one outcome, with market level and season as controls.
+def effect_moments(features: DataFrame, kpi: DataFrame, outcomes: list[str], channels: list[str]) -> tuple[DataFrame, list[str]]:
+    """Sums of products of each (outcome, geo) in one pass over the panel, and the columns they pair.
 
-    A channel with a negative effect is dropped and the rest refitted, at most once per channel; each fit is one
-    distributed pass over the panel.
+    The columns are 1, the channels, the market's mean outcome, the season's sine and cosine and the outcome; column
+    ``m_i_j`` is the sum of column i times column j over the dates.
     """
     wide = features.groupBy("date", "geo").agg(
-        *[F.coalesce(F.max(F.when(F.col("channel") == c, F.col("feature"))), F.lit(0.0)).alias(c) for c in channels])
-    y = kpi.select("date", "geo", F.coalesce(F.col(outcome), F.lit(0.0)).alias("label"))
-    level = y.groupBy("geo").agg(F.avg("label").alias("market_level"))
+        *[F.coalesce(F.max(F.when(F.col("channel") == c, F.col("feature"))), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(channels)])
+    stacked = kpi.select("date", "geo", F.explode(F.array(*[
+        F.struct(F.lit(o).alias("outcome"), F.coalesce(F.col(o).cast("double"), F.lit(0.0)).alias("y")) for o in outcomes])).alias("o")).select("date", "geo", "o.*")
+    level = stacked.groupBy("outcome", "geo").agg(F.avg("y").alias("level"))
     turn = 2 * math.pi * F.dayofyear("date") / 365.25
-    rows = y.join(wide, ["date", "geo"]).join(level, "geo").withColumn("season_sin", F.sin(turn)).withColumn("season_cos", F.cos(turn))
-    rows = rows.join(weights, "geo") if weights is not None else rows.withColumn("weight", F.lit(1.0))
-    rows = rows.persist()
-    kept, effects = list(channels), {}
-    try:
-        while True:
-            inputs = [*kept, "market_level", "season_sin", "season_cos"]
-            vec = VectorAssembler(inputCols=inputs, outputCol="v").transform(rows)
-            model = LinearRegression(featuresCol="v", labelCol="label", weightCol="weight", regParam=ridge, solver="normal").fit(vec)
-            effects = dict(zip(inputs, [float(c) for c in model.coefficients]))
-            negative = [c for c in kept if effects[c] < 0]
-            if not negative:
-                break
-            kept = [c for c in kept if c not in negative]
-    finally:
-        rows.unpersist()
-    out = [(outcome, c, effects.get(c, 0.0) if c in kept else 0.0, c in kept) for c in channels]
-    return features.sparkSession.createDataFrame(out, "outcome string, channel string, effect double, is_kept boolean")
+    names = ["one", *(f"x{i}" for i in range(len(channels))), "level", "season_sin", "season_cos", "y"]
+    daily = [n for n in names if n != "level"]
+    rows = stacked.join(wide, ["date", "geo"]).select("outcome", "geo", "y", F.lit(1.0).alias("one"), *[f"x{i}" for i in range(len(channels))], F.sin(turn).alias("season_sin"), F.cos(turn).alias("season_cos"))
+    place = {n: i for i, n in enumerate(names)}
+    sums = rows.groupBy("outcome", "geo").agg(*[
+        F.sum(F.col(a) * F.col(b)).alias(f"m_{place[a]}_{place[b]}") for i, a in enumerate(daily) for b in daily[i:]]).join(level, ["outcome", "geo"])
+    # the level is one number of the market, so its products are multiples of plain sums
+    lev, one = place["level"], place["one"]
+    cell = lambda a, b: F.col(f"m_{min(a, b)}_{max(a, b)}")
+    extra = [(F.col("level") * cell(one, place[n])).alias(f"m_{min(lev, place[n])}_{max(lev, place[n])}") for n in daily]
+    extra.append((F.col("level") * F.col("level") * cell(one, one)).alias(f"m_{lev}_{lev}"))
+    return sums.select("*", *extra).drop("level"), names
+
+
+def ridge_effects(moments: np.ndarray, n_channels: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Effects of the channels and which of them are kept, from one key's square of weighted sums.
+
+    Features and outcome are brought to unit variance, the penalty is ``ridge`` over the outcome's deviation. Channels with
+    a negative effect are dropped and the rest refitted until none is left.
+    """
+    mean = moments[0] / max(moments[0, 0], 1e-300)
+    cov = moments / max(moments[0, 0], 1e-300) - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    live = sd > 1e-12 * np.maximum(np.abs(mean), 1e-300)
+    used = live[1:-1].copy()
+    effect = np.zeros(len(used))
+    scale = np.where(live, sd, 1.0)
+    corr = cov / np.outer(scale, scale)
+    while used.any() and live[-1]:
+        at = np.flatnonzero(used)
+        square = corr[np.ix_(at + 1, at + 1)] + ridge / sd[-1] * np.eye(len(at))
+        lower = np.linalg.cholesky(square)
+        solved = np.linalg.solve(lower.T, np.linalg.solve(lower, corr[at + 1, -1]))
+        effect[:] = 0.0
+        effect[at] = solved * sd[-1] / scale[at + 1]
+        negative = (effect < 0) & (np.arange(len(used)) < n_channels)
+        if not negative.any():
+            break
+        used &= ~negative
+    kept = used[:n_channels] | ~live[1 : n_channels + 1]
+    return np.where(used[:n_channels], effect[:n_channels], 0.0), kept
+
+
+def channel_effect_draws(
+    features: DataFrame, kpi: DataFrame, outcomes: list[str], channels: list[str], weights: DataFrame | None = None, ridge: float = 0.1, n_boot: int = 200
+) -> DataFrame:
+    """(outcome, replicate, channel, effect, is_kept): ridge effects of saturated media with market level and season as controls.
+
+    Replicate 0 uses every market once; the others draw as many markets with replacement. The panel is read once for the
+    products of each outcome and market; outcomes and replicates are keys of sums of those, each solved by itself.
+    """
+    sums, names = effect_moments(features, kpi, outcomes, channels)
+    weighted = sums.join(weights, "geo") if weights is not None else sums.withColumn("weight", F.lit(1.0))
+    weighted = cut_lineage(weighted)
+    k = len(names)
+    cells = [c for c in weighted.columns if c.startswith("m_")]
+    geos = weighted.select("geo").distinct()
+    every = geos.withColumn("replicate", F.lit(0)).withColumn("times", F.lit(1).cast("bigint"))
+    order = W.Window.orderBy("geo")  # one row a market
+    picks = geos.withColumn("pick", F.row_number().over(order) - 1)
+    size = geos.agg(F.count("*").alias("n"))
+    drawn = spread(size.select("n", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("replicate")), "replicate") if n_boot else None
+    plan = every
+    if drawn is not None:
+        slots = drawn.withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+        counts = slots.groupBy("replicate", (hash32(F.col("replicate"), F.col("slot")) % F.col("n")).cast("int").alias("pick")).agg(F.count("*").alias("times"))
+        plan = every.unionByName(counts.join(small_side(picks), "pick").select("geo", "replicate", "times"))
+    share = F.col("weight") * F.col("times")
+    keyed = plan.join(small_side(weighted), "geo").groupBy("outcome", "replicate").agg(*[F.sum(share * F.col(c)).alias(c) for c in cells])
+    kind = pa.schema([("outcome", pa.string()), ("replicate", pa.int32()), ("channel", pa.string()), ("effect", pa.float64()), ("is_kept", pa.bool_())])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            square = np.zeros((batch.num_rows, k, k))
+            for c in cells:
+                i, j = map(int, c.split("_")[1:])
+                square[:, i, j] = square[:, j, i] = batch[c].to_numpy(zero_copy_only=False)
+            rows = []
+            for m, outcome, replicate in zip(square, batch["outcome"].to_pylist(), batch["replicate"].to_pylist(), strict=True):
+                effect, kept = ridge_effects(m, len(channels), ridge)
+                rows += [dict(zip(kind.names, (outcome, replicate, c, float(e), bool(s)), strict=True)) for c, e, s in zip(channels, effect, kept, strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, kind)
+
+    return keyed.mapInArrow(solve, "outcome string, replicate int, channel string, effect double, is_kept boolean")
+
+
+def fit_channel_effects(
+    features: DataFrame, kpi: DataFrame, outcome: str | list[str], channels: list[str], weights: DataFrame | None = None, ridge: float = 0.1
+) -> DataFrame:
+    """(outcome, channel, effect, is_kept) of one or several outcomes, all in one job."""
+    outcomes = [outcome] if isinstance(outcome, str) else outcome
+    return channel_effect_draws(features, kpi, outcomes, channels, weights, ridge, 0).drop("replicate")
 
 
 def contributions(features: DataFrame, draws: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from liftfield.operators import budget as B
 from liftfield.operators import media as M
-from parity.common import check, daily, geos, market_daily, population, rounded, spend_daily, spend_events, table, view
+from parity.common import check, daily, geos, h, market_daily, population, rounded, spend_daily, spend_events, table, view
 from parity.response import share
 
 CHANNELS = ["click", "view", "purchase", "signup", "error"]
@@ -152,10 +152,57 @@ def m01(spark, sf):
     return rounded(media_features(spark, sf))
 
 
-@check("m02_channel_effects")
+# normal equations of each outcome and replicate, solved by elimination; a dropped channel's row is that of the unit matrix
+N_BOOT = 200
+_V = ["1.0", *(f"x{i}" for i in range(len(CHANNELS))), "lev", "sin(turn)", "cos(turn)", "y"]
+_K = len(_V)
+view("x_m2p", f"""
+SELECT k.outcome, k.geo, k.y, 2 * pi() * dayofyear(k.date) / 365.25 AS turn, avg(k.y) OVER (PARTITION BY k.outcome, k.geo) AS lev, w.* EXCLUDE (date, geo), w.geo IS NOT NULL AS used
+FROM (SELECT date, geo, 'store' AS outcome, coalesce(store, 0) AS y FROM x_kpi UNION ALL SELECT date, geo, 'marketplace', coalesce(marketplace, 0) FROM x_kpi) k
+LEFT JOIN (SELECT date, geo, {", ".join(f"coalesce(max(feature) FILTER (channel = '{c}'), 0) AS x{i}" for i, c in enumerate(CHANNELS))} FROM x_mfeat GROUP BY 1, 2) w ON w.date = k.date AND w.geo = k.geo
+""")
+view("x_m2g", f"""
+SELECT outcome, geo, population / (SELECT sum(population) FROM x_population) AS weight, {", ".join(f"sum(({_V[i]}) * ({_V[j]})) AS m_{i}_{j}" for i in range(_K) for j in range(i, _K))}
+FROM x_m2p JOIN x_population USING (geo) WHERE used GROUP BY outcome, geo, population
+""", stored=True)
+view("x_m2t", f"""
+SELECT DISTINCT 0 AS rep, geo, 1 AS times FROM x_m2g UNION ALL
+SELECT rep, geo, count(*) FROM (SELECT b.rep, {h('b.rep', 's.slot')} % n AS pick FROM range(1, {N_BOOT + 1}) b(rep), (SELECT count(DISTINCT geo) AS n FROM x_m2g), range(100) s(slot) WHERE s.slot < n)
+JOIN (SELECT geo, row_number() OVER (ORDER BY geo) - 1 AS pick FROM (SELECT DISTINCT geo FROM x_m2g)) USING (pick) GROUP BY 1, 2
+""")
+view("x_m2s", f"SELECT outcome, rep, {', '.join(f'sum(weight * times * m_{i}_{j}) AS m_{i}_{j}' for i in range(_K) for j in range(i, _K))} FROM x_m2g JOIN x_m2t USING (geo) GROUP BY 1, 2")
+_m = lambda i, j: f"m_{min(i, j)}_{max(i, j)}"
+_cov = lambda i, j: f"({_m(i, j)} / m_0_0 - {_m(0, i)} / m_0_0 * {_m(0, j)} / m_0_0)"
+view("x_m2c", f"""
+SELECT outcome, rep, sd[{_K - 1}] AS sd_y, sd[1:{_K - 2}] AS sd, [{", ".join("[" + ", ".join(f"{_cov(i, j)} / (sd[{i}] * sd[{j}])" + (f" + 0.1 / sd[{_K - 1}]" if i == j else "") for j in range(1, _K - 1)) + f", {_cov(i, _K - 1)} / (sd[{i}] * sd[{_K - 1}])]" for i in range(1, _K - 1))}] AS a
+FROM (SELECT *, [{", ".join(f"sqrt({_cov(i, i)})" for i in range(1, _K))}] AS sd FROM x_m2s)
+""", stored=True)
+view("x_m2r", f"""
+SELECT outcome, rep, 1 AS k, list_transform(range({_K - 2}), lambda i: true) AS used, a AS m FROM x_m2c
+UNION ALL
+SELECT outcome, rep, CASE WHEN k <= {_K - 2} THEN k + 1 ELSE 1 END, CASE WHEN k <= {_K - 2} THEN used ELSE list_transform(used, lambda u, i: u AND (i > {len(CHANNELS)} OR m[i][{_K - 1}] >= 0)) END,
+       CASE WHEN k <= {_K - 2} THEN list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / r[k]) ELSE list_transform(r, lambda x, j: x - r[k] * m[k][j] / m[k][k]) END)
+       ELSE list_transform(a, lambda r, i: list_transform(r, lambda x, j: CASE WHEN NOT (used[i] AND (i > {len(CHANNELS)} OR m[i][{_K - 1}] >= 0)) THEN CASE WHEN i = j THEN 1.0 ELSE 0.0 END
+         WHEN j < {_K - 1} AND NOT (used[j] AND (j > {len(CHANNELS)} OR m[j][{_K - 1}] >= 0)) THEN 0.0 ELSE x END)) END
+FROM x_m2r JOIN x_m2c USING (outcome, rep) WHERE k <= {_K - 2} OR len(list_filter(m, lambda r, i: i <= {len(CHANNELS)} AND r[{_K - 1}] < 0)) > 0
+""", stored=True)
+view("x_m2e", f"""
+SELECT outcome, CAST(rep AS INTEGER) AS replicate, {CHANNELS}[CAST(i AS INTEGER)] AS channel, CASE WHEN used[i] THEN m[i][{_K - 1}] * sd_y / sd[i] ELSE 0 END AS effect, used[i] AS is_kept
+FROM x_m2r JOIN x_m2c USING (outcome, rep), range(1, {len(CHANNELS) + 1}) g(i) WHERE k = {_K - 1} AND len(list_filter(m, lambda r, i: i <= {len(CHANNELS)} AND r[{_K - 1}] < 0)) = 0
+""")
+OUTCOMES = ["store", "marketplace"]
+
+
+@check("m02_channel_effects", "SELECT outcome, channel, round(effect, 4) AS effect, is_kept FROM x_m2e WHERE replicate = 0")
 def m02(spark, sf):
     w = M.population_weights(population(spark, sf))
-    return M.fit_channel_effects(media_features(spark, sf), kpi(spark, sf), "store", CHANNELS, w)
+    return rounded(M.fit_channel_effects(media_features(spark, sf), kpi(spark, sf), OUTCOMES, CHANNELS, w), 4)
+
+
+@check("m02_effect_draws", "SELECT outcome, replicate, channel, round(effect, 4) AS effect, is_kept FROM x_m2e")
+def m02b(spark, sf):
+    w = M.population_weights(population(spark, sf))
+    return rounded(M.channel_effect_draws(media_features(spark, sf), kpi(spark, sf), OUTCOMES, CHANNELS, w, n_boot=N_BOOT), 4)
 
 
 # effect draws: one per line item, channel by line number, outcome by return flag

@@ -118,6 +118,19 @@ def test_channel_effects_are_found(spark):
     e = by(M.fit_channel_effects(feats, k, "store", ["x", "y", "z"], ridge=1e-4), "channel")
     assert e["x"]["effect"] == pytest.approx(300, rel=0.15) and e["y"]["effect"] == pytest.approx(100, rel=0.3)
     assert e["z"]["effect"] == 0.0 and not e["z"]["is_kept"]
+    # the same numbers as the library's weighted ridge on the rows
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    turn = 2 * math.pi * F.dayofyear("date") / 365.25
+    wide = feats.where("channel <> 'z'").groupBy("date", "geo").pivot("channel").agg(F.first("feature")).join(k, ["date", "geo"])
+    wide = wide.join(k.groupBy("geo").agg(F.avg("store").alias("level")), "geo").select("x", "y", "level", F.sin(turn).alias("s"), F.cos(turn).alias("c"), "store", (F.substring("geo", 2, 1).cast("double") + 1).alias("w"))
+    model = LinearRegression(featuresCol="v", labelCol="store", weightCol="w", regParam=50.0, solver="normal").fit(VectorAssembler(inputCols=["x", "y", "level", "s", "c"], outputCol="v").transform(wide))
+    weights = k.select("geo").distinct().withColumn("weight", F.substring("geo", 2, 1).cast("double") + 1)
+    draws = by(M.channel_effect_draws(feats, k, ["store"], ["x", "y", "z"], weights, 50.0, 30), "replicate", "channel")
+    assert [draws[0, c]["effect"] for c in "xy"] == pytest.approx(model.coefficients[:2], rel=1e-6)
+    drawn = [draws[b, "x"]["effect"] for b in range(1, 31)]
+    assert len(draws) == 31 * 3 and len(set(drawn)) > 20 and abs(sum(drawn) / 30 - draws[0, "x"]["effect"]) < 3 * max(abs(v - drawn[0]) for v in drawn)
 
 
 def test_rhat_flags_chains_that_disagree(spark):
