@@ -28,6 +28,9 @@ UNKNOWN = "und"
 PIECE = 2 << 20
 ROWS = 4096
 GRAMS = 1 << 14
+#: Rows of one block product, and the share of rows (one in so many) from which a trigram is frequent.
+BLOCK_ROWS = 512
+SPARSE = 150
 _LETTERS: list[np.ndarray] = []
 
 
@@ -96,16 +99,39 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def profiles(rows: np.ndarray, numbers: np.ndarray, weight: np.ndarray, spelled: np.ndarray, n: int, dimensions: int) -> np.ndarray:
-    """Weighted sums of the rows' trigram vectors, a bounded number of trigrams and entries at a time."""
+    """Weighted sums of the rows' trigram vectors, a bounded number of trigrams and entries at a time.
+
+    Trigrams that a good part of the rows has are summed as products of blocks (rows × trigrams times trigrams ×
+    dimensions), the others entry by entry; both give the same sums.
+    """
     out = np.zeros((n, dimensions), np.float32)
-    for low in range(0, len(spelled), GRAMS):
-        vectors = bound(spelled[low : low + GRAMS], dimensions)
-        some = slice(None) if len(spelled) <= GRAMS else (numbers >= low) & (numbers < low + GRAMS)
-        own, number, w = rows[some], numbers[some] - low, weight[some].astype(np.float32)
-        for at in range(0, len(own), GRAMS):
-            r = own[at : at + GRAMS]
+    weight = weight.astype(np.float32)
+    often = np.bincount(numbers, minlength=len(spelled)) * SPARSE >= n
+    frequent = np.flatnonzero(often)
+    if len(frequent):
+        column = np.cumsum(often) - 1
+        some = often[numbers]
+        own, col, w = rows[some], column[numbers[some]], weight[some]
+        for low in range(0, len(frequent), GRAMS):
+            vectors = bound(spelled[frequent[low : low + GRAMS]], dimensions)
+            for at in range(0, n, BLOCK_ROWS):
+                part = slice(*np.searchsorted(own, (at, at + BLOCK_ROWS)))
+                here = slice(None) if len(frequent) <= GRAMS else (col[part] >= low) & (col[part] < low + GRAMS)
+                block = np.zeros((min(BLOCK_ROWS, n - at), len(vectors)), np.float32)
+                block[own[part][here] - at, col[part][here] - low] = w[part][here]
+                out[at : at + BLOCK_ROWS] += block @ vectors
+    seldom = np.flatnonzero(~often)
+    some = ~often[numbers]
+    column = np.cumsum(~often) - 1
+    own, col, w = rows[some], column[numbers[some]], weight[some]
+    for low in range(0, len(seldom), GRAMS):
+        vectors = bound(spelled[seldom[low : low + GRAMS]], dimensions)
+        here = slice(None) if len(seldom) <= GRAMS else (col >= low) & (col < low + GRAMS)
+        r_all, c_all, w_all = own[here], col[here] - low, w[here]
+        for at in range(0, len(r_all), GRAMS):
+            r = r_all[at : at + GRAMS]
             first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            out[r[first]] += np.add.reduceat(vectors[number[at : at + GRAMS]] * w[at : at + GRAMS, None], first, axis=0)
+            out[r[first]] += np.add.reduceat(vectors[c_all[at : at + GRAMS]] * w_all[at : at + GRAMS, None], first, axis=0)
     return out
 
 
