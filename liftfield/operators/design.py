@@ -115,16 +115,45 @@ def _ranked(markets: DataFrame) -> DataFrame:
     return markets.withColumn("cell", cell)
 
 
+#: Candidates drawn from one row of the plan.
+DRAWS = 256
+
+
 def candidate_scores(markets: DataFrame, n_candidates: int = 10_000, covariates=COVARIATES, tolerance: float = 0.10) -> DataFrame:
     """Balance of ``n_candidates`` hash-drawn assignments per test.
 
-    ``markets`` is one row per (test, market) with covariates and ``n_holdout``; one shuffle on
-    (test, candidate) serves both the ranking and the aggregate.
+    ``markets`` is one row per (test, market) with covariates and ``n_holdout``. A test's markets travel as one array, with
+    their covariates measured from the test's mean; a candidate is an ordering of that array, and its balance comes from
+    sums over the holdout and the test's totals. Only blocks of candidates are dealt out, nothing is shuffled by candidate.
+    A missing covariate counts as the test's mean.
     """
-    cols = ["test_id", "geo", "n_holdout", *covariates]
-    cand = spread(markets.select(*cols), "test_id", "geo").withColumn(
-        "candidate", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
-    return balance_scores(_ranked(cand), ["test_id", "candidate"], covariates, tolerance)
+    number = lambda c: F.col(c).cast("double")
+    means = markets.groupBy("test_id").agg(F.array(*[F.coalesce(F.avg(number(c)), F.lit(0.0)) for c in covariates]).alias("means"))
+    off = F.array(*[F.coalesce(number(c) - F.col("means")[i], F.lit(0.0)) for i, c in enumerate(covariates)])
+    packed = markets.join(means, "test_id").groupBy("test_id").agg(
+        F.sort_array(F.collect_list(F.struct("geo", off.alias("z")))).alias("markets"), F.max("n_holdout").cast("int").alias("n_holdout"))
+    nothing = F.array(*[F.lit(0.0) for _ in range(2 * len(covariates))])
+    both = lambda m: F.concat(m["z"], F.transform(m["z"], lambda v: v * v))
+    added = lambda rows: F.aggregate(rows, nothing, lambda acc, m: F.zip_with(acc, m, lambda a, b: a + b))
+    packed = packed.withColumn("sums", F.transform("markets", both)).withColumn("total", added(F.col("sums")))
+    blocks = spread(packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_candidates - 1) // DRAWS)))), "test_id", "block")
+    first = F.col("block") * DRAWS
+    plan = blocks.withColumn("candidate", F.explode(F.sequence(first, F.least(first + DRAWS - 1, F.lit(n_candidates - 1)))))
+    drawn = F.sort_array(F.transform("markets", lambda m, i: F.struct(
+        hash32(F.col("test_id"), F.col("candidate"), m["geo"]).alias("h"), m["geo"].alias("geo"), i.alias("i"))))
+    held = F.transform(F.slice(drawn, 1, F.col("n_holdout")), lambda d: F.get("sums", d["i"]))
+    rows = plan.select("test_id", "candidate", added(held).alias("h"), "total", F.col("n_holdout").alias("nh"), (F.size("markets") - F.col("n_holdout")).alias("nt"))
+    k, smd = len(covariates), []
+    for i in range(k):
+        h, q = F.col("h")[i], F.col("h")[k + i]
+        t, u = F.col("total")[i] - h, F.col("total")[k + i] - q
+        var = lambda s, q, n: F.when(n > 1, F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))
+        pooled = (var(t, u, F.col("nt")) + var(h, q, F.col("nh"))) / 2
+        real = pooled > 1e-12 * F.col("total")[k + i] / (F.col("nt") + F.col("nh"))
+        smd.append(F.when(real, F.abs(t / F.col("nt") - h / F.col("nh")) / F.sqrt(pooled)).otherwise(0.0))
+    worst = F.greatest(*smd, F.lit(0.0))
+    return rows.select("test_id", "candidate", worst.alias("max_smd")).select(
+        "test_id", "candidate", "max_smd", F.greatest(F.lit(0.0), 1 - F.col("max_smd") / 0.5).alias("balance_score"), (F.col("max_smd") <= tolerance).alias("is_balanced"))
 
 
 def best_candidate(scores: DataFrame) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from liftfield.functions.hashing import hash32
@@ -44,47 +49,63 @@ def response_points(levels: DataFrame) -> DataFrame:
         "organic_growth"))
 
 
-def _grid_best(points: DataFrame, keys: list[str], grid: Column) -> DataFrame:
-    """Least-squares scale of every (k, alpha) of the grid array and the best one per key.
+# ---- curve fits: one row a key, its points as arrays --------------------------------------
 
-    Given k and alpha the curve is linear in its scale, so three weighted sums per grid cell are enough.
-    """
-    totals = points.groupBy(*keys).agg(F.sum(F.col("w") * F.col("y") * F.col("y")).alias("syy"))
-    cells = points.withColumn("g", F.explode(grid)).select(*keys, "x", "y", "w", "g.*")
-    share = hill_revenue(F.col("x"), F.lit(1.0), F.col("k"), F.col("alpha"))
-    sums = cells.withColumn("h", share).groupBy(*keys, "k", "alpha").agg(
-        F.sum(F.col("w") * F.col("y") * F.col("h")).alias("syh"), F.sum(F.col("w") * F.col("h") * F.col("h")).alias("shh"))
-    r = F.greatest(F.col("syh") / F.col("shh"), F.lit(0.0))
-    scored = sums.join(totals, keys).withColumn("r_max", r).withColumn(
-        "sse", F.col("syy") - 2 * F.col("r_max") * F.col("syh") + F.col("r_max") * F.col("r_max") * F.col("shh"))
-    best = scored.groupBy(*keys).agg(F.min_by(F.struct("r_max", "k", "alpha", "sse"), F.struct("sse", "k", "alpha")).alias("b"))
-    return best.select(*keys, "b.*")
+
+def _curve(x: np.ndarray, k: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """``hill_revenue`` of scale 1 for every (k, alpha) and point."""
+    power = np.maximum(x[None, :], 1e-10) ** alpha[:, None]
+    return power / (np.maximum(k, 1e-10)[:, None] ** alpha[:, None] + power)
+
+
+def _best_cell(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: np.ndarray, alpha: np.ndarray) -> tuple[float, float, float, float]:
+    """Scale, k, alpha and error of the best cell; given k and alpha the curve is linear in its scale."""
+    share = _curve(x, k, alpha)
+    syh, shh = share @ (w * y), (share * share) @ w
+    scale = np.maximum(np.divide(syh, shh, out=np.zeros_like(syh), where=shh > 0), 0.0)
+    sse = np.sum(w * y * y) - 2 * scale * syh + scale * scale * shh
+    at = np.lexsort((alpha, k, np.where(np.isnan(sse), np.inf, sse)))[0]
+    return float(scale[at]), float(k[at]), float(alpha[at]), float(sse[at])
+
+
+def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, k0: float, alpha_high: float) -> tuple[float | None, float, float, bool]:
+    alphas = np.arange(1, round(alpha_high * 10) + 1) / 10.0
+    k, alpha = (g.ravel() for g in np.meshgrid(k0 * 10.0 ** (np.arange(-20, 21) / 10.0), alphas, indexing="ij"))
+    _, k1, alpha1, _ = _best_cell(x, y, w, k, alpha)
+    near = np.minimum(np.maximum(alpha1 + np.arange(-10, 11) / 100.0, ALPHA_LOW), alpha_high)
+    k, alpha = (g.ravel() for g in np.meshgrid(k1 * 10.0 ** (np.arange(-20, 21) / 200.0), near, indexing="ij"))
+    scale, k2, alpha2, sse = _best_cell(x, y, w, k, alpha)
+    if not np.isnan(sse):
+        return scale, k2, alpha2, True
+    log = np.log1p(x)
+    spread_ = np.var(log)
+    slope = np.mean((log - log.mean()) * (y - y.mean())) / spread_ if spread_ > 0 else None
+    return None if slope is None else float(slope * log.max() * 2), k0, 0.5, False
 
 
 def fit_hill(points: DataFrame, keys: list[str], alpha_high: float = 3.0) -> DataFrame:
     """Hill curve per key on a grid over (k, alpha), then a finer grid around the best cell.
 
-    ``points`` has x, y, a weight w and a starting half-saturation k0. Keys without a usable fit get the
-    log-linear fallback and ``converged`` = false.
+    ``points`` has x, y, a weight w and a starting half-saturation k0. Only the points are shuffled, packed into one row a
+    key; grids live in the task that solves the row. Keys without a usable fit get the log-linear fallback and
+    ``converged`` = false.
     """
-    coarse = F.flatten(F.transform(F.sequence(F.lit(-20), F.lit(20)), lambda i: F.transform(
-        F.sequence(F.lit(1), F.lit(round(alpha_high * 10))),
-        lambda j: F.struct((F.col("k0") * F.pow(F.lit(10.0), i / 10.0)).alias("k"), (j / 10.0).alias("alpha")))))
-    first = cut_lineage(_grid_best(points, keys, coarse))
-    centred = points.join(first.select(*keys, F.col("k").alias("_k"), F.col("alpha").alias("_a")), keys)
-    fine = F.flatten(F.transform(F.sequence(F.lit(-20), F.lit(20)), lambda i: F.transform(
-        F.sequence(F.lit(-10), F.lit(10)),
-        lambda j: F.struct(
-            (F.col("_k") * F.pow(F.lit(10.0), i / 200.0)).alias("k"),
-            F.least(F.greatest(F.col("_a") + j / 100.0, F.lit(ALPHA_LOW)), F.lit(alpha_high)).alias("alpha")))))
-    fitted = _grid_best(centred, keys, F.array_distinct(fine))
-    fallback = points.groupBy(*keys).agg(
-        (F.regr_slope("y", F.log1p("x")) * F.log1p(F.max("x")) * 2).alias("_r"), F.first("k0").alias("_k0"))
-    rows = fallback.join(fitted, keys, "left")
-    ok = F.col("sse").isNotNull() & ~F.isnan("sse")
-    return cut_lineage(rows.select(
-        *keys, F.when(ok, F.col("r_max")).otherwise(F.col("_r")).alias("r_max"), F.when(ok, F.col("k")).otherwise(F.col("_k0")).alias("k"),
-        F.when(ok, F.col("alpha")).otherwise(0.5).alias("alpha"), ok.alias("converged")))
+    packed = points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "w")]))).alias("p"), F.first("k0").cast("double").alias("k0"))
+    kinds = {f.name: f.dataType for f in packed.schema.fields}
+    out = T.StructType([*(T.StructField(k, kinds[k]) for k in keys), T.StructField("r_max", T.DoubleType()), T.StructField("k", T.DoubleType()),
+                        T.StructField("alpha", T.DoubleType()), T.StructField("converged", T.BooleanType())])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = []
+            for points, k0 in zip(batch["p"].to_pylist(), batch["k0"].to_pylist(), strict=True):
+                x, y, w = (np.array([q[c] for q in points], float) for c in ("x", "y", "w"))
+                fits.append(_fit(x, y, w, k0, alpha_high))
+            kinds = (pa.float64(), pa.float64(), pa.float64(), pa.bool_())
+            found = [pa.array([f[i] for f in fits], kind) for i, kind in enumerate(kinds)]
+            yield pa.record_batch([*(batch[k] for k in keys), *found], [*keys, "r_max", "k", "alpha", "converged"])
+
+    return cut_lineage(packed.mapInArrow(solve, out))
 
 
 def anchored(points: DataFrame, keys: list[str], weighted: bool = False) -> DataFrame:
@@ -116,12 +137,31 @@ def calibrate(curves: DataFrame, points: DataFrame, causal: DataFrame, keys: lis
 def optimal_spend(curves: DataFrame, keys: list[str], target: float = 1.0) -> DataFrame:
     """First of 10,000 spend levels up to max(3·current, 5·k) whose slope is below the target, else the last."""
     n = GRID_POINTS
-    top = F.greatest(F.col("current") * 3, F.col("k") * 5)
-    rows = spread(curves.select(*keys, "r_max", "k", "alpha", "current"), *keys).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    at = F.lit(0.01) + (top - 0.01) * F.col("i") / (n - 1)
-    low = hill_slope(F.col("s"), F.col("r_max"), F.col("k"), F.col("alpha")) < target
-    return rows.withColumn("s", at).groupBy(*keys).agg(
-        F.coalesce(F.min(F.when(low, F.col("s"))), F.max("s")).alias("optimal"))
+    rows = curves.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("r_max", "k", "alpha", "current")])
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    out = T.StructType([*(T.StructField(k, kinds[k]) for k in keys), T.StructField("optimal", T.DoubleType())])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = np.arange(n)
+        for batch in batches:
+            best = []
+            for r, k, alpha, current in zip(*(batch[c].to_pylist() for c in ("r_max", "k", "alpha", "current")), strict=True):
+                tops = [v for v in (None if current is None else current * 3, None if k is None else k * 5) if v is not None]
+                if not tops:
+                    best.append(None)
+                    continue
+                s = 0.01 + (max(tops) - 0.01) * step / (n - 1)
+                at = s
+                if None not in (r, k, alpha):
+                    low = np.maximum(s, 1e-10)
+                    half, power = k**alpha, low**alpha
+                    den = (half + power) ** 2
+                    slope = np.where(den < 1e-20, 0.0, r * alpha * half * low ** (alpha - 1.0) / np.maximum(den, 1e-300))
+                    at = s[slope < target]
+                best.append(float(at[0]) if len(at) and at is not s else float(s[-1]))
+            yield pa.record_batch([*(batch[k] for k in keys), pa.array(best, pa.float64())], [*keys, "optimal"])
+
+    return rows.mapInArrow(solve, out)
 
 
 def response_summary(curves: DataFrame, points: DataFrame, target: float = 1.0) -> DataFrame:
@@ -151,7 +191,7 @@ def response_summary(curves: DataFrame, points: DataFrame, target: float = 1.0)
 def bootstrap_curves(points: DataFrame, causal: DataFrame | None = None, target: float = 1.0, n_boot: int = 200) -> DataFrame:
     """Curve and optimum of every replicate of every test: (test_id, rep, r_max, k, alpha, optimal).
 
-    A replicate is a set of market weights, so all replicates share one grid and one shuffle.
+    A replicate is a row with its markets' weights; it is fitted and searched where it lies.
     """
     order = W.Window.partitionBy("test_id").orderBy("geo")
     base = points.withColumn("pick", F.row_number().over(order) - 1).withColumn("k0", F.median("x").over(W.Window.partitionBy("test_id")))

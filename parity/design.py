@@ -256,7 +256,7 @@ SELECT candidate, {SMDS} FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION
 """)
 _G = f"greatest({', '.join(COVS)})"
 view("x_best_cand", f"""
-SELECT CAST(candidate AS INTEGER) AS candidate, {_G} AS max_smd, greatest(0, 1 - {_G} / 0.5) AS balance_score, {_G} <= 0.5 AS is_balanced
+SELECT CAST(candidate AS INTEGER) AS candidate, {_G} AS max_smd, greatest(0, 1 - {_G} / 0.5) AS balance_score, {_G} <= 0.10 AS is_balanced
 FROM x_candidates ORDER BY is_balanced DESC, balance_score DESC, candidate LIMIT 1
 """)
 
@@ -266,9 +266,9 @@ def markets(spark, sf, tests: bool = True):
     return per_test(spark, m) if tests else m.withColumn("test_id", F.lit("all"))
 
 
-@check("d01_candidate_scores", f"SELECT 'all' AS test_id, CAST(candidate AS INTEGER) AS candidate, round({_G}, 6) AS max_smd, round(greatest(0, 1 - {_G} / 0.5), 6) AS balance_score, {_G} <= 0.5 AS is_balanced FROM x_candidates")
+@check("d01_candidate_scores", f"SELECT 'all' AS test_id, CAST(candidate AS INTEGER) AS candidate, round({_G}, 6) AS max_smd, round(greatest(0, 1 - {_G} / 0.5), 6) AS balance_score, {_G} <= 0.10 AS is_balanced FROM x_candidates")
 def d01(spark, sf):
-    return rounded(D.candidate_scores(markets(spark, sf, False), N_CAND, tolerance=0.5))
+    return rounded(D.candidate_scores(markets(spark, sf, False), N_CAND))
 
 
 @check("d01_rerandomised", f"""
@@ -276,12 +276,12 @@ SELECT 'all' AS test_id, geo, CASE WHEN row_number() OVER (ORDER BY {h("'all'",
 FROM x_matching, x_best_cand
 """)
 def d01b(spark, sf):
-    return D.rerandomised_assignment(markets(spark, sf, False), N_CAND, tolerance=0.5).select("test_id", "geo", "cell")
+    return D.rerandomised_assignment(markets(spark, sf, False), N_CAND).select("test_id", "geo", "cell")
 
 
 @check("t03_best_candidate", "SELECT 'all' AS test_id, candidate, round(balance_score, 6) AS balance_score, round(max_smd, 6) AS max_smd, is_balanced FROM x_best_cand")
 def t03(spark, sf):
-    return rounded(D.best_candidate(D.candidate_scores(markets(spark, sf, False), N_CAND, tolerance=0.5)))
+    return rounded(D.best_candidate(D.candidate_scores(markets(spark, sf, False), N_CAND)))
 
 
 @check("d02_mahalanobis_assignment")

@@ -105,8 +105,7 @@ def c24(spark, sf):
 @check("d12_auto_design")
 def d12(spark, sf):
     return design.auto_design(
-        PD.pre_panel(spark, sf).select("test_id", "geo", "date", "revenue"), per_test(spark, PD.matching(spark, sf)), PD.edges(spark, sf), "2001-08-01",
-        design.DesignSettings(balance_tolerance=0.5))[0]
+        PD.pre_panel(spark, sf).select("test_id", "geo", "date", "revenue"), per_test(spark, PD.matching(spark, sf)), PD.edges(spark, sf), "2001-08-01")[0]
 
 
 # ---- budget by running sum ------------------------------------------------------------------
