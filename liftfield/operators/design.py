@@ -152,6 +152,7 @@ def candidate_scores(markets: DataFrame, n_candidates: int = 10_000, covariates=
         real = pooled > 1e-12 * F.col("total")[k + i] / (F.col("nt") + F.col("nh"))
         smd.append(F.when(real, F.abs(t / F.col("nt") - h / F.col("nh")) / F.sqrt(pooled)).otherwise(0.0))
     worst = F.greatest(*smd, F.lit(0.0))
+    worst = F.when((F.col("nt") > 0) & (F.col("nh") > 0), worst)  # no balance without two cells
     return rows.select("test_id", "candidate", worst.alias("max_smd")).select(
         "test_id", "candidate", "max_smd", F.greatest(F.lit(0.0), 1 - F.col("max_smd") / 0.5).alias("balance_score"), (F.col("max_smd") <= tolerance).alias("is_balanced"))
 
@@ -169,6 +170,37 @@ def rerandomised_assignment(markets: DataFrame, n_candidates: int = 10_000, cova
     return _ranked(markets.join(best.select("test_id", "candidate"), "test_id")).drop("candidate")
 
 
+def failed_tests(markets: DataFrame, best: DataFrame, must_balance: bool = False) -> DataFrame:
+    """Tests that re-randomisation can't serve: without a usable candidate or, if ``must_balance``, without a balanced one."""
+    good = best.filter(F.col("max_smd").isNotNull() & (F.col("is_balanced") | F.lit(not must_balance))).select("test_id")
+    return markets.select("test_id").distinct().join(good, "test_id", "left_anti")
+
+
+def assigned_with_fallback(markets: DataFrame, n_candidates: int = 10_000, covariates=COVARIATES, tolerance: float = 0.10, must_balance: bool = False) -> DataFrame:
+    """Best drawn assignment of each test, and matched pairs of the tests where drawing fails; ``method`` says which."""
+    best = cut_lineage(best_candidate(candidate_scores(markets, n_candidates, covariates, tolerance)))
+    failed = cut_lineage(failed_tests(markets, best, must_balance))
+    drawn = _ranked(markets.join(failed, "test_id", "left_anti").join(best.select("test_id", "candidate"), "test_id")).drop("candidate")
+    drawn = drawn.withColumn("method", F.lit("rerandomised"))
+    if failed.isEmpty():
+        return drawn
+    pairs = mahalanobis_assignment(markets.join(failed, "test_id", "left_semi"), covariates)
+    return drawn.unionByName(pairs.withColumn("method", F.lit("matched_pairs")))
+
+
+def campaign_scope(markets: DataFrame, spend: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """Markets with the ad spend of their test's campaigns only; tests without campaigns keep all of theirs.
+
+    ``spend`` has (geo, campaign_id, spend), ``campaigns`` (test_id, campaign_id).
+    """
+    wanted = campaigns.select("test_id", "campaign_id").distinct()
+    own = spend.groupBy("geo", "campaign_id").agg(F.sum("spend").alias("spend")).join(wanted, "campaign_id").groupBy("test_id", "geo").agg(F.sum("spend").alias("_own"))
+    scoped = wanted.groupBy("test_id").agg(F.lit(True).alias("_scoped"))
+    rows = markets.join(scoped, "test_id", "left").join(own, ["test_id", "geo"], "left")
+    amount = F.when(F.col("_scoped"), F.coalesce("_own", F.lit(0.0))).otherwise(F.col("total_ad_spend"))
+    return rows.withColumn("total_ad_spend", amount).drop("_scoped", "_own")
+
+
 # ---- Mahalanobis matching -------------------------------------------------------------------
 
 

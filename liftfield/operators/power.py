@@ -169,24 +169,32 @@ def prefix_sums(panel: DataFrame, value: str = "revenue") -> DataFrame:
         F.sum(F.coalesce("y", F.lit(0.0))).over(w).alias("s"), F.sum(F.coalesce("c", F.lit(0))).over(w).alias("n"))
 
 
-def backtest_bounds(panel: DataFrame, post_days: int) -> DataFrame:
-    """First and last usable split position per test; tests with too short a history are left out."""
+def backtest_bounds(panel: DataFrame, post_days: int | DataFrame) -> DataFrame:
+    """First and last usable split position per test; tests with too short a history are left out.
+
+    ``post_days`` is one length for all tests, or (test_id, post_days) with a length for each, carried along as a column.
+    """
     n = date_index(panel).groupBy("test_id").agg(F.max("n_dates").cast("int").alias("n_dates"))
-    enough = n.filter(F.col("n_dates") >= post_days + 14)
-    low = F.greatest(F.lit(14), F.col("n_dates") - 3 * post_days)
-    high = F.col("n_dates") - post_days
+    own = isinstance(post_days, DataFrame)
+    n = n.join(post_days.select("test_id", F.col("post_days").cast("int").alias("post_days")), "test_id") if own else n
+    days = F.col("post_days") if own else F.lit(post_days)
+    enough = n.filter(F.col("n_dates") >= days + 14)
+    low = F.greatest(F.lit(14), F.col("n_dates") - 3 * days)
+    high = F.col("n_dates") - days
     low = F.when(low > high, F.lit(14)).otherwise(low)
     return enough.withColumn("low", low).withColumn("high", F.when(high <= F.col("low"), F.col("low") + 1).otherwise(high))
 
 
-def backtest_statistics(panel: DataFrame, post_days: int, effects=EFFECTS, value: str = "revenue") -> DataFrame:
+def backtest_statistics(panel: DataFrame, post_days: int | DataFrame, effects=EFFECTS, value: str = "revenue") -> DataFrame:
     """t statistic of every (test, split position, injected effect), effect 0 included.
 
-    Replicates only choose among these rows, so they never touch the panel.
+    Replicates only choose among these rows, so they never touch the panel. Tests of all lengths are one job: a split
+    meets the running sums at its two ends, wherever those are.
     """
     bounds = backtest_bounds(panel, post_days)
-    splits = bounds.select("test_id", "n_dates", F.explode(F.sequence("low", "high")).alias("split")).withColumn(
-        "last", F.least(F.col("split") + post_days, F.col("n_dates") - 1)).withColumn("before", F.col("split") - 1)
+    days = F.col("post_days") if isinstance(post_days, DataFrame) else F.lit(post_days)
+    splits = bounds.select("test_id", "n_dates", F.explode(F.sequence("low", "high")).alias("split"), days.alias("days")).withColumn(
+        "last", F.least(F.col("split") + F.col("days"), F.col("n_dates") - 1)).withColumn("before", F.col("split") - 1).drop("days")
     sums = cut_lineage(prefix_sums(panel, value))
     a = sums.select("test_id", "geo", "cell", F.col("idx").alias("before"), F.col("s").alias("s0"), F.col("n").alias("n0"))
     b = sums.select("test_id", "geo", F.col("idx").alias("last"), F.col("s").alias("s1"), F.col("n").alias("n1"))
@@ -210,7 +218,7 @@ def backtest_plan(bounds: DataFrame, n_sims: int = 200, effects=EFFECTS) -> Data
     return rows.select("test_id", "effect", "rep", split.cast("int").alias("split"))
 
 
-def backtest_power(panel: DataFrame, post_days: int, n_sims: int = 200, alpha: float = 0.05, effects=EFFECTS, value: str = "revenue") -> DataFrame:
+def backtest_power(panel: DataFrame, post_days: int | DataFrame, n_sims: int = 200, alpha: float = 0.05, effects=EFFECTS, value: str = "revenue") -> DataFrame:
     """Per test and effect: share of replicates that detect it (effect 0 = false-positive rate)."""
     stats = backtest_statistics(panel, post_days, effects, value)
     p = F.coalesce(student_t_two_sided_p(F.col("t_stat"), F.col("dof").cast("double")), F.lit(1.0))

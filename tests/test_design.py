@@ -182,10 +182,44 @@ def test_auto_design_is_complete(spark):
     assert r["test_id"] == "a" and str(r["start_date"]) == "2024-06-10"
     assert (r["end_date"] - r["start_date"]).days == 7 * r["duration_weeks"]
     assert r["n_treatment_all"] + r["n_holdout_all"] == 24 and cells.count() == 24
+    assert r["method"] == "rerandomised" and r["scope"] == "channel" and r["campaign_ids"] == []
     with pytest.raises(ValueError):
         DesignSettings(alpha=1.5)
 
 
+def test_unserved_tests_get_matched_pairs(spark):
+    rows, schema = market_rows(12, ("a", "b"))
+    m = spark.createDataFrame(rows, schema)
+    m = m.withColumn("n_holdout", F.when(F.col("test_id") == "b", 12).otherwise(F.col("n_holdout")))  # no second cell: no balance
+    got = design.assigned_with_fallback(m, 60, tolerance=5.0)
+    assert {(r["test_id"], r["method"]) for r in got.select("test_id", "method").distinct().collect()} == {("a", "rerandomised"), ("b", "matched_pairs")}
+    assert got.count() == 24
+    strict = design.assigned_with_fallback(m.filter("test_id = 'a'"), 60, tolerance=0.0, must_balance=True)
+    cells = by(strict.groupBy("cell", "method").agg(F.count("*").alias("n")), "cell", "method")
+    held = m.filter("test_id = 'a'").first()["n_holdout"]
+    assert cells["holdout", "matched_pairs"]["n"] == min(held, 12 - held) and len(cells) == 2
+
+
+def test_campaign_scope_takes_its_own_spend(spark):
+    m = spark.createDataFrame([("a", "x", 9.0), ("a", "y", 9.0), ("b", "x", 7.0)], "test_id string, geo string, total_ad_spend double")
+    spend = spark.createDataFrame([("x", "c1", 1.0), ("x", "c1", 2.0), ("x", "c2", 4.0), ("x", "c3", 8.0)], "geo string, campaign_id string, spend double")
+    wanted = spark.createDataFrame([("a", "c1"), ("a", "c2"), ("a", "c2")], "test_id string, campaign_id string")
+    got = {(r["test_id"], r["geo"]): r["total_ad_spend"] for r in design.campaign_scope(m, spend, wanted).collect()}
+    assert got == {("a", "x"): 7.0, ("a", "y"): 0.0, ("b", "x"): 7.0}
+
+
+def test_backtests_of_several_lengths_in_one_job(spark):
+    from liftfield.operators import power
+
+    rows = [(t, f"g{g}", "treatment" if g < 5 else "holdout", day(d), 100.0 + noise(t, g, d)) for t in "ab" for g in range(8) for d in range(70)]
+    p = spark.createDataFrame(rows, "test_id string, geo string, cell string, date date, revenue double")
+    lengths = spark.createDataFrame([("a", 14), ("b", 21)], "test_id string, post_days int")
+    both = {(r["test_id"], r["effect"]): r["detected"] for r in power.backtest_power(p, lengths, 20).collect()}
+    for t, days in (("a", 14), ("b", 21)):
+        alone = power.backtest_power(p.filter(F.col("test_id") == t), days, 20).collect()
+        assert alone and all(both[t, r["effect"]] == r["detected"] for r in alone)
+
+
 def test_greedy_pairs_end_on_unusable_markets(spark):
     rows = [("t", "a", None, 0.0), ("t", "b", float("nan"), 1.0), ("t", "c", 0.0, 0.0), ("t", "d", 0.2, 0.0), ("t", "d", 0.2, 0.0), ("t", "e", 900.0, 0.0),
             ("t", "f", float("inf"), 0.0), ("u", "a", None, None), ("u", "b", None, None)]
