@@ -3,8 +3,9 @@
 Each token's class is predicted from the two tokens on either side, and the word from its class by the counts of all
 words of the corpus, which stay a Spark table that scoring joins. Classes are the most frequent words, one each, the
 endings of all other words, and the edge of a text; their numbers grow with the square root of the distinct words that
-occur at least ``COUNTED`` times. The network learns where the documents are: each task from all its windows, and the
-tasks' weights are averaged after each round, so the driver holds one set of weights and the vocabulary.
+occur at least ``COUNTED`` times. Texts are written once as classes; a hash of their content deals them to a number of
+learners that the corpus alone sets, each learns from all its windows, and their weights are averaged after each round. The
+driver holds one set of weights and the vocabulary.
 
 With a given number of words, a fixed network of one token on either side scores classes only: the counts of all
 (left, token, right) windows are sufficient for its loss, and it becomes a table of conditional log-probabilities.
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftfield.llm.common import coded, hash_words, pieces, split_words, texts
+from liftfield.llm.common import coded, hash_words, pieces, split_words, tasks, texts
 from liftfield.session import cut_lineage
 
 WORDS = 127
@@ -126,17 +127,24 @@ def train(counts: np.ndarray, hidden: int = HIDDEN, steps: int = STEPS, seed: in
     return np.log(p).astype(np.float32).reshape(v, v, v).transpose(0, 2, 1).copy()
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+def softmax(z: np.ndarray, small: bool = False) -> np.ndarray:
+    """In place; ``small`` says that no value is large enough to overflow."""
+    if not small:
+        z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
 
 
 #: Distinct words of the corpus that occur so often let the vocabulary and the classes of all other words grow.
 COUNTED = 5
 OFFSETS = (-2, -1, 1, 2)
-BATCH = 8192
-#: Tokens that training sees at least, by repeated passes over a small corpus; each pass over a corpus is in two rounds.
-LEAST_TOKENS = 4_000_000
+#: Tokens whose hidden units are held at once.
+SCORED = 1 << 15
+#: There are as many learners as the square root of the corpus in units of so many tokens, and a step of training takes as
+#: many tokens as the square root of all, so each learner makes about the same number of steps at every size.
+LEARNED = 1_000_000
+ROUNDS = 2
 ADDED = 0.5
 CHUNK = 4096
 
@@ -171,19 +179,22 @@ class Classes(Tokens):
             out = np.where(self.hashes[at] == h, self.ids[at], out)
         return h, out
 
-    def wide(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, class, classes of the four words around, and row of each token."""
+    def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, class and row of each token."""
         words, rows = split_words(text)
         code, distinct = coded(words)
-        h, t = self.of(cleaned(distinct))
         if not len(code):
-            return np.zeros(0, np.uint64), code, np.zeros((len(OFFSETS), 0), np.int64), rows
-        h, t = h[code], t[code]
-        around = np.full((len(OFFSETS), len(t)), self.edge)
+            return np.zeros(0, np.uint64), code, rows
+        h, t = self.of(cleaned(distinct))
+        return h[code], t[code], rows
+
+    def around(self, t: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Classes of the four words around each token."""
+        out = np.full((len(OFFSETS), len(t)), self.edge, np.int16 if self.size < 1 << 15 else np.int32)
         for k, d in enumerate(OFFSETS):
             a, b = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
-            around[k, a] = np.where(rows[a] == rows[b], t[b], self.edge)
-        return h, t, around, rows
+            out[k, a] = np.where(rows[a] == rows[b], t[b], self.edge)
+        return out
 
 
 class Network:
@@ -216,66 +227,123 @@ class Network:
 
     def run(self, w: dict[str, np.ndarray], t: np.ndarray, around: np.ndarray, learn: bool = False):
         """Log-probability of each token; or the gradient of the mean loss."""
-        h = np.tanh(sum(w["e"][k][around[k]] for k in range(len(OFFSETS))) + w["c"])
-        group, place = t // self.span, t % self.span
-        p = softmax(h @ w["u"] + w["b"])
-        every = np.arange(len(t))
-        out = np.log(p[every, group])
+        group = (t // self.span).astype(np.int16)
         order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(self.groups + 1))
-        if learn:
-            g = {k: np.zeros(s, np.float32) for k, s in self.shapes.items()}
-            p[every, group] -= 1
-            p /= len(t)
-            g["u"], g["b"], dh = h.T @ p, p.sum(0), p @ w["u"].T
+        t, around, group = t[order], around[:, order], group[order]  # one slice of rows for each group
+        place, every = t - group * self.span, np.arange(len(t))
+        ends = np.searchsorted(group, np.arange(self.groups + 1))
+        h = np.take(w["e"][0], around[0], axis=0)
+        for k in range(1, len(OFFSETS)):
+            h += np.take(w["e"][k], around[k], axis=0)
+        h += w["c"]
+        np.tanh(h, out=h)
+        # the hidden units are within one, so the weights bound what a softmax sees
+        small = max(float((np.abs(w[m]).sum(-2) + np.abs(w[b])).max()) for m, b in (("u", "b"), ("v", "d"))) < 80
+        p = softmax(h @ w["u"] + w["b"], small)
+        if not learn:
+            out = np.log(p[every, group])
+            for k in np.flatnonzero(np.diff(ends)):
+                part = slice(ends[k], ends[k + 1])
+                q = softmax(h[part] @ w["v"][k] + w["d"][k], small)
+                out[part] += np.log(q[np.arange(len(q)), place[part]])
+            back = np.empty_like(out)
+            back[order] = out
+            return back
+        g = {k: np.zeros(self.shapes[k], np.float32) for k in ("e", "v", "d")}
+        p[every, group] -= 1
+        p /= len(t)
+        g["u"], g["b"], dh = h.T @ p, p.sum(0), p @ w["u"].T
         for k in np.flatnonzero(np.diff(ends)):
-            rows = order[ends[k] : ends[k + 1]]
-            q = softmax(h[rows] @ w["v"][k] + w["d"][k])
-            if not learn:
-                out[rows] += np.log(q[np.arange(len(rows)), place[rows]])
-                continue
-            q[np.arange(len(rows)), place[rows]] -= 1
+            part = slice(ends[k], ends[k + 1])
+            q = softmax(h[part] @ w["v"][k] + w["d"][k], small)
+            q[np.arange(len(q)), place[part]] -= 1
             q /= len(t)
-            g["v"][k], g["d"][k] = h[rows].T @ q, q.sum(0)
-            dh[rows] += q @ w["v"][k].T
-        if not learn:
-            return out
-        dh *= 1 - h * h
+            g["v"][k], g["d"][k] = h[part].T @ q, q.sum(0)
+            dh[part] += q @ w["v"][k].T
+        h *= h
+        dh *= 1 - h
         g["c"] = dh.sum(0)
         for k in range(len(OFFSETS)):
-            order = np.argsort(around[k], kind="stable")
-            ids, first = np.unique(around[k][order], return_index=True)
-            g["e"][k][ids] = np.add.reduceat(dh[order], first)
+            at = np.argsort(around[k], kind="stable")
+            ids = around[k][at]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            g["e"][k][ids[first]] = np.add.reduceat(np.take(dh, at, axis=0), first)
         return g
 
+    def gradient(self, w: dict[str, np.ndarray], t: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradient of the mean loss, a bounded number of tokens at a time."""
+        total = None
+        for a in range(0, len(t), SCORED):
+            g = self.run(w, t[a : a + SCORED], around[:, a : a + SCORED], learn=True)
+            if len(t) <= SCORED:
+                return g
+            share = len(t[a : a + SCORED]) / len(t)
+            total = {k: v * share + (0 if total is None else total[k]) for k, v in g.items()}
+        return total
+
     def score(self, w: dict[str, np.ndarray], t: np.ndarray, around: np.ndarray) -> np.ndarray:
-        parts = [self.run(w, t[a : a + BATCH], around[:, a : a + BATCH]) for a in range(0, len(t), BATCH)]
+        parts = [self.run(w, t[a : a + SCORED], around[:, a : a + SCORED]) for a in range(0, len(t), SCORED)]
         p = np.exp(np.concatenate(parts)) if parts else np.zeros(0)
         return np.log((1 - SMOOTHING) * p + SMOOTHING / self.size)
 
 
-def fit(docs: DataFrame, classes: Classes, net: Network, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights after passes over all documents: tasks learn from their own windows, and rounds average what they learned."""
+def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Class and row of each token of encoded documents."""
+    ids = batch["ids"]
+    t = pc.list_flatten(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    return t, np.repeat(np.arange(batch.num_rows), pc.list_value_length(ids).to_numpy(zero_copy_only=False))
+
+
+def steps(batches: Iterator[pa.RecordBatch], classes: Classes, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``size`` tokens and what is around them at a time, however the documents are cut into batches."""
+    kept_t, kept_a, count = [], [], 0
+    for piece in batches:
+        t, rows = tokens_of(piece)
+        around = classes.around(t, rows)
+        at = 0
+        while at < len(t):
+            take = min(size - count, len(t) - at)
+            kept_t.append(t[at : at + take])
+            kept_a.append(around[:, at : at + take])
+            at, count = at + take, count + take
+            if count == size:
+                yield np.concatenate(kept_t), np.concatenate(kept_a, 1)
+                kept_t, kept_a, count = [], [], 0
+    if count:
+        yield np.concatenate(kept_t), np.concatenate(kept_a, 1)
+
+
+def fit(encoded: DataFrame, classes: Classes, net: Network, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights after one pass over all documents in ``ROUNDS`` rounds, of which each averages what its learners learned.
+
+    The learners are as many as the corpus asks for, and each gets the documents that a hash of their content deals to it,
+    in the order of that hash: neither the splits of the input nor the number of tasks change a weight.
+    """
     w, total = net.start(counts), max(int(counts.sum()), 1)
-    batch = max(BATCH, 4 * net.size) if total > LEAST_TOKENS else 1024
-    for k in range(2 * min(8, -(-LEAST_TOKENS // total))):
+    learners, size = int(np.ceil(np.sqrt(total / LEARNED))), int(np.ceil(np.sqrt(total)))
+    for k in range(ROUNDS):
 
         def run(batches: Iterator[pa.RecordBatch], w=w, rate=0.1 / (1 + k / 2)) -> Iterator[pa.RecordBatch]:
-            own, seen = {x: v.copy() for x, v in w.items()}, 0
-            squares = {x: np.full_like(v, 1e-8) for x, v in w.items()}
-            for piece in pieces(batches):
-                _, t, around, _ = classes.wide(piece["text"])
-                for a in range(0, len(t), batch):
-                    g = net.run(own, t[a : a + batch], around[:, a : a + batch], learn=True)
+            learner, own = None, None
+
+            def learned() -> pa.RecordBatch:
+                flat = net.flat(own)
+                cuts = range(0, len(flat), CHUNK)
+                return pa.record_batch({"k": pa.array(range(len(cuts)), pa.int32()), "learner": np.full(len(cuts), learner, np.int64), "n": np.full(len(cuts), seen),
+                                        "w": pa.array([flat[a : a + CHUNK].tobytes() for a in cuts], pa.binary())})
+
+            for number, docs in by_learner(batches):
+                learner, seen = number, 0
+                own = {x: v.copy() for x, v in w.items()}
+                squares = {x: np.full_like(v, 1e-8) for x, v in w.items()}
+                for t, around in steps(docs, classes, size):
+                    g = net.gradient(own, t, around)
                     for x in own:
                         squares[x] += g[x] ** 2
                         own[x] -= rate * g[x] / np.sqrt(squares[x])
-                seen += len(t)
-            if seen:
-                flat = net.flat(own)
-                cuts = range(0, len(flat), CHUNK)
-                yield pa.record_batch({"k": pa.array(range(len(cuts)), pa.int32()), "n": np.full(len(cuts), seen),
-                                       "w": pa.array([flat[a : a + CHUNK].tobytes() for a in cuts], pa.binary())})
+                    seen += len(t)
+                if seen:
+                    yield learned()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
@@ -286,13 +354,42 @@ def fit(docs: DataFrame, classes: Classes, net: Network, counts: np.ndarray) ->
             if sums:
                 yield pa.record_batch({"k": pa.array(list(sums), pa.int32()), "w": pa.array([(x / n).astype(np.float32).tobytes() for n, x in sums.values()], pa.binary())})
 
-        half = texts(docs).where(F.pmod(F.xxhash64("text"), F.lit(2)) == k % 2)
-        got = half.mapInArrow(run, "k int, n bigint, w binary").repartition("k").mapInArrow(add, "k int, w binary").toArrow().sort_by("k")
+        own_learner = F.pmod(F.shiftright("deal", 8), F.lit(learners)).alias("learner")
+        part = encoded.where(F.pmod("deal", F.lit(ROUNDS)) == k).select(own_learner, "deal", "ids")
+        dealt = part.repartition(min(learners, 4 * tasks(part)), "learner").sortWithinPartitions("learner", "deal", "ids")
+        got = (dealt.mapInArrow(run, "k int, learner bigint, n bigint, w binary").repartition("k").sortWithinPartitions("k", "learner")
+               .mapInArrow(add, "k int, w binary").toArrow().sort_by("k"))
         if got.num_rows:
             w = net.parts(np.frombuffer(b"".join(got["w"].to_pylist()), np.float32))
     return w
 
 
+def by_learner(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """Runs of batches of one learner, read as they come."""
+    parts = (b.slice(at, to - at) for b in batches for at, to in cuts_of(b["learner"].to_numpy()))
+    part = next(parts, None)
+    while part is not None:
+        number = part["learner"][0].as_py()
+
+        def same() -> Iterator[pa.RecordBatch]:
+            nonlocal part
+            while part is not None and part["learner"][0].as_py() == number:
+                yield part
+                part = next(parts, None)
+
+        own = same()
+        yield number, own
+        for _ in own:
+            pass
+
+
+def cuts_of(ids: np.ndarray) -> list[tuple[int, int]]:
+    if not len(ids):
+        return []
+    ends = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+    return list(zip(ends[:-1], ends[1:], strict=True))
+
+
 def corpus_likelihood(docs: DataFrame) -> DataFrame:
     counts = cut_lineage(word_counts(docs))
     often = int(np.sqrt(counts.where(F.col("n") >= COUNTED).count()))
@@ -311,28 +408,37 @@ def corpus_likelihood(docs: DataFrame) -> DataFrame:
     for r in sums.collect():
         by_class[r["class"]] = r["total"]
     net = Network(classes.size)
-    w = fit(docs, classes, net, by_class)
     own = len(words)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            h, t, around, rows = classes.wide(batch["text"])
-            n = np.bincount(rows, minlength=batch.num_rows)
-            total = np.bincount(rows, net.score(w, t, around), batch.num_rows).astype(float)
+            h, t, rows = classes.encode(batch["text"])
             rare = t >= own
-            ends = np.concatenate([[0], np.cumsum(np.bincount(rows[rare], minlength=batch.num_rows))]).astype(np.int32)
-            yield pa.record_batch({"row": batch["row"], "doc_id": batch["doc_id"], "n_tokens": n, "total": total,
-                                   "rare": pa.ListArray.from_arrays(ends, pa.array(h[rare].view(np.int64)))})
+            lists = []
+            for values, owner in ((pa.array(t.astype(np.int32)), rows), (pa.array(h[rare].view(np.int64)), rows[rare])):
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(ends, values))
+            yield pa.record_batch({"row": batch["row"], "doc_id": batch["doc_id"], "deal": batch["deal"], "ids": lists[0], "rare": lists[1]})
+
+    # texts are read twice: for the counts of words, and to be written as classes that all later steps read
+    rows = texts(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("deal", F.xxhash64("doc_id", "text"))
+    encoded = cut_lineage(rows.mapInArrow(encode, "row bigint, doc_id bigint, deal bigint, ids array<int>, rare array<bigint>"))
+    w = fit(encoded, classes, net, by_class)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, owner = tokens_of(batch)
+            total = np.bincount(owner, net.score(w, t, classes.around(t, owner)), batch.num_rows).astype(float)
+            yield pa.record_batch({"row": batch["row"], "doc_id": batch["doc_id"], "n_tokens": np.bincount(owner, minlength=batch.num_rows), "total": total})
 
-    scored = cut_lineage(texts(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        score, "row bigint, doc_id bigint, n_tokens bigint, total double, rare array<bigint>"))
+    scored = encoded.select("row", "doc_id", "ids").mapInArrow(score, "row bigint, doc_id bigint, n_tokens bigint, total double")
     # the share of a word within its class; half a count is added to each word and to all unseen ones together
     share = F.log((F.col("n") + ADDED) / (F.col("total") + ADDED * (F.col("kinds") + 1)))
     factors = known.where(F.col("class") >= own).join(F.broadcast(sums), "class").select("h", share.alias("share"))
     unseen = float(np.log(ADDED / (max(by_class.sum(), 1) + ADDED)))
-    rare = scored.select("row", F.explode("rare").alias("h")).join(factors, "h", "left").groupBy("row").agg(
+    rare = encoded.select("row", F.explode("rare").alias("h")).join(factors, "h", "left").groupBy("row").agg(
         F.sum(F.coalesce("share", F.lit(unseen))).alias("shares"))
-    out = scored.drop("rare").join(rare, "row", "left").withColumn("log_likelihood", F.col("total") + F.coalesce("shares", F.lit(0.0)))
+    out = scored.join(rare, "row", "left").withColumn("log_likelihood", F.col("total") + F.coalesce("shares", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))
 
 

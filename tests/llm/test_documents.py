@@ -210,6 +210,79 @@ def test_likelihood_knows_each_word_and_two_on_either_side(spark):
     assert M.pseudo_likelihood(table.limit(0)).count() == 0
 
 
+def test_likelihood_does_not_depend_on_the_split(spark, docs):
+    """Many learners, input in other partitions and order: the same scores."""
+    few = docs.where("doc_id < 300").select("doc_id", "text")
+    least, M.LEARNED = M.LEARNED, 2_000
+    try:
+        a, b = ({r.doc_id: r.log_likelihood for r in M.pseudo_likelihood(d).collect()} for d in (few, few.orderBy(F.desc("doc_id")).repartition(7)))
+    finally:
+        M.LEARNED = least
+    assert a.keys() == b.keys() and all(b[k] == pytest.approx(v, rel=1e-6) for k, v in a.items())
+
+
+def test_likelihood_sums_of_the_whole_vocabulary(spark):
+    """Class probabilities of an untrained network times a word's share of its class, token by token."""
+    texts = ["red blue Red, green zq", "blue blue xx9 red", "", None, "(yellow) zq " * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    words, rounds, M.WORDS, M.ROUNDS = M.WORDS, M.ROUNDS, 2, 0
+    try:
+        got = {r.doc_id: r for r in M.pseudo_likelihood(df).collect()}
+    finally:
+        M.WORDS, M.ROUNDS = words, rounds
+    clean = [[w.lower().strip("(),") for w in (t or "").split()] for t in texts]
+    counts = Counter(w for ws in clean for w in ws)
+    top = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:2]]
+    classes = M.Classes(top, M.ENDINGS)
+    of = {w: int(classes.of(pa.array([w], pa.large_string()))[1][0]) for w in counts}
+    size = Counter()
+    for w, n in counts.items():
+        size[of[w]] += n
+    kinds = Counter(of.values())
+    net = M.Network(classes.size)
+    weights = net.start(np.array([size[k] for k in range(classes.size)]))
+    for k, ws in enumerate(clean):
+        want = 0.0
+        for i, w in enumerate(ws):
+            around = np.array([[of[ws[i + d]] if 0 <= i + d < len(ws) else classes.edge] for d in M.OFFSETS])
+            want += float(net.score(weights, np.array([of[w]]), around)[0])
+            if w not in top:
+                want += float(np.log((counts[w] + M.ADDED) / (size[of[w]] + M.ADDED * (kinds[of[w]] + 1))))
+        assert got[k].n_tokens == len(ws) and got[k].log_likelihood == pytest.approx(want, rel=1e-5, abs=1e-6)
+
+
+def test_languages_cosine_by_hand(spark):
+    """Every prediction and score from the definition, without blocks."""
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("der Hund und die Katze", "de"), ("the dog and the cat", "en"), ("le chien et le chat", "fr"), ("und der die das", "de"),
+                                                        ("Then the other one", "en"), ("12 34", "en"), (None, "fr"), ("chat noir", "fr"), ("ein Hund", "de")])]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    got = {r.doc_id: r for r in L.languages(df, L.fold(3, 1)).collect()}
+
+    def grams(t):
+        s = re.sub(r"[^a-z]+", " ", " " + (t or "").lower() + " ")
+        return Counter(s[i : i + 3] for i in range(len(s) - 2))
+
+    def vector(g):
+        v = L.letter_vectors(np.array([ord(c) for c in g]), L.DIMENSIONS)
+        return np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+
+    unit = lambda v: v / np.linalg.norm(v)
+    sums = {}
+    for k, t, lang in rows:
+        if not got[k].held_out and grams(t):
+            g = grams(t)
+            sums[lang] = sums.get(lang, 0) + sum(np.sqrt(n / g.total()) * vector(x) for x, n in g.items())
+    names = sorted(sums)
+    p = np.array([unit(sums[n]) for n in names])
+    p = np.array([unit(v) for v in p - p.mean(0)])
+    for k, t, _ in rows:
+        if not re.search("[a-z]", (t or "").lower()):
+            assert got[k].lang_pred == "und" and got[k].score == 0
+            continue
+        c = p @ unit(sum(np.sqrt(n) * vector(x) for x, n in grams(t).items()))
+        assert got[k].lang_pred == names[int(c.argmax())] and got[k].score == pytest.approx(min(max(c.max(), 0), 1), abs=1e-4)
+
+
 def test_likelihood_gradient():
     rng = np.random.default_rng(3)
     net = M.Network(11, 4)
