@@ -319,9 +319,10 @@ def placebo_p(effects: DataFrame, placebos: DataFrame, keys: list[str] = ["test_
 
 
 def ascm_results(fitted: DataFrame, keys: list[str] = ["test_id"], alpha: float = 0.05, n_perm: int = 2000, targets: str = "treatment") -> DataFrame:
-    """Result row per target: conformal inference, p no smaller than the placebo p."""
+    """Result row per target ("treatment", "donors" or "all" of them): conformal inference, p no smaller than the placebo p."""
     cv = fitted.filter("penalty = 'cv'")
-    cv = cv.filter(F.col("target") == TREATED_UNIT) if targets == "treatment" else cv.filter(F.col("target") != TREATED_UNIT)
+    if targets != "all":
+        cv = cv.filter(F.col("target") == TREATED_UNIT) if targets == "treatment" else cv.filter(F.col("target") != TREATED_UNIT)
     by = [*keys, "target"]
     metrics = fit_metrics(cv, by)
     conformal = conformal_inference(cv.select(*by, "period", "date", "gap"), by, alpha, n_perm)

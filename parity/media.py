@@ -66,8 +66,8 @@ def q03(spark, sf):
     return rounded(media(spark, sf), 4)
 
 
-view("x_promo", "SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS depth, CAST(max(o_orderkey % 7) AS DOUBLE) AS idx FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1")
-view("x_trends", "SELECT CAST(o_orderdate AS DATE) AS date, CAST(min(o_orderkey % 100) AS DOUBLE) AS idx FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1")
+view("x_promo", "SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS depth, CAST(max(o_orderkey % 7) AS DOUBLE) AS idx FROM orders GROUP BY 1")
+view("x_trends", "SELECT CAST(o_orderdate AS DATE) AS date, CAST(min(o_orderkey % 100) AS DOUBLE) AS idx FROM orders GROUP BY 1")
 view("x_rank", "SELECT CAST(l_shipdate AS DATE) AS date, CAST(max(l_linenumber) AS DOUBLE) AS best_rank FROM lineitem GROUP BY 1")
 view("x_features", """
 SELECT date, CAST(coalesce(p.depth, 0) AS DOUBLE) AS depth, coalesce(p.idx, 0) AS idx, coalesce(t.idx, 0) AS idx_trends, coalesce(b.best_rank, 0) AS best_rank
@@ -79,8 +79,8 @@ def features(spark, sf):
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     day = F.col("o_orderdate").cast("date").alias("date")
     return {
-        "promo": o.filter("o_orderkey % 2 = 0").groupBy(day).agg(F.count("*").alias("depth"), F.max(F.col("o_orderkey") % 7).cast("double").alias("idx")),
-        "trends": o.filter("o_orderkey % 3 = 0").groupBy(day).agg(F.min(F.col("o_orderkey") % 100).cast("double").alias("idx")),
+        "promo": o.groupBy(day).agg(F.count("*").alias("depth"), F.max(F.col("o_orderkey") % 7).cast("double").alias("idx")),
+        "trends": o.groupBy(day).agg(F.min(F.col("o_orderkey") % 100).cast("double").alias("idx")),
         "rank": li.groupBy(F.col("l_shipdate").cast("date").alias("date")).agg(F.max("l_linenumber").cast("double").alias("best_rank")),
     }
 

@@ -324,12 +324,12 @@ def m25(spark, sf):
 
 # ---- exclusion plans ------------------------------------------------------------------------
 
-# ad sets = part brands, already excluded markets = nations of their suppliers' lines
+# ad sets = parts, already excluded markets = nations of the suppliers of their lines
 view("x_adsets", """
-SELECT test_id, p_brand AS adset_id, geo FROM (SELECT DISTINCT p_brand, CAST(s_nationkey AS VARCHAR) AS geo FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey
-  WHERE l_quantity > 48 AND s_nationkey % 3 = 0), (SELECT test_id FROM x_tests)
+SELECT test_id, adset_id, geo FROM (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS adset_id, CAST(s_nationkey AS VARCHAR) AS geo
+  FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey), (SELECT test_id FROM x_tests)
 """)
-view("x_allsets", "SELECT DISTINCT test_id, p_brand AS adset_id FROM part, x_tests")
+view("x_allsets", "SELECT DISTINCT test_id, CAST(p_partkey AS VARCHAR) AS adset_id FROM part, x_tests")
 view("x_managed", "SELECT test_id, adset_id FROM x_allsets WHERE adset_id LIKE '%1'")
 view("x_plan", """
 SELECT s.test_id, s.adset_id, a.geo FROM x_allsets s JOIN x_assign a ON a.test_id = s.test_id AND a.cell = 'holdout'
@@ -341,10 +341,10 @@ def adsets(spark, sf):
     from parity.common import per_test
 
     p, li, s = table(spark, sf, "part"), table(spark, sf, "lineitem"), table(spark, sf, "supplier")
-    used = p.join(li.filter("l_quantity > 48"), F.col("p_partkey") == F.col("l_partkey")).join(
-        s.filter("s_nationkey % 3 = 0"), F.col("s_suppkey") == F.col("l_suppkey"))
-    lists = used.groupBy(F.col("p_brand").alias("adset_id")).agg(F.collect_set(F.col("s_nationkey").cast("string")).alias("excluded"))
-    every = p.select(F.col("p_brand").alias("adset_id")).distinct().join(lists, "adset_id", "left")
+    adset = F.col("p_partkey").cast("string").alias("adset_id")
+    used = p.join(li, F.col("p_partkey") == F.col("l_partkey")).join(s, F.col("s_suppkey") == F.col("l_suppkey"))
+    lists = used.groupBy(adset).agg(F.collect_set(F.col("s_nationkey").cast("string")).alias("excluded"))
+    every = p.select(adset).distinct().join(lists, "adset_id", "left")
     return per_test(spark, every.withColumn("excluded", F.coalesce("excluded", F.array().cast("array<string>"))))
 
 
@@ -423,14 +423,14 @@ def m15(spark, sf):
 @check("m15_lift_reconciliation", """
 SELECT round(avg(abs(m - lift_abs) / abs(lift_abs)), 6) AS lift_gap, count(*) AS n_events FROM (
   SELECT e.event_id, any_value(e.lift_abs) AS lift_abs, sum(c.c) AS m FROM (
-    SELECT user_id * 1000 + event_id % 1000 AS event_id, channel, 'shopify' AS outcome, date AS a, date + CAST(k % 5 AS INTEGER) AS b, spend * 30 AS lift_abs FROM x_events WHERE spend > 1) e
+    SELECT user_id * 1000 + event_id % 1000 AS event_id, channel, 'shopify' AS outcome, date AS a, date + CAST(k % 5 AS INTEGER) AS b, spend * 30 + 1 AS lift_abs FROM x_events) e
   JOIN (SELECT channel, outcome, date, sum(contribution_mean) AS c FROM x_contrib GROUP BY 1, 2, 3) c ON c.channel = e.channel AND c.outcome = e.outcome AND c.date BETWEEN e.a AND e.b GROUP BY 1)
 """.replace("user_id * 1000 + event_id % 1000", "event_id").replace("event_id AS event_id", "event_id"))
 def m15b(spark, sf):
     from parity.common import spend_events
 
-    e = spend_events(spark, sf).filter("spend > 1").select(
-        "event_id", "channel", F.lit("shopify").alias("outcome"), (F.col("spend") * 30).alias("lift_abs"), F.col("date").alias("test_start_date"),
+    e = spend_events(spark, sf).select(
+        "event_id", "channel", F.lit("shopify").alias("outcome"), (F.col("spend") * 30 + 1).alias("lift_abs"), F.col("date").alias("test_start_date"),
         F.date_add("date", (F.col("k") % 5).cast("int")).alias("test_end_date"))
     return rounded(G.lift_reconciliation(e, PM.contributions(spark, sf)))
 

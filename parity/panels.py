@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from liftfield.operators import panel as P
 from liftfield.operators import quality as Q
-from parity.common import assignment, check, panel, rounded, view
+from parity.common import assignment, check, panel, rounded, tests_table, view
 
 # ---- sets and fills -------------------------------------------------------------------------
 
@@ -53,12 +53,24 @@ def q01(spark, sf):
     return rounded(P.aligned_series(panel(spark, sf, "weekly")), 4)
 
 
+# a planned market that never sold, and a test that never ran
+view("x_assign_plus", """
+SELECT test_id, geo, cell FROM x_assign UNION ALL SELECT 't1', 'nowhere', 'holdout' UNION ALL SELECT 't0', geo, cell FROM x_assign WHERE test_id = 't1'
+""")
+
+
+def assignment_plus(spark, sf):
+    a = assignment(spark, sf).select("test_id", "geo", "cell")
+    nowhere = tests_table(spark).filter("test_id = 't1'").select("test_id", F.lit("nowhere").alias("geo"), F.lit("holdout").alias("cell"))
+    return a.unionByName(nowhere).unionByName(a.filter("test_id = 't1'").withColumn("test_id", F.lit("t0")))
+
+
 @check("u02_coverage_gaps", """
-SELECT test_id, a.geo, a.cell, p.period FROM x_assign a, (VALUES ('pre'), ('post')) p(period)
+SELECT test_id, a.geo, a.cell, p.period FROM x_assign_plus a, (VALUES ('pre'), ('post')) p(period)
 WHERE NOT EXISTS (SELECT 1 FROM x_panel q WHERE q.test_id = a.test_id AND q.geo = a.geo AND q.period = p.period)
 """)
 def u02(spark, sf):
-    return P.coverage_gaps(panel(spark, sf), assignment(spark, sf))
+    return P.coverage_gaps(panel(spark, sf), assignment_plus(spark, sf))
 
 
 @check("w11_split_points", """
@@ -154,16 +166,17 @@ view("x_post_holdout", "SELECT test_id, count(DISTINCT geo) AS n FROM x_panel WH
 
 
 @check("q07_coverage_alerts", """
-SELECT test_id, 'blocker' AS severity, 'coverage' AS category, string_agg(geo, ',' ORDER BY geo) AS geos FROM x_assign a
-WHERE cell = 'holdout' AND NOT EXISTS (SELECT 1 FROM x_panel p WHERE p.test_id = a.test_id AND p.geo = a.geo AND p.period = 'post'
-      AND p.cell = 'holdout' AND CAST(p.geo AS INTEGER) % 12 = 0) GROUP BY 1
-UNION ALL SELECT test_id, 'warning', 'coverage', '' FROM (
-  SELECT test_id, period, count(DISTINCT date) AS n FROM x_panel WHERE cell = 'treatment' OR CAST(geo AS INTEGER) % 12 = 0 GROUP BY 1, 2)
-WHERE (period = 'pre' AND n < 14) OR (period = 'post' AND n < 7)
+SELECT test_id, 'blocker' AS severity, 'coverage' AS category, coalesce(string_agg(geo, ',' ORDER BY geo) FILTER (cell = 'holdout' AND NOT EXISTS (
+    SELECT 1 FROM x_panel p WHERE p.test_id = a.test_id AND p.geo = a.geo AND p.period = 'post')), '') AS geos
+FROM x_assign_plus a WHERE test_id NOT IN (SELECT test_id FROM x_post_holdout WHERE n >= 3) GROUP BY 1
+UNION ALL SELECT test_id, 'warning', 'coverage', '' FROM x_post_holdout WHERE n >= 3 AND test_id IN (
+  SELECT a.test_id FROM x_assign_plus a, (VALUES ('pre'), ('post')) v(period)
+  WHERE NOT EXISTS (SELECT 1 FROM x_panel p WHERE p.test_id = a.test_id AND p.geo = a.geo AND p.period = v.period))
+UNION ALL SELECT t.test_id, 'warning', 'coverage', '' FROM (SELECT DISTINCT test_id FROM x_assign_plus) t, (VALUES ('pre', 14), ('post', 7)) v(period, least_)
+  WHERE (SELECT count(DISTINCT date) FROM x_panel p WHERE p.test_id = t.test_id AND p.period = v.period) < least_
 """)
 def q07(spark, sf):
-    p = panel(spark, sf).filter("cell = 'treatment' OR cast(geo AS int) % 12 = 0")
-    return _alerts(Q.coverage_alerts(p, assignment(spark, sf)))
+    return _alerts(Q.coverage_alerts(panel(spark, sf), assignment_plus(spark, sf)))
 
 
 @check("q08_anomaly_report", """

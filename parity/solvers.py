@@ -9,7 +9,7 @@ from liftfield.operators.panel import aligned_series
 from liftfield.plans import analysis, design
 from parity import design as PD
 from parity.causal import did_views
-from parity.common import assignment, check, daily, panel, per_test, rounded, spend_daily, tests_table, view
+from parity.common import assignment, check, daily, market_daily, panel, per_test, rounded, spend_daily, tests_table, view
 
 
 did_views("h", "x_halves", "test_id")
@@ -98,8 +98,11 @@ def c15(spark, sf):
 
 @check("c24_test_reports")
 def c24(spark, sf):
-    return analysis.analyse_tests(
-        daily(spark, sf), tests_table(spark), assignment(spark, sf), spend_daily(spark, sf), PD.edges(spark, sf))
+    stores = daily(spark, sf)
+    market = market_daily(spark, sf).select("date", "geo", F.col("revenue").alias("marketplace"))
+    both = stores.join(market, ["date", "geo"], "left").withColumn("store", F.col("revenue")).fillna(0.0, ["marketplace"])
+    out = analysis.analyse_tests(both, tests_table(spark), assignment(spark, sf), spend_daily(spark, sf), PD.edges(spark, sf), platforms=("store", "marketplace"))
+    return out.select(*[c for c in out.columns if c != "platform_lifts"], *[F.col("platform_lifts")[m][x].alias(f"{m}_{x}") for m in ("store", "marketplace") for x in ("absolute_lift", "relative_lift", "p_value")])
 
 
 @check("d12_auto_design")

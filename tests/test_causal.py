@@ -269,13 +269,15 @@ def test_full_analysis_reports_every_test(spark):
         for d in range(80):
             v = 1000 * (1 + 0.1 * (g % 5)) * (1 + 0.03 * rng.uniform(-1, 1)) * (1.12 if g < 10 and d >= 60 else 1.0)
             days.append((day(d), f"g{g:02d}", v, 10 + (g < 10 and d >= 60)))
-    daily = spark.createDataFrame(days, "date date, geo string, revenue double, orders int")
+    daily = spark.createDataFrame(days, "date date, geo string, revenue double, orders int").withColumn("store", F.col("revenue") * 0.75).withColumn("marketplace", F.col("revenue") * 0.25)
     tests = spark.createDataFrame([("a", day(60), day(79), 60), ("b", day(60), day(79), 40)], "test_id string, start_date date, end_date date, lookback_days int")
     cells = spark.createDataFrame([(t, f"g{g:02d}", "treatment" if g < 10 else "holdout") for t in "ab" for g in range(16)], "test_id string, geo string, cell string")
     spend = spark.createDataFrame([(day(d), f"g{g:02d}", 50.0) for d in range(60, 80) for g in range(10)], "date date, geo string, spend double")
     edges = spark.createDataFrame([("g00", "g10")], "src string, dst string")
-    out = by(analysis.analyse_tests(daily, tests, cells, spend, edges, n_boot=200), "test_id")
+    out = by(analysis.analyse_tests(daily, tests, cells, spend, edges, n_boot=200, platforms=("store", "marketplace")), "test_id")
     assert set(out) == {"a", "b"}
     for r in out.values():
         assert r["relative_lift"] == pytest.approx(0.12 / (1 - 0.2 / 6), abs=0.03)
+        assert r["recommendations"][0] == "not_significant" and r["recommendations"][2] == "halo_significant"
+        assert {k: v["relative_lift"] for k, v in r["platform_lifts"].items()} == pytest.approx({"store": 0.12, "marketplace": 0.12}, abs=0.03)
         assert r["total_spend"] == 10000.0 and r["iroas"] > 1 and r["cpia"] > 0 and r["n_methods"] == 3
