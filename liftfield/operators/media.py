@@ -13,6 +13,7 @@ from pyspark.sql import window as W
 
 from liftfield.functions.hashing import hash32
 from liftfield.functions.scalars import hill_share
+from liftfield.operators.ranks import exact_quantiles
 from liftfield.session import cut_lineage, small_side, spread, with_grand
 
 # Discounts applied to attribution-based returns and their default.
@@ -260,8 +261,8 @@ def contributions(features: DataFrame, draws: DataFrame) -> DataFrame:
     Features are never negative, so percentiles of effect × feature are percentiles of the effect × feature:
     draws are reduced to one row per channel and outcome before they meet the panel.
     """
-    effect = draws.groupBy("channel", "outcome").agg(
-        F.avg("effect").alias("m"), F.percentile("effect", 0.1).alias("p10"), F.percentile("effect", 0.9).alias("p90"))
+    keys = ["channel", "outcome"]
+    effect = draws.groupBy(*keys).agg(F.avg("effect").alias("m")).join(exact_quantiles(draws, keys, "effect", {"p10": 0.1, "p90": 0.9}), keys)
     rows = features.join(small_side(effect), "channel")
     return rows.select(
         "date", "geo", "channel", "outcome", *[(F.col(c) * F.col("feature")).alias(n) for c, n in (
@@ -282,8 +283,8 @@ def rhat(draws: DataFrame, threshold: float = 1.05) -> DataFrame:
 
 def varying_betas(draws: DataFrame) -> DataFrame:
     """Mean, p10 and p90 of the draws of each date and channel."""
-    return draws.groupBy("date", "channel").agg(
-        F.avg("value").alias("beta_mean"), F.percentile("value", 0.1).alias("beta_p10"), F.percentile("value", 0.9).alias("beta_p90"))
+    keys = ["date", "channel"]
+    return draws.groupBy(*keys).agg(F.avg("value").alias("beta_mean")).join(exact_quantiles(draws, keys, "value", {"beta_p10": 0.1, "beta_p90": 0.9}), keys)
 
 
 def saturation_curves(params: DataFrame, n_points: int = 100) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 
 from liftfield.functions.scalars import banded
 from liftfield.operators.latest import first_per_key, latest_per_key
+from liftfield.operators.ranks import running_counts
 from liftfield.session import small_side, with_grand
 
 ALERT_COLUMNS = ("rule", "severity", "subject", "at", "value", "threshold")
@@ -59,12 +60,10 @@ def rolling_error(errors: DataFrame, threshold: float = 0.12, days: int = 7) ->
 def average_rank(df: DataFrame, value: str, keys: list[str] = []) -> DataFrame:
     """Descending rank, ties share their mean rank truncated to a whole number.
 
-    Counted from distinct values with their multiplicities; only those are ordered.
+    Counted from distinct values with their multiplicities, in parts of the order; no task holds a key.
     """
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = W.Window.partitionBy(*keys).orderBy(F.col(value).desc())
-    above = F.coalesce(F.sum("_n").over(w.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(*keys, value, F.floor(above + (F.col("_n") + 1) / 2).cast("bigint").alias("rank"))
+    counts = running_counts(df, keys, value, descending=True)
+    ranks = counts.select(*keys, value, F.floor(F.col("before") + (F.col("n") + 1) / 2).cast("bigint").alias("rank"))
     return df.join(ranks, [*keys, value])
 
 

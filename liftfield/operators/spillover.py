@@ -14,16 +14,34 @@ MILES_PER_DEGREE = 69.0
 def centroid_edges(centroids: DataFrame, max_miles: float = 175.0) -> DataFrame:
     """Directed edges between markets at most ``max_miles`` apart.
 
-    Markets are filed under latitude bands as wide as the reach and looked up in their own and both
-    neighbouring bands: an equi-join, never all pairs.
+    Markets are filed in cells: latitude bands as wide as the reach, each cut along the longitude into as many cells as its
+    circle has room for. A market is looked up in its own and both neighbouring bands, in the cells that its reach in
+    longitude touches, around the date line and the poles too: an equi-join whose cells hold what lies near.
     """
-    # a hair wider than the reach, since a great-circle degree is slightly more than 69 miles
-    band = F.floor(F.col("lat") / F.lit(max_miles * 1.01 / MILES_PER_DEGREE))
-    left = centroids.select(F.col("geo").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), band.alias("b"))
-    left = left.withColumn("b", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
-    right = centroids.select(F.col("geo").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band.alias("b"))
+    height = max_miles * 1.01 / MILES_PER_DEGREE  # a hair wider, since a great-circle degree is slightly more than 69 miles
+    band = F.floor((F.col("lat") + 90.0) / height)
+
+    def cells(b):
+        """Number of cells of a band: its widest circle in steps of the band's height."""
+        low, high = b * height - 90.0, (b + 1) * height - 90.0
+        widest = F.when((low < 0) & (high > 0), 1.0).otherwise(F.cos(F.radians(F.least(F.abs(low), F.abs(high)))))
+        return F.greatest(F.floor(360.0 * F.abs(widest) / height), F.lit(1))
+
+    east = F.pmod(F.col("lon") + 180.0, F.lit(360.0))
+    reach = F.radians(F.lit(height))
+    room = F.sin(reach) / F.cos(F.radians("lat"))
+    # beyond the circle that touches a pole, every longitude is within reach
+    wide = F.when(F.abs("lat") + height >= 90.0, 180.0).otherwise(F.degrees(F.asin(F.least(room, F.lit(1.0)))))
+    left = centroids.select(F.col("geo").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), band.alias("b"), east.alias("east"), wide.alias("wide"))
+    left = left.withColumn("b", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1))).withColumn("n", cells(F.col("b")))
+    step = 360.0 / F.col("n")
+    first, last = F.floor((F.col("east") - F.col("wide")) / step), F.floor((F.col("east") + F.col("wide")) / step)
+    near = F.array_distinct(F.transform(F.sequence(first, F.least(last, first + F.col("n") - 1)), lambda c: F.pmod(c, F.col("n"))))
+    left = left.select("src", "lat1", "lon1", "b", F.explode(near).alias("c"))
+    right = centroids.select(F.col("geo").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band.alias("b"), east.alias("east")).withColumn("n", cells(F.col("b")))
+    right = right.select("dst", "lat2", "lon2", "b", F.least(F.floor(F.col("east") / (360.0 / F.col("n"))), F.col("n") - 1).alias("c"))
     miles = haversine_miles(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return left.join(right, "b").filter("src <> dst").withColumn("miles", miles).filter(F.col("miles") <= max_miles).select(
+    return left.join(right, ["b", "c"]).filter("src <> dst").withColumn("miles", miles).filter(F.col("miles") <= max_miles).select(
         "src", "dst", "miles")
 
 

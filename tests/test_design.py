@@ -247,3 +247,22 @@ def test_incremental_and_organic_revenue_stay_within_the_cell(spark, make_panel)
     assert money["incremental_lower"] <= money["incremental_revenue"] <= money["incremental_upper"]
     # a lift of a tenth leaves ten elevenths of what the cell sold
     assert sold / 11 * 0.8 < money["incremental_revenue"] < sold / 11 * 1.2
+
+
+def test_edges_around_the_globe(spark):
+    from liftfield.operators import spillover
+
+    rng = random.Random(8)
+    points = [(f"p{k}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(300)]
+    points += [(f"d{k}", rng.uniform(-70, 70), rng.choice([179.5, -179.6, 180.0, -180.0])) for k in range(60)]
+    points += [(f"n{k}", rng.choice([89.2, 88.0, -89.7]), rng.uniform(-180, 180)) for k in range(40)] + [("top", 90.0, 0.0), ("bottom", -90.0, 12.0), ("zero", 0.0, 0.0), ("near", 0.01, 0.01)]
+
+    def miles(a, b):
+        la, lb = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 3959.0 * math.asin(math.sqrt(min(h, 1.0)))
+
+    for reach in (175.0, 900.0):
+        want = {(a[0], b[0]) for a in points for b in points if a[0] != b[0] and miles(a, b) <= reach}
+        got = [(r["src"], r["dst"]) for r in spillover.centroid_edges(spark.createDataFrame(points, "geo string, lat double, lon double"), reach).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

@@ -239,3 +239,20 @@ def test_panel_placebos_on_a_flat_panel(spark):
     assert rep["is_passed"] and rep["bonus"] == 15 and G.placebo_markets(p).count() == 2
     jump = p.withColumn("value", F.when(F.col("date") >= day(30), F.col("value") * 1.5).otherwise(F.col("value")))
     assert not one(G.placebo_halves(jump, 100))["is_passed"]
+
+
+def test_ranks_and_quantiles_in_parts(spark):
+    from liftfield.operators.ranks import exact_quantiles, running_counts
+
+    rng = np.random.default_rng(4)
+    values = {"hot": rng.integers(0, 400, 3000) / 8.0, "few": np.array([2.0, 2.0, 9.0]), "one": np.array([5.0])}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("few", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: (r["a"], r["b"]) for r in exact_quantiles(df, ["k"], "v", {"a": 0.1, "b": 0.9}).collect()}
+    assert got == {k: pytest.approx((np.quantile(v, 0.1), np.quantile(v, 0.9))) for k, v in values.items()}
+    for down in (False, True):
+        for r in running_counts(df.where("v is not null"), ["k"], "v", down).collect():
+            own = values[r["k"]]
+            assert r["n"] == (own == r["v"]).sum() and r["before"] == ((own > r["v"]) if down else (own < r["v"])).sum()
+    ranked = O.average_rank(df.where("k = 'hot'").drop("k"), "v").select("v", "rank").distinct().collect()
+    assert all(r["rank"] == int((values["hot"] > r["v"]).sum() + ((values["hot"] == r["v"]).sum() + 1) / 2) for r in ranked)
