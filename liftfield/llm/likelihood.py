@@ -172,11 +172,14 @@ class Classes(Tokens):
     def of(self, clean: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Hash and class of cleaned words."""
         h = hash_words(clean)
-        out = (hash_words(pc.utf8_slice_codeunits(clean, -2, None)) % np.uint64(self.endings)).astype(np.int64) + len(self.ids)
+        out = np.full(len(h), -1)
         if len(self.hashes) and len(h):
             at = np.searchsorted(self.hashes, h)
             at[at == len(self.hashes)] = 0
-            out = np.where(self.hashes[at] == h, self.ids[at], out)
+            out = np.where(self.hashes[at] == h, self.ids[at], -1)
+        rare = np.flatnonzero(out < 0)
+        ending = hash_words(pc.utf8_slice_codeunits(clean.take(pa.array(rare)), -2, None))
+        out[rare] = (ending % np.uint64(self.endings)).astype(np.int64) + len(self.ids)
         return h, out
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -356,7 +359,7 @@ def fit(encoded: DataFrame, classes: Classes, net: Network, counts: np.ndarray)
 
         own_learner = F.pmod(F.shiftright("deal", 8), F.lit(learners)).alias("learner")
         part = encoded.where(F.pmod("deal", F.lit(ROUNDS)) == k).select(own_learner, "deal", "ids")
-        dealt = part.repartition(min(learners, 4 * tasks(part)), "learner").sortWithinPartitions("learner", "deal", "ids")
+        dealt = part.repartition(min(learners, 4 * tasks(part)), "learner").sortWithinPartitions("learner", "deal")
         got = (dealt.mapInArrow(run, "k int, learner bigint, n bigint, w binary").repartition("k").sortWithinPartitions("k", "learner")
                .mapInArrow(add, "k int, w binary").toArrow().sort_by("k"))
         if got.num_rows:
