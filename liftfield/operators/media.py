@@ -21,6 +21,9 @@ PRIOR_DISCOUNTS = {
     "meta_performance": 0.65, "meta_awareness": 0.60, "google_brand_search": 0.85, "google_non_brand": 0.75, "tiktok": 0.65,
 }
 
+# Share of its contribution that stands for a channel's spend, its return's band and margin, revenue of an order.
+SPEND_PROXY, BAND_LOW, BAND_HIGH, MARGINAL_SHARE, ORDER_VALUE = 0.3, 0.7, 1.3, 0.8, 75.0
+
 
 # ---- dense panels ---------------------------------------------------------------------------
 
@@ -278,7 +281,7 @@ def rhat(draws: DataFrame, threshold: float = 1.05) -> DataFrame:
     agg = chains.groupBy("parameter").agg(F.avg("n").alias("n"), F.avg("v").alias("w"), F.var_samp("m").alias("b"), F.count("*").alias("n_chains"))
     total = (F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b")
     value = F.when(F.col("w") > 0, F.sqrt(total / F.col("w"))).otherwise(1.0)
-    return agg.select("parameter", "n_chains", value.alias("rhat"), (value > threshold).alias("is_high"))
+    return agg.select("parameter", "n_chains", value.alias("rhat"), (value > threshold).alias("is_high"), F.lit(threshold).alias("threshold"))
 
 
 def varying_betas(draws: DataFrame) -> DataFrame:
@@ -336,10 +339,10 @@ def channel_results(contribution: DataFrame, rhats: DataFrame | None = None) ->
         F.avg("contribution_p90").alias("contribution_p90"), F.sum("contribution_mean").alias("_s"))
     total = F.sum("_s").over(W.Window.partitionBy("outcome"))
     rows = agg.withColumn("_t", F.when(total == 0, 1.0).otherwise(total)).filter("channel <> 'baseline'")
-    roi = F.col("contribution_mean") / F.greatest(F.col("contribution_mean") * 0.3, F.lit(1.0))
+    roi = F.col("contribution_mean") / F.greatest(F.col("contribution_mean") * SPEND_PROXY, F.lit(1.0))
     rows = rows.withColumn("contribution_share", F.col("contribution_mean") / F.col("_t")).withColumn("roi_mean", roi)
-    rows = rows.withColumn("roi_p10", F.col("roi_mean") * 0.7).withColumn("roi_p90", F.col("roi_mean") * 1.3).withColumn(
-        "marginal_roi", F.col("roi_mean") * 0.8).drop("_s", "_t")
+    rows = rows.withColumn("roi_p10", F.col("roi_mean") * BAND_LOW).withColumn("roi_p90", F.col("roi_mean") * BAND_HIGH).withColumn(
+        "marginal_roi", F.col("roi_mean") * MARGINAL_SHARE).drop("_s", "_t")
     if rhats is None:
         return cut_lineage(rows.withColumn("rhat", F.lit(1.0)))
     own = rhats.select(F.col("parameter").alias("_p1"), F.col("rhat").alias("_r1"))
@@ -349,7 +352,7 @@ def channel_results(contribution: DataFrame, rhats: DataFrame | None = None) ->
     return cut_lineage(rows.withColumn("rhat", F.coalesce("_r1", "_r2", F.lit(1.0))).drop("_p1", "_r1", "_p2", "_r2"))
 
 
-def channel_iroas(results: DataFrame, spend: DataFrame, measured: DataFrame, order_value: float = 75.0) -> DataFrame:
+def channel_iroas(results: DataFrame, spend: DataFrame, measured: DataFrame, order_value: float = ORDER_VALUE) -> DataFrame:
     """Measured iROAS where a test has one, else the model's; incremental order ratio in [0, 2] and cost per order."""
     rows = results.join(spend.select("channel", "spend"), "channel", "left").join(
         measured.select("channel", F.col("iroas").alias("_m")), "channel", "left").fillna(0.0, ["spend"])

@@ -259,7 +259,7 @@ def alert_table(
         alert(hit(betas), "beta_decay", "medium", F.col("channel"), F.col("date"), F.col("drop_pct"), F.col("threshold")),
         alert(errors.filter("needs_refit"), "high_error", "high", F.lit("model"), F.col("date"), F.col("mape") * 100, F.col("threshold")),
         alert(gaps.filter("is_large"), "attribution_gap", "high", F.col("channel"), None, F.abs("delta") * 100, F.col("threshold")),
-        alert(rhats.filter("is_high"), "no_convergence", "critical", F.col("parameter"), None, F.col("rhat"), F.lit(1.05)),
+        alert(rhats.filter("is_high"), "no_convergence", "critical", F.col("parameter"), None, F.col("rhat"), F.col("threshold")),
     ]
     if failures is not None:
         parts.append(alert(failures, "failed_load", "critical", F.col("task"), F.col("at"), F.lit(None), F.lit(0.0)))

@@ -255,7 +255,7 @@ def rhats(spark, sf):
 
 @check("m04_rhat", "SELECT parameter, n_chains, round(rhat, 6) AS rhat, rhat > 1.05 AS is_high FROM x_rhat")
 def m04(spark, sf):
-    return rounded(rhats(spark, sf))
+    return rounded(rhats(spark, sf).drop("threshold"))
 
 
 view("x_betas", "SELECT date, channel, avg(effect) AS beta_mean, quantile_cont(effect, 0.1) AS beta_p10, quantile_cont(effect, 0.9) AS beta_p90 FROM x_draws GROUP BY 1, 2")
