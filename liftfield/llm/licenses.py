@@ -5,6 +5,9 @@ the whole text (licence files), each sentence, and windows of a notice's number
 a unit without any of them cannot reach the threshold, so the filter loses nothing. Templates and their terms are
 parameters of a fixed size and are broadcast; a unit with too many terms of no notice is left out before its terms
 are taken apart (a bound on the cosine), so documents move only as their few likely units.
+
+A cosine can't tell a version or a clause, so an exact check follows: a notice counts only if the unit has all its family
+names, version numbers and clause words, and no clause word that its licence lacks. Identifier lines name their licence exactly.
 """
 
 from __future__ import annotations
@@ -47,6 +50,32 @@ STOP_WORDS = ("a", "an", "and", "any", "are", "as", "at", "be", "by", "for", "fr
               "or", "s", "so", "such", "that", "the", "their", "this", "to", "under", "use", "v", "was", "were", "will", "with", "you", "your")
 
 
+# Family names, words that make another licence of the same family, and the line that names a licence by its identifier.
+CLAUSES = ("affero", "lesser", "library", "nc", "nd", "noderivatives", "noderivs", "noncommercial", "sa", "sharealike")
+FAMILIES = ("apache", "bsd", "cc", "cc0", "creative", "gnu", "mit", "mozilla")
+IDENTIFIER = r"(?i)SPDX-License-Identifier:\s*\(?\s*([a-z0-9][a-z0-9.+-]*)"
+#: A stretch that says what a text is not licensed under, to the end of its sentence.
+DENIED = r"(?i)\b(?:not|never|n't)\s+(?:\w+\s+)?(?:licen[cs]ed|released|distributed|covered|available|offered)\b[^.;\n]*"
+
+
+def decisive(notice: str) -> list[str]:
+    """Family names, version numbers and clause words of a notice."""
+    return sorted({t for t in terms(notice) if t in CLAUSES or t in FAMILIES or (t.isdigit() and int(t) > 0)})
+
+
+def permitted(templates: dict[str, tuple[str, ...]], license: Column, notice: Column, marks: Column) -> Column:
+    """Whether a unit with these decisive words can be the notice."""
+    out = F.lit(False)
+    for name, notices in templates.items():
+        foreign = sorted(set(CLAUSES) - {t for n in notices for t in decisive(n)})
+        own = ~F.arrays_overlap(marks, F.array(*[F.lit(t) for t in foreign]))
+        for k, n in enumerate(notices):
+            need = decisive(n)
+            has = F.forall(F.array(*[F.lit(t) for t in need]).cast("array<string>"), lambda t: F.array_contains(marks, t))
+            out = F.when((license == name) & (notice == k), own & has if need else own).otherwise(out)
+    return out
+
+
 def terms(text: str) -> list[str]:
     return [t for t in re.findall("[a-z0-9]+", text.lower()) if t not in STOP_WORDS]
 
@@ -90,7 +119,7 @@ def own_licenses(files: DataFrame, least: float = LEAST_COSINE, templates: dict[
     """Best licence of each row that has one: ``path``, ``license``, ``cosine``, ``whole`` (the whole text is the notice)."""
     spark: SparkSession = files.sparkSession
     rows, idf, other = template_vectors(templates)
-    seen = f"(?i)(?<![a-zA-Z0-9])(?:{'|'.join(anchors(rows, least))})(?![a-zA-Z0-9])"
+    seen = f"(?i)(?<![a-zA-Z0-9])(?:{'|'.join([*anchors(rows, least), 'spdx'])})(?![a-zA-Z0-9])"
     lines = F.split("text", "\n")
     at = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.element_at("lines", i.cast("int")).rlike(seen))
     units = F.flatten(F.transform("at", lambda i: F.array(*[
@@ -105,32 +134,38 @@ def own_licenses(files: DataFrame, least: float = LEAST_COSINE, templates: dict[
     spans = F.flatten(F.transform("met", lambda x: F.transform(x["cuts"], lambda c: F.struct(F.lit(False).alias("whole"), F.array_join(
         F.slice("terms", F.greatest(F.lit(1), x["i"] - c["before"] + 1), c["n"]), " ").alias("unit")))))
     plain = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: ~t.isin(*STOP_WORDS))
-    some = (files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-            .where(F.col("text").rlike(seen)).withColumn("lines", lines).withColumn("at", at)
+    told = files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(seen))
+    named = F.regexp_replace(F.regexp_extract("text", IDENTIFIER, 1), r"(?i)(-only|-or-later|\+|\.)$", "")
+    by_name = told.where(F.col("text").rlike(IDENTIFIER)).select("path", named.alias("license"), F.lit(1.0).alias("cosine"), F.lit(False).alias("whole"))
+    some = (told.withColumn("text", F.regexp_replace("text", DENIED, " ")).withColumn("lines", lines).withColumn("at", at)
             .withColumn("terms", plain).withColumn("met", met)
             .select("path", F.explode(F.array_distinct(F.concat(units, whole, sentences, spans))).alias("u")).select("path", "u.whole", "u.unit").distinct())
     words = F.filter(F.regexp_extract_all(F.lower("unit"), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: ~t.isin(*STOP_WORDS))
     # a term of no notice weighs most: with k terms of notices and m others the cosine is at most k / sqrt(k * k + m)
     k = F.size(F.filter("words", lambda t: t.isin(*idf))).cast("double")
     likely = some.withColumn("words", words).where(k * k >= (k * k + F.size("words") - k) * (least * least * (1 - 1e-9)))
-    counted = likely.select("path", "whole", F.xxhash64("unit").alias("unit"), F.explode("words").alias("term")).groupBy(
-        "path", "whole", "unit", "term").agg(F.count("*").alias("tf"))
+    known_marks = sorted({t for ts in templates.values() for n in ts for t in decisive(n)} | set(CLAUSES))
+    marks = F.array_join(F.array_sort(F.array_intersect("words", F.array(*[F.lit(t) for t in known_marks]))), " ")
+    unit = ["path", "whole", "unit", "marks"]  # the marks follow from the unit
+    counted = likely.select("path", "whole", F.xxhash64("unit").alias("unit"), marks.alias("marks"), F.explode("words").alias("term")).groupBy(
+        *unit, "term").agg(F.count("*").alias("tf"))
     known = spark.createDataFrame(list(idf.items()), "term string, idf double")
     weighed = counted.join(F.broadcast(known), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     shares = spark.createDataFrame(rows, "license string, notice int, term string, share double").groupBy("term").agg(
         F.collect_list(F.struct("license", "notice", "share")).alias("notices"))
     # one pass: a unit's squared weights, and its products with each notice, are sums over its terms
     products = weighed.join(F.broadcast(shares), "term", "left").select(
-        "path", "whole", "unit", F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("license"), F.lit(None).cast("int").alias("notice"), F.col("w").alias("x"))),
+        *unit, F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("license"), F.lit(None).cast("int").alias("notice"), F.col("w").alias("x"))),
             F.coalesce(F.transform("notices", lambda n: F.struct(n["license"].alias("license"), n["notice"].alias("notice"), (n["share"] * F.col("w")).alias("x"))),
                        F.array().cast("array<struct<license:string,notice:int,x:double>>")))).alias("p"))
-    summed = products.groupBy("path", "whole", "unit", "p.license", "p.notice").agg(F.sum("p.x").alias("x"), F.sum(F.col("p.x") * F.col("p.x")).alias("xx"))
+    summed = products.groupBy(*unit, "p.license", "p.notice").agg(F.sum("p.x").alias("x"), F.sum(F.col("p.x") * F.col("p.x")).alias("xx"))
+    summed = summed.where(F.col("license").isNull() | permitted(templates, F.col("license"), F.col("notice"), F.split("marks", " ")))
     by_unit = summed.groupBy("path", "whole", "unit").agg(
         F.max(F.when(F.col("license").isNull(), F.col("xx"))).alias("square"),
         F.max(F.when(F.col("license").isNotNull(), F.struct("x", "license"))).alias("best"))
     cosine = F.col("best.x") / F.sqrt("square")
     good = by_unit.select("path", "whole", F.col("best.license").alias("license"), cosine.alias("cosine")).where(F.col("cosine") >= least)
-    return good.groupBy("path").agg(F.max(F.struct("cosine", "whole", "license")).alias("b"), F.max("whole").alias("whole")).select(
+    return good.unionByName(by_name).groupBy("path").agg(F.max(F.struct("cosine", "whole", "license")).alias("b"), F.max("whole").alias("whole")).select(
         "path", "b.license", "b.cosine", "whole")
 
 

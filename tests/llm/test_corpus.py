@@ -314,3 +314,53 @@ def test_licences_within_lines(spark):
             ("d", f"{prose} {prose} license plain version public {prose}"), ("e", f"{prose} {C.TEMPLATES['GPL-3.0'][1]} {prose}")]
     got = {r.path: r.own_license for r in C.licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {"a": "MIT", "b": "Apache-2.0", "c": "BSD-3-Clause", "d": None, "e": "GPL-3.0"}
+
+
+def test_licences_of_other_versions_and_clauses(spark):
+    """A wrong name is worse than none."""
+    cases = {
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version.": None,
+        "This work is licensed under the GNU General Public License, version 2.": None,
+        "Licensed under the GNU Lesser General Public License, version 2.1.": None,
+        "Licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "Licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "Licensed under the BSD 2-Clause License.": None,
+        "Licensed under the BSD 3-Clause License.": "BSD-3-Clause",
+        "Licensed under CC BY 3.0.": None,
+        "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        "Licensed under CC BY-NC-SA 4.0.": None,
+        "Licensed under CC BY-ND 4.0.": None,
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Licensed under the Apache License, Version 1.1.": None,
+        "Licensed under the Apache License, Version 2.": "Apache-2.0",
+        "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": "MIT",
+        "# SPDX-License-Identifier: ISC": "ISC",
+        "This file is not released under the MIT License.": None,
+        "It was never licensed under the Apache License, Version 2.0; ask first.": None,
+        "Released under the MIT License. It does not end here.": "MIT",
+    }
+    df = spark.createDataFrame([(f"d{k}/{k}", t) for k, t in enumerate(cases)], "path string, text string")
+    got = {r.path: r.own_license for r in C.licenses(df).collect()}
+    assert [got[f"d{k}/{k}"] for k in range(len(cases))] == list(cases.values())
+
+
+def plain_cosine(text, k, name):
+    rows, idf, other = C.template_vectors(C.TEMPLATES)
+    share = {t: w for n, j, t, w in rows if (n, j) == (name, k)}
+    count = defaultdict(int)
+    for t in C.terms(text):
+        count[t] += 1
+    weight = {t: n * idf.get(t, other) for t, n in count.items()}
+    return sum(w * share.get(t, 0.0) for t, w in weight.items()) / max(sum(w * w for w in weight.values()) ** 0.5, 1e-300)
+
+
+def test_cosine_of_all_lines_by_hand(spark, docs):
+    """Every line of every document against every notice in plain Python: none over the threshold is missed."""
+    rows = [(str(r.doc_id), r.text) for r in docs.collect()]
+    got = {r.path: r for r in C.own_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for path, text in rows:
+        best = max(((plain_cosine(line, k, name), name) for line in [*(text or "").split("\n"), text or ""] for name, ts in C.TEMPLATES.items() for k in range(len(ts))
+                    if set(C.decisive(ts[k])) <= set(C.terms(line)) and not (set(C.terms(line)) & set(C.CLAUSES)) - {t for n in ts for t in C.decisive(n)}), default=(0, None))
+        if best[0] >= C.LEAST_COSINE and not re.search(C.DENIED, text):
+            assert path in got and got[path].cosine >= best[0] - 1e-9
