@@ -284,7 +284,32 @@ def t03(spark, sf):
     return rounded(D.best_candidate(D.candidate_scores(markets(spark, sf, False), N_CAND)))
 
 
-@check("d02_mahalanobis_assignment")
+# the whole matching by recursion: inverse of the correlations by elimination, then the shortest free pair at each step
+_NC = len(COVS)
+view("x_d2c", f"""
+SELECT [{", ".join(f"stddev_samp({c})" for c in COVS)}] AS sd,
+       [{", ".join("[" + ", ".join([f"corr({a}, {b})" for b in COVS] + ["1.0" if i == j else "0.0" for j in range(_NC)]) + "]" for i, a in enumerate(COVS))}] AS m FROM x_matching
+""", stored=True)
+view("x_d2i", """
+SELECT 1 AS k, m FROM x_d2c UNION ALL
+SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / r[k]) ELSE list_transform(r, lambda x, j: x - r[k] * m[k][j] / m[k][k]) END) FROM x_d2i WHERE k <= len(m)
+""")
+view("x_d2e", f"""
+SELECT a, b, sqrt(list_dot_product(u, list_transform(m, lambda r: list_dot_product(r[{_NC + 1}:], u)))) AS distance FROM (
+  SELECT a.geo AS a, b.geo AS b, [{", ".join(f"(a.{c} - b.{c}) / sd[{i + 1}]" for i, c in enumerate(COVS))}] AS u FROM x_matching a JOIN x_matching b ON a.geo < b.geo, x_d2c), x_d2i WHERE k = {_NC + 1}
+""", stored=True)
+view("x_d2p", """
+SELECT 0 AS step, CAST([] AS VARCHAR[]) AS used, {'d': 0.0, 'a': '', 'b': ''} AS e UNION ALL
+SELECT step + 1, list_concat(used, [e.a, e.b]), e FROM (
+  SELECT step, used, min({'d': distance, 'a': a, 'b': b}) AS e FROM x_d2p JOIN x_d2e ON NOT list_contains(used, a) AND NOT list_contains(used, b) GROUP BY step, used)
+""", stored=True)
+
+
+@check("d02_mahalanobis_assignment", f"""
+SELECT test_id, geo, CASE WHEN EXISTS (
+  SELECT 1 FROM x_d2p WHERE step BETWEEN 1 AND least({N_HOLDOUT}, (SELECT count(*) FROM x_matching) - {N_HOLDOUT}) AND geo = CASE WHEN {h('test_id', 'e.a', 'e.b')} % 2 = 0 THEN e.a ELSE e.b END)
+  THEN 'holdout' ELSE 'treatment' END AS cell FROM x_matching, x_tests
+""")
 def d02(spark, sf):
     return D.mahalanobis_assignment(markets(spark, sf)).select("test_id", "geo", "cell")
 
