@@ -134,21 +134,23 @@ def own_licenses(files: DataFrame, least: float = LEAST_COSINE, templates: dict[
     spans = F.flatten(F.transform("met", lambda x: F.transform(x["cuts"], lambda c: F.struct(F.lit(False).alias("whole"), F.array_join(
         F.slice("terms", F.greatest(F.lit(1), x["i"] - c["before"] + 1), c["n"]), " ").alias("unit")))))
     plain = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: ~t.isin(*STOP_WORDS))
-    told = files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(seen))
     named = F.regexp_replace(F.regexp_extract("text", IDENTIFIER, 1), r"(?i)(-only|-or-later|\+|\.)$", "")
-    by_name = told.where(F.col("text").rlike(IDENTIFIER)).select("path", named.alias("license"), F.lit(1.0).alias("cosine"), F.lit(False).alias("whole"))
-    some = (told.withColumn("text", F.regexp_replace("text", DENIED, " ")).withColumn("lines", lines).withColumn("at", at)
-            .withColumn("terms", plain).withColumn("met", met)
-            .select("path", F.explode(F.array_distinct(F.concat(units, whole, sentences, spans))).alias("u")).select("path", "u.whole", "u.unit").distinct())
+    some = (files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+            .where(F.col("text").rlike(seen)).withColumn("named", named).withColumn("text", F.regexp_replace("text", DENIED, " ")).withColumn("lines", lines)
+            .withColumn("at", at).withColumn("terms", plain).withColumn("met", met)
+            .select("path", "named", F.explode(F.array_distinct(F.concat(units, whole, sentences, spans))).alias("u")).select("path", "named", "u.whole", "u.unit"))
     words = F.filter(F.regexp_extract_all(F.lower("unit"), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: ~t.isin(*STOP_WORDS))
     # a term of no notice weighs most: with k terms of notices and m others the cosine is at most k / sqrt(k * k + m)
     k = F.size(F.filter("words", lambda t: t.isin(*idf))).cast("double")
-    likely = some.withColumn("words", words).where(k * k >= (k * k + F.size("words") - k) * (least * least * (1 - 1e-9)))
+    bound = k * k >= (k * k + F.size("words") - k) * (least * least * (1 - 1e-9))
     known_marks = sorted({t for ts in templates.values() for n in ts for t in decisive(n)} | set(CLAUSES))
     marks = F.array_join(F.array_sort(F.array_intersect("words", F.array(*[F.lit(t) for t in known_marks]))), " ")
     unit = ["path", "whole", "unit", "marks"]  # the marks follow from the unit
-    counted = likely.select("path", "whole", F.xxhash64("unit").alias("unit"), marks.alias("marks"), F.explode("words").alias("term")).groupBy(
-        *unit, "term").agg(F.count("*").alias("tf"))
+    # the few units that can reach the threshold, and each text's identifier line, are written once
+    likely = cut_lineage(some.withColumn("words", words).where(bound | (F.col("whole") & (F.col("named") != ""))).select(
+        "path", "named", "whole", F.xxhash64("unit").alias("unit"), marks.alias("marks"), F.when(bound, F.col("words")).alias("words")).distinct())
+    by_name = likely.where(F.col("whole") & (F.col("named") != "")).select("path", F.col("named").alias("license"), F.lit(1.0).alias("cosine"), F.lit(False).alias("whole"))
+    counted = likely.select(*unit, F.explode("words").alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("tf"))
     known = spark.createDataFrame(list(idf.items()), "term string, idf double")
     weighed = counted.join(F.broadcast(known), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     shares = spark.createDataFrame(rows, "license string, notice int, term string, share double").groupBy("term").agg(
@@ -159,12 +161,13 @@ def own_licenses(files: DataFrame, least: float = LEAST_COSINE, templates: dict[
             F.coalesce(F.transform("notices", lambda n: F.struct(n["license"].alias("license"), n["notice"].alias("notice"), (n["share"] * F.col("w")).alias("x"))),
                        F.array().cast("array<struct<license:string,notice:int,x:double>>")))).alias("p"))
     summed = products.groupBy(*unit, "p.license", "p.notice").agg(F.sum("p.x").alias("x"), F.sum(F.col("p.x") * F.col("p.x")).alias("xx"))
-    summed = summed.where(F.col("license").isNull() | permitted(templates, F.col("license"), F.col("notice"), F.split("marks", " ")))
-    by_unit = summed.groupBy("path", "whole", "unit").agg(
-        F.max(F.when(F.col("license").isNull(), F.col("xx"))).alias("square"),
-        F.max(F.when(F.col("license").isNotNull(), F.struct("x", "license"))).alias("best"))
-    cosine = F.col("best.x") / F.sqrt("square")
-    good = by_unit.select("path", "whole", F.col("best.license").alias("license"), cosine.alias("cosine")).where(F.col("cosine") >= least)
+    # a unit meets each notice in one row at most, so its list is as short as the templates are
+    by_unit = summed.groupBy(*unit).agg(
+        F.sqrt(F.max(F.when(F.col("license").isNull(), F.col("xx")))).alias("norm"),
+        F.collect_list(F.when(F.col("license").isNotNull(), F.struct("x", "license", "notice"))).alias("met"))
+    close = by_unit.select("path", "whole", "marks", "norm", F.explode(F.filter("met", lambda m: m["x"] >= F.col("norm") * least)).alias("m"))
+    good = close.where(permitted(templates, F.col("m.license"), F.col("m.notice"), F.split("marks", " "))).select(
+        "path", "whole", "m.license", (F.col("m.x") / F.col("norm")).alias("cosine"))
     return good.unionByName(by_name).groupBy("path").agg(F.max(F.struct("cosine", "whole", "license")).alias("b"), F.max("whole").alias("whole")).select(
         "path", "b.license", "b.cosine", "whole")
 
