@@ -86,14 +86,28 @@ def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> QualityModel | None:
-    """Fit on at most ``rows`` labelled documents of each class; None if one class has no rows."""
+    """Fit on at most ``rows`` labelled documents of each class, in a task; None if one class has no rows."""
     sample = labelled_sample(docs, labels, "quality", (rows, rows), longest=longest).select("doc_id", "label", "text")
-    got = sample.mapInArrow(sample_features, "doc_id bigint, label int, at array<int>, x array<float>").toArrow().sort_by("doc_id")
+    parts = sample.mapInArrow(sample_features, "doc_id bigint, label int, at array<int>, x array<float>")
+    got = parts.repartition(1).mapInArrow(learned, "weights binary, bias double, slope double, offset double, good bigint, bad bigint").collect()
+    if not got:
+        return None
     shares = {r["q"]: r["n"] for r in labels.groupBy(F.col("quality").cast("int").alias("q")).agg(F.count("*").alias("n"))
               .where(F.col("q").isin(0, 1)).collect()}
+    r = got[0]
+    prior = np.log(shares[1] / shares[0]) - np.log(r["good"] / r["bad"])
+    return QualityModel(np.frombuffer(r["weights"], np.float32), r["bias"], r["slope"], float(r["offset"] + prior))
+
+
+def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the bounded sample, in a task: the driver gets its weights and no features. Nothing if a class has no rows."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    got = pa.Table.from_batches(parts).sort_by("doc_id")
     y = got["label"].to_numpy().astype(float)
-    if not len(y) or y.min() == y.max():
-        return None
+    if y.min() == y.max():
+        return
     values = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (got["at"], got["x"])]
     at, x = (v.flatten().to_numpy(zero_copy_only=False) for v in values)
     row = np.repeat(np.arange(len(y)), pc.list_value_length(got["at"]).to_numpy())
@@ -103,8 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, longest: in
     if len(set(y[held])) < 2:
         held = np.ones(len(y), bool)
     slope, offset = platt(z[held], y[held])
-    prior = np.log(shares[1] / shares[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    return QualityModel(weights.astype(np.float32), float(bias), float(slope), float(offset + prior))
+    yield pa.record_batch({"weights": pa.array([weights.astype(np.float32).tobytes()], pa.binary()), "bias": [float(bias)], "slope": [float(slope)],
+                           "offset": [float(offset)], "good": [int(y.sum())], "bad": [int(len(y) - y.sum())]})
 
 
 def descend(at: np.ndarray, x: np.ndarray, row: np.ndarray, y: np.ndarray, used: np.ndarray, steps: int = 150, rate: float = 0.05,

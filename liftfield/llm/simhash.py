@@ -234,12 +234,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large.unionByName(e.join(least, "u").select("u", F.col("m").alias("v"))).distinct().where("u != v")
+        # v is the smaller end of every row, and the vertices with a smaller neighbour are those whose least is another
+        lower = e.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))
+        large = cut_lineage(lower.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        e = cut_lineage(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                        .unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "v")

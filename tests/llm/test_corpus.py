@@ -79,6 +79,25 @@ def test_fingerprints_and_components(spark, docs):
     assert S.simhash_components(table.limit(0)).count() == 0
 
 
+def test_components_take_few_stages_a_round(spark):
+    """The driver keeps what it knows of each stage and task, so a round has few."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)], "a bigint, b bigint")
+    sc, rounds = spark.sparkContext, []
+    sc.setJobGroup("components", "")
+    first = type(edges).first
+    try:
+        type(edges).first = lambda self: rounds.append(1) or first(self)
+        got = S.components(edges)
+    finally:
+        type(edges).first = first
+    jobs = sc.statusTracker().getJobIdsForGroup("components")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds}
+    assert len(stages) <= 20 * len(rounds)
+    roots = {r.v: r.root for r in got.collect()}
+    assert roots == {k: 0 for k in range(1, 41)} | {100 + k: 100 for k in range(1, 30)}
+
+
 def test_large_file_of_close_fingerprints(spark):
     rnd = random.Random(5)
     values = {rnd.getrandbits(64) for _ in range(300)}

@@ -71,6 +71,18 @@ def test_quality_held_out(spark, docs, labels):
     assert np.mean(right) > 0.97
 
 
+def test_quality_learns_in_a_task(spark, docs, labels, monkeypatch):
+    """The driver gets no features, and the model is that of the same rows learned here."""
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "toArrow", lambda *a: pytest.fail("features sent to the driver"))
+        model = Q.fit(docs, labels, 40)
+    sample = Q.labelled_sample(docs, labels, "quality", (40, 40), longest=Q.SAMPLE_BYTES).select("doc_id", "label", "text")
+    batches = Q.sample_features(iter(sample.toArrow().to_batches()))
+    here = next(Q.learned(batches)).to_pylist()[0]
+    assert np.array_equal(model.weights, np.frombuffer(here["weights"], np.float32)) and (model.bias, model.slope) == (here["bias"], here["slope"])
+    assert Q.fit(docs, labels.where("quality = 1")) is None
+
+
 def test_quality_without_labels_and_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = Q.quality(odd, none).collect()
