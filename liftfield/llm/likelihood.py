@@ -127,15 +127,33 @@ def train(counts: np.ndarray, hidden: int = HIDDEN, steps: int = STEPS, seed: in
     return np.log(p).astype(np.float32).reshape(v, v, v).transpose(0, 2, 1).copy()
 
 
-def softmax(z: np.ndarray, small: bool = False) -> np.ndarray:
-    """In place; ``small`` says that no value is large enough to overflow."""
-    if not small:
-        z -= z.max(1, keepdims=True)
+def softmax(z: np.ndarray) -> np.ndarray:
+    """In place."""
+    z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(1, keepdims=True)
     return z
 
 
+def powers_of(z: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A softmax before its division, in place, and the sums; ``small`` says that no value is large enough to overflow."""
+    if not small:
+        z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
+
+
+def descend(w: dict[str, np.ndarray], squares: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
+    """A step of AdaGrad in place; the tables are as large as a step's work, so nothing is allocated for them but once."""
+    for x in w:
+        step = np.multiply(g[x], g[x])
+        squares[x] += step
+        np.sqrt(squares[x], out=step)
+        np.divide(g[x], step, out=step)
+        step *= np.float32(rate)
+        w[x] -= step
+
+
 #: Distinct words of the corpus that occur so often let the vocabulary and the classes of all other words grow.
 COUNTED = 5
 OFFSETS = (-2, -1, 1, 2)
@@ -230,41 +248,51 @@ class Network:
 
     def run(self, w: dict[str, np.ndarray], t: np.ndarray, around: np.ndarray, learn: bool = False):
         """Log-probability of each token; or the gradient of the mean loss."""
+        n = len(t)
         group = (t // self.span).astype(np.int16)
         order = np.argsort(group, kind="stable")
         t, around, group = t[order], around[:, order], group[order]  # one slice of rows for each group
-        place, every = t - group * self.span, np.arange(len(t))
+        place, every = t - group * self.span, np.arange(n)
         ends = np.searchsorted(group, np.arange(self.groups + 1))
-        h = np.take(w["e"][0], around[0], axis=0)
+        parts = [(k, slice(int(ends[k]), int(ends[k + 1]))) for k in np.flatnonzero(np.diff(ends)).tolist()]
+        x = np.take(w["e"][0], around[0], axis=0)
         for k in range(1, len(OFFSETS)):
-            h += np.take(w["e"][k], around[k], axis=0)
-        h += w["c"]
-        np.tanh(h, out=h)
+            x += np.take(w["e"][k], around[k], axis=0)
+        x += w["c"]
+        h = np.ones((n, self.hidden + 1), np.float32)  # the last unit is one: its weights are the biases
+        np.tanh(x, out=h[:, :-1])
+        u, v = np.vstack([w["u"], w["b"]]), np.concatenate([w["v"], w["d"][:, None]], 1)
         # the hidden units are within one, so the weights bound what a softmax sees
-        small = max(float((np.abs(w[m]).sum(-2) + np.abs(w[b])).max()) for m, b in (("u", "b"), ("v", "d"))) < 80
-        p = softmax(h @ w["u"] + w["b"], small)
+        small = max(float(np.abs(m).sum(-2).max()) for m in (u, v)) < 64
+        p, total = powers_of(h @ u, small)
         if not learn:
-            out = np.log(p[every, group])
-            for k in np.flatnonzero(np.diff(ends)):
-                part = slice(ends[k], ends[k + 1])
-                q = softmax(h[part] @ w["v"][k] + w["d"][k], small)
-                out[part] += np.log(q[np.arange(len(q)), place[part]])
-            back = np.empty_like(out)
-            back[order] = out
-            return back
-        g = {k: np.zeros(self.shapes[k], np.float32) for k in ("e", "v", "d")}
-        p[every, group] -= 1
-        p /= len(t)
-        g["u"], g["b"], dh = h.T @ p, p.sum(0), p @ w["u"].T
-        for k in np.flatnonzero(np.diff(ends)):
-            part = slice(ends[k], ends[k + 1])
-            q = softmax(h[part] @ w["v"][k] + w["d"][k], small)
-            q[np.arange(len(q)), place[part]] -= 1
-            q /= len(t)
-            g["v"][k], g["d"][k] = h[part].T @ q, q.sum(0)
-            dh[part] += q @ w["v"][k].T
-        h *= h
-        dh *= 1 - h
+            own, inner = np.empty(n, np.float32), np.empty(n, np.float32)
+            for k, part in parts:
+                q, inner[part] = powers_of(h[part] @ v[k], small)
+                own[part] = q[every[: len(q)], place[part]]
+            out = np.empty(n, np.float32)
+            out[order] = np.log(p[every, group] / total) + np.log(own / inner)
+            return out
+        # a softmax is never divided by its sums: they scale the few hidden units instead
+        g = {"e": np.zeros(self.shapes["e"], np.float32)}
+        p[every, group] -= total
+        scale = 1 / (total * n)[:, None]
+        both = (h * scale).T @ p
+        g["u"], g["b"] = both[:-1], both[-1]
+        dh = p @ w["u"].T
+        dh *= scale
+        both = np.zeros(v.shape, np.float32)
+        for k, part in parts:
+            q, inner = powers_of(h[part] @ v[k], small)
+            q[every[: len(q)], place[part]] -= inner
+            scale = 1 / (inner * n)[:, None]
+            both[k] = (h[part] * scale).T @ q
+            back = q @ w["v"][k].T
+            back *= scale
+            dh[part] += back
+        g["v"], g["d"] = both[:, :-1], both[:, -1]
+        np.multiply(h[:, :-1], h[:, :-1], out=x)
+        dh *= np.subtract(1, x, out=x)
         g["c"] = dh.sum(0)
         for k in range(len(OFFSETS)):
             at = np.argsort(around[k], kind="stable")
@@ -340,10 +368,7 @@ def fit(encoded: DataFrame, classes: Classes, net: Network, counts: np.ndarray)
                 own = {x: v.copy() for x, v in w.items()}
                 squares = {x: np.full_like(v, 1e-8) for x, v in w.items()}
                 for t, around in steps(docs, classes, size):
-                    g = net.gradient(own, t, around)
-                    for x in own:
-                        squares[x] += g[x] ** 2
-                        own[x] -= rate * g[x] / np.sqrt(squares[x])
+                    descend(own, squares, net.gradient(own, t, around), rate)
                     seen += len(t)
                 if seen:
                     yield learned()

@@ -263,6 +263,35 @@ def test_likelihood_sums_of_the_whole_vocabulary(spark):
         assert got[k].n_tokens == len(ws) and got[k].log_likelihood == pytest.approx(want, rel=1e-5, abs=1e-6)
 
 
+@pytest.mark.parametrize("width", (0.2, 9.0))
+def test_likelihood_step_by_hand(width):
+    """Log-probabilities and gradients from the full softmaxes, in double precision; a step changes its tables in place."""
+    rnd = np.random.default_rng(3)
+    net = M.Network(30, 5)
+    w = net.start(rnd.integers(0, 50, 30))
+    w = {k: v + rnd.normal(0, width, v.shape).astype(np.float32) * (k in "uv") for k, v in w.items()}
+    t, around = rnd.integers(0, 30, 200), rnd.integers(0, 30, (len(M.OFFSETS), 200)).astype(np.int16)
+
+    def logs(w):
+        h = np.tanh(sum(w["e"][k][around[k]] for k in range(len(M.OFFSETS))) + w["c"])
+        a, b = h @ w["u"] + w["b"], np.einsum("nh,nhs->ns", h, w["v"][t // net.span]) + w["d"][t // net.span]
+        of = [z - z.max(1, keepdims=True) for z in (a, b)]
+        of = [z - np.log(np.exp(z).sum(1, keepdims=True)) for z in of]
+        return of[0][np.arange(200), t // net.span] + of[1][np.arange(200), t % net.span]
+
+    wide = {k: v.astype(float) for k, v in w.items()}
+    assert np.allclose(net.run(w, t, around), logs(wide), rtol=1e-4, atol=1e-4)
+    g = net.gradient(w, t, around)
+    for k, v in wide.items():
+        for at in np.argsort(-np.abs(g[k]).ravel())[:4]:
+            ends = [logs(wide | {k: v + d * (np.arange(v.size) == at).reshape(v.shape)}).mean() for d in (-1e-5, 1e-5)]
+            assert g[k].ravel()[at] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=5e-3, abs=1e-5)
+    own, squares = {k: v.copy() for k, v in w.items()}, {k: np.full_like(v, 1e-8) for k, v in w.items()}
+    tables = {k: v for k, v in own.items()}
+    M.descend(own, squares, g, 0.1)
+    assert all(own[k] is tables[k] and np.allclose(own[k], w[k] - 0.1 * g[k] / np.sqrt(1e-8 + g[k] ** 2), atol=1e-6) for k in w)
+
+
 def test_languages_cosine_by_hand(spark):
     """Every prediction and score from the definition, without blocks."""
     rows = [(k, t, lang) for k, (t, lang) in enumerate([("der Hund und die Katze", "de"), ("the dog and the cat", "en"), ("le chien et le chat", "fr"), ("und der die das", "de"),
