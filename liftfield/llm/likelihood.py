@@ -159,6 +159,8 @@ COUNTED = 5
 OFFSETS = (-2, -1, 1, 2)
 #: Tokens whose hidden units are held at once.
 SCORED = 1 << 15
+#: Rows of a block of an id's rows.
+TOGETHER = 8
 #: There are as many learners as the square root of the corpus in units of so many tokens, and a step of training takes as
 #: many tokens as the square root of all, so each learner makes about the same number of steps at every size.
 LEARNED = 1_000_000
@@ -200,14 +202,13 @@ class Classes(Tokens):
         out[rare] = (ending % np.uint64(self.endings)).astype(np.int64) + len(self.ids)
         return h, out
 
-    def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, class and row of each token."""
+    def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and class of each distinct word, and which of these words and what row each token is."""
         words, rows = split_words(text)
         code, distinct = coded(words)
         if not len(code):
-            return np.zeros(0, np.uint64), code, rows
-        h, t = self.of(cleaned(distinct))
-        return h[code], t[code], rows
+            return np.zeros(0, np.uint64), code, code, rows
+        return *self.of(cleaned(distinct)), code, rows
 
     def around(self, t: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Classes of the four words around each token."""
@@ -246,78 +247,134 @@ class Network:
         ends = np.cumsum([0, *(int(np.prod(s)) for s in self.shapes.values())])
         return {k: flat[a:b].reshape(s).copy() for (k, s), a, b in zip(self.shapes.items(), ends[:-1], ends[1:], strict=True)}
 
-    def run(self, w: dict[str, np.ndarray], t: np.ndarray, around: np.ndarray, learn: bool = False):
-        """Log-probability of each token; or the gradient of the mean loss."""
-        n = len(t)
-        group = (t // self.span).astype(np.int16)
-        order = np.argsort(group, kind="stable")
-        t, around, group = t[order], around[:, order], group[order]  # one slice of rows for each group
-        place, every = t - group * self.span, np.arange(n)
-        ends = np.searchsorted(group, np.arange(self.groups + 1))
-        parts = [(k, slice(int(ends[k]), int(ends[k + 1]))) for k in np.flatnonzero(np.diff(ends)).tolist()]
+    def ready(self, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
+        """What all tokens of a step share: weights with the biases as those of a last unit, which is one.
+
+        The last value says that no softmax sees a value large enough to overflow.
+        """
+        u, v = np.vstack([w["u"], w["b"]]), np.concatenate([w["v"], w["d"][:, None]], 1)
+        # the hidden units are within one, so the weights bound what a softmax sees
+        return u, v, max(float(np.abs(m).sum(-2).max()) for m in (u, v)) < 64
+
+    def units(self, w: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hidden units of each token by tanh(x) = 1 - 2 / (exp(2 x) + 1), and these with the unit that is one."""
         x = np.take(w["e"][0], around[0], axis=0)
+        more = np.empty_like(x)
         for k in range(1, len(OFFSETS)):
-            x += np.take(w["e"][k], around[k], axis=0)
+            x += np.take(w["e"][k], around[k], axis=0, out=more, mode="clip")
         x += w["c"]
-        h = np.ones((n, self.hidden + 1), np.float32)  # the last unit is one: its weights are the biases
-        np.tanh(x, out=h[:, :-1])
-        u, v = np.vstack([w["u"], w["b"]]), np.concatenate([w["v"], w["d"][:, None]], 1)
-        # the hidden units are within one, so the weights bound what a softmax sees
-        small = max(float(np.abs(m).sum(-2).max()) for m in (u, v)) < 64
+        x *= 2
+        with np.errstate(over="ignore"):
+            np.exp(x, out=x)
+        x += 1
+        np.divide(-2, x, out=x)
+        x += 1
+        h = np.empty((len(x), self.hidden + 1), x.dtype)
+        h[:, :-1], h[:, -1] = x, 1
+        return x, h
+
+    def grouped(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Order of the tokens by group, where in the softmaxes of its group each token's class is, and each group's tokens."""
+        group = (t // self.span).astype(np.int16)
+        order = np.argsort(group, kind="stable")
+        ends = np.searchsorted(group[order], np.arange(self.groups + 1)).tolist()
+        parts = [(k, a, b) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
+        place = t[order].astype(np.int64)
+        for k, a, b in parts:
+            place[a:b] += np.arange(-k * self.span, (b - a - k) * self.span, self.span)
+        return order, place, parts
+
+    def chances(self, w: dict[str, np.ndarray], ready: tuple, t: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of each token's group, and of its class in the group."""
+        u, v, small = ready
+        order, place, parts = self.grouped(t)
+        _, h = self.units(w, np.take(around, order, axis=1))
         p, total = powers_of(h @ u, small)
-        if not learn:
-            own, inner = np.empty(n, np.float32), np.empty(n, np.float32)
-            for k, part in parts:
-                q, inner[part] = powers_of(h[part] @ v[k], small)
-                own[part] = q[every[: len(q)], place[part]]
-            out = np.empty(n, np.float32)
-            out[order] = np.log(p[every, group] / total) + np.log(own / inner)
-            return out
+        outer, inner = np.empty(len(t), h.dtype), np.empty(len(t), h.dtype)
+        for k, a, b in parts:
+            q, sums = powers_of(h[a:b] @ v[k], small)
+            np.divide(p[a:b, k], total[a:b], out=total[a:b])
+            outer[order[a:b]], inner[order[a:b]] = total[a:b], q.ravel()[place[a:b]] / sums
+        return outer, inner
+
+    def learn(self, w: dict[str, np.ndarray], ready: tuple, t: np.ndarray, around: np.ndarray, weight: float, g: dict[str, np.ndarray]) -> None:
+        """Add the gradient of the loss of each token times ``weight``; those of ``u`` and ``v`` have the biases' in a last row."""
+        u, v, small = ready
+        order, place, parts = self.grouped(t)
+        around, at = np.take(around, order, axis=1), np.int16 if len(OFFSETS) * self.size < 1 << 15 else np.int32
+        x, h = self.units(w, around)
         # a softmax is never divided by its sums: they scale the few hidden units instead
-        g = {"e": np.zeros(self.shapes["e"], np.float32)}
-        p[every, group] -= total
-        scale = 1 / (total * n)[:, None]
-        both = (h * scale).T @ p
-        g["u"], g["b"] = both[:-1], both[-1]
+        p, total = powers_of(h @ u, small)
+        for k, a, b in parts:
+            p[a:b, k] -= total[a:b]
+        scale = (weight / total)[:, None]
+        g["u"] += (h * scale).T @ p
         dh = p @ w["u"].T
         dh *= scale
-        both = np.zeros(v.shape, np.float32)
-        for k, part in parts:
-            q, inner = powers_of(h[part] @ v[k], small)
-            q[every[: len(q)], place[part]] -= inner
-            scale = 1 / (inner * n)[:, None]
-            both[k] = (h[part] * scale).T @ q
+        for k, a, b in parts:
+            q, sums = powers_of(h[a:b] @ v[k], small)
+            q.ravel()[place[a:b]] -= sums
+            scale = (weight / sums)[:, None]
+            g["v"][k] += (h[a:b] * scale).T @ q
             back = q @ w["v"][k].T
             back *= scale
-            dh[part] += back
-        g["v"], g["d"] = both[:, :-1], both[:, -1]
-        np.multiply(h[:, :-1], h[:, :-1], out=x)
+            dh[a:b] += back
+        x *= x
         dh *= np.subtract(1, x, out=x)
-        g["c"] = dh.sum(0)
-        for k in range(len(OFFSETS)):
-            at = np.argsort(around[k], kind="stable")
-            ids = around[k][at]
-            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            g["e"][k][ids[first]] = np.add.reduceat(np.take(dh, at, axis=0), first)
-        return g
+        ids, sums = sums_by(np.concatenate([k * self.size + each.astype(at) for k, each in enumerate(around)]), dh)
+        e = np.zeros_like(w["e"])
+        e.reshape(-1, self.hidden)[ids] = sums
+        g["e"] = g["e"] + e if "e" in g else e
+
+    def run(self, w: dict[str, np.ndarray], t: np.ndarray, around: np.ndarray, learn: bool = False):
+        """Log-probability of each token; or the gradient of the mean loss."""
+        if learn:
+            return self.gradient(w, t, around)
+        outer, inner = self.chances(w, self.ready(w), t, around)
+        return np.log(outer) + np.log(inner)
 
     def gradient(self, w: dict[str, np.ndarray], t: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
         """Gradient of the mean loss, a bounded number of tokens at a time."""
-        total = None
+        ready = self.ready(w)
+        g = {k: np.zeros_like(x) for k, x in zip("uv", ready, strict=False)}
         for a in range(0, len(t), SCORED):
-            g = self.run(w, t[a : a + SCORED], around[:, a : a + SCORED], learn=True)
-            if len(t) <= SCORED:
-                return g
-            share = len(t[a : a + SCORED]) / len(t)
-            total = {k: v * share + (0 if total is None else total[k]) for k, v in g.items()}
-        return total
+            self.learn(w, ready, t[a : a + SCORED], around[:, a : a + SCORED], 1 / len(t), g)
+        u, v = g["u"], g["v"]
+        return {"e": g["e"], "c": g["e"][0].sum(0), "u": u[:-1], "b": u[-1], "v": v[:, :-1], "d": v[:, -1]}
 
     def score(self, w: dict[str, np.ndarray], t: np.ndarray, around: np.ndarray) -> np.ndarray:
-        parts = [self.run(w, t[a : a + SCORED], around[:, a : a + SCORED]) for a in range(0, len(t), SCORED)]
-        p = np.exp(np.concatenate(parts)) if parts else np.zeros(0)
+        ready, p = self.ready(w), np.empty(len(t))
+        for a in range(0, len(t), SCORED):
+            np.multiply(*self.chances(w, ready, t[a : a + SCORED], around[:, a : a + SCORED]), out=p[a : a + SCORED])
         return np.log((1 - SMOOTHING) * p + SMOOTHING / self.size)
 
 
+def sums_by(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and the sum of each one's rows, of which there are as many as ids or a part that repeats for them.
+
+    The rows of an id are added in blocks, the first rows of all blocks as one array, then the second ones; block sums are
+    summed in the same way. A sum run by run would cost a call for each number of a sum.
+    """
+    while True:
+        at = np.argsort(ids, kind="stable")
+        ids = ids[at]
+        at %= len(rows)
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        ends = np.append(first[1:], len(ids))
+        blocks = -((first - ends) // TOGETHER)
+        start = np.repeat(first - TOGETHER * (np.cumsum(blocks) - blocks), blocks) + TOGETHER * np.arange(blocks.sum())
+        size = np.minimum(np.repeat(ends, blocks) - start, TOGETHER).astype(np.int8)
+        by = np.argsort(-size, kind="stable")  # the largest blocks first
+        start, size = start[by], size[by]
+        out = np.take(rows, at[start], axis=0)
+        for k in range(1, int(size[0])):
+            n = int(np.searchsorted(-size, -k))
+            out[:n] += np.take(rows, at[start[:n] + k], axis=0)
+        ids, rows = ids[start], out
+        if len(start) == len(first):
+            return ids, rows
+
+
 def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Class and row of each token of encoded documents."""
     ids = batch["ids"]
@@ -325,6 +382,12 @@ def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return t, np.repeat(np.arange(batch.num_rows), pc.list_value_length(ids).to_numpy(zero_copy_only=False))
 
 
+def encoded_rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of the table of encoded texts: of documents, or of rare words of a piece with the documents they are in."""
+    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "deal": pa.int64(), "ids": pa.list_(pa.int32()), "h": pa.int64(), "at": pa.list_(pa.int64())}
+    return pa.record_batch({k: columns.get(k, pa.nulls(n, kind)) for k, kind in kinds.items()})
+
+
 def steps(batches: Iterator[pa.RecordBatch], classes: Classes, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``size`` tokens and what is around them at a time, however the documents are cut into batches."""
     kept_t, kept_a, count = [], [], 0
@@ -440,17 +503,21 @@ def corpus_likelihood(docs: DataFrame) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            h, t, rows = classes.encode(batch["text"])
+            h, t, code, rows = classes.encode(batch["text"])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=batch.num_rows))]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(ends, pa.array(t[code].astype(np.int32)))
+            yield encoded_rows(batch.num_rows, row=batch["row"], doc_id=batch["doc_id"], deal=batch["deal"], ids=ids)
             rare = t >= own
-            lists = []
-            for values, owner in ((pa.array(t.astype(np.int32)), rows), (pa.array(h[rare].view(np.int64)), rows[rare])):
-                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(ends, values))
-            yield pa.record_batch({"row": batch["row"], "doc_id": batch["doc_id"], "deal": batch["deal"], "ids": lists[0], "rare": lists[1]})
+            of = rare[code]
+            word = code[of].astype(np.int32)
+            at = batch["row"].to_numpy()[rows[of][np.argsort(word, kind="stable")]]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(h))[rare])]).astype(np.int32)
+            yield encoded_rows(len(ends) - 1, h=pa.array(h[rare].view(np.int64)), at=pa.ListArray.from_arrays(ends, pa.array(at)))
 
     # texts are read twice: for the counts of words, and to be written as classes that all later steps read
     rows = texts(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("deal", F.xxhash64("doc_id", "text"))
-    encoded = cut_lineage(rows.mapInArrow(encode, "row bigint, doc_id bigint, deal bigint, ids array<int>, rare array<bigint>"))
+    both = cut_lineage(rows.mapInArrow(encode, "row bigint, doc_id bigint, deal bigint, ids array<int>, h bigint, at array<bigint>"))
+    encoded, rare_words = both.where("ids is not null").select("row", "doc_id", "deal", "ids"), both.where("h is not null").select("h", "at")
     w = fit(encoded, classes, net, by_class)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,8 +531,8 @@ def corpus_likelihood(docs: DataFrame) -> DataFrame:
     share = F.log((F.col("n") + ADDED) / (F.col("total") + ADDED * (F.col("kinds") + 1)))
     factors = known.where(F.col("class") >= own).join(F.broadcast(sums), "class").select("h", share.alias("share"))
     unseen = float(np.log(ADDED / (max(by_class.sum(), 1) + ADDED)))
-    rare = encoded.select("row", F.explode("rare").alias("h")).join(factors, "h", "left").groupBy("row").agg(
-        F.sum(F.coalesce("share", F.lit(unseen))).alias("shares"))
+    rare = rare_words.join(factors, "h", "left").select(F.explode("at").alias("row"), F.coalesce("share", F.lit(unseen)).alias("share")).groupBy("row").agg(
+        F.sum("share").alias("shares"))
     out = scored.join(rare, "row", "left").withColumn("log_likelihood", F.col("total") + F.coalesce("shares", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))
 

@@ -292,6 +292,29 @@ def test_likelihood_step_by_hand(width):
     assert all(own[k] is tables[k] and np.allclose(own[k], w[k] - 0.1 * g[k] / np.sqrt(1e-8 + g[k] ** 2), atol=1e-6) for k in w)
 
 
+def test_likelihood_sums_by_id():
+    rnd = np.random.default_rng(5)
+    for most, n in ((1, 300), (40, 300), (4, 5000), (200, 1)):
+        rows = rnd.normal(size=(n, 3))
+        ids = rnd.integers(0, most, 2 * n).astype(np.int16)  # the rows twice, each time under other ids
+        want = np.zeros((most, 3))
+        np.add.at(want, ids, np.concatenate([rows, rows]))
+        got, sums = M.sums_by(ids, rows)
+        assert sorted(got.tolist()) == sorted(set(ids.tolist())) and np.allclose(sums, want[got])
+
+
+def test_likelihood_rare_words_once_a_piece(spark, monkeypatch):
+    """A rare word goes to its corpus count once for a piece of texts, with each document it occurs in, repeats included."""
+    written, cut = [], M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    common = " ".join(f"v{k:03d}" for k in range(140))
+    rows = [(k, f"{common} {common} zz{k % 3} Zz{k % 3}!") for k in range(6)]
+    assert M.pseudo_likelihood(spark.createDataFrame(rows, "doc_id int, text string").coalesce(1)).count() == 6
+    words = [r for r in written[-1].collect() if r["h"] is not None]
+    assert len(words) == 13 + 6 and sum(len(r["at"]) for r in words) == 13 * 12 + 6 * 2  # two spellings are two rows
+    assert written[-1].where("ids is not null").count() == 6
+
+
 def test_languages_cosine_by_hand(spark):
     """Every prediction and score from the definition, without blocks."""
     rows = [(k, t, lang) for k, (t, lang) in enumerate([("der Hund und die Katze", "de"), ("the dog and the cat", "en"), ("le chien et le chat", "fr"), ("und der die das", "de"),
