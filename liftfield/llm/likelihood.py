@@ -159,6 +159,8 @@ COUNTED = 5
 OFFSETS = (-2, -1, 1, 2)
 #: Tokens whose hidden units are held at once.
 SCORED = 1 << 15
+#: Tokens of rare words that a task holds before it writes each of these words with its documents.
+RARE = 1 << 21
 #: Rows of a block of an id's rows.
 TOGETHER = 8
 #: There are as many learners as the square root of the corpus in units of so many tokens, and a step of training takes as
@@ -383,11 +385,21 @@ def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encoded_rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
-    """Rows of the table of encoded texts: of documents, or of rare words of a piece with the documents they are in."""
+    """Rows of the table of encoded texts: of documents, or of rare words with the documents of some pieces that they are in."""
     kinds = {"row": pa.int64(), "doc_id": pa.int64(), "deal": pa.int64(), "ids": pa.list_(pa.int32()), "h": pa.int64(), "at": pa.list_(pa.int64())}
     return pa.record_batch({k: columns.get(k, pa.nulls(n, kind)) for k, kind in kinds.items()})
 
 
+def rows_of_words(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row for each rare word of the pieces held: hashes of a piece's words, and the word and document of each token."""
+    h, same = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+    first = np.cumsum([0, *(len(x[0]) for x in held)])
+    word = np.concatenate([same[a + x[1]] for a, x in zip(first, held, strict=False)])
+    ends = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(h)))]).astype(np.int32)
+    at = np.concatenate([x[2] for x in held])[np.argsort(word, kind="stable")]
+    return encoded_rows(len(h), h=pa.array(h), at=pa.ListArray.from_arrays(ends, pa.array(at)))
+
+
 def steps(batches: Iterator[pa.RecordBatch], classes: Classes, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``size`` tokens and what is around them at a time, however the documents are cut into batches."""
     kept_t, kept_a, count = [], [], 0
@@ -502,6 +514,7 @@ def corpus_likelihood(docs: DataFrame) -> DataFrame:
     own = len(words)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch in pieces(batches):
             h, t, code, rows = classes.encode(batch["text"])
             ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=batch.num_rows))]).astype(np.int32)
@@ -509,10 +522,12 @@ def corpus_likelihood(docs: DataFrame) -> DataFrame:
             yield encoded_rows(batch.num_rows, row=batch["row"], doc_id=batch["doc_id"], deal=batch["deal"], ids=ids)
             rare = t >= own
             of = rare[code]
-            word = code[of].astype(np.int32)
-            at = batch["row"].to_numpy()[rows[of][np.argsort(word, kind="stable")]]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(h))[rare])]).astype(np.int32)
-            yield encoded_rows(len(ends) - 1, h=pa.array(h[rare].view(np.int64)), at=pa.ListArray.from_arrays(ends, pa.array(at)))
+            held.append((h[rare].view(np.int64), (np.cumsum(rare) - 1)[code[of]].astype(np.int32), batch["row"].to_numpy()[rows[of]]))
+            if sum(len(x[1]) for x in held) >= RARE:
+                yield rows_of_words(held)
+                held = []
+        if held:
+            yield rows_of_words(held)
 
     # texts are read twice: for the counts of words, and to be written as classes that all later steps read
     rows = texts(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("deal", F.xxhash64("doc_id", "text"))

@@ -303,15 +303,15 @@ def test_likelihood_sums_by_id():
         assert sorted(got.tolist()) == sorted(set(ids.tolist())) and np.allclose(sums, want[got])
 
 
-def test_likelihood_rare_words_once_a_piece(spark, monkeypatch):
-    """A rare word goes to its corpus count once for a piece of texts, with each document it occurs in, repeats included."""
+def test_likelihood_rare_words_once_a_task(spark, monkeypatch):
+    """A rare word goes to its corpus count once for all texts that a task holds, with each document it occurs in, repeats included."""
     written, cut = [], M.cut_lineage
     monkeypatch.setattr(M, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
     common = " ".join(f"v{k:03d}" for k in range(140))
     rows = [(k, f"{common} {common} zz{k % 3} Zz{k % 3}!") for k in range(6)]
     assert M.pseudo_likelihood(spark.createDataFrame(rows, "doc_id int, text string").coalesce(1)).count() == 6
     words = [r for r in written[-1].collect() if r["h"] is not None]
-    assert len(words) == 13 + 6 and sum(len(r["at"]) for r in words) == 13 * 12 + 6 * 2  # two spellings are two rows
+    assert len(words) == 13 + 3 and sum(len(r["at"]) for r in words) == 13 * 12 + 3 * 4
     assert written[-1].where("ids is not null").count() == 6
 
 
